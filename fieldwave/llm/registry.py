@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing
+from . import chat, exact_dedup, line_dedup, mixing, url_rules
 
 QUERIES = {
+    "op3_line_runs": line_dedup.query,
     "op4_chat_events": chat.query,
     "op7_exact_tree_merge": exact_dedup.query,
+    "op8_url_rules": url_rules.query,
     "op9_mix_prefix_sums": mixing.query,
 }
 SQL = {
+    "op3_line_runs": line_dedup.SQL,
     "op4_chat_events": chat.SQL,
     "op7_exact_tree_merge": exact_dedup.SQL,
     "op9_mix_prefix_sums": mixing.SQL,
