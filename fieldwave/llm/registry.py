@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, url_rules
+from . import chat, exact_dedup, line_dedup, mixing, url_rules, warc
 
 QUERIES = {
+    "op2_warc_dictionary": warc.query,
     "op3_line_runs": line_dedup.query,
     "op4_chat_events": chat.query,
     "op7_exact_tree_merge": exact_dedup.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_mix_prefix_sums": mixing.query,
 }
 SQL = {
+    "op2_warc_dictionary": warc.SQL,
     "op3_line_runs": line_dedup.SQL,
     "op4_chat_events": chat.SQL,
     "op7_exact_tree_merge": exact_dedup.SQL,
