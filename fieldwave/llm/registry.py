@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, url_rules, warc
+from . import chat, exact_dedup, line_dedup, mixing, token_files, url_rules, warc
 
 QUERIES = {
     "op2_warc_dictionary": warc.query,
     "op3_line_runs": line_dedup.query,
     "op4_chat_events": chat.query,
+    "op6_token_dac": token_files.query,
     "op7_exact_tree_merge": exact_dedup.query,
     "op8_url_rules": url_rules.query,
     "op9_mix_prefix_sums": mixing.query,
