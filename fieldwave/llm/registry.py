@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, token_files, url_rules, warc
+from . import chat, exact_dedup, line_dedup, mixing, quality, token_files, url_rules, warc
 
 QUERIES = {
     "op2_warc_dictionary": warc.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_exact_tree_merge": exact_dedup.query,
     "op8_url_rules": url_rules.query,
     "op9_mix_prefix_sums": mixing.query,
+    "op10_quality_mil": quality.query,
 }
 SQL = {
     "op2_warc_dictionary": warc.SQL,
