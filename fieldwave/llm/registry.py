@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, quality, token_files, url_rules, warc
+from . import chat, decontaminate, exact_dedup, line_dedup, mixing, quality, token_files, url_rules, warc
 
 QUERIES = {
+    "op1_bm25_wand": decontaminate.query,
     "op2_warc_dictionary": warc.query,
     "op3_line_runs": line_dedup.query,
     "op4_chat_events": chat.query,
