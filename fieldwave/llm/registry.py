@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, line_dedup, mixing, quality, token_files, url_rules, warc
+from . import chat, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, token_files, url_rules, warc
 
 QUERIES = {
     "op1_bm25_wand": decontaminate.query,
     "op2_warc_dictionary": warc.query,
     "op3_line_runs": line_dedup.query,
     "op4_chat_events": chat.query,
+    "op5_hyperminhash": near_dedup.query,
     "op6_token_dac": token_files.query,
     "op7_exact_tree_merge": exact_dedup.query,
     "op8_url_rules": url_rules.query,
