@@ -188,6 +188,13 @@ def item_blocks(items: DataFrame, max_chars: int) -> list[list[tuple[int, str]]]
     return [[(r.item_id, r.text) for r in rows.where(F.col("block") == k).orderBy("item_id", "text").collect()] for k in range(n)]
 
 
+def _searcher(index, question: float, answer: float):
+    def leaks(texts: pd.Series) -> pd.Series:
+        return pd.Series([index.value.leaks(t, question, answer) for t in texts], dtype=object)
+
+    return F.pandas_udf(leaks, f"array<{LEAK}>")
+
+
 def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, question: float = 0.75, answer: float = 0.5, max_chars: int = 16_000_000, name: str = "leaks") -> DataFrame:
     """``docs`` with an array of the test items that each text holds.
 
@@ -206,10 +213,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, que
     for block in item_blocks(items, max_chars):
         index = spark.sparkContext.broadcast(ItemIndex(block, threshold))
 
-        def leaks(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([index.value.leaks(t, question, answer) for t in texts], dtype=object)
-
-        found = F.concat(found, F.pandas_udf(leaks, f"array<{LEAK}>")(F.col("text")))
+        found = F.concat(found, _searcher(index, question, answer)(F.col("text")))
     return docs.withColumn(name, found)
 
 
