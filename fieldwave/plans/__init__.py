@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frequencies, logger, tables
+from . import events, frequencies, logger, tables
 
-_MODULES = (logger, tables, frequencies)
+_MODULES = (logger, tables, frequencies, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
