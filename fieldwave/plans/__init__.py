@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, frequencies, logger, tables
+from . import events, frequencies, logger, tables, waveforms
 
-_MODULES = (logger, tables, frequencies, events)
+_MODULES = (logger, tables, frequencies, events, waveforms)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
