@@ -9,8 +9,9 @@ the rest is confirmed on the full sets.
 
 Only what decides components is verified.  Documents with equal sets are one
 class.  First each class meets the leading class of the bucket it shares most
-bands with; what still lies in different components of one bucket after that is
-compared pair by pair, in tiles of bounded size.
+bands with, then the one it is most similar to by estimate.  What still lies in
+different components of one bucket is compared in full, in tiles of bounded
+size that return the few links that join components, never pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ _BITS, _MANTISSA = 8, 10
 REGISTERS = 1 << _BITS
 ROWS, BANDS = 5, 51  # a pair at 0.75 shares no band with probability 1e-6
 _TILE = 512  # members of a bucket that meet in one piece of work
-_MEMO = 1_000_000  # word hashes that a worker remembers
+_MEMO = 400_000  # word hashes that a worker remembers
 _FILTER_BITS = 1 << 23  # of the filter over ids whose sets are needed: one MB
 
 
@@ -217,30 +218,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long"), "links")
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Plausible pairs within a bucket that lie in different components.
+def _in_tiles(rows: DataFrame, work, schema: str) -> DataFrame:
+    """Applies ``work`` to the tiles of every bucket.
 
-    ``members(key, rep, size, label)``.  Buckets of one component need no work.  The
-    others are cut into chunks, and every two chunks of a bucket make a tile.
+    ``rows(key, rep, size, ...)``: a bucket of ``size`` rows is cut into chunks, and every
+    two of its chunks make a tile, so no piece of work sees more than two chunks.
     """
-    split = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rows = members.join(split, "key").join(classes.select("rep", "n", "registers"), "rep")
     chunks = F.ceil(F.col("size") / _TILE).cast("int")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.select("key", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), "chunk", "rep", "label", "n", "registers")
-
-    def tile(g: pd.DataFrame) -> tuple[list, list]:
-        regs, label, n, rep = _registers(g["registers"]), g["label"].to_numpy(), g["n"].to_numpy(), g["rep"].to_numpy()
-        chunk, across = g["chunk"].to_numpy(), bool(g["ti"].iloc[0] != g["tj"].iloc[0])
-        values, counts = np.unique(label, return_counts=True)
-        main, a, b = values[counts.argmax()], [], []
-        for i in np.flatnonzero(label != main):  # pairs inside the largest component need no look
-            j = np.flatnonzero((label != label[i]) & ((label == main) | (rep > rep[i])) & ((chunk != chunk[i]) if across else True))
-            if len(j):
-                j = j[possible(estimate(regs[i], regs[j]), n[i], n[j], least)]
-                a += np.minimum(rep[i], rep[j]).tolist()
-                b += np.maximum(rep[i], rep[j]).tolist()
-        return a, b
+    rows = rows.withColumn("ti", F.least("chunk", "other")).withColumn("tj", F.greatest("chunk", "other")).drop("chunk", "other", "size")
 
     def run(batches):
         held = None
@@ -248,20 +234,122 @@ def cross_pairs(members: DataFrame, classes: DataFrame, least: float) -> DataFra
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             spot = pdf[["key", "ti", "tj"]].to_numpy()
             cuts = np.flatnonzero((spot[1:] != spot[:-1]).any(1)) + 1
-            last = cuts[-1] if len(cuts) else 0
-            a, b = [], []
             for i, j in zip([0, *cuts], cuts):
-                x, y = tile(pdf[i:j])
-                a += x
-                b += y
-            held = pdf[last:]
-            yield pd.DataFrame({"a": a, "b": b}, dtype="int64").drop_duplicates()
-        if held is not None and len(held):
-            a, b = tile(held)
-            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+                if j - i > 1:
+                    yield work(pdf[i:j])
+            held = pdf[cuts[-1] if len(cuts) else 0 :]
+        if held is not None and len(held) > 1:
+            yield work(held)
 
-    dealt = rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInPandas(run, schema)
+
+
+def split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rep, label, size) of the buckets that hold more than one component."""
+    rows = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("label"))
+    rows = written(rows, "labelled")
+    split = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return rows.join(split, "key")
+
+
+def _matches(g: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, j, estimates) for every row outside a tile's largest component: its plausible partners in other components."""
+    regs, label, n = _registers(g["registers"]), g["label"].to_numpy(), g["n"].to_numpy()
+    values, counts = np.unique(label, return_counts=True)
+    for i in np.flatnonzero(label != values[counts.argmax()]):
+        j = np.flatnonzero(label != label[i])
+        e = estimate(regs[i], regs[j])
+        ok = possible(e, n[i], n[j], least)
+        if ok.any():
+            yield i, j[ok], e[ok]
+
+
+def best_partners(buckets: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b): for each class its most similar one, by estimate, in another component of a bucket it is in."""
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        rep = g["rep"].to_numpy()
+        best = [(rep[i], rep[j[e.argmax()]], e.max()) for i, j, e in _matches(g, least)]
+        return pd.DataFrame(best, columns=["x", "y", "e"]).astype({"x": "int64", "y": "int64", "e": "float64"})
+
+    rows = buckets.join(classes.select("rep", "n", "registers"), "rep")
+    top = _in_tiles(rows, work, "x long, y long, e double").groupBy("x").agg(F.max_by("y", F.struct("e", "y")).alias("y"))
+    return top.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def remaining_links(buckets: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket, enough of them to join all that are linked.
+
+    Buckets keep the classes that have a plausible partner in another component;
+    their full sets meet in tiles, where all intersections are counted at once.
+    """
+    least = percent / 100
+
+    def hopeful(g: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(len(g), bool)
+        for i, j, _ in _matches(g, least):
+            on[i] = True
+            on[j] = True
+        return g.loc[on, ["key", "rep", "label"]]
+
+    rows = buckets.join(classes.select("rep", "n", "registers"), "rep")
+    rows = written(_in_tiles(rows, hopeful, "key long, rep long, label long").distinct(), "hopeful")
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    sets = full_sets(docs, classes, rows.select("rep").distinct())
+
+    def links(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(linked(g["rep"].to_numpy(), g["label"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["hashes"]], percent), columns=["a", "b"], dtype="int64")
+
+    return written(_in_tiles(rows.join(size, "key").join(sets, "rep"), links, "a long, b long").distinct(), "links")
+
+
+def linked(rep: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different labels, one for each two labels that they first join.
+
+    A set of which too few elements are in any other is linked with none.  For the
+    rest a block of shared elements at a time is a 0/1 matrix, whose products
+    with itself add up to the sizes of all intersections.
+    """
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = counts[place] > 1
+    able = np.flatnonzero(100 * np.bincount(owner[common], minlength=len(n)) >= percent * n)
+    values, often = np.unique(label[able], return_counts=True)
+    if len(values) < 2:
+        return []
+    row = np.full(len(n), -1)
+    row[able] = np.arange(len(able))
+    at = common & (row[owner] >= 0)
+    _, column = np.unique(place[at], return_inverse=True)
+    line, own = row[owner[at]], np.flatnonzero(label[able] != values[often.argmax()])
+    both = np.zeros((len(own), len(able)), np.float32)
+    order = np.argsort(column, kind="stable")
+    line, column = line[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        i, j = np.searchsorted(column, [a, a + 8192])
+        block = np.zeros((len(able), 8192), np.float32)
+        block[line[i:j], column[i:j] - a] = 1
+        both += block[own] @ block.T
+    size, name = n[able], label[able]
+    hit = (100 * both >= percent * (size[own][:, None] + size[None, :] - both)) & (name[own][:, None] != name[None, :])
+    parent = {v: v for v in values.tolist()}
+
+    def root(v):
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    out = []
+    for k, i in enumerate(own):
+        js = np.flatnonzero(hit[k])
+        for v, first in zip(*np.unique(name[js], return_index=True)):
+            x, y = root(int(name[i])), root(int(v))
+            if x != y:
+                parent[x] = y
+                out.append((int(rep[able[i]]), int(rep[able[js[first]]])))
+    return out
 
 
 # ---------------------------------------------------------------- the operator
@@ -285,11 +373,13 @@ def near_dedup(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     nearest = shared.groupBy("rep").agg(F.max(F.struct("n", (-F.col("lead")).alias("back"))).alias("best")).select((-F.col("best.back")).alias("a"), F.col("rep").alias("b"))
     pairs = written(plausible(nearest, classes, least), "pairs")
     links = confirmed(pairs, docs, classes, percent)
+    buckets = split_buckets(members, links.select(F.col("b").alias("node"), F.col("a").alias("label")))
+    near = written(best_partners(buckets, classes, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(confirmed(near, docs, classes, percent))
     labels = components(links)
-    labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("label"))
-    more = written(cross_pairs(written(labelled, "labelled"), classes, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        labels = components(links.union(confirmed(more, docs, classes, percent)))
+    rest = remaining_links(split_buckets(members, labels), docs, classes, percent)
+    if not rest.isEmpty():
+        labels = components(links.union(rest))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     best = rows.where("n > 0").groupBy("set_id").agg(F.min("row").alias("rep"), F.min(order).alias("best"))
     best = best.join(labels, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("label", "rep").alias("label"), "best")
