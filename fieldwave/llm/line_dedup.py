@@ -4,8 +4,9 @@ Documents come in batches.  A batch adds one run: its line hashes, sorted, each
 with the number of documents that hold it.  When a level has ``fan_in`` runs,
 they are merged into one run of the next level, and hashes that have reached
 the limit move to the run of frequent ones.  Each new batch is first
-merge-anti-joined with that run: what is known to be frequent is not counted
-again.  A last merge of all levels completes the frequent run.
+counted, hot lines within each task, and then merge-anti-joined with that run:
+what is known to be frequent is not stored again.  A last merge of all levels
+completes the frequent run.
 """
 
 from __future__ import annotations
@@ -54,9 +55,8 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Adds a batch of (doc_id, key); batches must not share documents."""
-        new = lines.join(self.frequent.select("key"), "key", "left_anti")
-        counts = new.groupBy("key").agg(F.count_distinct(F.struct("doc_id")).alias("n"))
-        self.levels[0].append(self._run(counts, "line-run"))
+        counts = lines.dropDuplicates(["key", "doc_id"]).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        self.levels[0].append(self._run(counts.join(self.frequent.select("key"), "key", "left_anti"), "line-run"))
         level = 0
         while len(self.levels[level]) >= self.fan_in:
             merged = self._merge(self.levels[level])
