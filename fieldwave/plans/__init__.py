@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, frequencies, logger, tables, waveforms
+from . import events, frequencies, kernels, logger, tables, waveforms
 
-_MODULES = (logger, tables, frequencies, events, waveforms)
+_MODULES = (logger, tables, frequencies, events, waveforms, kernels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
