@@ -218,6 +218,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long"), "links")
 
 
+def _cuts(pdf: pd.DataFrame) -> list[int]:
+    spot = pdf[["key", "ti", "tj"]].to_numpy()
+    return [0, *(np.flatnonzero((spot[1:] != spot[:-1]).any(1)) + 1)]
+
+
+def _pieces(pdf: pd.DataFrame, cuts: list[int]) -> Iterator[dict[str, np.ndarray]]:
+    """The tiles of a batch as arrays by column, cut from those of the whole batch."""
+    whole = {c: _registers(pdf[c]) if c == "registers" and len(pdf) else pdf[c].to_numpy() for c in pdf}
+    for i, j in zip(cuts, cuts[1:]):
+        if j - i > 1:
+            yield {c: v[i:j] for c, v in whole.items()}
+
+
+def _frame(made: list[tuple[np.ndarray, ...]], schema: str) -> pd.DataFrame:
+    """What tiles returned, column by column, as one frame."""
+    names = [x.split() for x in schema.split(", ")]
+    return pd.DataFrame({n: np.concatenate([np.asarray(m[k]) for m in made]).astype("float64" if t == "double" else "int64") for k, (n, t) in enumerate(names)})
+
+
 def _in_tiles(rows: DataFrame, work, schema: str) -> DataFrame:
     """Applies ``work`` to the tiles of every bucket.
 
@@ -232,14 +251,13 @@ def _in_tiles(rows: DataFrame, work, schema: str) -> DataFrame:
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            spot = pdf[["key", "ti", "tj"]].to_numpy()
-            cuts = np.flatnonzero((spot[1:] != spot[:-1]).any(1)) + 1
-            for i, j in zip([0, *cuts], cuts):
-                if j - i > 1:
-                    yield work(pdf[i:j])
-            held = pdf[cuts[-1] if len(cuts) else 0 :]
+            cuts = _cuts(pdf)
+            held = pdf[cuts[-1] :]
+            made = [work(g) for g in _pieces(pdf[: cuts[-1]], cuts)]
+            if made:
+                yield _frame(made, schema)
         if held is not None and len(held) > 1:
-            yield work(held)
+            yield _frame([work(g) for g in _pieces(held, [0, len(held)])], schema)
 
     return rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInPandas(run, schema)
 
@@ -249,12 +267,12 @@ def split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     rows = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("label"))
     rows = written(rows, "labelled")
     split = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return rows.join(split, "key")
+    return rows.join(written(split, "split"), "key")  # a table of its own, so that hot buckets of the other side can be split
 
 
-def _matches(g: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _matches(g: dict[str, np.ndarray], least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(i, j, estimates) for every row outside a tile's largest component: its plausible partners in other components."""
-    regs, label, n = _registers(g["registers"]), g["label"].to_numpy(), g["n"].to_numpy()
+    regs, label, n = g["registers"], g["label"], g["n"]
     values, counts = np.unique(label, return_counts=True)
     for i in np.flatnonzero(label != values[counts.argmax()]):
         j = np.flatnonzero(label != label[i])
@@ -267,10 +285,10 @@ def _matches(g: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray, n
 def best_partners(buckets: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """(a, b): for each class its most similar one, by estimate, in another component of a bucket it is in."""
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        rep = g["rep"].to_numpy()
+    def work(g: dict[str, np.ndarray]) -> tuple[list, ...]:
+        rep = g["rep"]
         best = [(rep[i], rep[j[e.argmax()]], e.max()) for i, j, e in _matches(g, least)]
-        return pd.DataFrame(best, columns=["x", "y", "e"]).astype({"x": "int64", "y": "int64", "e": "float64"})
+        return tuple(zip(*best)) or ([], [], [])
 
     rows = buckets.join(classes.select("rep", "n", "registers"), "rep")
     top = _in_tiles(rows, work, "x long, y long, e double").groupBy("x").agg(F.max_by("y", F.struct("e", "y")).alias("y"))
@@ -285,20 +303,20 @@ def remaining_links(buckets: DataFrame, docs: DataFrame, classes: DataFrame, per
     """
     least = percent / 100
 
-    def hopeful(g: pd.DataFrame) -> pd.DataFrame:
-        on = np.zeros(len(g), bool)
+    def hopeful(g: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        on = np.zeros(len(g["rep"]), bool)
         for i, j, _ in _matches(g, least):
             on[i] = True
             on[j] = True
-        return g.loc[on, ["key", "rep", "label"]]
+        return g["key"][on], g["rep"][on], g["label"][on]
 
     rows = buckets.join(classes.select("rep", "n", "registers"), "rep")
     rows = written(_in_tiles(rows, hopeful, "key long, rep long, label long").distinct(), "hopeful")
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     sets = full_sets(docs, classes, rows.select("rep").distinct())
 
-    def links(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(linked(g["rep"].to_numpy(), g["label"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["hashes"]], percent), columns=["a", "b"], dtype="int64")
+    def links(g: dict[str, np.ndarray]) -> tuple[list, ...]:
+        return tuple(zip(*linked(g["rep"], g["label"], [np.frombuffer(x, np.uint64) for x in g["hashes"]], percent))) or ([], [])
 
     return written(_in_tiles(rows.join(size, "key").join(sets, "rep"), links, "a long, b long").distinct(), "links")
 
@@ -383,7 +401,7 @@ def near_dedup(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     best = rows.where("n > 0").groupBy("set_id").agg(F.min("row").alias("rep"), F.min(order).alias("best"))
     best = best.join(labels, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("label", "rep").alias("label"), "best")
-    least_of = best.groupBy("label").agg(F.min("best").alias("least"))
+    least_of = written(best.groupBy("label").agg(F.min("best").alias("least")), "least")
     named = best.join(least_of, "label").select("set_id", "least")
     out = rows.select("row", "doc_id", "n", "set_id").join(named, "set_id", "left")
     return out.select(
