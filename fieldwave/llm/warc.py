@@ -81,12 +81,15 @@ def open_warc(fh):
 def train_dictionary(pages: DataFrame, *, size: int = 65_536, max_records: int = 1000, max_chars: int = 4096) -> bytes:
     """A dictionary from records of at most ``max_records`` pages (by hash of page_id).
 
-    Both bounds fix what the driver holds: ``max_records * max_chars`` characters.
+    Ids are chosen first and only their records are fetched.  Both bounds fix
+    what the driver gets: ``2 * max_records * max_chars`` characters (repeated ids).
     Only this sample is cut; records are archived whole.  Too few pages to train
     on give no dictionary (b"").
     """
-    rows = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, max_chars).alias("html"))
-    taken = rows.orderBy(F.xxhash64("page_id"), "url", "html").limit(max_records).collect()
+    ids = pages.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(max_records)
+    rows = pages.join(F.broadcast(ids.distinct()), "page_id")  # at most max_records ids
+    taken = rows.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, max_chars).alias("html")).limit(2 * max_records).collect()
+    taken.sort(key=lambda r: (r.page_id, r.url or "", r.html))
     samples = [record(r.page_id, r.url, r.html.encode()) for r in taken]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples).as_bytes()
