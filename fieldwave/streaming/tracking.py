@@ -14,19 +14,22 @@ GAP, NEAR_F, NEAR_D, SAME_F = 300.0, 1.0, 5e-5, 0.5
 
 
 # ---------------------------------------------------------------- occurrences of sources
-def track(rows: list[tuple], sources: list[list]) -> list[tuple]:
+def track(rows: list[tuple], sources: list[list], expire: bool = False) -> list[tuple]:
     """Assigns detections (t0, t1, kind, EODf, ppdist, ppampl), in time order, to sources.
 
     A source is [id, kind, EODf, ppdist, ppampl, tend]; EODf and distance are those
     of its largest detection.  The nearest source, by EODf for waves and by p-p
     distance for pulses, takes the detection if it is close enough and was seen
-    less than the gap ago; else a new one begins.  Returns (source, row index).
+    less than the gap ago; else a new one begins.  With ``expire`` only sources
+    that can still be extended are candidates, so state stays bounded; without,
+    all that were ever seen are, and an old one that is nearer hides a live one.
+    Returns (source, row index).
     """
     out = []
     for n, (t0, t1, kind, f, dist, ampl) in enumerate(rows):
         best = None
         for s in sources:
-            if s[1] != kind:
+            if s[1] != kind or expire and t0 - s[5] >= GAP:
                 continue
             d = abs(s[2] - f) if kind == "wave" else abs(s[3] - dist)
             if d <= (NEAR_F if kind == "wave" else NEAR_D) and abs(s[2] - f) <= NEAR_F and (best is None or d < best[0]):
@@ -46,9 +49,9 @@ def track(rows: list[tuple], sources: list[list]) -> list[tuple]:
 _COLS = ["t0", "t1", "kind", "EODf", "ppdist", "ppampl"]
 
 
-def _tracked(keys: Sequence[str], key: tuple, pdf: pd.DataFrame, sources: list[list]) -> pd.DataFrame:
+def _tracked(keys: Sequence[str], pdf: pd.DataFrame, sources: list[list], expire: bool) -> pd.DataFrame:
     pdf = pdf.sort_values(["t0", "EODf", "ppdist"], kind="stable").reset_index(drop=True)
-    got = track(list(pdf[_COLS].itertuples(index=False, name=None)), sources)
+    got = track(list(pdf[_COLS].itertuples(index=False, name=None)), sources, expire)
     return pdf.assign(source=[s for s, _ in got])[[*keys, "source", *_COLS]]
 
 
@@ -57,17 +60,17 @@ def _schema(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join([*(f"{k} {kinds[k]}" for k in keys), "source long, t0 double, t1 double, kind string, EODf double, ppdist double, ppampl double"])
 
 
-def track_sources(detections: DataFrame, keys: Sequence[str]) -> DataFrame:
+def track_sources(detections: DataFrame, keys: Sequence[str], expire: bool = False) -> DataFrame:
     """Detections with their source, per device and channel, in one batch."""
 
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _tracked(keys, key, pdf, [])
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _tracked(keys, pdf, [], expire)
 
     return detections.select(*keys, *_COLS).groupBy(*keys).applyInPandas(work, _schema(detections, keys))
 
 
 def stream_track_sources(detections: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same on a stream: sources older than the gap leave the state, as they can never be extended."""
+    """The same with ``expire`` on a stream: sources older than the gap leave the state."""
     state = "last long, id array<long>, kind array<string>, EODf array<double>, ppdist array<double>, ppampl array<double>, tend array<double>"
 
     def work(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -76,9 +79,9 @@ def stream_track_sources(detections: DataFrame, keys: Sequence[str]) -> DataFram
             last, *cols = held.get
             sources = [list(s) for s in zip(*cols)]
         pdf = pd.concat(list(parts), ignore_index=True)
-        if sources and sources[-1][0] != last or last >= 0 and not sources:
+        if last >= 0 and (not sources or sources[-1][0] != last):
             sources.append([last, "none", 0.0, 0.0, 0.0, -np.inf])
-        made = _tracked(keys, key, pdf, sources)
+        made = _tracked(keys, pdf, sources, True)
         last = max(s[0] for s in sources)
         now = pdf["t0"].max()
         live = [s for s in sources if s[1] != "none" and now - s[5] < GAP]
