@@ -5,10 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldwave.functions.columns import decibel
 from fieldwave.operators import clusters as C
 from fieldwave.operators import events as V
 from fieldwave.operators import harmonic_groups as H
+from fieldwave.operators import jobs as J
 from fieldwave.operators import spectra as S
+from fieldwave.operators import tables as T
 from fieldwave.operators import waveforms as A
 from fieldwave.streaming import power as P
 from fieldwave.streaming import tracking as R
@@ -178,7 +181,69 @@ def session_windows(spark, sf_dir):
     return out.select("channel", F.unix_micros("tstart").alias("tstart"), F.unix_micros("tend").alias("tend"), "n")
 
 
+def pulses(spark, sf_dir):
+    rows = J.extract_pulses(samples(spark, sf_dir), ["channel"], 1.0, 5.0, min_width=0.0, max_width=1e6, left=4, right=4)
+    return rows.select("channel", "idx", r6("height").alias("height"), r6("width").alias("width"), "label")
+
+
+def pulse_rows(spark, sf_dir):
+    events = samples(spark, sf_dir).where("channel < 50").select(F.col("channel").alias("id"), "t")
+    rows = J.analyze_pulse(waveforms(spark, sf_dir).where("id < 50").select("id", "pos", "v"), events, ["id"], 64.0)
+    return rows.select("id", "flipped", "nphases", *(r6(c).alias(c) for c in ("ppampl", "ppdist", "median", "EODf", "peakfreq", "tau")))
+
+
+def wave_rows(spark, sf_dir):
+    rows = J.analyze_wave(waveforms(spark, sf_dir).select("id", "pos", "v"), ["id"], 64.0, 2.0, 5)
+    return rows.select("id", "nphases", "maxharmonics", *(r6(c).alias(c) for c in ("ppampl", "power", "thd", "minwidth")))
+
+
+def extracted_waves(spark, sf_dir):
+    rows = J.extract_wave(_arrays(spark, sf_dir).withColumn("f", F.lit(8.0)), ["id"], 64.0, "f", 2.0, 0.5)
+    return rows.select("id", r6("EODf").alias("EODf"), r6("n").alias("n"), "skip_reason")
+
+
+def sources(spark, sf_dir):
+    limits = samples(spark, sf_dir).select("channel").distinct().select("channel", F.lit(3.0).alias("low"), F.lit(5.0).alias("high"))
+    rows = J.detect_sources(samples(spark, sf_dir), ["channel"], 1000.0, 8.0, 5.0, "wp", limits, H.GroupParams(max_freq_tol=12.0, max_freq=500.0, max_harmonics_db=5.0))
+    return rows.select("channel", "type", "index", F.round("EODf", 9).alias("EODf"), r6("strength").alias("strength"))
+
+
+def loaded(spark, sf_dir):
+    waves = waveforms(spark, sf_dir).select((F.col("label") % 3).cast("string").alias("recording"), F.col("label").alias("channel"), (F.col("id") + 5).alias("index"), (F.col("pos") / 64).alias("time"), F.col("v").alias("mean"), F.lit(0.0).alias("sem"))
+    fish = waves.select("recording", "channel", (F.col("index") - 5).alias("index")).distinct().withColumn("type", F.lit("wave"))
+    low = waves.groupBy("recording", "channel").agg((F.min("index") - 5).alias("lowest"))
+    spectra = waves.where("time < 0.1").select("recording", "channel", "index", (F.col("time") * 64 + 1).cast("int").alias("harmonics"), (F.col("time") * 640).alias("frequency"), F.when(F.col("mean") > 0, F.col("mean")).alias("datapower"))
+    eodfs = low.select("recording", "channel", F.lit(None).cast("int").alias("index"), F.lit(7.5).alias("EODf"))
+    whole, harmonics = J.load_analysis(fish, waves, spectra, eodfs, 3)
+    return harmonics.select("recording", "channel", "index", "h", r6("freq").alias("freq"), r6("power").alias("power")).join(whole.select("recording", "channel", "index", F.size("waveform").alias("n")), ["recording", "channel", "index"], "left")
+
+
+def merged(spark, sf_dir):
+    rows = _timed(spark, sf_dir).withColumn("type", F.when(F.col("id") % 2 == 0, "pulse").otherwise("wave"))
+    rows = rows.select("id", "type", (F.col("id") % 40 + 0.0).alias("EODf"), (F.col("id") % 30 * 1e-4).alias("ppdist"), F.array_max("v").alias("ppampl"), F.lit(0.01).alias("noise"), "time", "v")
+    return J.merge_fish(rows, max_rms=0.6)
+
+
+def decibels(spark, sf_dir):
+    power = F.col("v") * F.col("v")
+    return waveforms(spark, sf_dir).select("id", "pos", r6(decibel(power, 2.0, 1e-12)).alias("db"))
+
+
+def property_columns(spark, sf_dir):
+    rows = pulse_rows(spark, sf_dir).withColumn("P1ampl", F.col("ppampl")).withColumn("P2time", F.col("tau"))
+    return T.select_property_columns(rows, "pulse", ["noise", "timing", "ampl", "time"], n=2, extra=["id"])
+
+
 QUERIES = {
+    "c3_extract_pulses": pulses,
+    "c4_analyze_pulse": pulse_rows,
+    "c4_analyze_wave": wave_rows,
+    "m5_extract_wave": extracted_waves,
+    "c5_detect_sources": sources,
+    "j18_load_analysis": loaded,
+    "j21_merge_fish": merged,
+    "p2_decibel": decibels,
+    "p6_property_columns": property_columns,
     "m1_psd": psd,
     "m1_spectrogram": spectrogram,
     "m13_filtered_power": filtered_power,
@@ -210,6 +275,8 @@ QUERIES = {
     "r3_session_windows": session_windows,
 }
 SQL = {
+    "p2_decibel": """WITH w AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT id, pos::INT AS pos, round(CASE WHEN v * v < 1e-12 THEN '-inf'::DOUBLE ELSE 10 * log10(v * v / 2.0) END, 6) AS db FROM w""",
     "r1_window_power": """WITH x AS (SELECT user_id AS channel, value AS v, epoch_us(ts) // 86400000000 - k AS d FROM events, range(2) r(k))
 SELECT channel, d * 86400 AS start_s, round(stddev_pop(v), 6) AS std, count(v) AS n, stddev_pop(v) > 30 AS loud FROM x GROUP BY channel, d""",
     "r3_session_windows": """WITH g AS (SELECT user_id AS channel, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 21600000000 AS new FROM events),

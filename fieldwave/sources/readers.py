@@ -57,7 +57,8 @@ def _lines(df: DataFrame, ftype: str, sep: str) -> DataFrame:
     cells = F.transform(F.split("value", sep), lambda x: F.trim(F.regexp_replace(x, r"^#|\(.*\)$|/.*$", "")))
     rows = df.where("trim(value) <> ''").select("path", "n", cells.alias("cells"))
     heads = rows.where(F.col("cells")[0].isin(names)).groupBy("path").agg(F.min(F.struct("n", "cells")).alias("head"))
-    body = rows.join(heads, "path").where(F.col("n") > F.col("head.n")).where(F.col("cells")[0].try_cast("double").isNotNull() | F.lower(F.col("cells")[0]).isin("-", "nan", "p"))
+    unit = F.exists("cells", lambda x: x.try_cast("double").isNull() & ~F.lower(x).isin("-", "nan", "", "p"))
+    body = rows.join(heads, "path").where((F.col("n") > F.col("head.n")) & ~unit)
     byname = F.map_from_arrays(F.col("head.cells"), F.slice("cells", F.lit(1), F.size("head.cells")))
     return body.withColumn("m", byname).select("path", *(F.try_element_at("m", F.lit(n)).alias(n) for n in names))
 
