@@ -8,7 +8,7 @@ from fieldwave import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MAY_BE_EMPTY = {"j2_metadata_coverage", "p5_quality_filter", "w14_chirps", "s6_power_round_trip", "p9_filter_pulses", "j11_consistent", "a3_clip_limits", "w10_analysis_window"}
+MAY_BE_EMPTY = {"w14_chirps", "j11_consistent", "j12_closest"}  # on tables this small
 
 
 @pytest.fixture(scope="module")
@@ -32,8 +32,8 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_query(spark, con, name):
     got = plans.queries()[name](spark, SF).toPandas()
-    assert len(got) or name in MAY_BE_EMPTY
     sql = plans.oracle_sql().get(name)
+    assert len(got) or sql or name in MAY_BE_EMPTY
     if sql:
         want = con.execute(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
