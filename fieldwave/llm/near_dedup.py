@@ -32,7 +32,7 @@ _BITS, _MANTISSA = 8, 10
 REGISTERS = 1 << _BITS
 ROWS, BANDS = 5, 51  # a pair at 0.75 shares no band with probability 1e-6
 _TILE = 512  # members of a bucket that meet in one piece of work
-_MEMO = 400_000  # word hashes that a worker remembers
+_MEMO = 200_000  # word hashes that a worker remembers
 _FILTER_BITS = 1 << 23  # of the filter over ids whose sets are needed: one MB
 
 

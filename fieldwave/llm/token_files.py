@@ -114,30 +114,35 @@ class WordEncoder:
     ids are its words' ids in a row; words are cut at spaces and line feeds only,
     and the library sees all else.  A full stop or comma after a letter or digit
     is a word of its own, and words of ASCII are looked up in lower case, as the
-    vocabulary lower-cases.  At most ``most`` words are remembered.
+    vocabulary lower-cases.  About ``most`` words are remembered, in two
+    generations: words that still occur move to the younger one, the older one is
+    forgotten when the younger is full, and what was forgotten is encoded again.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
 
     def _library(self, words: list[str]) -> None:
         """Ids of words, many in one call; tokens are told apart by where their text stands."""
-        for a in range(0, len(words), 2000):
-            part = words[a : a + 2000]
+        short = [w for w in words if len(w) <= 200]
+        for a in range(0, len(short), 2000):
+            part = short[a : a + 2000]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             begins = np.cumsum([0, *(len(w) + 1 for w in part)])
-            at = np.array([x[0] for x in e.offsets], np.int64)
-            cuts = np.searchsorted(at, begins)
+            cuts = np.searchsorted(np.array([x[0] for x in e.offsets], np.int64), begins)
             ids = np.array(e.ids, self.kind)
             for w, i, j in zip(part, cuts, cuts[1:]):
-                self.cores[w] = ids[i:j].tobytes()
+                self.words[w] = ids[i:j].tobytes()
+        for w in words:
+            if len(w) > 200:
+                self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
 
     @staticmethod
     def _split(word: str) -> tuple[str, str]:
@@ -145,31 +150,32 @@ class WordEncoder:
         core = word[:-1] if tail else word
         return (core.lower() if core.isascii() else core), tail
 
+    def _unknown(self, words: set[str]) -> list[str]:
+        """Those of ``words`` that are not remembered; the others are in the younger generation afterwards."""
+        out, old = [], self.old
+        for w in words.difference(self.words):
+            ids = old.get(w)
+            if ids is None:
+                out.append(w)
+            else:
+                self.words[w] = ids
+        return out
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned integers of ``kind``."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > self.most:
-            self.words.clear()
-            self.cores.clear()
-        new = set().union(*split).difference(self.words)
-        new.discard("")
-        pairs = {w: self._split(w) for w in new}
-        cores = {",", "."}.union(c for c, _ in pairs.values()).difference(self.cores)
-        self._library(sorted(c for c in cores if len(c) <= 200))
-        for c in cores:
-            if len(c) > 200:
-                self.cores[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind).tobytes()
-        for w, (core, tail) in pairs.items():
-            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+        if len(self.words) > self.most // 2:
+            self.old, self.words = self.words, {}
         self.words[""] = b""
-        known = self.words.__getitem__
-        out = [b"".join(map(known, words)) for words in split]
-        for c in cores:
-            if len(c) > 200:
-                del self.cores[c]
-        for w in new:
+        parts = [(w, *self._split(w)) for w in self._unknown(set().union(*split))]
+        self._library(sorted(self._unknown({",", "."}.union(c for _, c, _ in parts))))
+        for w, core, tail in parts:
+            self.words[w] = self.words[core] + self.words[tail] if tail else self.words[core]
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for w, core, _ in parts:
             if len(w) > 200:
-                del self.words[w]
+                self.words.pop(w, None)
+                self.words.pop(core, None)
         return out
 
 
@@ -184,7 +190,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 # ---------------------------------------------------------------- the operator
-def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_tokens: int = 4_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_tokens: int = 2_000_000) -> DataFrame:
     """Tokenizes ``docs(doc_id, text)`` into files; returns their manifest with ``base``, the tokens in all earlier files.
 
     Documents are range-partitioned by doc_id (null first; repeated rows all
