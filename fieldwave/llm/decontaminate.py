@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, small_batches, use_table
 
 _K1, _B = 1.2, 0.75
 _BLOCK = 64  # postings that one block maximum covers
@@ -190,6 +190,7 @@ def item_blocks(items: DataFrame, max_chars: int) -> list[list[tuple[int, str]]]
 
 def _searcher(index, question: float, answer: float):
     def leaks(texts: pd.Series) -> pd.Series:
+        use_table("")
         return pd.Series([index.value.leaks(t, question, answer) for t in texts], dtype=object)
 
     return F.pandas_udf(leaks, f"array<{LEAK}>")
@@ -209,6 +210,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, que
     Large test sets are indexed in blocks, each queried by all passages in turn.
     """
     spark, docs = docs.sparkSession, docs.drop(name)
+    small_batches(spark)
     found = F.array().cast(f"array<{LEAK}>")
     for block in item_blocks(items, max_chars):
         index = spark.sparkContext.broadcast(ItemIndex(block, threshold))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import fresh, written
+from .shared import fresh, small_batches, use_table, written
 
 _N = 5  # words in a shingle
 _BITS, _MANTISSA = 8, 10
@@ -130,6 +130,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]):
+        use_table("shingles", _memo.clear)
         for pdf in batches:
             n, ids, regs = [], [], []
             for text in pdf["text"]:
@@ -186,6 +187,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        use_table("shingles", _memo.clear)
         have = np.unpackbits(mask.value).astype(bool)
         for pdf in batches:
             pdf = pdf[have[((pdf["part"] - 1) * (1 << 15) + pdf["bit"]).to_numpy()]]
@@ -381,6 +383,7 @@ def near_dedup(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     largest.  An empty table stays empty; extra columns are not read.
     """
     least = percent / 100
+    small_batches(docs.sparkSession)
     rows = sketches(docs)
     first = rows.where("n > 0").groupBy("set_id").agg(F.min("row").alias("rep"))
     classes = written(rows.join(first.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "doc_id", "n", "set_id", "registers"), "classes")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import small_batches, use_table
 
 _PASSAGE = 512  # bytes, up to the next space
 _GROUPS = [b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b"!", b"?", b";:", b"'\"", b"()[]{}", b"-_", b"#", b"$", b"%", b"&", b"*", b"@", b"/\\", b"|", b"<>=+~^`"]
@@ -179,10 +179,12 @@ def score_documents(docs: DataFrame, model: AttentionMil, *, name: str = "score"
     ties and repeats score alike.
     """
     docs = docs.drop(name)
+    small_batches(docs.sparkSession)
     text, score = fresh(docs, "scored_text", "scored_value")
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        use_table("")
         for part in parts:
             out = []
             texts, size = [], 0

@@ -68,3 +68,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+_emptying: dict[str, object] = {}
+
+
+def use_table(name: str, empty=None) -> None:
+    """Called by a task: a Python worker keeps the word table of one operator at a time, those of others are emptied."""
+    for other, clear in _emptying.items():
+        if other != name:
+            clear()
+    if empty is not None:
+        _emptying[name] = empty
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in what tasks hand to Python at once, as texts can be long; a session with a size of its own keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

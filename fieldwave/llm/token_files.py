@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import filesystem, partitions, shared_dir
+from .shared import filesystem, partitions, shared_dir, small_batches, use_table
 
 MAGIC = b"DAC1"
 _BLOCK = 512  # bits that one entry of a rank directory covers
@@ -119,7 +119,7 @@ class WordEncoder:
     forgotten when the younger is full, and what was forgotten is encoded again.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -200,9 +200,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_token
     table has no files; extra columns are not read.
     """
     spark, target = docs.sparkSession, shared_dir(docs.sparkSession, "tokens")
+    small_batches(spark)
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
+        use_table("tokens", _encoders.clear)
         task, enc = TaskContext.get(), encoder(tokenizer)
         fs, root = filesystem(target)
         fs.create_dir(root, recursive=True)
