@@ -180,7 +180,6 @@ def score_documents(docs: DataFrame, model: AttentionMil, *, name: str = "score"
     """
     docs = docs.drop(name)
     small_batches(docs.sparkSession)
-    text, score = fresh(docs, "scored_text", "scored_value")
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
