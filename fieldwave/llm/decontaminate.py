@@ -4,7 +4,7 @@ The index holds the test items, the smaller side; training passages are the
 queries, so texts are read once and never shuffled.  Item scores are divided by
 the item's score for itself, so one threshold serves all items.  Retrieval is
 block-max WAND and returns every item above the threshold; hits are then
-verified on five-word shingles of question and answer.
+verified on five-word shingles of question and answer, or of the whole item.
 """
 
 from __future__ import annotations
@@ -158,7 +158,12 @@ class ItemIndex:
             cursors = [c for c in cursors if c[2] >= 0]
         return found
 
-    def leaks(self, text: str | None, question: float, answer: float) -> list[dict]:
+    def holds(self, item: int, near: set[tuple[bytes, ...]], whole: float) -> bool:
+        """Whether ``near`` has that share of an item's shingles, those across its cut too."""
+        s = shingles(sum(self.parts[item], []))
+        return len(s & near) >= whole * len(s)
+
+    def leaks(self, text: str | None, question: float, answer: float, whole: float) -> list[dict]:
         """Verified leaks of a text, one per item, ordered by item."""
         if not self.units:
             return []
@@ -172,7 +177,7 @@ class ItemIndex:
                 near = shingles(words[max(0, start - size) : end + size])
                 q, a = self.sets[item]
                 of_q, of_a = (len(s & near) / len(s) if s else 1.0 for s in (q, a))
-                if of_q >= question and of_a >= answer:
+                if of_q >= question and of_a >= answer or self.holds(item, near, whole):
                     got = {"item_id": self.items[item][0], "bm25": score, "question_overlap": of_q, "answer_overlap": of_a}
                     if item not in best or (of_q + of_a, score) > (best[item]["question_overlap"] + best[item]["answer_overlap"], best[item]["bm25"]):
                         best[item] = got
@@ -188,20 +193,21 @@ def item_blocks(items: DataFrame, max_chars: int) -> list[list[tuple[int, str]]]
     return [[(r.item_id, r.text) for r in rows.where(F.col("block") == k).orderBy("item_id", "text").collect()] for k in range(n)]
 
 
-def _searcher(index, question: float, answer: float):
+def _searcher(index, question: float, answer: float, whole: float):
     def leaks(texts: pd.Series) -> pd.Series:
         use_table("")
-        return pd.Series([index.value.leaks(t, question, answer) for t in texts], dtype=object)
+        return pd.Series([index.value.leaks(t, question, answer, whole) for t in texts], dtype=object)
 
     return F.pandas_udf(leaks, f"array<{LEAK}>")
 
 
-def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, question: float = 0.75, answer: float = 0.5, max_chars: int = 16_000_000, name: str = "leaks") -> DataFrame:
+def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, question: float = 0.75, answer: float = 0.5, whole: float = 0.75, max_chars: int = 16_000_000, name: str = "leaks") -> DataFrame:
     """``docs`` with an array of the test items that each text holds.
 
     A leak is an item whose BM25 share in some passage is at least ``threshold``
     and of whose five-word shingles at least ``question`` of the question's and
-    ``answer`` of the answer's stand around that passage.  Items of fewer than
+    ``answer`` of the answer's stand around that passage, or at least ``whole``
+    of the whole item's, wherever its words were changed.  Items of fewer than
     five words cannot be verified and are never leaks; null or empty texts hold
     none; items with the same id are told apart by text; rows are independent;
     an empty table on either side gives empty arrays or no rows.  A column called
@@ -215,7 +221,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, que
     for block in item_blocks(items, max_chars):
         index = spark.sparkContext.broadcast(ItemIndex(block, threshold))
 
-        found = F.concat(found, _searcher(index, question, answer)(F.col("text")))
+        found = F.concat(found, _searcher(index, question, answer, whole)(F.col("text")))
     return docs.withColumn(name, found)
 
 

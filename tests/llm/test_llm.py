@@ -108,6 +108,34 @@ def test_decontamination_by_brute_force(spark):
     assert want and {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_near_copies_with_an_edited_answer_are_leaks(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items.append((-1, "seven short words make this whole item"))
+    inside = lambda s, near: sum(x in near for x in s) / len(s)
+    filler, rows, want, lost = " ".join(f"plain{i}" for i in range(80)), [], set(), 0
+    for i, t in items:
+        q, a = decontaminate.split_item(t)
+        if len(q + a) < 5:
+            continue
+        s, of_q, of_a = map(decontaminate.shingles, (q + a, q, a))
+        for k in range(len(a)):
+            words = [w.decode() for w in q + a[:k] + [b"changed"] + a[k + 1 :]]
+            rows.append((len(rows), f"{filler} {' '.join(words)} {filler}", "a"))
+            near = decontaminate.shingles(decontaminate.words_of(rows[-1][1]))
+            two = bool(of_q) and inside(of_q, near) >= 0.75 and inside(of_a, near) >= 0.5
+            if two or inside(s, near) >= 0.75:
+                want.add((rows[-1][0], i))
+                lost += not two
+    rows.append((len(rows), f"{filler} {items[-1][1]} {filler}", "a"))
+    want.add((rows[-1][0], -1))
+    made = decontaminate.leak_pairs(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in made.collect()}
+    assert lost and want <= got
+    near = {r[0]: decontaminate.shingles(decontaminate.words_of(r[1])) for r in rows}
+    parts = {i: [decontaminate.shingles(p) for p in (sum(decontaminate.split_item(t), []), *decontaminate.split_item(t))] for i, t in items}
+    assert all(inside(parts[i][0], near[d]) >= 0.75 or inside(parts[i][1], near[d]) >= 0.75 and inside(parts[i][2], near[d]) >= 0.5 for d, i in got - want)
+
+
 # ---------------------------------------------------------------- 2 WARC
 def test_warc_round_trip(spark):
     body = "<p>" + "same words " * 200
