@@ -3,17 +3,20 @@
 FP-growth finds token combinations that labelled pages share; combinations with
 enough support and confidence for the label become rules.  A rule stands in the
 index under its rarest token; a url meets only the rules of its own tokens, and
-each is confirmed on the whole token set.  Given host and path rules come first:
+each is confirmed on the whole token set.  All rules are kept, as a table; only
+those that fit no further url are left out.  Given host and path rules come first:
 where one fits, its verdict holds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, fresh
+from .shared import ascii_lower, fresh, written
 
 #: (verdict, host, path prefix): fixed values.
 RULES = (
@@ -44,7 +47,7 @@ def given_rule(rules=RULES) -> Column:
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct tokens: scheme, host suffixes of one and two names, path parts, query names and pairs."""
+    """Distinct tokens: scheme, every host suffix, each host name before the last, path parts, query names and pairs."""
     url = F.coalesce(url, F.lit(""))
     names = F.split(host(url), r"\.", -1)
     tail = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
@@ -52,7 +55,8 @@ def url_tokens(url: Column) -> Column:
     tag = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
     all_of = F.concat(
         tag("scheme=", F.array(F.regexp_extract(url, r"(?s)^(.*?)://", 1))),
-        tag("host=", F.array(F.array_join(F.slice(F.reverse(names), 1, 1), "."), F.array_join(F.reverse(F.slice(F.reverse(names), 1, 2)), "."))),
+        tag("host=", F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, k, F.size(names)), "."))),
+        tag("part=", F.slice(names, 1, F.size(names) - 1)),
         tag("path=", F.split(path(url), "/", -1)),
         tag("query=", pairs),
         tag("name=", F.transform(pairs, lambda x: F.split(x, "=", 2)[0])),
@@ -60,32 +64,45 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(all_of, lambda t: ~F.endswith(t, F.lit("="))))
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.6, max_rules: int = 5000) -> DataFrame:
+def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.6) -> DataFrame:
     """Rules (antecedent, confidence, support, anchor) from ``labelled(tokens, block)``.
 
     A combination must hold in ``min_count`` pages and ``min_support`` of all.
     Rules that add tokens to a kept one are left out: they fit no further url.
-    ``max_rules`` bounds what the model keeps, best confidence and support first.
+    So tokens that are rules alone are left out of the combinations, and of
+    tokens that stand on the same pages one is mined for all; each has its rule.
     """
     spark = labelled.sparkSession
-    baskets = labelled.select(F.when(F.col("block"), F.array_append("tokens", F.lit(_LABEL))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
     empty = spark.createDataFrame([], "antecedent array<string>, confidence double, support double, anchor string")
-    n = baskets.count()
+    rows = written(labelled.select(F.array_distinct("tokens").alias("tokens"), F.coalesce("block", F.lit(False)).alias("block")).where(F.col("block") | (F.size("tokens") > 0)), "labelled")
+    n = rows.count()
     if n < min_count:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _LABEL)).select("antecedent", "confidence", "support")
-    rules = rules.orderBy(F.desc("confidence"), F.desc("support"), F.array_sort("antecedent")).limit(max_rules).cache()
-    if rules.isEmpty():
-        rules.unpersist()
-        return empty
-    wider = rules.alias("a").join(rules.alias("b"), F.expr("size(b.antecedent) < size(a.antecedent) and size(array_except(b.antecedent, a.antecedent)) = 0"), "left_anti")
-    counts = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    single = wider.withColumn("token", F.explode("antecedent")).join(counts, "token")
-    out = single.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
-    out = spark.createDataFrame(out.collect(), out.schema)  # at most max_rules rows
-    rules.unpersist()
-    return out
+    least = max(min_count, math.ceil(min_support * n))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    spread = rows.select("row", "block", F.xxhash64("tokens").cast("decimal(20,0)").alias("h1"), F.hash("tokens").cast("decimal(20,0)").alias("h2"), F.explode("tokens").alias("token"))
+    counts = spread.groupBy("token").agg(F.count("*").alias("freq"), F.count_if("block").alias("hits"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where(F.col("hits") >= least)
+    counts = written(counts.withColumn("confidence", F.col("hits") / F.col("freq")), "tokens")
+    single = counts.where(F.col("confidence") >= min_confidence).select(F.array("token").alias("antecedent"), "confidence", (F.col("hits") / n).alias("support"), F.col("token").alias("anchor"))
+
+    alike = counts.where(F.col("confidence") < min_confidence).groupBy("freq", "hits", "h1", "h2").agg(F.min("token").alias("token"), F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("members"))
+    alike = written(alike.select("token", "freq", "members"), "alike")
+    baskets = spread.join(alike, "token").groupBy("row").agg(F.collect_list("token").alias("items"), F.first("block").alias("block"))
+    baskets = written(baskets.select(F.when(F.col("block"), F.array_append("items", F.lit(_LABEL))).otherwise(F.col("items")).alias("items")), "baskets")
+    m = baskets.count()
+    if m < least:
+        return written(single, "rules")
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / m, minConfidence=min_confidence).fit(baskets)
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _LABEL))
+    parts = found.select("antecedent", "confidence", (F.col("support") * m / n).alias("support"), F.explode("antecedent").alias("token")).join(alike, "token")
+    rules = parts.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"), F.collect_list("members").alias("members"))
+    rules = written(rules, "combinations")
+    met = rules.select("antecedent", F.explode("antecedent").alias("anchor")).join(rules.select("anchor", F.col("antecedent").alias("less")), "anchor")
+    wider = met.where((F.size("less") < F.size("antecedent")) & (F.size(F.array_except("less", "antecedent")) == 0)).select("antecedent").distinct()
+    each = F.aggregate("members", F.array(F.array().cast("array<struct<freq:bigint,token:string>>")), lambda done, more: F.flatten(F.transform(done, lambda x: F.transform(more, lambda y: F.array_append(x, y)))))
+    combined = rules.join(wider, "antecedent", "left_anti").select("confidence", "support", F.explode(each).alias("each"))
+    combined = combined.select(F.transform("each", lambda x: x["token"]).alias("antecedent"), "confidence", "support", F.array_min("each")["token"].alias("anchor"))
+    return written(single.unionByName(combined), "rules")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -379,6 +379,32 @@ def test_rules_are_mined_and_matched(spark):
     assert got[900] == "block" and got[901] == "allow"
 
 
+def test_bad_hosts_are_named_by_rules(spark):
+    rows, bad = [], set()
+    for i in range(400):
+        name = ("casino-win", "www.free-bets", "news", "m.blog")[i % 4]
+        rows.append((i, f"http://{name}.example.com/en/{i}"))
+        bad |= {i} if i % 4 < 2 else set()
+    for i in range(400, 500):
+        rows.append((i, f"http://{'pills' if i % 2 else 'garden'}.co.uk/{i}"))
+        bad |= {i} if i % 2 else set()
+    new = ["http://m.casino-win.example.com/x", "http://free-bets.example.com/x", "http://a.pills.co.uk/", "http://news.example.com/x", "http://garden.co.uk/x"]
+    pages = spark.createDataFrame([*rows, *((900 + k, u) for k, u in enumerate(new))], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i in bad else 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.url_filter(pages, labels, rules=()).collect()}
+    assert all(got[i] == ("block" if i in bad else "allow") for i in range(500))
+    assert [got[900 + k] for k in range(5)] == ["block", "block", "block", "allow", "allow"]
+
+
+def test_rules_are_not_pushed_out_by_wider_ones(spark):
+    deep = "/".join(f"p{k}" for k in range(13))
+    rows = [(i, f"http://a{i}/{deep}/{i}", True) for i in range(30)] + [(100 + i, f"http://b{i}/low/{i}", i % 10 < 7) for i in range(100)] + [(300 + i, f"http://c{i}/x/y/{i}" if i < 40 else f"http://c{i}/{'xy'[i % 2]}/{i}", i < 40) for i in range(140)]
+    tokens = spark.createDataFrame(rows, "i long, url string, block boolean").select(url_rules.url_tokens(F.col("url")).alias("tokens"), "block")
+    rules = {tuple(sorted(r.antecedent)): (round(r.confidence, 6), r.anchor) for r in url_rules.mine_rules(tokens).collect()}
+    want = {(f"path=p{k}",): (1.0, f"path=p{k}") for k in range(13)} | {("path=low",): (0.7, "path=low"), ("path=x", "path=y"): (1.0, "path=x")}
+    assert rules == want
+
+
 # ---------------------------------------------------------------- 9 mixing
 def test_mixing_targets_and_budgets(spark, odd, none):
     got = rows_of(mixing.mix_sources(odd))
