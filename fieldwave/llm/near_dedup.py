@@ -176,7 +176,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame
     hashed and shuffled; it is exact after the join, however full it gets.
     """
     wanted = written(reps.join(classes.select("rep", "doc_id", "set_id"), "rep"), "wanted")
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)) + 1  # bucket numbers begin at 1 for values from 1 on
     parts = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
     bits = np.zeros(_FILTER_BITS + (1 << 16), bool)
     for p in parts:

@@ -268,6 +268,15 @@ def test_near_dedup_by_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id not in (2, None))
 
 
+def test_full_sets_of_an_id_at_the_filter_s_first_spot(spark):
+    words = [f"z{i}" for i in range(200)]
+    rows = [(25317696, " ".join(words)), (25317697, " ".join([*words[:-1], "end"])), (3, "some text that is like no other one")]
+    docs = docs_of(spark, [(i, t, "a") for i, t in rows])
+    assert docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(near_dedup._FILTER_BITS))).first()[0] == 0
+    got = near_dedup.near_dedup(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (25317696, 25317696), (25317697, 25317696)]
+
+
 def test_near_dedup_edges(spark, none, odd):
     assert near_dedup.near_dedup(none).count() == 0
     got = near_dedup.near_dedup(odd)
