@@ -114,7 +114,8 @@ class WordEncoder:
     ids are its words' ids in a row; words are cut at spaces and line feeds only,
     and the library sees all else.  A full stop or comma after a letter or digit
     is a word of its own, and words of ASCII are looked up in lower case, as the
-    vocabulary lower-cases.  About ``most`` words are remembered, in two
+    vocabulary lower-cases, unless that would make an added token, as these are
+    matched with case.  About ``most`` words are remembered, in two
     generations: words that still occur move to the younger one, the older one is
     forgotten when the younger is full, and what was forgotten is encoded again.
     """
@@ -124,6 +125,7 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
@@ -144,11 +146,11 @@ class WordEncoder:
             if len(w) > 200:
                 self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
 
-    @staticmethod
-    def _split(word: str) -> tuple[str, str]:
+    def _split(self, word: str) -> tuple[str, str]:
         tail = word[-1:] if word[-1:] in (",", ".") and len(word) > 1 and word[-2].isalnum() else ""
         core = word[:-1] if tail else word
-        return (core.lower() if core.isascii() else core), tail
+        low = core.lower() if core.isascii() else core
+        return (core if any(t in low for t in self.added) else low), tail
 
     def _unknown(self, words: set[str]) -> list[str]:
         """Those of ``words`` that are not remembered; the others are in the younger generation afterwards."""

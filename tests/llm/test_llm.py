@@ -331,6 +331,17 @@ def test_words_encode_as_whole_texts_do(spark):
             assert np.frombuffer(raw, enc.kind).tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_added_tokens_are_matched_with_case():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, enc = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    texts = ["a <|EndOfText|> b", "<|STARTOFTEXT|>", "x<|EndOfText|>Y, <|endoftext|> Z<|endoftext|>Q.", "Plain WORDS stay"]
+    for text, raw in zip(texts, enc.batch(texts)):
+        assert np.frombuffer(raw, enc.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files_by_brute_force(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
