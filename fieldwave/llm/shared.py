@@ -49,6 +49,16 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def settle(fs, temp: str, final: str) -> None:
+    """Gives a whole file its final name; where another attempt has left its copy, which has the same bytes, that one stays."""
+    try:
+        fs.move(temp, final)
+    except OSError:
+        if not fs.get_file_info([final])[0].is_file:
+            raise
+        fs.delete_file(temp)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else untouched."""
     return F.translate(c, UPPER, LOWER)

@@ -13,7 +13,9 @@ are numbered in ascending doc_id order and bounded in size.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import filesystem, partitions, shared_dir, small_batches, use_table
+from .shared import filesystem, partitions, settle, shared_dir, small_batches, use_table
 
 MAGIC = b"DAC1"
 _BLOCK = 512  # bits that one entry of a rank directory covers
@@ -107,31 +109,71 @@ def pack_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) ->
 
 
 # ---------------------------------------------------------------- tokenizing
+#: The normalizer and the split of vocabularies that drop white space and never join across it: fixed values.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # ASCII punctuation that may end a word; no apostrophe, and nothing that added tokens begin or end with
+_ODD = re.compile("[^\x00-\u012f\u0131-\u024f]")  # all but Latin letters that are lower-cased alike everywhere and need no composing
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a text's ids are its words' ids in a row."""
+    kind = json.loads(tokenizer.to_str())
+    split = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+    before = (kind["pre_tokenizer"] or {}).get("pretokenizers", [])
+    plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].isascii() and " " not in t["content"] and "\n" not in t["content"] for t in kind["added_tokens"])
+    return bool(plain and (kind["normalizer"] or {}).get("normalizers") == _NORMALIZERS and before[:1] == [split] and len(before) == 2 and before[1]["type"] == "ByteLevel" and not before[1]["use_regex"] and kind["model"].get("end_of_word_suffix"))
+
+
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, each different word once.
 
-    For vocabularies that drop white space and never join across it, a text's
-    ids are its words' ids in a row; words are cut at spaces and line feeds only,
-    and the library sees all else.  A full stop or comma after a letter or digit
-    is a word of its own, and words of ASCII are looked up in lower case, as the
-    vocabulary lower-cases, unless that would make an added token, as these are
-    matched with case.  About ``most`` words are remembered, in two
+    Where a vocabulary drops white space and never joins across it (``by_words``),
+    a text's ids are its words' ids in a row; words are cut at spaces and line
+    feeds only, and the library sees all else.  Texts are looked up in lower case,
+    as the vocabulary lower-cases, unless that would make an added token, as these
+    are matched with case.  New words of letters alone reach the library many at
+    once, without its normalizer and pattern, which would leave them as they are;
+    their ids are told apart by the token that ends a word.  All other new words
+    go through the whole of it.  Other vocabularies get whole texts.
+
+    About ``most`` words of at most 200 characters are remembered, in two
     generations: words that still occur move to the younger one, the older one is
     forgotten when the younger is full, and what was forgotten is encoded again.
     """
 
     def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
-
-    def _library(self, words: list[str]) -> None:
+        self.by_words = by_words(self.tokenizer)
+        if self.by_words:
+            self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+            self.letters = Tokenizer.from_file(path)
+            self.letters.normalizer = normalizers.Sequence([])
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+
+    def _encode_letters(self, words: list[str]) -> None:
+        """Ids of words of letters alone, lower-cased: each ends with the token that ends a word."""
+        blocks = [words[a : a + 2000] for a in range(0, len(words), 2000)]
+        for part, e in zip(blocks, self.letters.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            ends, raw = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist(), ids.tobytes()
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary does not end its words")
+            start = 0
+            for w, end in zip(part, ends):
+                self.words[w] = raw[start:end]
+                start = end
+
+    def _encode_any(self, words: list[str]) -> None:
         """Ids of words, many in one call; tokens are told apart by where their text stands."""
         short = [w for w in words if len(w) <= 200]
         for a in range(0, len(short), 2000):
@@ -146,12 +188,6 @@ class WordEncoder:
             if len(w) > 200:
                 self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _split(self, word: str) -> tuple[str, str]:
-        tail = word[-1:] if word[-1:] in (",", ".") and len(word) > 1 and word[-2].isalnum() else ""
-        core = word[:-1] if tail else word
-        low = core.lower() if core.isascii() else core
-        return (core if any(t in low for t in self.added) else low), tail
-
     def _unknown(self, words: set[str]) -> list[str]:
         """Those of ``words`` that are not remembered; the others are in the younger generation afterwards."""
         out, old = [], self.old
@@ -163,21 +199,40 @@ class WordEncoder:
                 self.words[w] = ids
         return out
 
+    def _cut(self, text: str | None) -> list[str]:
+        text = text or ""
+        if not _ODD.search(text):
+            low = text.lower()
+            if not any(t in low for t in self.added):
+                text = low
+        return text.replace("\n", " ").split(" ")
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned integers of ``kind``."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if not self.by_words:
+            made = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, self.kind).tobytes() for e in made]
+        split = [self._cut(t) for t in texts]
         if len(self.words) > self.most // 2:
             self.old, self.words = self.words, {}
         self.words[""] = b""
-        parts = [(w, *self._split(w)) for w in self._unknown(set().union(*split))]
-        self._library(sorted(self._unknown({",", "."}.union(c for _, c, _ in parts))))
+        parts, other, long = [], [], []
+        for w in self._unknown(set().union(*split)):
+            core = w.rstrip(_TAIL)
+            if len(w) > 200:
+                long += [w, core.lower(), w[len(core) :]]
+            if core.isalpha() and (core.isascii() or not _ODD.search(core)):
+                parts.append((w, core.lower(), w[len(core) :]))
+            else:
+                other.append(w)
+        self._encode_letters(self._unknown({c for _, c, _ in parts}))
+        self._encode_any([*other, *self._unknown({t for _, _, t in parts})])
         for w, core, tail in parts:
-            self.words[w] = self.words[core] + self.words[tail] if tail else self.words[core]
+            if tail or core is not w:
+                self.words[w] = self.words[core] + self.words[tail]
         out = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for w, core, _ in parts:
-            if len(w) > 200:
-                self.words.pop(w, None)
-                self.words.pop(core, None)
+        for w in long:
+            self.words.pop(w, None)
         return out
 
 
@@ -192,18 +247,23 @@ def encoder(path: str) -> WordEncoder:
 
 
 # ---------------------------------------------------------------- the operator
-def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_tokens: int = 2_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_tokens: int = 8_000_000) -> DataFrame:
     """Tokenizes ``docs(doc_id, text)`` into files; returns their manifest with ``base``, the tokens in all earlier files.
 
     Documents are range-partitioned by doc_id (null first; repeated rows all
-    stand, ordered by text); a task fills files of about ``file_tokens`` tokens.  A file
-    is written under its attempt's name and renamed when whole, so lost tasks
-    are simply run again.  Null text is empty and has the end id only; an empty
-    table has no files; extra columns are not read.
+    stand, ordered by the first 64 characters of their text, then a hash of it, so
+    that a null or repeated id is spread over ranges too); a task fills files of
+    about ``file_tokens`` tokens.  A document is never cut, so a file holds at
+    least one, however long.  A file is written under its attempt's name and
+    renamed when whole, so lost tasks are simply run again.  Null text is empty
+    and has the end id only; an empty table has no files; extra columns are not
+    read.
     """
     spark, target = docs.sparkSession, shared_dir(docs.sparkSession, "tokens")
     small_batches(spark)
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "head", "tie", "row"]
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.substring("text", 1, 64).alias("head"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string"), "text")  # ids reach pandas as text, whole
 
     def write(batches):
         use_table("tokens", _encoders.clear)
@@ -219,17 +279,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_token
             temp = f"{root}/.{name}.{task.taskAttemptId()}"
             with fs.open_output_stream(temp, compression=None) as fh:
                 fh.write(pack_file(ids, lengths, np.frombuffer(b"".join(held), enc.kind)))
-            fs.move(temp, f"{root}/{name}")
+            settle(fs, temp, f"{root}/{name}")
             made.append((f"{target}/{name}", task.partitionId(), number, len(ids), total))
             number, total = number + 1, 0
             for x in (ids, lengths, held):
                 x.clear()
 
         for pdf in batches:
-            rows = pdf["doc_id"].astype("Int64")
             for a in range(0, len(pdf), 256):
-                for doc_id, raw in zip(rows[a : a + 256], enc.batch(pdf["text"][a : a + 256].tolist())):
-                    ids.append(None if doc_id is pd.NA else int(doc_id))
+                for doc_id, raw in zip(pdf["doc_id"][a : a + 256], enc.batch(pdf["text"][a : a + 256].tolist())):
+                    ids.append(None if doc_id is None else int(doc_id))
                     held += [raw, end]
                     lengths.append(len(raw) // enc.kind.itemsize + 1)
                     total += lengths[-1]
@@ -242,8 +301,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_token
     manifest = shared_dir(spark, "token-manifest")
     ranged.mapInPandas(write, _MANIFEST).write.parquet(manifest)
     files = spark.read.schema(_MANIFEST).parquet(manifest)
-    earlier = W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1)  # one row per file
-    return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(W.orderBy("part")).alias("ahead"))  # one row per task that wrote
+    return files.join(F.broadcast(parts), "part").withColumn("base", F.col("ahead") + before(W.partitionBy("part").orderBy("number"))).drop("ahead")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
