@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filesystem, shared_dir
+from .shared import filesystem, settle, shared_dir
 
 #: Skippable frame that holds a dictionary (WARC Zstandard format): a fixed value.
 DICT_FRAME = 0x184D2A5D
@@ -97,16 +97,24 @@ def train_dictionary(pages: DataFrame, *, size: int = 65_536, max_records: int =
         return b""
 
 
+def payload_key(html: Column, min_bytes: int) -> Column:
+    """What equal, long payloads share: SHA-256 and length; null for payloads under ``min_bytes``."""
+    body = F.encode(F.coalesce(html, F.lit("")), "UTF-8")
+    n = F.octet_length(body)
+    return F.when(n >= min_bytes, F.struct(F.unhex(F.sha2(body, 256)).alias("sha"), n.alias("n")))
+
+
 def revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """(revisit_id, refers_to) of the pages whose payload another page's record holds.
+    """(revisit_id, payload, refers_to): of pages whose payload the record of a larger page_id holds.
 
-    Payloads are compared by SHA-256 and length; the largest page_id of a group
-    holds the payload.  Only digests are shuffled; a hot payload is one row per task.
+    Only digests are shuffled; a hot payload is one row per task.  Null ids count
+    as smallest, and can't be referred to.
     """
-    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keys = pages.select("page_id", F.octet_length(body).alias("n"), F.unhex(F.sha2(body, 256)).alias("sha")).where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull())
-    best = keys.groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
-    return keys.join(best, ["sha", "n"]).where("page_id < refers_to").select(F.col("page_id").alias("revisit_id"), "refers_to").distinct()
+    keys = pages.select("page_id", payload_key(F.col("html"), min_bytes).alias("payload")).where("payload is not null")
+    best = keys.groupBy("payload").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"), F.count_if(F.col("page_id").isNull()).alias("nameless"))
+    best = best.where("least < refers_to or nameless > 0 and refers_to is not null").drop("least", "nameless")
+    met = keys.distinct().join(best, "payload").where("page_id is null or page_id < refers_to")
+    return met.select(F.col("page_id").alias("revisit_id"), F.col("payload").alias("revisit_payload"), "refers_to")
 
 
 def write_warc(pages: DataFrame, *, min_bytes: int = 1000, level: int = 3, file_bytes: int = 64 << 20, **training) -> DataFrame:
@@ -115,15 +123,19 @@ def write_warc(pages: DataFrame, *, min_bytes: int = 1000, level: int = 3, file_
     A task writes its records in page_id order to files of about ``file_bytes``,
     under a name of its own attempt first, renamed when whole: a lost task leaves
     nothing half-written, and a second attempt writes the same bytes.  Null html
-    is an empty payload; a null page_id is never a revisit; repeated rows are
-    records of their own; extra columns are not archived; an empty table gives
-    an empty index.
+    is an empty payload; a null page_id counts as smallest, so it revisits any
+    other that has its payload; rows that repeat a page_id are records of their
+    own, each judged by its own payload; equal rows that hold the payload are
+    responses all; extra columns are not archived; an empty table gives an empty
+    index.
     """
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
     raw, target = train_dictionary(pages, **training), shared_dir(spark, "warc")
-    rows = pages.join(revisits(pages, min_bytes), F.col("page_id") == F.col("revisit_id"), "left")
-    rows = rows.drop("revisit_id").sortWithinPartitions("page_id", "url", "html")
+    same = F.col("payload").eqNullSafe(F.col("revisit_payload")) & F.col("page_id").eqNullSafe(F.col("revisit_id"))
+    rows = pages.withColumn("payload", payload_key(F.col("html"), min_bytes)).join(revisits(pages, min_bytes), same, "left")
+    rows = rows.select("page_id", "url", "html", "refers_to").sortWithinPartitions("page_id", "url", "html")
+    rows = rows.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))  # ids reach pandas as text, whole
 
     def write(batches):
         task = TaskContext.get()
@@ -137,24 +149,23 @@ def write_warc(pages: DataFrame, *, min_bytes: int = 1000, level: int = 3, file_
             nonlocal out
             if out is not None:
                 out.close()
-                fs.move(temp, f"{root}/{name}")
+                settle(fs, temp, f"{root}/{name}")
                 out = None
 
         for pdf in batches:
-            for page_id, url, html, refers in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["refers_to"].astype("Int64")):
+            for page_id, url, html, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"]):
                 if out is None:
                     name = f"part-{task.partitionId():05d}-{n:04d}.warc.zst"
                     temp = f"{root}/.{name}.{task.taskAttemptId()}"
                     out, at, n = fs.open_output_stream(temp, compression=None), 8 + len(raw), n + 1
                     out.write(struct.pack("<II", DICT_FRAME, len(raw)) + raw)
-                page_id = None if page_id is pd.NA else int(page_id)
-                frame = packer.compress(record(page_id, url, (html or "").encode(), None if refers is pd.NA else int(refers), revisit=refers is not pd.NA))
+                frame = packer.compress(record(page_id, url, (html or "").encode(), refers, revisit=refers is not None))
                 out.write(frame)
-                index.append((page_id, f"{target}/{name}", at, len(frame)))
+                index.append((None if page_id is None else int(page_id), f"{target}/{name}", at, len(frame)))
                 at += len(frame)
                 if at >= file_bytes:
                     close()
-            yield pd.DataFrame(index, columns=["page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
+            yield _frame(index, ["page_id", "file", "offset", "length"])
             index = []
         close()
 
@@ -186,17 +197,20 @@ def read_warc(index: DataFrame) -> DataFrame:
                         rows.append((int(page) if page else None, head["WARC-Target-URI"], kind, int(to) if to else None, int(head["X-Payload-Length"]), sha, body))
                         held += len(body)
                         if held > 8 << 20:
-                            yield _frame(rows)
+                            yield _frame(rows, _READ)
                             rows, held = [], 0
-                yield _frame(rows)
+                yield _frame(rows, _READ)
 
     n = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return files.repartition(n, "file").mapInPandas(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, body binary")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "body"]
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+_READ = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "body"]
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows as a frame; nullable ids stay integers."""
+    return pd.DataFrame({n: pd.array([r[k] for r in rows], dtype="Int64") if n in ("page_id", "refers_to") else [r[k] for r in rows] for k, n in enumerate(names)})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -208,7 +222,7 @@ SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
 r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS best FROM p)
 SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
-  CASE WHEN n >= 1000 AND page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 1000 AND page_id < best THEN best END AS refers_to
+  CASE WHEN n >= 1000 AND coalesce(page_id < best, best IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND coalesce(page_id < best, best IS NOT NULL) THEN best END AS refers_to
 FROM r
 """
