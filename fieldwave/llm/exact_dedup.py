@@ -18,14 +18,15 @@ from .shared import ascii_lower, fresh, written
 _SAME = ["digest", "n_bytes", "check"]
 
 
-def digest_runs(docs: DataFrame) -> DataFrame:
+def digest_runs(docs: DataFrame, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, row (unique), run (its partition), digest of the normalised text, sorted by digest in each run."""
+    key = F.monotonically_increasing_id() if row is None else F.col(row)
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     return (
-        docs.select(F.col("doc_id"), norm.alias("norm"))
+        docs.select(F.col("doc_id"), key.alias("row"), norm.alias("norm"))
         .select(
             "doc_id",
-            F.monotonically_increasing_id().alias("row"),
+            "row",
             F.spark_partition_id().alias("run"),
             F.unhex(F.sha2("norm", 256)).alias("digest"),
             F.octet_length("norm").alias("n_bytes"),
@@ -56,19 +57,20 @@ def merge_runs(runs: DataFrame, n_runs: int, fan_in: int, keep: str) -> DataFram
     return runs
 
 
-def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan_in: int = 8) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan_in: int = 8, row: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal when identical after lower-casing A-Z; null is empty.
     ``keep`` names which doc_id of a group stays, "largest" or "smallest"; of
     repeated rows with that doc_id exactly one stays, and null ids count as
-    smallest.  An empty table gives an empty one.  Other columns are not read;
-    join on doc_id, or filter by ``kept`` after ``keep_columns``.
+    smallest.  An empty table gives an empty one.  Other columns are not read.
+    ``row`` names a column of unique integers that tells rows apart, else one is
+    made.
 
     A hot text is one row per run after the first, local step.  The way back to
     documents goes through (run, digest): no group is larger than a partition.
     """
-    base = written(digest_runs(docs), "digests")
+    base = written(digest_runs(docs, row), "digests")
     n_runs = (base.agg(F.max("run")).first()[0] or 0) + 1
     if keep == "largest":
         best = F.struct("doc_id", "row")
@@ -84,18 +86,20 @@ def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan_in: int = 8) -> D
         F.col("n").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "row",
     )
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the copies, all columns kept (doc_id must be unique and not null)."""
-    (key,) = fresh(docs, "kept_key")
-    rows = exact_dedup(docs, **options).where("kept").select(F.col("doc_id").alias(key))
-    return docs.join(rows, F.col("doc_id") == F.col(key), "left_semi")
+    """``docs`` without the copies, all columns kept; rows are told apart by a key of their own, written with them."""
+    key, kept = fresh(docs, "row_key", "kept_key")
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    rows = exact_dedup(keyed, row=key, **options).where("kept").select(F.col("row").alias(kept))
+    return keyed.join(rows, F.col(key) == F.col(kept), "left_semi").drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
 
 
 SQL = """
