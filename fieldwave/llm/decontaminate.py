@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, small_batches, use_table
+from .shared import fresh, small_batches, use_table, written
 
 _K1, _B = 1.2, 0.75
 _BLOCK = 64  # postings that one block maximum covers
@@ -29,7 +30,10 @@ _WINDOW = 2 * _UNIT  # words of a passage; passages begin every _UNIT words, so
 _N = 5  # words in a shingle
 _LOW = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
-LEAK = "struct<item_id:long,bm25:double,question_overlap:double,answer_overlap:double>"
+
+
+def leak_type(items: DataFrame) -> str:
+    return f"struct<item_id:{items.schema['item_id'].dataType.simpleString()},bm25:double,question_overlap:double,answer_overlap:double>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,8 +53,9 @@ def split_item(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[: len(words) - n], words[len(words) - n :]
 
 
-def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    return {tuple(words[i : i + _N]) for i in range(len(words) - _N + 1)} if len(words) >= _N else ({tuple(words)} if words else set())
+def shingles(words: list[bytes], n: int = _N) -> set[tuple[bytes, ...]]:
+    """Runs of ``n`` words; fewer words are one run."""
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
 
 
 @dataclass
@@ -69,10 +74,9 @@ class ItemIndex:
         texts = []
         for i, (q, a) in enumerate(self.parts):
             words = q + a
-            if len(words) >= _N:
-                for k in range(0, len(words), _UNIT):
-                    texts.append(words[k : k + _UNIT])
-                    self.units.append((i, len(words)))
+            for k in range(0, len(words), _UNIT):
+                texts.append(words[k : k + _UNIT])
+                self.units.append((i, len(words)))
         n, mean = len(texts), np.mean([len(t) for t in texts]) if texts else 1.0
         df = Counter(w for t in texts for w in set(t))
         lists: dict[bytes, list[tuple[int, float]]] = {}
@@ -174,7 +178,7 @@ class ItemIndex:
             end = min(start + _WINDOW, len(words))
             for unit, score in self.wand(words[start:end]):
                 item, size = self.units[unit]
-                near = shingles(words[max(0, start - size) : end + size])
+                near = shingles(words[max(0, start - size) : end + size], min(size, _N))
                 q, a = self.sets[item]
                 of_q, of_a = (len(s & near) / len(s) if s else 1.0 for s in (q, a))
                 if of_q >= question and of_a >= answer or self.holds(item, near, whole):
@@ -184,21 +188,22 @@ class ItemIndex:
         return [best[i] for i in sorted(best)]
 
 
-def item_blocks(items: DataFrame, max_chars: int) -> list[list[tuple[int, str]]]:
-    """The test items in blocks of about ``max_chars`` characters; each becomes one index of bounded size."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+def item_blocks(items: DataFrame, max_chars: int) -> Iterator[list[tuple[object, str]]]:
+    """The test items in blocks of about ``max_chars`` characters, one at a time; each becomes one index of bounded size."""
+    rows = items.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // max_chars)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(n, 1))))
-    return [[(r.item_id, r.text) for r in rows.where(F.col("block") == k).orderBy("item_id", "text").collect()] for k in range(n)]
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1))))
+    for k in range(n):
+        yield [(r.item_id, r.text) for r in rows.where(F.col("block") == k).orderBy("item_id", "text").collect()]
 
 
-def _searcher(index, question: float, answer: float, whole: float):
+def _searcher(index, kind: str, question: float, answer: float, whole: float):
     def leaks(texts: pd.Series) -> pd.Series:
         use_table("")
         return pd.Series([index.value.leaks(t, question, answer, whole) for t in texts], dtype=object)
 
-    return F.pandas_udf(leaks, f"array<{LEAK}>")
+    return F.pandas_udf(leaks, f"array<{kind}>")
 
 
 def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, question: float = 0.75, answer: float = 0.5, whole: float = 0.75, max_chars: int = 16_000_000, name: str = "leaks") -> DataFrame:
@@ -207,22 +212,36 @@ def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, que
     A leak is an item whose BM25 share in some passage is at least ``threshold``
     and of whose five-word shingles at least ``question`` of the question's and
     ``answer`` of the answer's stand around that passage, or at least ``whole``
-    of the whole item's, wherever its words were changed.  Items of fewer than
-    five words cannot be verified and are never leaks; null or empty texts hold
-    none; items with the same id are told apart by text; rows are independent;
-    an empty table on either side gives empty arrays or no rows.  A column called
-    like the new one is replaced, all others pass through.
-
-    Large test sets are indexed in blocks, each queried by all passages in turn.
+    of the whole item's, wherever its words were changed.  An item of fewer than
+    five words is one shingle: it must stand there as it is.  Null or empty texts
+    hold none and are no items; a null item_id is an id like others; items with
+    the same id are told apart by text; rows are independent; an empty table on
+    either side gives empty arrays or no rows.  A column called like the new one
+    is replaced, all others pass through.
+
+    Test sets of more than ``max_chars`` characters are indexed in blocks, one
+    at a time: all passages query a block, its hits are written to the shared
+    folder, and its index is released before the next one is made.
     """
-    spark, docs = docs.sparkSession, docs.drop(name)
+    spark, docs, kind = docs.sparkSession, docs.drop(name), leak_type(items)
     small_batches(spark)
-    found = F.array().cast(f"array<{LEAK}>")
-    for block in item_blocks(items, max_chars):
+    blocks = item_blocks(items, max_chars)
+    block, following = next(blocks, None), next(blocks, None)
+    if block is None:
+        return docs.withColumn(name, F.array().cast(f"array<{kind}>"))
+    if following is None:
+        return docs.withColumn(name, _searcher(spark.sparkContext.broadcast(ItemIndex(block, threshold)), kind, question, answer, whole)("text"))
+    key, hit = fresh(docs, "row_key", "hit_key")
+    keyed, hits = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), None
+    while block is not None:
         index = spark.sparkContext.broadcast(ItemIndex(block, threshold))
-
-        found = F.concat(found, _searcher(index, question, answer, whole)(F.col("text")))
-    return docs.withColumn(name, found)
+        marked = keyed.select(F.col(key).alias(hit), F.explode(_searcher(index, kind, question, answer, whole)("text")).alias("leak"))
+        marked = written(marked, "hits")
+        index.destroy()
+        hits = marked if hits is None else hits.unionByName(marked)
+        block, following = following, next(blocks, None)
+    by_row = hits.groupBy(hit).agg(F.array_sort(F.collect_list("leak")).alias(name))
+    return keyed.join(by_row, F.col(key) == F.col(hit), "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>"))).drop(key, hit)
 
 
 def leak_pairs(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
