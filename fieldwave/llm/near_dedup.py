@@ -9,9 +9,10 @@ the rest is confirmed on the full sets.
 
 Only what decides components is verified.  Documents with equal sets are one
 class.  First each class meets the leading class of the bucket it shares most
-bands with, then the one it is most similar to by estimate.  What still lies in
-different components of one bucket is compared in full, in tiles of bounded
-size that return the few links that join components, never pairs.
+bands with, then the one it is most similar to by estimate.  What still lies
+outside a bucket's largest component probes the bucket in full, in tiles of
+bounded size that return the few links that join components, never pairs; the
+members of the largest component never meet each other.
 """
 
 from __future__ import annotations
@@ -125,23 +126,26 @@ def _registers(column: pd.Series) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- tables
-def sketches(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, set_id, registers) of every document; the last two are null for empty sets."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def sketches(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(row, doc_id, n, set_id, registers) of every document; the last two are null for empty sets.
+
+    ``row`` names a column of unique integers that tells rows apart, else one is
+    made.  Ids never reach Python.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]):
+    @F.pandas_udf("struct<n:long,set_id:binary,registers:binary>")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
         use_table("shingles", _memo.clear)
-        for pdf in batches:
-            n, ids, regs = [], [], []
-            for text in pdf["text"]:
-                s = shingle_set(text)
-                n.append(len(s))
-                ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "set_id": ids, "registers": regs})
+        n, ids, regs = [], [], []
+        for text in texts:
+            s = shingle_set(text)
+            n.append(len(s))
+            ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            regs.append(sketch(s).tobytes() if len(s) else None)
+        return pd.DataFrame({"n": n, "set_id": ids, "registers": regs})
 
-    rows = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, set_id binary, registers binary")
-    return written(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")
+    key = F.monotonically_increasing_id() if row is None else F.col(row)
+    return written(docs.select(key.alias("row"), "doc_id", sketched("text").alias("s")).select("row", "doc_id", "s.*"), "sketches")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -196,8 +200,8 @@ def full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame
                 sets = [shingle_set(t).tobytes() for t in some["text"]]
                 yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "set_id": [xxhash.xxh3_128_digest(s) for s in sets], "hashes": sets})
 
-    rows = docs.select("doc_id", "text", spot.alias("spot")).select("doc_id", "text", near[0].alias("part"), near[1].alias("bit"))
-    made = rows.mapInPandas(run, f"doc_id {kind}, set_id binary, hashes binary").alias("m")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", spot.alias("spot")).select("doc_id", "text", near[0].alias("part"), near[1].alias("bit"))  # ids reach pandas as text, whole
+    made = rows.mapInPandas(run, "doc_id string, set_id binary, hashes binary").withColumn("doc_id", F.col("doc_id").cast(kind)).alias("m")
     same = F.col("m.set_id").eqNullSafe(F.col("w.set_id")) & F.col("m.doc_id").eqNullSafe(F.col("w.doc_id"))
     return written(made.join(wanted.alias("w"), same).select("rep", "hashes").dropDuplicates(["rep"]), "sets")
 
@@ -239,15 +243,29 @@ def _frame(made: list[tuple[np.ndarray, ...]], schema: str) -> pd.DataFrame:
     return pd.DataFrame({n: np.concatenate([np.asarray(m[k]) for m in made]).astype("float64" if t == "double" else "int64") for k, (n, t) in enumerate(names)})
 
 
+def sided(rows: DataFrame) -> DataFrame:
+    """``rows(key, rep, label)`` of buckets with size, outside (not in the bucket's largest component) and n_outside; whole buckets of one component go."""
+    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    sides = counts.groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    sides = sides.select("key", "size", (F.col("size") - F.col("top")).alias("n_outside"), "main").where("n_outside > 0")
+    return rows.join(sides, "key").select("key", "rep", "label", "size", "n_outside", (F.col("label") != F.col("main")).alias("outside"))
+
+
 def _in_tiles(rows: DataFrame, work, schema: str) -> DataFrame:
     """Applies ``work`` to the tiles of every bucket.
 
-    ``rows(key, rep, size, ...)``: a bucket of ``size`` rows is cut into chunks, and every
-    two of its chunks make a tile, so no piece of work sees more than two chunks.
+    ``rows`` is what ``sided`` returns, and more columns.  The members outside a
+    bucket's largest component are its probes; a chunk of probes and a chunk of
+    the bucket make a tile, so no piece of work sees more than two chunks, and
+    members of the largest component are repeated once for a chunk of probes.
     """
-    chunks = F.ceil(F.col("size") / _TILE).cast("int")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.withColumn("ti", F.least("chunk", "other")).withColumn("tj", F.greatest("chunk", "other")).drop("chunk", "other", "size")
+    chunks, probes = (F.ceil(F.col(c) / _TILE).cast("int") for c in ("size", "n_outside"))
+    spot = F.xxhash64("rep")
+    place = lambda ti, tj, probe: F.struct(ti.cast("int").alias("ti"), tj.cast("int").alias("tj"), F.lit(probe).alias("probe"))
+    as_member = F.transform(F.sequence(F.lit(0), probes - 1), lambda k: place(k, F.pmod(spot, chunks), False))
+    as_probe = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: place(F.pmod(spot, probes), k, True))
+    spread = rows.withColumn("place", F.explode(F.when(F.col("outside"), F.concat(as_member, as_probe)).otherwise(as_member)))
+    spread = spread.select("*", "place.*").drop("place", "size", "n_outside", "outside")
 
     def run(batches):
         held = None
@@ -261,23 +279,22 @@ def _in_tiles(rows: DataFrame, work, schema: str) -> DataFrame:
         if held is not None and len(held) > 1:
             yield _frame([work(g) for g in _pieces(held, [0, len(held)])], schema)
 
-    return rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInPandas(run, schema)
+    return spread.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInPandas(run, schema)
 
 
 def split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, rep, label, size) of the buckets that hold more than one component."""
-    rows = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("label"))
+    """(key, rep, label, size, n_outside, outside) of the buckets that hold more than one component."""
+    rows = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     rows = written(rows, "labelled")
     split = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return rows.join(written(split, "split"), "key")  # a table of its own, so that hot buckets of the other side can be split
+    return sided(rows.join(written(split, "split"), "key"))  # a table of its own, so that hot buckets of the other side can be split
 
 
 def _matches(g: dict[str, np.ndarray], least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, j, estimates) for every row outside a tile's largest component: its plausible partners in other components."""
-    regs, label, n = g["registers"], g["label"], g["n"]
-    values, counts = np.unique(label, return_counts=True)
-    for i in np.flatnonzero(label != values[counts.argmax()]):
-        j = np.flatnonzero(label != label[i])
+    """(i, j, estimates) for every probe of a tile: its plausible partners in other components."""
+    regs, label, n, probe = g["registers"], g["label"], g["n"], g["probe"].astype(bool)
+    for i in np.flatnonzero(probe):
+        j = np.flatnonzero(~probe & (label != label[i]))
         e = estimate(regs[i], regs[j])
         ok = possible(e, n[i], n[j], least)
         if ok.any():
@@ -314,17 +331,16 @@ def remaining_links(buckets: DataFrame, docs: DataFrame, classes: DataFrame, per
 
     rows = buckets.join(classes.select("rep", "n", "registers"), "rep")
     rows = written(_in_tiles(rows, hopeful, "key long, rep long, label long").distinct(), "hopeful")
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     sets = full_sets(docs, classes, rows.select("rep").distinct())
 
     def links(g: dict[str, np.ndarray]) -> tuple[list, ...]:
-        return tuple(zip(*linked(g["rep"], g["label"], [np.frombuffer(x, np.uint64) for x in g["hashes"]], percent))) or ([], [])
+        return tuple(zip(*linked(g["rep"], g["label"], g["probe"].astype(bool), [np.frombuffer(x, np.uint64) for x in g["hashes"]], percent))) or ([], [])
 
-    return written(_in_tiles(rows.join(size, "key").join(sets, "rep"), links, "a long, b long").distinct(), "links")
+    return written(_in_tiles(sided(rows).join(sets, "rep"), links, "a long, b long").distinct(), "links")
 
 
-def linked(rep: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between sets of different labels, one for each two labels that they first join.
+def linked(rep: np.ndarray, label: np.ndarray, probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between probes and sets of different labels, one for each two labels that they first join.
 
     A set of which too few elements are in any other is linked with none.  For the
     rest a block of shared elements at a time is a 0/1 matrix, whose products
@@ -335,14 +351,14 @@ def linked(rep: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent:
     _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = counts[place] > 1
     able = np.flatnonzero(100 * np.bincount(owner[common], minlength=len(n)) >= percent * n)
-    values, often = np.unique(label[able], return_counts=True)
-    if len(values) < 2:
+    values = np.unique(label[able])
+    if len(values) < 2 or not probe[able].any():
         return []
     row = np.full(len(n), -1)
     row[able] = np.arange(len(able))
     at = common & (row[owner] >= 0)
     _, column = np.unique(place[at], return_inverse=True)
-    line, own = row[owner[at]], np.flatnonzero(label[able] != values[often.argmax()])
+    line, own = row[owner[at]], np.flatnonzero(probe[able])
     both = np.zeros((len(own), len(able)), np.float32)
     order = np.argsort(column, kind="stable")
     line, column = line[order], column[order]
@@ -373,18 +389,21 @@ def linked(rep: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent:
 
 
 # ---------------------------------------------------------------- the operator
-def near_dedup(docs: DataFrame, *, percent: int = 75) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def near_dedup(docs: DataFrame, *, percent: int = 75, row: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept, row.
 
     ``component_id`` is the smallest doc_id reachable over links of at least
     ``percent`` hundredths Jaccard similarity; exactly one row of a component is
     kept, that with this id.  Null text is empty; texts without words are linked
     with nothing.  Repeated rows are copies of each other, null ids count as
-    largest.  An empty table stays empty; extra columns are not read.
+    largest.  An empty table stays empty; extra columns are not read.  ``row``
+    names a column of unique integers that tells rows apart, else one is made.
+
+    Shingles are compared by 64-bit hashes, sets by 128-bit ones.
     """
     least = percent / 100
     small_batches(docs.sparkSession)
-    rows = sketches(docs)
+    rows = sketches(docs, row)
     first = rows.where("n > 0").groupBy("set_id").agg(F.min("row").alias("rep"))
     classes = written(rows.join(first.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "doc_id", "n", "set_id", "registers"), "classes")
     bands = banded(classes)
@@ -412,19 +431,23 @@ def near_dedup(docs: DataFrame, *, percent: int = 75) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
         F.coalesce(F.col("least.row") == F.col("row"), F.lit(True)).alias("kept"),
+        "row",
     )
 
 
 def without_near_duplicates(docs: DataFrame, *, max_broadcast: int = 500_000, **options) -> DataFrame:
-    """``docs`` with one document of each group, all columns kept (doc_id must be unique).
+    """``docs`` with one document of each group, all columns kept.
 
-    The ids that go are broadcast up to a checked number and shuffled beyond it.
+    Rows are told apart by a key of their own, written with them, so of repeated
+    rows one stays, and null ids are no exception.  The keys that go are broadcast
+    up to a checked number and shuffled beyond it.
     """
-    (key,) = fresh(docs, "gone_id")
-    gone = written(near_dedup(docs, **options).where("not kept").select(F.col("doc_id").alias(key)), "gone")
-    gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    key, gone = fresh(docs, "row_key", "gone_key")
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    out = written(near_dedup(keyed, row=key, **options).where("not kept").select(F.col("row").alias(gone)), "gone")
+    out = F.broadcast(out) if out.count() <= max_broadcast else out
+    return keyed.join(out, F.col(key) == F.col(gone), "left_anti").drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
