@@ -86,16 +86,44 @@ def test_leaks_are_caught_and_clean_texts_left(spark, none):
     rows = [(1, f"{filler} {q.upper()} the answer is, the winding ember RIVER! {filler}", "a"), (2, filler, "a"), (3, None, "a"), (4, f"{q} nothing like it follows here in this text", "a"), (5, "x " + LONG, "a"), (6, "", None)]
     docs = docs_of(spark, rows)
     got = {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.leak_pairs(docs, items))}
-    assert got == {(1, 1), (5, 5)}
+    assert got == {(1, 1), (5, 5), (1, None), (4, None)}
     clean = decontaminate.clean_documents(docs, items)
     assert clean.columns == docs.columns
-    assert sorted(r["doc_id"] for r in rows_of(clean)) == [2, 3, 4, 6]
-    blocks = decontaminate.leak_pairs(docs, items, max_chars=1000)
-    assert {(r["doc_id"], r["item_id"]) for r in rows_of(blocks)} == got
+    assert sorted(r["doc_id"] for r in rows_of(clean)) == [2, 3, 6]
     assert rows_of(decontaminate.leak_pairs(none, items)) == []
     assert rows_of(decontaminate.leak_pairs(docs, items.limit(0))) == []
 
 
+def test_blocks_of_items_are_indexed_one_at_a_time(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    live, most = set(), []
+    context = type(spark.sparkContext)
+    make = context.broadcast
+
+    def counted(self, value):
+        made = make(self, value)
+        live.add(id(made))
+        most.append(len(live))
+        end = made.destroy
+        made.destroy = lambda *a: (live.discard(id(made)), end(*a))
+        return made
+
+    monkeypatch.setattr(context, "broadcast", counted)
+    got = decontaminate.leak_pairs(docs, items, max_chars=2000).collect()
+    assert len(most) > 3 and max(most) == 1 and not live
+    want = registry.QUERIES["op1_bm25_wand"](spark, SF).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(r.doc_id, r.item_id) for r in want}
+
+
+def test_short_and_nameless_items_are_found(spark):
+    items = spark.createDataFrame([("a", "Zanzibar quagga"), (None, "vermilion okapi"), ("long", LONG[:900]), ("b", "")], "item_id string, text string")
+    docs = docs_of(spark, [(1, "so the ZANZIBAR, quagga ran", "a"), (2, "quagga zanzibar", "a"), (3, "a vermilion okapi " + LONG[:900], "a"), (4, "okapi", "a"), (4, "vermilion okapi", "a")])
+    for most in (16_000_000, 10):
+        got = Counter((r.doc_id, r.item_id) for r in decontaminate.leak_pairs(docs, items, max_chars=most).collect())
+        assert got == Counter([(1, "a"), (3, None), (3, "long"), (4, None)])
+    assert decontaminate.clean_documents(docs, items, max_chars=10).columns == docs.columns
+
+
 def test_decontamination_by_brute_force(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     inside = lambda s, near: sum(x in near for x in s) / len(s)
@@ -144,11 +172,24 @@ def test_warc_round_trip(spark):
     index = warc.write_warc(pages, file_bytes=20_000)
     back = warc.read_warc(index).collect()
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in back) == Counter((i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in rows)
-    assert {(r.page_id, r.record_type, r.refers_to) for r in back} == {(1, "revisit", 2), (2, "response", None), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (None, "response", None), (7, "response", None), (8, "response", None)}
+    assert {(r.page_id, r.record_type, r.refers_to) for r in back} == {(1, "revisit", 2), (2, "response", None), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (None, "revisit", 2), (7, "response", None), (8, "response", None)}
     assert {bytes(r.body).decode() for r in back if r.page_id == 8} == {LONG * 3}
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_warc_keeps_every_payload_and_id(spark):
+    a, b, c = ("<p>" + w * 1200 for w in "abc")
+    big = 2**60
+    rows = [(9, "u", a), (5, "u", a), (5, "u", b), (4, "u", b), (4, "u", c), (3, "u", c), (big + 1, "u", "x" * 2000), (big + 3, "u", "x" * 2000), (None, "u", "y" * 3000), (None, "u", "y" * 3000), (2, "u", a), (2, "u", a)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    back = warc.read_warc(warc.write_warc(pages)).collect()
+    assert Counter((r.page_id, r.payload_digest) for r in back) == Counter((i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows)
+    name = {hashlib.sha1(h.encode()).hexdigest(): k for k, h in (("a", a), ("b", b), ("c", c), ("x", "x" * 2000), ("y", "y" * 3000))}
+    got = Counter((r.page_id, name[r.payload_digest], r.record_type, r.refers_to) for r in back)
+    assert got == Counter([(9, "a", "response", None), (5, "a", "revisit", 9), (5, "b", "response", None), (4, "b", "revisit", 5), (4, "c", "response", None), (3, "c", "revisit", 4), (big + 1, "x", "revisit", big + 3), (big + 3, "x", "response", None), (None, "y", "response", None), (None, "y", "response", None), (2, "a", "revisit", 9), (2, "a", "revisit", 9)])
+    assert {bytes(r.body).decode() for r in back if r.record_type == "response"} == {h for _, _, h in rows}
+
+
 def test_warc_record_is_readable_by_its_offset(spark):
     import zstandard
 
@@ -178,16 +219,30 @@ def brute_lines(rows, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("batches,fan_in", [(1, 2), (5, 2), (7, 3)])
-def test_line_dedup(spark, batches, fan_in):
+@pytest.mark.parametrize("batches,fan_in,most", [(1, 2, 1000), (5, 2, 0), (7, 3, 1000)])
+def test_line_dedup(spark, batches, fan_in, most):
     rng = np.random.default_rng(1)
     rows = [(i, "\n".join([" Common LINE\t", "", f"own {i}", *(f"Line {k}" for k in rng.integers(0, 12, 5))])) for i in range(25)]
-    rows += [(100, None), (101, ""), (102, "common line"), (102, "common line"), (None, "É common\ncommon line"), (103, "a\rb\n\x0b\n \xa0 "), (104, LONG)]
+    rows += [(100, None), (101, ""), (102, "common line"), (102, "common line"), (None, "É common\ncommon line"), (103, "a\rb\n\x0b\n \xa0 "), (104, LONG), (2**60 + 1, "line 1"), (2**60 + 3, "line 2")]
     docs = docs_of(spark, [(i, t, "a") for i, t in rows])
-    got = line_dedup.line_dedup(docs, min_docs=10, n_batches=batches, fan_in=fan_in)
+    got = line_dedup.line_dedup(docs, min_docs=10, n_batches=batches, fan_in=fan_in, max_broadcast=most)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_lines(rows, 10)
 
 
+def test_runs_are_merged_without_moving_or_sorting_them(spark):
+    runs = line_dedup.LineRuns(spark, 10, 4)
+    lines = spark.range(3000).select(F.col("id").alias("doc_id"), F.unhex(F.md5((F.col("id") % 500).cast("string"))).alias("key"))
+    for k in range(3):
+        runs.add(lines.where(F.col("doc_id") % 3 == k))
+    assert len(runs.levels[0]) == 3 and len(runs.frequent) == 3
+    with line_dedup.run_settings(spark):
+        for rows in (runs.merged(runs.levels[0]), runs.against_runs(runs._run(runs.counted(lines), "line_batch"))):
+            rows.collect()
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and not re.search(r"Exchange|\bSort\b", plan)
+    assert runs.complete().count() == 0
+
+
 def test_line_dedup_empty(spark, none):
     assert line_dedup.line_dedup(none).count() == 0
 
@@ -286,6 +341,37 @@ def test_near_dedup_edges(spark, none, odd):
     assert kept.columns == one.columns and sorted(r.doc_id for r in kept.collect()) == [2, 9]
 
 
+def test_repeated_null_and_large_ids_survive_dedup(spark):
+    big = 2**60
+    text = lambda k: f"this text number {k} is told apart by its own words w{k} x{k}"
+    rows = [(2, text(1), "a"), (2, text(1), "a"), (2, text(2), "a"), (None, text(3), "a"), (None, text(3), "b"), (None, text(4), "a"), (big + 1, text(5), "a"), (big + 3, text(5), "a"), (big + 5, text(6), "a")]
+    docs = docs_of(spark, rows).coalesce(1)
+    got = near_dedup.near_dedup(docs).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(2, 2), (2, 2), (2, 2), (None, None), (None, None), (None, None), (big + 1, big + 1), (big + 3, big + 1), (big + 5, big + 5)])
+    for kept in (near_dedup.without_near_duplicates(docs), near_dedup.without_near_duplicates(docs, max_broadcast=0), exact_dedup.kept_documents(docs, keep="smallest")):
+        assert kept.columns == docs.columns
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(i), text(k)) for i, k in ((2, 1), (2, 2), (None, 3), (None, 4), (big + 1, 5), (big + 5, 6)))
+
+
+def test_tiles_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_TILE", 8)
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(120)]
+    other = base[:62] + [f"c{i}" for i in range(58)]
+    rows = [(i, edited(rng, base if i % 3 else other, int(rng.integers(0, 9)))) for i in range(150)]
+    got = near_dedup.near_dedup(docs_of(spark, [(i, t, "a") for i, t in rows])).collect()
+    want, groups = brute_near(rows)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want and groups > 1
+
+
+def test_recall_of_links_of_every_tenth_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: set(near_dedup.shingle_set(r.text).tolist()) for r in docs}
+    links = [(q, i) for q in sets if q % 10 == 0 for i in sets if i != q and sets[q] and 100 * len(sets[q] & sets[i]) >= 75 * len(sets[q] | sets[i])]
+    group = {r.doc_id: r.component_id for r in registry.QUERIES["op5_hyperminhash"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(links) > 3 and all(group[a] == group[b] for a, b in links)
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(5)
     for share in (0.2, 0.5, 0.75, 0.9):
@@ -361,6 +447,31 @@ def test_token_files_by_brute_force(spark, odd, none):
     assert token_files.token_digests(none).count() == 0
 
 
+def test_token_files_keep_large_and_repeated_ids(spark):
+    rows = [(2**60 + k, f"text {k}", "a") for k in (3, 1)] + [(None, f"n{i} words", "a") for i in range(50)] + [(7, f"t{i} words", "a") for i in range(50)] + [(8, "same", "a")] * 20
+    docs = docs_of(spark, rows).coalesce(1)
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = token_files.write_tokens(docs, path, file_tokens=40)
+    got = token_files.read_tokens(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: -1 if i is None else i)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert len({r.part for r in manifest.collect()}) > 2
+
+
+def test_other_vocabularies_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, texts = token_files.WordEncoder(path), ["Hello  world\n\n x", None, "", "a b"]
+    assert not enc.by_words
+    library = Tokenizer.from_file(path)
+    for text, raw in zip(texts, enc.batch(texts)):
+        assert np.frombuffer(raw, enc.kind).tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
 # ---------------------------------------------------------------- 7 exact dedup
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_exact_dedup(spark, odd, none, keep):
