@@ -1,24 +1,30 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages.  Each passage is encoded; a gated attention
-network weighs the passages of a document; the weighted sum of their encodings
-is scored.  Only documents carry labels, so encoder, attention and score are
-learned together from them.
+A document is a bag of passages.  Each passage is encoded from its words, pairs
+of neighbouring words and character trigrams, hashed into embeddings that are
+learned, and from rates of character classes; a gated attention network weighs
+the passages of a document; the weighted sum of their encodings is scored.  Only
+documents carry labels, so embeddings, encoder, attention and score are learned
+together from them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, use_table
 
 _PASSAGE = 512  # bytes, up to the next space
+_BUCKETS, _WIDTH = (1 << 15, 1 << 15, 1 << 14), 4  # of the embeddings of words, word pairs and trigrams
+_MEMO = 200_000  # word hashes that a worker remembers
+_memo: dict[bytes, int] = {}
 _GROUPS = [b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b"!", b"?", b";:", b"'\"", b"()[]{}", b"-_", b"#", b"$", b"%", b"&", b"*", b"@", b"/\\", b"|", b"<>=+~^`"]
 _LOWER, _UPPER, _DIGIT, _LEAD, _NEXT, _CONTROL = range(len(_GROUPS), len(_GROUPS) + 6)
 _CLASSES = len(_GROUPS) + 6
@@ -47,29 +53,74 @@ def passages(raw: bytes) -> list[int]:
     return [*ends, n]
 
 
-def featurize(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(passage features, passages of each text): square roots of character class rates, and word statistics."""
+@dataclass
+class Bags:
+    """Passages of texts, one after the other: rates, hashed tokens of each kind with their number in each passage, passages of each text."""
+
+    x: np.ndarray
+    tokens: list[tuple[np.ndarray, np.ndarray]]
+    sizes: np.ndarray
+    begins: list[np.ndarray] = field(init=False)
+
+    def __post_init__(self):
+        self.begins = [np.concatenate([[0], np.cumsum(c)]) for c in (self.sizes, *(n for _, n in self.tokens))]
+
+    def take(self, at: np.ndarray) -> Bags:
+        """The bags at these places."""
+        rows = _runs(self.begins[0], at)
+        return Bags(self.x[rows], [(ids[_runs(begins, rows)], n[rows]) for (ids, n), begins in zip(self.tokens, self.begins[1:])], self.sizes[at])
+
+
+def _runs(begins: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the elements of some runs."""
+    n = begins[at + 1] - begins[at]
+    return np.repeat(begins[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else np.zeros(0, np.int64)
+
+
+def _mixed(h: np.ndarray, buckets: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return ((h ^ (h >> np.uint32(12))) & np.uint32(buckets - 1)).astype(np.int32)
+
+
+def featurize(texts: list[str | None]) -> Bags:
+    """Whole texts as bags: square roots of character class rates, word statistics, and hashed tokens."""
     raws = [(t or "").encode() for t in texts]
     cuts = [passages(r) for r in raws]
-    sizes = np.concatenate([np.diff([0, *c]) for c in cuts]) if raws else np.zeros(0, int)
+    sizes = np.concatenate([np.diff([0, *c]) for c in cuts]).astype(np.int64) if raws else np.zeros(0, np.int64)
     n = len(sizes)
-    kinds = _TABLE[np.frombuffer(b"".join(raws), np.uint8)].astype(np.int32)
+    chars = np.frombuffer(b"".join(raws), np.uint8)
+    kinds = _TABLE[chars].astype(np.int32)
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     counts = np.bincount(owner * _CLASSES + kinds, minlength=n * _CLASSES).reshape(n, _CLASSES)
     shouts = np.bincount(owner[1:], (kinds[1:] == _UPPER) & (kinds[:-1] == _UPPER), n) if len(kinds) else np.zeros(n)
-    words = np.zeros((n, 5))
+    words, hashes = np.zeros((n, 5)), []
+    if len(_memo) > _MEMO:
+        _memo.clear()
     i = 0
     for raw, ends in zip(raws, cuts):
         for a, b in zip([0, *ends], ends):
             w = raw[a:b].split()
             if w:
                 different = set(w)
+                for x in different.difference(_memo):
+                    _memo[x] = xxhash.xxh32_intdigest(x)
+                hashes += map(_memo.__getitem__, w)
                 top = max(map(w.count, different)) if len(different) * 4 < len(w) else 0
                 words[i] = len(w), len(different) / len(w), top / len(w), sum(map(len, w)) / len(w), len(set(map(len, w)))
             i += 1
     length = np.maximum(sizes, 1)[:, None]
     x = np.hstack([np.sqrt(counts / length), np.sqrt(shouts[:, None] / length), words[:, :1] / length, words[:, 1:3], words[:, 3:4] / 10, words[:, 4:] / 10, (sizes == 0)[:, None]])
-    return x.astype(np.float32), np.array([len(c) for c in cuts])
+    h, n_words = np.array(hashes, np.uint32), words[:, 0].astype(np.int64)
+    of = np.repeat(np.arange(n), n_words)
+    inside = of[1:] == of[:-1]
+    three = (owner[2:] == owner[:-2]) if len(owner) > 2 else np.zeros(0, bool)
+    grams = chars[:-2].astype(np.uint32) | chars[1:-1].astype(np.uint32) << np.uint32(8) | chars[2:].astype(np.uint32) << np.uint32(16) if len(three) else np.zeros(0, np.uint32)
+    tokens = [
+        (_mixed(h, _BUCKETS[0]), n_words),
+        (_mixed((h[:-1] * np.uint32(0x9E3779B1) + h[1:])[inside], _BUCKETS[1]), np.maximum(n_words - 1, 0)),
+        (_mixed((grams * np.uint32(0x85EBCA77))[three], _BUCKETS[2]), np.maximum(sizes - 2, 0)),
+    ]
+    return Bags(x.astype(np.float32), tokens, np.array([len(c) for c in cuts], np.int64))
 
 
 def _sigmoid(x):
@@ -78,15 +129,26 @@ def _sigmoid(x):
 
 @dataclass
 class AttentionMil:
-    """The trained model; all of it is a few thousand numbers."""
+    """The trained model; its size is fixed: some 330,000 numbers, nearly all of them embeddings."""
 
     weights: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Logits of the bags, whose passages follow each other in ``x``."""
-        p = self.weights
+    def encode(self, bags: Bags) -> np.ndarray:
+        """A row per passage: scaled rates, then the mean embedding of each kind of token."""
+        out = [(bags.x - self.weights["mean"]) / self.weights["std"]]
+        for k, (ids, n) in enumerate(bags.tokens):
+            mean, some = np.zeros((len(n), _WIDTH), np.float32), np.flatnonzero(n)
+            if len(some):
+                for j, line in enumerate(self.weights[f"E{k}"]):
+                    mean[some, j] = np.add.reduceat(line[ids], bags.begins[k + 1][some]) / n[some]
+            out.append(mean)
+        return np.hstack(out)
+
+    def forward(self, bags: Bags) -> tuple[np.ndarray, dict]:
+        """Logits of the bags."""
+        p, sizes = self.weights, bags.sizes
         starts, owner = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(sizes)), sizes)
-        xs = (x - p["mean"]) / p["std"]
+        xs = self.encode(bags)
         h = np.tanh(xs @ p["We"] + p["be"])
         t, s = np.tanh(h @ p["Wt"]), _sigmoid(h @ p["Ws"])
         e = (t * s) @ p["wa"]
@@ -95,13 +157,13 @@ class AttentionMil:
         z = np.add.reduceat(a[:, None] * h, starts)
         return z @ p["wo"] + p["bo"], {"xs": xs, "h": h, "t": t, "s": s, "a": a, "z": z, "owner": owner, "starts": starts}
 
-    def score(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.forward(x, sizes)[0]) if len(sizes) else np.zeros(0)
+    def score(self, bags: Bags) -> np.ndarray:
+        return _sigmoid(self.forward(bags)[0]) if len(bags.sizes) else np.zeros(0)
 
-    def gradients(self, x, sizes, y) -> dict[str, np.ndarray]:
+    def gradients(self, bags: Bags, y) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy."""
         p = self.weights
-        logit, c = self.forward(x, sizes)
+        logit, c = self.forward(bags)
         d = (_sigmoid(logit) - y) / len(y)
         dz = d[:, None] * p["wo"]
         da = (c["h"] * dz[c["owner"]]).sum(1)
@@ -110,31 +172,39 @@ class AttentionMil:
         dt, ds = dts * c["s"] * (1 - c["t"] ** 2), dts * c["t"] * c["s"] * (1 - c["s"])
         dh = c["a"][:, None] * dz[c["owner"]] + dt @ p["Wt"].T + ds @ p["Ws"].T
         dpre = dh * (1 - c["h"] ** 2)
-        return {"wo": c["z"].T @ d, "bo": d.sum(), "wa": (c["t"] * c["s"]).T @ de, "Wt": c["h"].T @ dt, "Ws": c["h"].T @ ds, "We": c["xs"].T @ dpre, "be": dpre.sum(0)}
+        out = {"wo": c["z"].T @ d, "bo": d.sum(), "wa": (c["t"] * c["s"]).T @ de, "Wt": c["h"].T @ dt, "Ws": c["h"].T @ ds, "We": c["xs"].T @ dpre, "be": dpre.sum(0)}
+        dx = dpre @ p["We"].T
+        for k, (ids, n) in enumerate(bags.tokens):
+            at = N_FEATURES + k * _WIDTH
+            part = (dx[:, at : at + _WIDTH] / np.maximum(n, 1)[:, None]).T
+            out[f"E{k}"] = np.stack([np.bincount(ids, np.repeat(line, n), _BUCKETS[k]) for line in part])
+        return out
+
 
+def fit(bags: Bags, y: np.ndarray, *, hidden: int = 24, gate: int = 12, epochs: int = 8, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> AttentionMil:
+    """Adam on mini-batches of bags.  With one class only, a constant model.
 
-def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, *, hidden: int = 24, gate: int = 12, epochs: int = 30, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> AttentionMil:
-    """Adam on mini-batches of bags.  With one class only, a constant model."""
-    rng = np.random.default_rng(seed)
+    Embeddings begin at zero, so that tokens never seen in training say nothing.
+    """
+    rng, x = np.random.default_rng(seed), bags.x
     p = {"mean": x.mean(0) if len(x) else np.zeros(N_FEATURES), "std": x.std(0) + 0.02 if len(x) else np.ones(N_FEATURES)}
-    for name, shape in (("We", (N_FEATURES, hidden)), ("Wt", (hidden, gate)), ("Ws", (hidden, gate))):
+    p |= {f"E{k}": np.zeros((_WIDTH, n), np.float32) for k, n in enumerate(_BUCKETS)}
+    for name, shape in (("We", (N_FEATURES + len(_BUCKETS) * _WIDTH, hidden)), ("Wt", (hidden, gate)), ("Ws", (hidden, gate))):
         p[name] = rng.normal(0, shape[0] ** -0.5, shape)
     share = (y.sum() + 1) / (len(y) + 1)
     p |= {"be": np.zeros(hidden), "wa": rng.normal(0, gate**-0.5, gate), "wo": np.zeros(hidden), "bo": np.array(np.log(share / max(1 - share, 1e-3)))}
     model = AttentionMil(p)
     if not 0 < y.sum() < len(y):
         return model
-    begins = np.concatenate([[0], np.cumsum(sizes)])
     m, v, step = {}, {}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for k in range(0, len(y), batch):
             at = order[k : k + batch]
-            rows = np.concatenate([np.arange(begins[i], begins[i + 1]) for i in at])
             step += 1
             pace = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
-            for name, g in model.gradients(x[rows], sizes[at], y[at]).items():
-                g = g + decay * p[name] * (name[0] == "W")
+            for name, g in model.gradients(bags.take(at), y[at]).items():
+                g = np.asarray(g + decay * p[name] * (name[0] in "WE"), np.float32 if name[0] == "E" else float)
                 m[name] = 0.9 * m.get(name, 0) + 0.1 * g
                 v[name] = 0.99 * v.get(name, 0) + 0.01 * g * g
                 p[name] = p[name] - pace * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
@@ -146,29 +216,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 12_000, max_passages: int = 48, **fitting) -> AttentionMil:
-    """Fits on at most ``max_labelled`` labelled documents, by hash of doc_id, none of them held out.
+def train(docs: DataFrame, labels: DataFrame, *, max_bytes: int = 6_000_000, **fitting) -> AttentionMil:
+    """Fits on labelled documents, none of them held out, of about ``max_bytes`` together.
 
-    Of a training document longer than ``max_passages`` passages, that many,
-    evenly spaced, are used.  Both bounds fix what the driver gets; scoring
-    reads every passage of every document.
+    Where there is more, documents are chosen by hash of doc_id, so that their
+    expected size together is the bound: it fixes what the driver gets.  A chosen
+    document is used whole.  Labels that contradict each other count as good.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_labelled rows
-
-    def encode(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            for doc_id, text, quality in zip(pdf["doc_id"], pdf["text"], pdf["quality"]):
-                x, _ = featurize([text])
-                if len(x) > max_passages:
-                    x = x[np.linspace(0, len(x) - 1, max_passages).astype(int)]
-                yield pd.DataFrame({"doc_id": [doc_id], "x": [x.tobytes()], "quality": [quality]})
-
-    got = rows.mapInPandas(encode, "doc_id long, x binary, quality int").toPandas().sort_values(["doc_id", "x"], kind="stable")
-    xs = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["x"]]
-    x = np.concatenate(xs) if xs else np.zeros((0, N_FEATURES), np.float32)
-    return fit(x, np.array([len(b) for b in xs], int), got["quality"].to_numpy(float), **fitting)
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    total = rows.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0
+    steps = 1 << 30
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(min(1, max_bytes / max(total, 1)) * steps))
+    got = chosen.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double")).toPandas().sort_values(["doc_id", "text"], kind="stable")
+    model = fit(featurize(got["text"].tolist()), got["quality"].to_numpy(float), **fitting)
+    _memo.clear()
+    return model
 
 
 def score_documents(docs: DataFrame, model: AttentionMil, *, name: str = "score") -> DataFrame:
@@ -180,10 +244,11 @@ def score_documents(docs: DataFrame, model: AttentionMil, *, name: str = "score"
     """
     docs = docs.drop(name)
     small_batches(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        use_table("")
+        use_table("quality", _memo.clear)
         for part in parts:
             out = []
             texts, size = [], 0
@@ -191,10 +256,10 @@ def score_documents(docs: DataFrame, model: AttentionMil, *, name: str = "score"
                 texts.append(t)
                 size += len(t or "")
                 if size > 1_000_000 or len(texts) >= 500:
-                    out.append(model.score(*featurize(texts)))
+                    out.append(known.value.score(featurize(texts)))
                     texts, size = [], 0
             if texts:
-                out.append(model.score(*featurize(texts)))
+                out.append(known.value.score(featurize(texts)))
             yield pd.Series(np.concatenate(out)[: len(part)])
 
     return docs.withColumn(name, scored(F.col("text")))
