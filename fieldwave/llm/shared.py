@@ -80,6 +80,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def by_hash(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """``df`` where it has at most ``most`` rows, else the rows whose id's hash lies below the share that leaves that many (expected)."""
+    n, steps = df.count(), 1 << 30
+    return df if n <= most else df.where(F.pmod(F.xxhash64(id_col), F.lit(steps)) < int(most / n * steps))
+
+
 _emptying: dict[str, object] = {}
 
 

@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, fresh, written
+from .shared import ascii_lower, by_hash, fresh, written
 
 #: (verdict, host, path prefix): fixed values.
 RULES = (
@@ -105,10 +105,20 @@ def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_count: in
     return written(single.unionByName(combined), "rules")
 
 
-def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence) of each distinct url that some mined rule fits, by its best rule."""
+def match_rules(urls: DataFrame, rules: DataFrame, *, max_broadcast: int = 100_000) -> DataFrame:
+    """(url, confidence) of each distinct url that some mined rule fits, by its best rule.
+
+    Up to ``max_broadcast`` rules are broadcast; more meet the urls' tokens by
+    shuffle, hot anchors dealt over copies of their rules.
+    """
     tokens = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("tokens", url_tokens(F.col("url")))
     index = rules.select("anchor", "antecedent", "confidence")
+    if rules.count() > max_broadcast:
+        salts = 16
+        index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = tokens.select("url", "tokens", F.explode("tokens").alias("anchor"), F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int").alias("salt")).join(index, ["anchor", "salt"])
+        return met.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    index = F.broadcast(index)
     met = tokens.select("url", "tokens", F.explode("tokens").alias("anchor")).join(index, "anchor")
     return met.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
@@ -118,19 +128,23 @@ def url_filter(pages: DataFrame, labels: DataFrame, *, rules=RULES, max_labelled
 
     A page is labelled by the row of ``labels`` with doc_id = page_id: bad
     quality or toxic means block.  Mining uses at most ``max_labelled`` labelled
-    pages, by hash of page_id.  Without a given rule the verdict is "block"
+    pages (expected), by hash of page_id.  Without a given rule the verdict is "block"
     where a mined rule fits and "allow" elsewhere.  Null urls, and urls without
     ``://``, have an empty host and path; repeated rows are judged alike; an empty
     table stays empty; columns named like the new ones are replaced.
+
+    Rules of tokens that always stand together are mined as one; beyond that, the
+    work of mining grows with the combinations that frequent tokens of one url make.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "confidence")
-    given, hit = fresh(pages, "given_rule", "hit_url")
+    given, hit, key = fresh(pages, "given_rule", "hit_url", "url_key")
     marked = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block")).where("block is not null")
-    known = pages.select("page_id", "url").join(marked, F.col("page_id") == F.col("doc_id")).orderBy(F.xxhash64("page_id"), "url").limit(max_labelled)
+    known = by_hash(pages.select("page_id", "url").join(marked, F.col("page_id") == F.col("doc_id")), "page_id", max_labelled)
     mined = mine_rules(known.select(url_tokens(F.col("url")).alias("tokens"), "block"), **mining)
     hits = match_rules(pages, mined).select(F.col("url").alias(hit), "confidence")
     rows = pages.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn(given, given_rule(rules))
-    rows = rows.join(hits, F.col("url") == F.col(hit), "left")
+    spread = F.when(F.col("url").isNull(), F.concat(F.lit("\0"), F.xxhash64("page_id"))).otherwise(F.col("url"))  # null urls meet none, and not each other
+    rows = rows.withColumn(key, spread).join(hits, (F.col(key) == F.col(hit)) & F.col("url").isNotNull(), "left")
     verdict = F.coalesce(F.col(given)["verdict"], F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
     return rows.select(*pages.columns, "host", "path", F.col(given)["rule"].alias("rule"), verdict.alias("verdict"), "confidence")
 

@@ -1,6 +1,7 @@
 """Operators for training corpora against brute force, round trips and edge cases."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -537,6 +538,60 @@ def test_rules_are_not_pushed_out_by_wider_ones(spark):
     assert rules == want
 
 
+def brute_rules(pages, least, confidence):
+    """All minimal token sets with enough blocked pages and confidence: {tokens: confidence}."""
+    hits = Counter(t for tokens, bad in pages if bad for t in tokens)
+    sets = {s for tokens, bad in pages if bad for own in [sorted(t for t in tokens if hits[t] >= least)] for k in range(1, len(own) + 1) for s in itertools.combinations(own, k)}
+    good = {}
+    for s in sorted(sets, key=len):
+        on = [bad for tokens, bad in pages if set(s) <= tokens]
+        if sum(on) >= least and sum(on) >= confidence * len(on) and not any(set(t) < set(s) for t in good):
+            good[s] = sum(on) / len(on)
+    return good
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rules_by_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(300):
+        tokens = {f"t{k}" for k in range(9) if rng.random() < 0.45} | ({"u", "v"} if rng.random() < 0.2 else set())
+        rows.append((sorted(tokens), bool(rng.random() < 0.25 + 0.5 * ({"t1", "t4"} <= tokens) + 0.4 * ({"u", "t2", "t3"} <= tokens))))
+    got = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"), min_support=0.0, min_count=8)
+    got = {tuple(sorted(r.antecedent)): round(r.confidence, 9) for r in got.collect()}
+    want = {s: round(c, 9) for s, c in brute_rules([(set(t), b) for t, b in rows], 8, 0.6).items()}
+    assert len(want) > 3 and got == want
+
+
+def test_verdicts_by_brute_force(spark):
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "labels"))
+    bad = {r.doc_id: r.quality == 0 or r.toxic == 1 for r in labels.collect()}
+    rows = pages.select("page_id", "url", url_rules.url_tokens(F.col("url")).alias("tokens")).collect()
+    known = [(set(r.tokens), bad[r.page_id]) for r in rows if r.page_id in bad]
+    options = {"min_count": 4, "min_confidence": 0.3, "min_support": 0.0}
+    rules = brute_rules(known, 4, 0.3)
+    want = {r.page_id: max((c for s, c in rules.items() if set(s) <= set(r.tokens)), default=None) for r in rows}
+    got = {r.page_id: r for r in url_rules.url_filter(pages, labels, rules=(), **options).collect()}
+    assert rules and all(got[i].verdict == ("allow" if c is None else "block") and (c is None or abs(got[i].confidence - c) < 1e-9) for i, c in want.items())
+
+
+def test_many_rules_meet_urls_by_shuffle(spark):
+    urls = spark.createDataFrame([(None,), ("http://a.com/x",), ("http://a.com/y",), ("http://b.com/x",)], "url string")
+    rules = spark.createDataFrame([(["host=a.com", "path=x"], 0.9, 0.1, "path=x"), (["path=x"], 0.7, 0.1, "path=x")], "antecedent array<string>, confidence double, support double, anchor string")
+    for most in (0, 100):
+        got = {r.url: r.confidence for r in url_rules.match_rules(urls, rules, max_broadcast=most).collect()}
+        assert got == {"http://a.com/x": 0.9, "http://b.com/x": 0.7}
+
+
+def test_long_urls_with_one_path_are_mined(spark):
+    deep = "/".join(f"p{k}" for k in range(60))
+    rows = [(i, f"http://h{i}/{deep}/{i}") for i in range(80)] + [(100 + i, f"http://k{i}/else/{i}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 40 else 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.url_filter(pages, labels, min_confidence=0.5).collect()}
+    assert {i for i, v in got.items() if v == "block"} == set(range(80))
+
+
 # ---------------------------------------------------------------- 9 mixing
 def test_mixing_targets_and_budgets(spark, odd, none):
     got = rows_of(mixing.mix_sources(odd))
