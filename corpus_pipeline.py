@@ -3,7 +3,8 @@
 Each stage is a function of (spark, docs, sf_dir) and works on all that the
 stage before it kept; ``run`` writes each stage's rows as Parquet into the
 shared folder and reads them again for the next.  All but the last return the
-columns of ``docs``.
+columns of ``docs``, whatever they are called.  Long texts are read whole in every
+stage, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,28 +16,39 @@ from fieldwave.llm.shared import written
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored like others; repeated rows share their fate;
+    without labels of both kinds all documents get one score.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.classify(docs, labels).where("predicted = 1").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays.
+
+    Of repeated rows one stays, of null ids too; texts without words all stay.
+    """
     return near_dedup.without_near_duplicates(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go; null and empty texts hold none, repeated rows share their fate."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand in the mix once for each epoch that takes them."""
+    """Documents stand in the mix once for each epoch that takes them, that on a source's cut whole.
+
+    Texts without words are never taken; a null source is a source of its own;
+    repeated rows are documents of their own.
+    """
     return mixing.mixed_documents(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in doc_id order; one row per document of the mix, as the files hold it."""
+    """Token files in doc_id order (null first); one row per document of the mix, repeated ones too, as the files hold it."""
     return token_files.token_digests(docs)
 
 

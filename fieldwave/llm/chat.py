@@ -45,11 +45,14 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     Deltas and edits before a message's last reset (open, edit, regenerate)
     don't count.  The role is that of the last event that names one.  Null text
-    is empty; ties of seq are ordered by op, role and text, so reruns agree.  A
+    is empty; ties of seq are ordered by op (open, regenerate, edit, delta,
+    retract), role and text, so reruns agree.  Events whose op is null or none of
+    these say nothing, and their turn needs another event to be a message.  A
     message is the unit of work here: its events meet in one row, those of a
     conversation don't.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    events = events.where(F.col("op").isin("open", "regenerate", "edit", "delta", "retract"))
     event = F.struct("seq", F.array_position(F.array(*map(F.lit, ("open", "regenerate", "edit", "delta", "retract"))), F.col("op")).alias("rank"), "role", text.alias("text"))
     log = events.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("log"))
     last = F.array_max(F.transform("log", lambda e, i: F.when(e["rank"].isin(1, 2, 3), i).otherwise(F.lit(-1))))
@@ -72,7 +75,8 @@ def render(messages: DataFrame, *, learn_role: str = "assistant") -> DataFrame:
 
     ``segments`` are the pieces of ``formatted`` in order with a flag ``loss``:
     true for the texts of ``learn_role`` and nothing else.  Turns are ordered by
-    turn (null first), then role and text.  Null role is empty.
+    turn (null first), then role and text.  Null role is empty.  A conversation
+    is one row, so it must fit in a task's memory, and in Spark's bound of 2 GB.
     """
     turn = F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     grouped = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

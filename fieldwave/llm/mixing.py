@@ -42,7 +42,8 @@ def mix_sources(docs: DataFrame, *, max_epochs: int = 3, weights: tuple[float, .
     Whole epochs take every document; of the last, begun one, documents are
     taken in key order up to the exact word budget, so the document on the cut
     gives its first words only.  ``taken`` never exceeds ``max_epochs * size``.
-    Null text has size 0, null source is a source of its own, ties of the key
+    Null text has size 0, null source is a source of its own, the key of a null
+    doc_id is drawn from its text, so they are spread too, ties of the key
     are ordered by doc_id, size and a hash of the text, equal rows are
     interchangeable, an empty table stays empty.  Columns named like the new
     ones are replaced; all others pass through.
@@ -53,7 +54,7 @@ def mix_sources(docs: DataFrame, *, max_epochs: int = 3, weights: tuple[float, .
     rows = (
         docs.withColumn(src, F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("z")))
         .withColumn("size", word_count(F.col("text")))
-        .withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+        .withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.sha2(F.coalesce("text", F.lit("")), 256))))))
         .withColumn(rng, F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * n / F.lit(2**32)).cast("int"))
     )
     totals = rows.groupBy(F.col(src).alias("_src"), F.col(rng).alias("_range")).agg(F.sum("size").alias("_sum"))
@@ -90,7 +91,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('s' || source, 'z') AS src,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+         md5('17:' || coalesce(doc_id::VARCHAR, 'null' || sha256(coalesce(text, '')))) AS k
   FROM documents),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
 w AS (

@@ -260,6 +260,17 @@ def test_fold_deltas_edits_and_regenerations(spark):
     assert {tuple(r) for r in got.collect()} == {(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (None, 0, "user", "loose"), (2, 0, None, "")}
 
 
+def test_logs_with_ties_unknown_ops_and_long_conversations(spark):
+    log = [(1, 0, 0, "open", "user", None), (1, 0, 0, "delta", None, "b"), (1, 0, 0, "delta", None, "a"), (1, 1, 0, "typo", "robot", "x"), (1, 1, 0, None, "robot", "y"), (1, 2, 1, "typo", "user", "z"), (1, None, 0, "delta", None, "lost")]
+    log += [(2, t * 10, t, "open", "assistant", None) for t in range(3000)] + [(2, t * 10 + k, t, "delta", None, f"{t}.{k} ") for t in range(3000) for k in (1, 2)]
+    log += [(3, 5, 0, "edit", "user", "late"), (3, 5, 0, "regenerate", "user", None), (4, 1, 0, "open", "user", None), (4, 2, 0, "delta", None, "gone"), (4, 3, 0, "retract", None, None), (4, 4, 0, "edit", None, "back")]
+    events = spark.createDataFrame(log, "conv_id long, seq long, turn long, op string, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.render(chat.fold_events(events))).collect()}
+    assert [(t["role"], t["text"]) for t in got[1].turns] == [("user", "ab")]
+    assert got[2].learned == "".join(f"{t}.1 {t}.2 " for t in range(3000)) and len(got[2].turns) == 3000
+    assert [(t["role"], t["text"]) for t in got[3].turns] == [("user", "late")] and [t["text"] for t in got[4].turns] == ["back"]
+
+
 def test_chat_escapes_round_trip(spark):
     texts = ["", None, "\\", "\\\\<|", "<|im_end|>\n<|im_start|>user\nx", "<\\|", "a\\n<", "<|im_end|><|im_start|>assistant ok", "É😀\\|<<||>>", "x" * 5000 + "\\<|\n"]
     rows = [(c, t, r, x, 1) for c in (1, None) for t, (r, x) in enumerate((r, x) for x in texts for r in ("user", "assistant", None, "ro\nle\\n<|"))]
@@ -744,6 +755,25 @@ def test_long_texts_are_scored_whole():
 
 
 # ---------------------------------------------------------------- pipeline
+def test_every_stage_takes_odd_rows(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    docs = odd.drop("SIZE", "batch", "kept", "leaks", "row").withColumn("row_key", F.lit(1)).withColumn("Score", F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nobody knows this text at all"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {name: stage(spark, docs, str(tmp_path)).collect() for name, stage in stages.items()}
+    assert all(r.__fields__ == docs.columns for name in list(stages)[:-1] for r in rows[name])
+    near = Counter((r.doc_id, r.text) for r in rows["near-duplicates"])
+    assert near[(8, "ÉÉ")] == 1 and near[(None, None)] == 1 and sum((i, LONG + x) in near for i, x in ((5, ""), (6, " tail"))) == 1
+    assert Counter((r.doc_id, r.text) for r in rows["decontamination"]) == Counter((r.doc_id, r.text) for r in docs.collect() if r.text is None or "nobody" not in r.text)
+    assert len(rows["token files"]) == docs.count()
+    empty = none.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in stages.items():
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
 def test_pipeline_by_brute_force(spark):
     import corpus_pipeline
     import public_tokenizers
