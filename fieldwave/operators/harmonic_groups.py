@@ -29,11 +29,12 @@ def spectral_thresholds(spectra: DataFrame, keys: Sequence[str], nbins: int = 10
     return hist_threshold(flat, keys, "_r", 1.0, nbins).select(*keys, (low_fac * F.col("width")).alias("low"), (high_fac * F.col("width")).alias("high"))
 
 
-def harmonic_groups(spectra: DataFrame, keys: Sequence[str], resolution: float, params: GroupParams = GroupParams(), thresholds: DataFrame | None = None) -> DataFrame:
+def harmonic_groups(spectra: DataFrame, keys: Sequence[str], resolution: float, params: GroupParams = GroupParams(), thresholds: DataFrame | None = None, check: Sequence[float] = ()) -> DataFrame:
     """(keys, grp, h, freq, power) of every spectrum; ``spectra(keys, freq, power)``.
 
-    Peaks rise over the low threshold; those over the high one can begin a group.
-    One spectrum is one piece of work.
+    Peaks rise over the low threshold; those that stand over their trough by more
+    than the high one can begin a group.  Groups are numbered by fundamental;
+    fundamentals to ``check`` are tried first.  One spectrum is one piece of work.
     """
     rows = spectra.withColumn("db", 10 * F.log10(F.greatest("power", F.lit(1e-20))))
     limits = thresholds if thresholds is not None else spectral_thresholds(rows, keys)
@@ -44,12 +45,11 @@ def harmonic_groups(spectra: DataFrame, keys: Sequence[str], resolution: float,
         f, db = pdf["freq"].to_numpy(), pdf["db"].to_numpy()
         low, high = float(pdf["low"].iloc[0]), float(pdf["high"].iloc[0])
         peaks, troughs = hysteresis_peaks(db, low)
-        n = min(len(peaks), len(troughs)) or len(peaks)
-        peaks = np.array(peaks[: max(n, len(peaks))], int)
-        if not len(peaks):
+        n = min(len(peaks), len(troughs))
+        peaks, troughs = np.array(peaks[:n], int), np.array(troughs[:n], int)
+        if not n:
             return pd.DataFrame(columns=[*keys, "grp", "h", "freq", "power"])
-        base = np.array([min(db[max(0, k - 20) : k + 21]) for k in peaks])
-        groups = _groups(f[peaks], 10 ** (db[peaks] / 10), db[peaks] - base > high, resolution, params)
+        groups = _groups(f[peaks], 10 ** (db[peaks] / 10), db[peaks] - db[troughs] > high, resolution, params, check)
         out = [pd.DataFrame({"grp": g, "h": rows[:, 0].astype(int), "freq": rows[:, 1], "power": rows[:, 2]}) for g, rows in enumerate(groups)]
         first = pdf.iloc[0]
         made = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["grp", "h", "freq", "power"])
