@@ -247,7 +247,7 @@ def sided(rows: DataFrame) -> DataFrame:
     """``rows(key, rep, label)`` of buckets with size, outside (not in the bucket's largest component) and n_outside; whole buckets of one component go."""
     counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     sides = counts.groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    sides = sides.select("key", "size", (F.col("size") - F.col("top")).alias("n_outside"), "main").where("n_outside > 0")
+    sides = written(sides.select("key", "size", (F.col("size") - F.col("top")).alias("n_outside"), "main").where("n_outside > 0"), "sides")  # a table of its own, so that hot buckets of the other side can be split
     return rows.join(sides, "key").select("key", "rep", "label", "size", "n_outside", (F.col("label") != F.col("main")).alias("outside"))
 
 
@@ -287,7 +287,7 @@ def split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     rows = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     rows = written(rows, "labelled")
     split = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return sided(rows.join(written(split, "split"), "key"))  # a table of its own, so that hot buckets of the other side can be split
+    return sided(written(rows.join(written(split, "split"), "key"), "split-rows"))
 
 
 def _matches(g: dict[str, np.ndarray], least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
