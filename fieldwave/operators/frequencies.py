@@ -75,33 +75,39 @@ def unique_frequencies_index(df: DataFrame, df_thresh: float, keys: Sequence[str
     """(keys, unique, element, id, f): the members of each distinct frequency.
 
     Seeds are taken in (element, f) order; a seed's members are its direct
-    partners, which are then no seeds themselves.  The greedy pass runs per key
-    on its pair list.
+    partners, which are then no seeds themselves.  No partners lie across a gap of
+    the threshold, so the greedy pass runs on stretches between gaps, a few
+    thousand rows of them at a time.
     """
     pairs = similar_frequencies(df, df_thresh, keys)
     listed = pairs.select(*keys, "element", "id", "element_b", "id_b").unionByName(
         pairs.select(*keys, F.col("element_b").alias("element"), F.col("id_b").alias("id"), F.col("element").alias("element_b"), F.col("id").alias("id_b"))
     )
     partners = listed.groupBy(*keys, "element", "id").agg(F.collect_list(F.struct("element_b", "id_b")).alias("partners"))
-    rows = df.select(*keys, "element", "id", "f").join(partners, [*keys, "element", "id"], "left")
+    w = W.partitionBy(*keys).orderBy("f", "element", "id")
+    apart = F.coalesce(F.col("f") - F.lag("f").over(w) >= df_thresh, F.lit(True))
+    rows = df.select(*keys, "element", "id", "f").withColumn("_start", F.when(apart, F.row_number().over(w)))
+    rows = rows.withColumn("_stretch", F.floor(F.max("_start").over(w) / 4096)).drop("_start")
+    rows = rows.join(partners, [*keys, "element", "id"], "left")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["element", "f", "id"], kind="stable")
         value = {(r.element, r.id): r.f for r in pdf.itertuples()}
-        taken, out, n = set(), [], 0
+        taken, out = set(), []
         first = [pdf[k].iloc[0] for k in keys]
         for r in pdf.itertuples():
             if (r.element, r.id) in taken:
                 continue
             members = [(r.element, r.id)] + sorted({(p["element_b"], p["id_b"]) for p in (r.partners if r.partners is not None else [])} - taken)
             taken.update(members)
-            out += [(*first, n, e, i, value[e, i]) for e, i in members]
-            n += 1
-        return pd.DataFrame(out, columns=[*keys, "unique", "element", "id", "f"])
+            out += [(*first, r.element, r.f, r.id, e, i, value[e, i]) for e, i in members]
+        return pd.DataFrame(out, columns=[*keys, "_e", "_f", "_i", "element", "id", "f"])
 
     kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "unique int", f"element {kinds['element']}", f"id {kinds['id']}", "f double"])
-    return rows.groupBy(*keys).applyInPandas(greedy, schema)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"_e {kinds['element']}, _f double, _i {kinds['id']}, element {kinds['element']}, id {kinds['id']}, f double"])
+    made = rows.groupBy(*keys, "_stretch").applyInPandas(greedy, schema)
+    number = F.dense_rank().over(W.partitionBy(*keys).orderBy("_e", "_f", "_i")) - 1
+    return made.withColumn("unique", number).select(*keys, "unique", "element", "id", "f")
 
 
 def relative_power(df: DataFrame, keys: Sequence[str], power: str = "power", name: str = "relpower") -> DataFrame:
@@ -153,34 +159,21 @@ def closest(df: DataFrame, df_thresh: float, close_thresh: float, min_closest: i
     first and last window.
     """
     groups = unique_frequencies_index(df, df_thresh, keys).drop("f").join(df, [*keys, "element", "id"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["element", "power"], ascending=[True, False], kind="stable").drop_duplicates("element")
-        e, f = pdf["element"].to_numpy(), pdf["f"].to_numpy()
-        steps = [(abs(f[i + 1] - f[i]), i) for i in range(len(e) - 1) if e[i + 1] == e[i] + 1]
-        a, b = (0, len(e) - 1) if not steps else (0, 0)
-        if steps:
-            a = min(steps)[1]
-            b = a + 1
-            while True:
-                left = abs(f[a] - f[a - 1]) if a > 0 and e[a - 1] == e[a] - 1 else float("inf")
-                right = abs(f[b + 1] - f[b]) if b + 1 < len(e) and e[b + 1] == e[b] + 1 else float("inf")
-                if min(left, right) >= close_thresh:
-                    break
-                if left <= right:
-                    a -= 1
-                else:
-                    b += 1
-            if b - a + 1 < min_closest:
-                return pdf.head(0)[[*keys, "unique"]].assign(id=0, f=0.0, power=0.0, first=0, last=0)
-        elif min_closest > 1:
-            return pdf.head(0)[[*keys, "unique"]].assign(id=0, f=0.0, power=0.0, first=0, last=0)
-        best = pdf.iloc[a : b + 1].sort_values(["power", "element"], ascending=[False, True], kind="stable").iloc[0]
-        return pd.DataFrame([[*(best[k] for k in keys), best["unique"], best["id"], best["f"], best["power"], e[a], e[b]]], columns=[*keys, "unique", "id", "f", "power", "first", "last"])
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "unique int", f"id {kinds['id']}", "f double, power double, first long, last long"])
-    return groups.groupBy(*keys, "unique").applyInPandas(run, schema)
+    own = [*keys, "unique"]
+    w = W.partitionBy(*own).orderBy("element")
+    rows = groups.withColumn("_n", F.row_number().over(W.partitionBy(*own, "element").orderBy(F.desc("power"), "f", "id"))).where("_n = 1").drop("_n")
+    step = F.when(F.col("element") - F.lag("element").over(w) == 1, F.abs(F.col("f") - F.lag("f").over(w)))
+    rows = rows.withColumn("_step", step)
+    seed = F.min(F.when(F.col("_step").isNotNull(), F.struct("_step", "element"))).over(W.partitionBy(*own))["element"]
+    rows = rows.withColumn("_seed", seed)
+    # steps under the limit are taken from either side in turn, so the run is the stretch of such steps around the seed's own step
+    cut = F.when((F.col("_step") < close_thresh) | (F.col("element") == F.col("_seed")), 0).otherwise(1)
+    rows = rows.withColumn("_run", F.when(F.col("_seed").isNotNull(), F.sum(cut).over(w)).otherwise(0))
+    rows = rows.withColumn("_at", F.max(F.when(F.col("element") == F.col("_seed"), F.col("_run"))).over(W.partitionBy(*own))).where("_at is null or _run = _at")
+    best = F.max_by(F.struct("id", "f", "power"), F.struct("power", -F.col("element"))).alias("best")
+    out = rows.groupBy(*own).agg(best, F.min("element").alias("first"), F.max("element").alias("last"), F.count(F.lit(1)).alias("_len"), F.max("_at").alias("_at"))
+    kept = F.when(F.col("_at").isNull(), F.lit(min_closest <= 1)).otherwise(F.col("_len") >= min_closest)
+    return out.where(kept).select(*own, "best.*", "first", "last")
 
 
 def match_harmonic_power(coeffs: DataFrame, group: DataFrame, keys: Sequence[str]) -> DataFrame:

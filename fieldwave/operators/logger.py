@@ -8,16 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldwave.operators.spectra import filtered_power
 
-def signal_power(samples: DataFrame, keys: Sequence[str], micros: str, v: str, size: int, slide: int) -> DataFrame:
+
+def signal_power(samples: DataFrame, keys: Sequence[str], micros: str, v: str, size: int, slide: int, *, rate: float | None = None, cutoff: float = 10.0) -> DataFrame:
     """(keys, window, std, n): standard deviation in windows of ``size`` microseconds that begin every ``slide``.
 
-    A sample falls in size / slide windows; map-side sums are all that is shuffled.
+    A sample falls in size / slide windows.  With a sampling ``rate``, each window's
+    samples are freed of their baseline and drift first: the mean of the first
+    twentieth goes, then a first-order high-pass at ``cutoff``; one window is one
+    piece of work.  Without it, map-side sums are all that is shuffled.
     """
     last = F.floor(F.col(micros) / slide)
     starts = F.sequence(last - (size // slide - 1), last)
-    rows = samples.select(*keys, v, F.explode(starts).alias("window"))
-    return rows.groupBy(*keys, "window").agg(F.stddev_pop(v).alias("std"), F.count(v).alias("n"))
+    rows = samples.select(*keys, micros, v, F.explode(starts).alias("window"))
+    if rate is None:
+        return rows.groupBy(*keys, "window").agg(F.stddev_pop(v).alias("std"), F.count(v).alias("n"))
+    blocks = rows.where(F.col(v).isNotNull()).groupBy(*keys, "window").agg(F.array_sort(F.collect_list(F.struct(micros, v))).alias("_s"))
+    blocks = blocks.select(*keys, "window", F.size("_s").cast("long").alias("n"), F.transform("_s", lambda s: s[v].cast("double")).alias("v"))
+    return filtered_power(blocks, [*keys, "window", "n"], rate, cutoff).select(*keys, "window", "std", "n")
 
 
 def hist_threshold(df: DataFrame, keys: Sequence[str], value: str, fac: float = 3.0, nbins: int = 500) -> DataFrame:

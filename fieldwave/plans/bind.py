@@ -17,8 +17,8 @@ SAMPLES = f"""s AS (
 WAVES = """w AS (
   SELECT vec_id AS id, label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)"""
 FREQS = f"""f AS (
-  SELECT 'rec' || (user_id % 10) AS recording, user_id AS element, event_id AS id, value AS f,
-    ((event_id * 7919) % 1000) / 10.0 AS power FROM events WHERE value > 0 AND event_type = 'purchase')"""
+  SELECT 'rec' || user_id AS recording, (epoch_us(ts) - {T0}) // 86400000000 AS element, event_id AS id, value AS f,
+    ((event_id * 7919) % 1000) / 10.0 AS power FROM events WHERE value > 0)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +38,11 @@ def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events of one type as frequencies(recording, element, id, f, power)."""
-    rows = table(spark, sf_dir, "events").where("value > 0 and event_type = 'purchase'")
+    """events as frequencies(recording, element, id, f, power): a user's are a recording, whose days are the elements; there is no frequency of zero."""
+    rows = table(spark, sf_dir, "events").where("value > 0")
     power = (F.col("event_id") * 7919 % 1000) / 10.0
-    return rows.select(F.concat(F.lit("rec"), F.col("user_id") % 10).alias("recording"), F.col("user_id").alias("element"), F.col("event_id").alias("id"), F.col("value").alias("f"), power.alias("power"))
+    day = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - T0) / 86_400_000_000)
+    return rows.select(F.concat(F.lit("rec"), "user_id").alias("recording"), day.alias("element"), F.col("event_id").alias("id"), F.col("value").alias("f"), power.alias("power"))
 
 
 def r6(c: Column | str) -> Column:

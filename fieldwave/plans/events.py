@@ -81,11 +81,11 @@ def pulse_or_wave(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir):
-    rows = samples(spark, sf_dir).where("channel < 60")
+    rows = samples(spark, sf_dir)
     return rows.select("channel", "t", "event_id", (F.col("idx") % 7 * F.col("idx") % 5).alias("label"), (F.col("v") * 100).alias("width"))
 
 
-_CLUST = f"{SAMPLES}, c AS (SELECT channel, t, event_id, idx % 7 * idx % 5 AS label, v * 100 AS width FROM s WHERE channel < 60)"
+_CLUST = f"{SAMPLES}, c AS (SELECT channel, t, event_id, idx % 7 * idx % 5 AS label, v * 100 AS width FROM s)"
 
 
 def pruned(spark, sf_dir):
@@ -110,12 +110,13 @@ def width_filter(spark, sf_dir):
 
 
 def _snips(spark, sf_dir):
-    rows = samples(spark, sf_dir)
-    return V.snippets(rows, rows.where("idx % 9 = 4").select("channel", "idx"), _KEYS, 3, 5, block=16)
+    """Samples around every peak."""
+    peaks = _extrema(spark, sf_dir).where("kind = 'peak'").select("channel", "idx")
+    return V.snippets(samples(spark, sf_dir), peaks, _KEYS, 3, 5, block=16)
 
 
-_SNIP = f"""{SAMPLES}, l AS (SELECT channel, max(idx) AS last FROM s GROUP BY channel),
-sn AS (SELECT s.channel, e.idx AS event, s.idx - e.idx AS pos, s.v FROM s JOIN s e ON s.channel = e.channel AND e.idx % 9 = 4 AND s.idx BETWEEN e.idx - 3 AND e.idx + 4
+_SNIP = f"""{_EXT}, l AS (SELECT channel, max(idx) AS last FROM s GROUP BY channel),
+sn AS (SELECT s.channel, e.idx AS event, s.idx - e.idx AS pos, s.v FROM s JOIN e ON s.channel = e.channel AND e.kind = 'peak' AND s.idx BETWEEN e.idx - 3 AND e.idx + 4
   JOIN l ON l.channel = s.channel WHERE e.idx >= 3 AND e.idx + 4 <= last)"""
 
 
@@ -235,6 +236,14 @@ QUERIES = {
     "w10_analysis_window": analysis_window,
 }
 SQL = {
+    "w1_detect_peaks": f"""WITH RECURSIVE {SAMPLES}, c AS MATERIALIZED (SELECT channel, idx, v FROM s),
+r AS (SELECT channel, idx, 0 AS way, v AS hv, idx AS hi, v AS lv, idx AS li, NULL::VARCHAR AS kind, idx AS at_idx, v AS at_v FROM c WHERE idx = 0
+  UNION ALL SELECT channel, idx, CASE kind WHEN 'peak' THEN -1 WHEN 'trough' THEN 1 ELSE way END, CASE kind WHEN 'trough' THEN v ELSE hv END, CASE kind WHEN 'trough' THEN idx ELSE hi END,
+    CASE kind WHEN 'peak' THEN v ELSE lv END, CASE kind WHEN 'peak' THEN idx ELSE li END, kind, CASE kind WHEN 'peak' THEN hi WHEN 'trough' THEN li END, CASE kind WHEN 'peak' THEN hv WHEN 'trough' THEN lv END
+  FROM (SELECT *, CASE WHEN way >= 0 AND hv - v > 10 THEN 'peak' WHEN way <= 0 AND v - lv > 10 THEN 'trough' END AS kind FROM (
+    SELECT r.channel, c.idx, c.v, way, CASE WHEN way >= 0 AND c.v > hv THEN c.v ELSE hv END AS hv, CASE WHEN way >= 0 AND c.v > hv THEN c.idx ELSE hi END AS hi,
+      CASE WHEN way <= 0 AND c.v < lv THEN c.v ELSE lv END AS lv, CASE WHEN way <= 0 AND c.v < lv THEN c.idx ELSE li END AS li FROM r JOIN c ON c.channel = r.channel AND c.idx = r.idx + 1)))
+SELECT channel, at_idx::INT AS idx, at_v AS v, kind FROM r WHERE kind IS NOT NULL""",
     "w2_trim_events": f"WITH {_EXT}, {_TRIM.format('e')} SELECT a.channel, a.n::INT AS n, a.idx::INT AS peak_idx, b.idx::INT AS trough_idx FROM p a JOIN p b USING (channel, n) WHERE a.kind = 'peak' AND b.kind = 'trough'",
     "w2_trim_to_peak": f"WITH {_PAIRS} SELECT channel, n::INT AS n, peak_idx::INT AS peak_idx, trough_idx::INT AS trough_idx FROM pr",
     "w3_side_peaks": f"WITH {_SIDES} SELECT channel, idx::INT AS idx, trough_idx::INT AS trough_idx, round(height, 6) AS height, round(width, 6) AS width FROM sp",

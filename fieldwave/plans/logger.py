@@ -10,6 +10,13 @@ from fieldwave.operators import logger as L
 from .bind import SAMPLES, T0, r6, samples, table
 
 _DAY = 86_400_000_000
+_RATE, _CUTOFF = 1000.0, 50.0
+#: (keys, std, n) of filtered(keys, i, v) in SQL: the high-pass written out as the sum of its weighted steps.
+_K = f"tan(pi() * {_CUTOFF} / {_RATE})"
+FILTERED_STD = f"""xi AS (SELECT *, row_number() OVER (PARTITION BY channel, "window" ORDER BY us, v) - 1 AS i, count(*) OVER (PARTITION BY channel, "window") AS n FROM x),
+dd AS (SELECT channel, "window", i, n, (v - coalesce(lag(v) OVER (PARTITION BY channel, "window" ORDER BY i), v)) / (1 + {_K}) AS d FROM xi),
+yy AS (SELECT a.channel, a."window", a.i, a.n, sum(b.d * pow((1 - {_K}) / (1 + {_K}), a.i - b.i)) AS y FROM dd a JOIN dd b ON a.channel = b.channel AND a."window" = b."window" AND b.i <= a.i GROUP BY ALL),
+ps AS (SELECT channel, "window", stddev_pop(y) AS std, count(*) AS n FROM yy GROUP BY ALL)"""
 _POWER = f"""{SAMPLES},
 x AS (SELECT channel, v, us // {_DAY} - k AS "window" FROM s, range(2) r(k)),
 p AS (SELECT channel, "window", stddev_pop(v) AS std, count(v) AS n FROM x GROUP BY ALL)"""
@@ -32,7 +39,8 @@ def power(spark, sf_dir):
 
 
 def signal_power(spark, sf_dir):
-    return power(spark, sf_dir).select("channel", "window", r6("std").alias("std"), "n")
+    out = L.signal_power(samples(spark, sf_dir), ["channel"], "us", "v", 2 * _DAY, _DAY, rate=_RATE, cutoff=_CUTOFF)
+    return out.select("channel", "window", r6("std").alias("std"), "n")
 
 
 def _loud(spark, sf_dir):
@@ -74,8 +82,10 @@ def shifted_times(spark, sf_dir):
 
 
 def power_round_trip(spark, sf_dir):
-    long = power(spark, sf_dir).where("channel < 4").select("window", "channel", r6("std").alias("std"), F.col("n").cast("int").alias("supra"))
-    return L.read_power(L.write_power(long, ["window"], [0, 1, 2, 3]), ["window"], [0, 1, 2, 3])
+    """Channels in loggers of four, each a wide table."""
+    device, channel = F.floor(F.col("channel") / 4).alias("device"), (F.col("channel") % 4).cast("int").alias("channel")
+    long = power(spark, sf_dir).select("window", device, channel, r6("std").alias("std"), F.col("n").cast("int").alias("supra"))
+    return L.read_power(L.write_power(long, ["window", "device"], [0, 1, 2, 3]), ["window", "device"], [0, 1, 2, 3])
 
 
 def occurrence_times(spark, sf_dir):
@@ -103,7 +113,7 @@ QUERIES = {
     "s7_occurrence_times": occurrence_times,
 }
 SQL = {
-    "a1_signal_power": f'WITH {_POWER} SELECT channel, "window", round(std, 6) AS std, n FROM p',
+    "a1_signal_power": f'WITH {_POWER.replace("SELECT channel, v, us", "SELECT channel, v, us, us")}, {FILTERED_STD} SELECT channel, "window", round(std, 6) AS std, n FROM ps',
     "a2_power_threshold": f"WITH {_POWER}, {_hist_sql('p', 'channel', 'std', 0.5, 20)} SELECT channel, round(center, 6) AS center, round(width, 6) AS width, round(threshold, 6) AS threshold FROM th",
     "a2_price_threshold": f"WITH {_hist_sql('lineitem', 'l_suppkey', 'l_extendedprice', 3.0, 100)} SELECT l_suppkey, round(center, 6) AS center, round(width, 6) AS width, round(threshold, 6) AS threshold FROM th",
     "logger_power_summary": f"""WITH {_POWER}, {_hist_sql('p', 'channel', 'std', 0.5, 20)},
@@ -116,7 +126,7 @@ SELECT channel AS source, round(min(f), 6) AS min_std, round(max(f), 6) AS max_s
     "w21_file_offsets": """SELECT o_custkey, o_orderkey, coalesce(sum(round(o_totalprice * 100)::BIGINT) OVER (
   PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM orders""",
     "s8_shifted_times": f"WITH {_SESS} SELECT channel, session::BIGINT AS session, 1000000 + tstart - (SELECT min(tstart) FROM o) AS tstart, 1000000 + tend - (SELECT min(tstart) FROM o) AS tend FROM o",
-    "s6_power_round_trip": f'WITH {_POWER} SELECT "window", channel::INT AS channel, round(std, 6) AS std, n::INT AS supra FROM p WHERE channel < 4',
+    "s6_power_round_trip": f'WITH {_POWER} SELECT "window", channel // 4 AS device, (channel % 4)::INT AS channel, round(std, 6) AS std, n::INT AS supra FROM p WHERE std IS NOT NULL',
     "s7_occurrence_times": f"""WITH {_SESS} SELECT channel, session::BIGINT AS session,
   strftime(make_timestamp(tstart + {T0}), '%Y-%m-%dT%H:%M:%S') AS tstart, strftime(make_timestamp(tend + {T0}), '%Y-%m-%dT%H:%M:%S') AS tend,
   (tstart + {T0}) // 1000000 AS start_s, (tend + {T0}) // 1000000 AS end_s FROM o""",

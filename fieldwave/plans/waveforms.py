@@ -65,7 +65,7 @@ def coeffs(spark, sf_dir):
 
 
 def synthesis(spark, sf_dir):
-    times = waveforms(spark, sf_dir).where("pos < 8").select("id", (F.col("pos") / 64).alias("t"))
+    times = waveforms(spark, sf_dir).select("id", (F.col("pos") / 64).alias("t"))
     return A.fourier_synthesis(_coeffs(spark, sf_dir), times, _K, 2.0).select("id", "t", r6("v").alias("v"))
 
 
@@ -192,7 +192,7 @@ SELECT id, {_r(*_PULSE)} FROM z""",
 q AS (SELECT id, max(v) AS hi, min(v) AS lo, arg_min(t, v) - arg_max(t, v) AS d, sqrt(avg(0.01 * v * v)) AS e FROM p GROUP BY id)
 SELECT id, round(hi - lo, 6) AS ppampl, round(greatest(abs(hi), abs(lo)) / (hi - lo), 6) AS relmaxampl, round(d, 6) AS ppdist, round(least(abs(d), 0.5 - abs(d)), 6) AS minppdist, round(e / (hi - lo), 6) AS rmserror FROM q""",
     "m4_fourier_coeffs": f"WITH {_CO} SELECT id, h::INT AS h, {_r('re', 'im')} FROM co",
-    "m4_fourier_synthesis": f"WITH {_CO} SELECT id, i / 64.0::DOUBLE AS t, round(sum(re * cos(2 * pi() * h * 2 * i / 64) - im * sin(2 * pi() * h * 2 * i / 64)), 6) AS v FROM co, range(8) r(i) GROUP BY id, i",
+    "m4_fourier_synthesis": f"WITH {_CO} SELECT id, i / 64.0::DOUBLE AS t, round(sum(re * cos(2 * pi() * h * 2 * i / 64) - im * sin(2 * pi() * h * 2 * i / 64)), 6) AS v FROM co, range(64) r(i) GROUP BY id, i",
     "m6_condition_wave": f"WITH {_CO}, fl AS (SELECT id, h, -re AS re, -im AS im FROM co), {_NORM.format('fl')} SELECT id, h::INT AS h, {_r('re', 'im')} FROM nm",
     "m7_unfilter": f"""WITH {SAMPLES}, d AS (SELECT channel, idx, v - avg(v) OVER (PARTITION BY channel) AS d FROM s)
 SELECT channel, idx::INT AS idx, round(d + (first(d) OVER (PARTITION BY channel ORDER BY idx) + coalesce(sum(d) OVER (PARTITION BY channel ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (1 / (2 * pi() * 10) * 1000), 5) AS v FROM d""",

@@ -8,7 +8,7 @@ from fieldwave import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MAY_BE_EMPTY = {"w14_chirps", "j11_consistent", "j12_closest"}  # on tables this small
+MAY_BE_EMPTY = {"j11_consistent", "j12_closest"}  # on tables this small
 
 
 @pytest.fixture(scope="module")
