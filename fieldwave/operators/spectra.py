@@ -153,13 +153,13 @@ def assign_species(fish: DataFrame, templates: DataFrame, max_rms: float, kind:
     return best.select(*columns, F.when(F.col("best.rms") < max_rms, F.col("best.species")).otherwise("unknown").alias("species"), F.col("best.rms").alias("rms"))
 
 
-def chirps(spectra: DataFrame, fundamentals: DataFrame, keys: Sequence[str], tol: float = 1.0, max_dur: float = 1.0, frame: int = 50) -> DataFrame:
+def chirps(spectra: DataFrame, fundamentals: DataFrame, keys: Sequence[str], tol: float = 1.0, max_dur: float = 1.0, frame: int = 50, depth: float = 3.0) -> DataFrame:
     """(keys, f, t): moments at which the power around a fundamental dips.
 
     ``spectra(keys, t, freq, power)``, ``fundamentals(keys, f)``.  Per fundamental the
     largest power within ``tol`` follows in time; rises after falls of more than a
     standard deviation of its steps, less than ``max_dur`` apart, mark a dip; it
-    counts when the least power within ``frame`` steps is under median - 3 std there.
+    counts when the least power within it is under median - ``depth`` std of ``frame`` steps around.
     """
     from fieldwave.operators.events import hysteresis_peaks
 
@@ -180,7 +180,7 @@ def chirps(spectra: DataFrame, fundamentals: DataFrame, keys: Sequence[str], tol
                 if later and t[later[0]] - t[low] < max_dur:
                     mid = (low + later[0]) // 2
                     near = p[max(0, mid - frame) : mid + frame + 1]
-                    if p[low : later[0] + 2].min() < np.median(near) - 3 * near.std(ddof=1):
+                    if p[low : later[0] + 2].min() < np.median(near) - depth * near.std(ddof=1):
                         rows.append(t[mid])
         first = pdf.iloc[0]
         return pd.DataFrame({**{k: [first[k]] * len(rows) for k in keys}, "f": [first["f"]] * len(rows), "t": rows})
@@ -189,15 +189,15 @@ def chirps(spectra: DataFrame, fundamentals: DataFrame, keys: Sequence[str], tol
     return trace.groupBy(*keys, "f").applyInPandas(find, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "f double", "t double"]))
 
 
-def chirp_rise_check(found: DataFrame, spectra: DataFrame, keys: Sequence[str], above: float = 50.0, tol: float = 1.0, frame: float = 1.0, most: float = 1e-3) -> DataFrame:
-    """Chirps stay whose power at f + ``above`` exceeds median + 3 std of its surroundings, or where that median is over ``most``."""
+def chirp_rise_check(found: DataFrame, spectra: DataFrame, keys: Sequence[str], above: float = 50.0, tol: float = 1.0, frame: float = 1.0, most: float = 1e-3, height: float = 3.0) -> DataFrame:
+    """Chirps stay whose power at f + ``above`` exceeds median + ``height`` std of its surroundings, or where that median is over ``most``."""
     near = F.floor(F.col("t") / frame)
     rows = found.withColumn("_b", F.explode(F.array(near - 1, near, near + 1)))
     other = spectra.select(*keys, F.col("t").alias("_t"), "freq", "power", F.floor(F.col("t") / frame).alias("_b"))
     met = rows.join(other, [*keys, "_b"]).where((F.abs(F.col("_t") - F.col("t")) <= frame) & (F.abs(F.col("freq") - F.col("f") - above) <= tol))
     each = met.groupBy(*keys, "f", "t", "_t").agg(F.max("power").alias("power"))
     stats = each.groupBy(*keys, "f", "t").agg(F.median("power").alias("_m"), F.stddev_samp("power").alias("_s"), F.max_by("power", -F.abs(F.col("_t") - F.col("t"))).alias("_p"))
-    return stats.where((F.col("_m") > most) | (F.col("_p") > F.col("_m") + 3 * F.col("_s"))).select(*keys, "f", "t")
+    return stats.where((F.col("_m") > most) | (F.col("_p") > F.col("_m") + height * F.col("_s"))).select(*keys, "f", "t")
 
 
 def waveform_pca(arrays: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldwave.functions.columns import decibel
@@ -16,7 +18,12 @@ from fieldwave.operators import waveforms as A
 from fieldwave.streaming import power as P
 from fieldwave.streaming import tracking as R
 
-from .bind import r6, samples, table, waveforms
+from fieldwave.sources import readers as IO
+
+from .bind import SAMPLES, WAVES, r6, samples, scratch, table, waveforms
+from .logger import FILTERED_STD, _hist_sql
+from .waveforms import SQL as WAVEFORM_SQL
+from .waveforms import pulse_properties
 
 
 def _arrays(spark, sf_dir):
@@ -51,9 +58,11 @@ def energy(spark, sf_dir):
 
 
 def pulse_train(spark, sf_dir):
-    events = samples(spark, sf_dir).where("channel < 10").select((F.col("channel") % 10).alias("label"), F.floor(F.col("us") / 3_600_000_000).alias("idx")).distinct()
+    """Each channel's hours with events are the times of the mean pulse of its label, the channel's last digit."""
+    events = samples(spark, sf_dir).select("channel", F.floor(F.col("us") / 3_600_000_000).alias("idx")).distinct()
     mean = A.mean_waveform(waveforms(spark, sf_dir).withColumnRenamed("id", "event"), ["label"]).select(F.col("label").cast("long").alias("label"), (F.col("pos") - 32).alias("pos"), F.col("mean").alias("v"))
-    return S.pulse_train(events, mean, ["label"]).withColumn("v", r6("v"))
+    waves = events.select("channel", (F.col("channel") % 10).alias("label")).distinct().join(mean, "label")
+    return S.pulse_train(events, waves, ["channel"]).withColumn("v", r6("v"))
 
 
 def artefacts(spark, sf_dir):
@@ -68,15 +77,23 @@ def species(spark, sf_dir):
 
 def wave_species(spark, sf_dir):
     rows = _timed(spark, sf_dir).withColumn("EODf", F.lit(2.0))
-    templates = rows.where("id < 5").select(F.concat(F.lit("wave"), "id").alias("species"), F.col("time").alias("ttime"), F.col("v").alias("tv"), F.lit(2.0).alias("tEODf"))
+    templates = rows.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("id"))).where("n = 1").select(F.concat(F.lit("wave"), "label").alias("species"), F.col("time").alias("ttime"), F.col("v").alias("tv"), F.lit(2.0).alias("tEODf"))
     return S.assign_species(rows, templates, 0.8, "wave").select("id", "species", r6("rms").alias("rms"))
 
 
-def chirps(spark, sf_dir):
+def _chirps(spark, sf_dir):
     spectra = S.spectrogram(S.blocks(samples(spark, sf_dir), ["channel"], 64, 0), ["channel", "block"], 1000.0, 100.0, 0.9)
     spectra = spectra.withColumn("t", (F.col("block") * 64 + F.col("win")) / 1000.0)
-    found = S.chirps(spectra, spectra.groupBy("channel").agg(F.lit(250.0).alias("f")), ["channel"], 40.0, 0.02, 25)
-    return found.select("channel", "f", r6("t").alias("t"))
+    return spectra, S.chirps(spectra, spectra.groupBy("channel").agg(F.lit(250.0).alias("f")), ["channel"], 40.0, 0.02, 25, depth=0.5)
+
+
+def chirps(spark, sf_dir):
+    return _chirps(spark, sf_dir)[1].select("channel", "f", r6("t").alias("t"))
+
+
+def chirp_rises(spark, sf_dir):
+    spectra, found = _chirps(spark, sf_dir)
+    return S.chirp_rise_check(found, spectra, ["channel"], 62.5, 40.0, 0.05, 1e5, 1.0).select("channel", "f", r6("t").alias("t"))
 
 
 def pca(spark, sf_dir):
@@ -160,7 +177,7 @@ def block_labels(spark, sf_dir):
 
 
 def walks(spark, sf_dir):
-    rows = samples(spark, sf_dir).where("v > 0").select("channel", "idx", (F.col("idx") % 2).alias("label"), F.col("v").alias("height"))
+    rows = samples(spark, sf_dir).select("channel", "idx", (F.col("idx") % 2).alias("label"), F.col("v").alias("height"))
     return R.amplitude_walk(rows, ["channel"])
 
 
@@ -171,10 +188,42 @@ def online(spark, sf_dir):
 
 def window_power(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("v"))
-    out = P.stream_signal_power(rows, ["channel"], size="2 days", slide="1 day", threshold=30.0)
+    out = P.stream_signal_power(rows, ["channel"], size="2 days", slide="1 day", threshold=30.0, rate=1000.0, cutoff=50.0)
     return out.select("channel", F.unix_seconds("start").alias("start_s"), r6("std").alias("std"), "n", "loud")
 
 
+def window_frequencies(spark, sf_dir):
+    """Harmonic groups of every channel's windows of ten days, samples taken as a thousand a second."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("v"))
+    windows = P.window_spectra(rows, ["channel"], 1000.0, 32.0, size="10 days")
+    limits = windows.select("channel", "start", F.lit(3.0).alias("low"), F.lit(5.0).alias("high"))
+    out = P.window_frequencies(windows, ["channel"], 1000.0, 32.0, H.GroupParams(max_freq_tol=40.0, max_freq=500.0, max_harmonics_db=5.0), limits)
+    return out.select("channel", F.unix_seconds("start").alias("start_s"), "grp", "h", r6("freq").alias("freq"), r6("power").alias("power"))
+
+
+def spectral_limits(spark, sf_dir):
+    """Low and high thresholds of each label's spectrum: decibel of squared samples by position."""
+    rows = waveforms(spark, sf_dir).select("label", (F.col("pos") + F.col("id") / 1e6).alias("freq"), decibel(F.col("v") * F.col("v"), 1.0, 1e-12).alias("db"))
+    return H.spectral_thresholds(rows, ["label"], 20).select("label", r6("low").alias("low"), r6("high").alias("high"))
+
+
+def recording_blocks(spark, sf_dir):
+    """Events written as sample tables, read as blocks, and laid out again."""
+    rows = samples(spark, sf_dir).select(F.concat(F.lit("rec"), F.col("channel") % 10).alias("recording"), F.col("channel").cast("int").alias("channel"), F.col("idx").cast("long").alias("idx"), "v")
+    path = scratch(spark, "samples")
+    rows.write.parquet(path)
+    return IO.exploded(IO.read_samples(spark, path, "parquet", 16)).select("recording", "channel", "idx", r6("v").alias("v"))
+
+
+def stored_waveforms(spark, sf_dir):
+    """Mean waveforms stored in file units, milliseconds, and read back."""
+    rows = A.mean_waveform(waveforms(spark, sf_dir).withColumnRenamed("id", "event"), ["label"])
+    rows = rows.select(F.concat(F.lit("rec"), "label").alias("recording"), (F.col("pos") / 64).alias("time"), "mean", "sem")
+    path = scratch(spark, "waveforms")
+    IO.write_analysis(rows, path, "eodwaveform")
+    return spark.read.parquet(path).select("recording", r6("time").alias("time_ms"), r6("mean").alias("mean"), r6("sem").alias("sem"))
+
+
 def session_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), F.col("ts").cast("timestamp").alias("ts"))
     out = P.stream_sessions(rows, ["channel"], gap="6 hours")
@@ -187,8 +236,8 @@ def pulses(spark, sf_dir):
 
 
 def pulse_rows(spark, sf_dir):
-    events = samples(spark, sf_dir).where("channel < 50").select(F.col("channel").alias("id"), "t")
-    rows = J.analyze_pulse(waveforms(spark, sf_dir).where("id < 50").select("id", "pos", "v"), events, ["id"], 64.0)
+    events = samples(spark, sf_dir).select(F.col("channel").alias("id"), "t")
+    rows = J.analyze_pulse(waveforms(spark, sf_dir).select("id", "pos", "v"), events, ["id"], 64.0)
     return rows.select("id", "flipped", "nphases", *(r6(c).alias(c) for c in ("ppampl", "ppdist", "median", "EODf", "peakfreq", "tau")))
 
 
@@ -230,10 +279,22 @@ def decibels(spark, sf_dir):
 
 
 def property_columns(spark, sf_dir):
-    rows = pulse_rows(spark, sf_dir).withColumn("P1ampl", F.col("ppampl")).withColumn("P2time", F.col("tau"))
+    rows = pulse_properties(spark, sf_dir).withColumns({"P1ampl": F.col("ppampl"), "P2ampl": F.when(F.col("id") % 7 > 0, F.col("ppampl")), "P2time": F.col("ppdist")})
     return T.select_property_columns(rows, "pulse", ["noise", "timing", "ampl", "time"], n=2, extra=["id"])
 
 
+def _spectrum_sql(segments: str, keys: str, nfft: int, rate: float) -> str:
+    """spec(keys, f, power): one-sided Hann power density of segments(keys, k, x)."""
+    hann = f"0.5 * (1 - cos(2 * pi() * k / {nfft}))"
+    total = float(sum((0.5 * (1 - np.cos(2 * np.pi * k / nfft))) ** 2 for k in range(nfft)))
+    return f"""seg AS ({segments}), mid AS (SELECT {keys}, avg(x) AS m FROM seg GROUP BY ALL),
+dft AS (SELECT {keys}, f, sum((x - m) * {hann} * cos(2 * pi() * f * k / {nfft})) AS re, sum((x - m) * {hann} * sin(2 * pi() * f * k / {nfft})) AS im FROM seg JOIN mid USING ({keys}), range({nfft // 2 + 1}) r(f) GROUP BY ALL),
+spec AS (SELECT {keys}, f, (re * re + im * im) / {rate * total!r} * CASE WHEN f IN (0, {nfft // 2}) THEN 1 ELSE 2 END AS power FROM dft)"""
+
+
+#: Rows (k, pos, weight) of the projection on Chebyshev polynomials of 64 samples.
+_BASIS = ", ".join(f"({k}, {i}, {c!r}::DOUBLE)" for k, row in enumerate(np.linalg.pinv(np.polynomial.chebyshev.chebvander(np.linspace(-1, 1, 64), 5)).tolist()) for i, c in enumerate(row))
+
 QUERIES = {
     "c3_extract_pulses": pulses,
     "c4_analyze_pulse": pulse_rows,
@@ -254,6 +315,11 @@ QUERIES = {
     "j5_pulse_species": species,
     "m9_wave_species": wave_species,
     "w14_chirps": chirps,
+    "w15_chirp_rises": chirp_rises,
+    "a2_spectral_thresholds": spectral_limits,
+    "s1_recording_blocks": recording_blocks,
+    "s5_stored_waveforms": stored_waveforms,
+    "r4_window_frequencies": window_frequencies,
     "m16_waveform_pca": pca,
     "m17_poly_features": features,
     "m15_tail_time_constant": tails,
@@ -277,14 +343,14 @@ QUERIES = {
 SQL = {
     "p2_decibel": """WITH w AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)
 SELECT id, pos::INT AS pos, round(CASE WHEN v * v < 1e-12 THEN '-inf'::DOUBLE ELSE 10 * log10(v * v / 2.0) END, 6) AS db FROM w""",
-    "r1_window_power": """WITH x AS (SELECT user_id AS channel, value AS v, epoch_us(ts) // 86400000000 - k AS d FROM events, range(2) r(k))
-SELECT channel, d * 86400 AS start_s, round(stddev_pop(v), 6) AS std, count(v) AS n, stddev_pop(v) > 30 AS loud FROM x GROUP BY channel, d""",
+    "r1_window_power": f"""WITH x AS (SELECT user_id AS channel, value AS v, epoch_us(ts) AS us, epoch_us(ts) // 86400000000 - k AS "window" FROM events, range(2) r(k)), {FILTERED_STD}
+SELECT channel, "window" * 86400 AS start_s, round(std, 6) AS std, n, std > 30 AS loud FROM ps""",
     "r3_session_windows": """WITH g AS (SELECT user_id AS channel, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 21600000000 AS new FROM events),
 h AS (SELECT *, sum(coalesce(new, false)::INT) OVER (PARTITION BY channel ORDER BY us) AS s FROM g) SELECT channel, min(us) AS tstart, max(us) AS tend, count(*) AS n FROM h GROUP BY channel, s""",
-    "m3_pulse_train": """WITH e AS (SELECT DISTINCT user_id % 10 AS label, (epoch_us(ts) - 1704067200000000) // 3600000000 AS idx FROM events WHERE user_id < 10),
-n AS (SELECT *, lag(idx) OVER w AS b, lead(idx) OVER w AS a FROM e WINDOW w AS (PARTITION BY label ORDER BY idx)),
+    "m3_pulse_train": """WITH e AS (SELECT DISTINCT user_id AS channel, (epoch_us(ts) - 1704067200000000) // 3600000000 AS idx FROM events),
+n AS (SELECT *, lag(idx) OVER w AS b, lead(idx) OVER w AS a FROM e WINDOW w AS (PARTITION BY channel ORDER BY idx)),
 w AS (SELECT label, pos - 32 AS pos, avg(v) AS v FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL)
-SELECT label, idx + pos AS idx, round(v, 6) AS v FROM n JOIN w USING (label) WHERE (b IS NULL OR pos > (b - idx) / 2) AND (a IS NULL OR pos <= (a - idx) / 2)""",
+SELECT channel, idx + pos AS idx, round(v, 6) AS v FROM n JOIN w ON w.label = n.channel % 10 WHERE (b IS NULL OR pos > (b - idx) / 2) AND (a IS NULL OR pos <= (a - idx) / 2)""",
     "w16_moving_sources": """WITH s AS (SELECT user_id AS channel, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 4 AS label, (epoch_us(ts) - 1704067200000000) / 1e6 / 86400 AS t, value / 1e5 AS width, value AS height FROM events),
 z AS (SELECT channel, greatest(2.0, 2000 * median(width)) AS dt, min(t) AS t0 FROM s GROUP BY channel),
 x AS (SELECT s.*, greatest(0, ceil((t - t0 - dt) / 0.5 + 1e-9))::BIGINT AS a, floor((t - t0) / 0.5)::BIGINT AS b FROM s JOIN z USING (channel)),
@@ -292,4 +358,34 @@ y AS (SELECT *, unnest(range(a, greatest(a, b) + 1)) AS w FROM x),
 e AS (SELECT channel, w, label, count(*) AS n, sum(height) AS h FROM y GROUP BY ALL),
 k AS (SELECT channel, w, count(*) AS k, count(*) FILTER (n < 2) AS sp, sum(h) / sum(n) AS m FROM e GROUP BY ALL),
 b AS (SELECT channel, w FROM k QUALIFY row_number() OVER (PARTITION BY channel ORDER BY k, sp, -m, w) = 1) SELECT channel, label::INT AS label FROM e JOIN b USING (channel, w)""",
+    "m1_psd": f"""WITH {SAMPLES}, bl AS (SELECT channel, b AS block, idx - b * 32 AS i, v FROM (SELECT channel, idx, v, unnest(CASE WHEN idx >= 32 AND idx % 32 < 16 THEN [idx // 32 - 1, idx // 32] ELSE [idx // 32] END) AS b FROM s)),
+ln AS (SELECT channel, block, max(i) + 1 AS len FROM bl GROUP BY ALL), st AS (SELECT *, unnest(CASE WHEN len >= 48 THEN [0, 16] ELSE [0] END) AS start FROM ln),
+{_spectrum_sql("SELECT g.channel, g.block, g.start, g.k, coalesce(bl.v, 0) AS x FROM (SELECT * FROM st, range(32) r(k)) g LEFT JOIN bl ON bl.channel = g.channel AND bl.block = g.block AND bl.i = g.k + g.start", "channel, block, start", 32, 1000.0)}
+SELECT channel, block, f * 1000.0::DOUBLE / 32 AS freq, round(avg(power), 6) AS power FROM spec GROUP BY channel, block, f""",
+    "m1_spectrogram": f"""WITH {WAVES}, {_spectrum_sql("SELECT id, win, k, v AS x FROM w, range(7) a(win), range(16) r(k) WHERE pos = win * 8 + k", "id, win", 16, 64.0)}
+SELECT id, win, f * 4.0 AS freq, round(power, 6) AS power FROM spec""",
+    "m2_pulse_spectrum": f"""WITH {WAVES}, e AS (SELECT id, (avg(v) FILTER (pos < 3) + avg(v) FILTER (pos > 60)) / 2 AS m FROM w GROUP BY id),
+x AS (SELECT id, pos, (v - m) * CASE WHEN pos < 3 THEN pos / 3 WHEN pos > 60 THEN (63 - pos) / 3 ELSE 1 END AS x FROM w JOIN e USING (id)),
+d AS (SELECT id, f, sum(x * cos(2 * pi() * f * pos / 64)) AS re, sum(x * sin(2 * pi() * f * pos / 64)) AS im FROM x, range(33) r(f) GROUP BY ALL)
+SELECT id, f::DOUBLE AS freq, round((re * re + im * im) / 4096 * CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END, 9) AS energy FROM d""",
+    "m11_upsample": f"""WITH {WAVES}, g AS (SELECT i / 4 AS u, least(62, greatest(1, round_even(i / 4, 0)))::BIGINT AS k FROM range(253) r(i)),
+y AS (SELECT w.id, b.v + (u - k) * (c.v - w.v) / 2 + (u - k) * (u - k) * (w.v - 2 * b.v + c.v) / 2 AS y FROM g JOIN w ON w.pos = k - 1 JOIN w b ON b.id = w.id AND b.pos = k JOIN w c ON c.id = w.id AND c.pos = k + 1)
+SELECT id, count(*)::INT AS n, round(max(y), 6) AS top FROM y GROUP BY id""",
+    "m13_filtered_power": f"""WITH {WAVES}, d AS (SELECT id, pos, (v - coalesce(lag(v) OVER (PARTITION BY id ORDER BY pos), v)) / (1 + tan(pi() / 64)) AS d FROM w),
+y AS (SELECT a.id, a.pos, sum(b.d * pow((1 - tan(pi() / 64)) / (1 + tan(pi() / 64)), a.pos - b.pos)) AS y FROM d a JOIN d b ON a.id = b.id AND b.pos <= a.pos GROUP BY ALL)
+SELECT id, round(stddev_pop(y), 6) AS std FROM y GROUP BY id""",
+    "m17_poly_features": f"""WITH {WAVES}, b(k, pos, c) AS (VALUES {_BASIS}),
+f AS (SELECT id, k, sum(c * v) AS feature FROM w JOIN b USING (pos) GROUP BY ALL UNION ALL SELECT id, 6, 0.1 * (max(v) - min(v)) FROM w GROUP BY id)
+SELECT id, k::INT AS k, round(feature, 6) AS feature FROM f""",
+    "a20_artefact_clusters": f"""WITH {WAVES}, m AS (SELECT id, avg(v) AS m FROM w GROUP BY id),
+d AS (SELECT id, f, sum((v - m) * cos(2 * pi() * f * pos / 64)) AS re, sum((v - m) * sin(2 * pi() * f * pos / 64)) AS im FROM w JOIN m USING (id), range(33) r(f) GROUP BY ALL)
+SELECT id, coalesce(sum(re * re + im * im) FILTER (f < 16), 0) < 0.5 * sum(re * re + im * im) AS artefact FROM d GROUP BY id""",
+    "j18_load_analysis": f"""WITH {WAVES} SELECT (label % 3)::VARCHAR AS recording, label AS channel, id AS "index", (pos + 1)::INT AS h, round(pos * 10.0::DOUBLE, 6) AS freq, round(v, 6) AS power, 64::INT AS n FROM w WHERE pos <= 6 AND v > 0
+UNION ALL SELECT (label % 3)::VARCHAR, label, NULL, h::INT, h * 7.5::DOUBLE, NULL, NULL FROM (SELECT DISTINCT label FROM w), range(1, 4) r(h)""",
+    "p6_property_columns": f"SELECT ppampl, ppdist, iqrange, ppampl AS P1ampl, ppdist AS P2time, id FROM ({WAVEFORM_SQL['a11_pulse_properties']})",
+    "s1_recording_blocks": f"WITH {SAMPLES} SELECT 'rec' || (channel % 10) AS recording, channel::INT AS channel, idx, round(v, 6) AS v FROM s",
+    "s5_stored_waveforms": f"WITH {WAVES} SELECT 'rec' || label AS recording, round(pos / 64 * 1000, 6) AS time_ms, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem FROM w GROUP BY label, pos",
+    "a2_spectral_thresholds": f"""WITH {WAVES}, d AS (SELECT label, pos + id / 1e6 AS freq, 10 * log10(v * v) AS db FROM w WHERE v * v >= 1e-12), tops AS (SELECT label, max(pos + id / 1e6) AS top FROM w GROUP BY label),
+q AS (SELECT label, freq, db FROM d JOIN tops USING (label) WHERE freq >= 0.5 * top AND freq < 0.75 * top), lin AS (SELECT label, regr_slope(db, freq) AS s, regr_intercept(db, freq) AS i FROM q GROUP BY label),
+p AS (SELECT label, db - s * freq - i AS r FROM q JOIN lin USING (label)), {_hist_sql('p', 'label', 'r', 1.0, 20)} SELECT label, round(6 * width, 6) AS low, round(10 * width, 6) AS high FROM th""",
 }

@@ -124,7 +124,7 @@ def weak_waves(spark, sf_dir):
 def below_pulses(spark, sf_dir):
     rows = waveforms(spark, sf_dir)
     harm = rows.where("pos < 5").select("label", F.col("id").alias("grp"), (F.col("pos") + 1).alias("h"), F.col("pos").cast("double").alias("freq"), (F.col("v") * F.col("v")).alias("power"))
-    pulses = rows.where("pos < 8 and id % 50 = 0").select("label", (F.col("pos") + 3.0).alias("freq"), F.lit(1e-6).alias("power"))
+    pulses = rows.where("pos < 8").select("label", (F.col("pos") + 3.0).alias("freq"), F.lit(1e-6).alias("power"))
     return A.drop_waves_below_pulses(harm, pulses, ["label"], 1.0).select("label", "grp", "h")
 
 
@@ -211,6 +211,6 @@ SELECT id, round(any_value(pf), 6) AS peakfreq, round(any_value(pe), 6) AS peake
     "j17_weak_waves": f"""WITH {WAVES}, f AS (SELECT label, id, max(v) AS ppampl, CASE WHEN id % 4 = 0 THEN 'pulse' ELSE 'wave' END AS type, id * 37 % 101 AS power FROM w GROUP BY label, id),
 k AS (SELECT *, type = 'wave' AND ppampl < 0.5 * max(ppampl) FILTER (type = 'pulse') OVER (PARTITION BY label) AS weak FROM f),
 g AS (SELECT *, max(coalesce(weak, false)::INT) OVER (PARTITION BY label, type ORDER BY power DESC, ppampl DESC ROWS UNBOUNDED PRECEDING) AS gone FROM k) SELECT label, id, type FROM g WHERE gone = 0""",
-    "j16_waves_below_pulses": f"""WITH {WAVES}, p AS (SELECT label, pos + 3 AS bin, 5 * count(*) * 1e-6 AS lim FROM w WHERE pos < 8 AND id % 50 = 0 GROUP BY ALL), h AS (SELECT label, id AS grp, pos + 1 AS h, pos AS bin, v * v AS power FROM w WHERE pos < 5),
+    "j16_waves_below_pulses": f"""WITH {WAVES}, p AS (SELECT label, pos + 3 AS bin, 5 * count(*) * 1e-6 AS lim FROM w WHERE pos < 8 GROUP BY ALL), h AS (SELECT label, id AS grp, pos + 1 AS h, pos AS bin, v * v AS power FROM w WHERE pos < 5),
 g AS (SELECT DISTINCT h.label, grp FROM h, range(-2, 3) r(k), p WHERE h.label = p.label AND h.bin + k = p.bin AND h <= 3 AND power < lim) SELECT label, grp, h::INT AS h FROM h ANTI JOIN g USING (label, grp)""",
 }

@@ -14,28 +14,24 @@ GAP, NEAR_F, NEAR_D, SAME_F = 300.0, 1.0, 5e-5, 0.5
 
 
 # ---------------------------------------------------------------- occurrences of sources
-def track(rows: list[tuple], sources: list[list], expire: bool = False) -> list[tuple]:
+def track(rows: list[tuple], sources: list[list], expire: bool = False, near_d: float = NEAR_D) -> list[tuple]:
     """Assigns detections (t0, t1, kind, EODf, ppdist, ppampl), in time order, to sources.
 
     A source is [id, kind, EODf, ppdist, ppampl, tend]; EODf and distance are those
     of its largest detection.  The nearest source, by EODf for waves and by p-p
-    distance for pulses, takes the detection if it is close enough and was seen
-    less than the gap ago; else a new one begins.  With ``expire`` only sources
-    that can still be extended are candidates, so state stays bounded; without,
-    all that were ever seen are, and an old one that is nearer hides a live one.
-    Returns (source, row index).
+    distance for pulses, the first found on ties, takes the detection if it is
+    close enough in both and was seen less than the gap ago; else a new one
+    begins, also where a source further off would have been close enough.  With
+    ``expire`` only sources that can still be extended are candidates, so state
+    stays bounded; without, all that were ever seen are, and an old one that is
+    nearer hides a live one.  Returns (source, row index).
     """
     out = []
     for n, (t0, t1, kind, f, dist, ampl) in enumerate(rows):
-        best = None
-        for s in sources:
-            if s[1] != kind or expire and t0 - s[5] >= GAP:
-                continue
-            d = abs(s[2] - f) if kind == "wave" else abs(s[3] - dist)
-            if d <= (NEAR_F if kind == "wave" else NEAR_D) and abs(s[2] - f) <= NEAR_F and (best is None or d < best[0]):
-                best = (d, s)
-        if best and t0 - best[1][5] < GAP:
-            s = best[1]
+        alike = [s for s in sources if s[1] == kind and not (expire and t0 - s[5] >= GAP)]
+        off = (lambda s: abs(s[2] - f)) if kind == "wave" else (lambda s: abs(s[3] - dist))
+        s = min(alike, key=off, default=None)
+        if s is not None and off(s) <= (NEAR_F if kind == "wave" else near_d) and abs(s[2] - f) <= NEAR_F and t0 - s[5] < GAP:
             s[5] = max(s[5], t1)
             if ampl > s[4]:
                 s[2:5] = [f, dist, ampl]
@@ -49,9 +45,9 @@ def track(rows: list[tuple], sources: list[list], expire: bool = False) -> list[
 _COLS = ["t0", "t1", "kind", "EODf", "ppdist", "ppampl"]
 
 
-def _tracked(keys: Sequence[str], pdf: pd.DataFrame, sources: list[list], expire: bool) -> pd.DataFrame:
+def _tracked(keys: Sequence[str], pdf: pd.DataFrame, sources: list[list], expire: bool, rate: float | None = None) -> pd.DataFrame:
     pdf = pdf.sort_values(["t0", "EODf", "ppdist"], kind="stable").reset_index(drop=True)
-    got = track(list(pdf[_COLS].itertuples(index=False, name=None)), sources, expire)
+    got = track(list(pdf[_COLS].itertuples(index=False, name=None)), sources, expire, NEAR_D if rate is None else max(NEAR_D, 1.1 / rate))
     return pdf.assign(source=[s for s, _ in got])[[*keys, "source", *_COLS]]
 
 
@@ -60,16 +56,16 @@ def _schema(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join([*(f"{k} {kinds[k]}" for k in keys), "source long, t0 double, t1 double, kind string, EODf double, ppdist double, ppampl double"])
 
 
-def track_sources(detections: DataFrame, keys: Sequence[str], expire: bool = False) -> DataFrame:
-    """Detections with their source, per device and channel, in one batch."""
+def track_sources(detections: DataFrame, keys: Sequence[str], expire: bool = False, rate: float | None = None) -> DataFrame:
+    """Detections with their source, per device and channel, in one batch; at low sampling rates pulses are near within 1.1 samples."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _tracked(keys, pdf, [], expire)
+        return _tracked(keys, pdf, [], expire, rate)
 
     return detections.select(*keys, *_COLS).groupBy(*keys).applyInPandas(work, _schema(detections, keys))
 
 
-def stream_track_sources(detections: DataFrame, keys: Sequence[str]) -> DataFrame:
+def stream_track_sources(detections: DataFrame, keys: Sequence[str], rate: float | None = None) -> DataFrame:
     """The same with ``expire`` on a stream: sources older than the gap leave the state."""
     state = "last long, id array<long>, kind array<string>, EODf array<double>, ppdist array<double>, ppampl array<double>, tend array<double>"
 
@@ -81,7 +77,7 @@ def stream_track_sources(detections: DataFrame, keys: Sequence[str]) -> DataFram
         pdf = pd.concat(list(parts), ignore_index=True)
         if last >= 0 and (not sources or sources[-1][0] != last):
             sources.append([last, "none", 0.0, 0.0, 0.0, -np.inf])
-        made = _tracked(keys, pdf, sources, True)
+        made = _tracked(keys, pdf, sources, True, rate)
         last = max(s[0] for s in sources)
         now = pdf["t0"].max()
         live = [s for s in sources if s[1] != "none" and now - s[5] < GAP]
@@ -93,17 +89,32 @@ def stream_track_sources(detections: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def occurrences(tracked: DataFrame, keys: Sequence[str], file: str | None = None) -> DataFrame:
-    """(keys, source, tstart, tend, EODf, n): overlapping detections of a source with EODf within the limit (and in one file) are one interval."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*keys, "source").orderBy("t0", "t1")
-    end = F.max("t1").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = (F.col("t0") > end) | (F.abs(F.col("EODf") - F.lag("EODf").over(w)) >= SAME_F)
-    if file:
-        new = new | (F.col(file) != F.lag(file).over(w))
-    rows = tracked.withColumn("_n", F.sum(F.coalesce(new.cast("int"), F.lit(1))).over(w))
-    out = rows.groupBy(*keys, "source", "_n").agg(F.min("t0").alias("tstart"), F.max("t1").alias("tend"), F.max_by("EODf", "ppampl").alias("EODf"), F.count(F.lit(1)).alias("n"))
-    return out.drop("_n")
+    """(keys, source, tstart, tend, EODf, n): a detection extends its source's interval if it begins before the interval's end, its EODf is within the limit of that which began the interval, and it is in the same file.
+
+    The largest detection gives the interval's EODf.  An interval is a fold over
+    a source's detections in time order.
+    """
+    own, by_file = [*keys, "source"], F.col(file).cast("string") if file else F.lit("")
+    one = F.struct(*(F.col(c) for c in ("t0", "t1", "EODf", "ppampl")), by_file.alias("file"))
+    rows = tracked.groupBy(*own).agg(F.array_sort(F.collect_list(one)).alias("d"))
+    kind = "array<struct<tstart:double,tend:double,first:double,file:string,ppampl:double,EODf:double,n:bigint>>"
+
+    def fresh(x):
+        return F.struct(x["t0"].alias("tstart"), x["t1"].alias("tend"), x["EODf"].alias("first"), x["file"].alias("file"), x["ppampl"].alias("ppampl"), x["EODf"].alias("EODf"), F.lit(1).cast("bigint").alias("n"))
+
+    def step(done, x):
+        last = F.element_at(done, -1)
+        larger = x["ppampl"] > last["ppampl"]
+        longer = F.struct(
+            last["tstart"].alias("tstart"), F.greatest(last["tend"], x["t1"]).alias("tend"), last["first"].alias("first"), last["file"].alias("file"),
+            F.greatest(last["ppampl"], x["ppampl"]).alias("ppampl"), F.when(larger, x["EODf"]).otherwise(last["EODf"]).alias("EODf"), (last["n"] + 1).alias("n"),
+        )
+        fits = (x["t0"] <= last["tend"]) & (F.abs(x["EODf"] - last["first"]) < SAME_F) & x["file"].eqNullSafe(last["file"])
+        return F.when(fits, F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), longer)).otherwise(F.array_append(done, fresh(x)))
+
+    head, rest = F.array(fresh(F.col("d")[0])).cast(kind), F.slice("d", F.lit(2), F.size("d"))
+    found = rows.select(*own, F.explode(F.aggregate(rest, head, lambda done, x: step(done, x).cast(kind))).alias("o"))
+    return found.select(*own, "o.tstart", "o.tend", "o.EODf", "o.n")
 
 
 # ---------------------------------------------------------------- labels over blocks
