@@ -106,6 +106,14 @@ def pulse_phases(waves: DataFrame, keys: Sequence[str], dt: float, peak_thr: flo
     return waves.groupBy(*keys).applyInPandas(work, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "p int", *(f"{n} double" for n in names[1:])]))
 
 
+def pulse_span(waves: DataFrame, keys: Sequence[str], dt: float, se_thr: float = 0.01) -> DataFrame:
+    """(keys, tstart, tend, pulse_width): where a conditioned pulse first and last exceeds ``se_thr`` of its largest value."""
+    top = F.max(F.abs("v")).over(W.partitionBy(*keys))
+    rows = waves.withColumn("_top", top).where(F.abs("v") > se_thr * F.col("_top"))
+    out = rows.groupBy(*keys).agg((F.min("pos") * dt).alias("tstart"), (F.max("pos") * dt).alias("tend"))
+    return out.withColumn("pulse_width", F.col("tend") - F.col("tstart"))
+
+
 def wave_phases(waves: DataFrame, keys: Sequence[str], dt: float, freq: float, frac: float = 0.05) -> DataFrame:
     """(keys, p, time, amplitude, relampl, width, zeros) over one period, from a quarter before the maximum; widths between half-way crossings."""
 

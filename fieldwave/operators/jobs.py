@@ -19,71 +19,140 @@ from fieldwave.operators import frequencies as Q
 from fieldwave.operators import harmonic_groups as H
 from fieldwave.operators import spectra as S
 from fieldwave.operators import waveforms as A
+from fieldwave.operators import windows as N
+from fieldwave.sources.shared import written
 
 
-def extract_pulses(samples: DataFrame, keys: Sequence[str], rate: float, threshold: float, *, min_width: float = 5e-5, max_width: float = 0.01, left: int = 8, right: int = 8, eps: float = 0.5) -> DataFrame:
+def _shapes(samples: DataFrame, events: DataFrame, keys: Sequence[str], left: int, right: int) -> DataFrame:
+    """(keys, idx, v): the samples around each event, freed of their slope, as arrays of unit norm."""
+    shape = A.subtract_slope(V.snippets(samples, events, keys, left, right), [*keys, "event"])
+    arrays = shape.groupBy(*keys, F.col("event").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
+    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda total, x: total + x["v"] * x["v"]))
+    return arrays.withColumn("_n", norm).select(*keys, "idx", F.transform("s", lambda x: F.when(F.col("_n") > 0, x["v"] / F.col("_n")).otherwise(0.0)).alias("v"))
+
+
+def shape_clusters(arrays: DataFrame, keys: Sequence[str], ident: str, eps: float, k: int = 5, min_share: float = 0.05, min_samples: int = 5) -> DataFrame:
+    """(keys, ident, label): density clusters of each class's waveforms on its own principal components, -1 for noise."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ident, kind="stable")
+        points = K.principal_components(np.stack([np.asarray(v, float) for v in pdf["v"]]), k)
+        return pdf[[*keys, ident]].assign(label=K.dbscan(points, eps, max(min_samples, int(min_share * len(points)))))
+
+    kinds = dict(arrays.dtypes)
+    return arrays.select(*keys, ident, "v").groupBy(*keys).applyInPandas(work, ", ".join([*(f"{c} {kinds[c]}" for c in keys), f"{ident} {kinds[ident]}, label long"]))
+
+
+def _labelled(samples: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, rate: float, left: int, right: int, eps: float, low_freq: float, name: str) -> DataFrame:
+    """(keys, idx, name): the shape cluster of each pulse around its peak or trough (``at``); artefacts, unreliable clusters, side peaks and waves are -1."""
+    events = rows.select(*keys, F.col(at).alias("idx")).distinct()
+    shapes = _shapes(samples, events, keys, left, right).withColumnRenamed("idx", at)
+    classed = rows.select(*keys, "idx", at, "t", "width", "w", "h").join(shapes, [*keys, at])
+    found = shape_clusters(classed.where("w >= 0 and h >= 0"), [*keys, "w", "h"], "idx", eps).where("label >= 0")
+    number = F.dense_rank().over(W.partitionBy(*keys).orderBy("w", "h", "label")) - 1
+    found = written(found.withColumn(name, number.cast("long")).select(*keys, "idx", name).join(classed.select(*keys, "idx", "t", "width", "v"), [*keys, "idx"]), "shapes")
+    own = [*keys, name]
+    mean = found.select(*own, F.posexplode("v").alias("pos", "v")).groupBy(*own, "pos").agg(F.avg("v").alias("v"))
+    mean = written(mean, "means")
+    arrays = mean.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s")).select(*own, F.transform("s", lambda x: x["v"]).alias("v"))
+    bad = S.artefact_clusters(arrays, own, rate, low_freq).where("artefact").select(*own)
+    bad = bad.unionByName(H.side_peak_or_wave(mean, own, 1 / rate).where("side_peak or wave").select(*own)).distinct()
+    good = V.drop_unreliable_clusters(found, keys, label=name).join(bad, own, "left_anti")
+    return written(good.select(*own, "idx"), "labels")
+
+
+def extract_pulses(
+    samples: DataFrame, keys: Sequence[str], rate: float, threshold: float, *, min_width: float = 5e-5, max_width: float = 0.01, left: int = 8, right: int = 8, eps: float = 0.5,
+    low_freq: float = float("inf"), clip: float | None = None, rho: float = 5e-4, min_dt: float = 0.25, step: float = 0.05,
+) -> DataFrame:
     """(keys, idx, t, height, width, label): pulses of every series with the cluster they belong to, -1 for none.
 
-    Peaks pair with troughs, pulses are split by width, then by height, then by
-    the shape of their snippets; sparse clusters go.  ``samples(keys, idx, t, v)``.
+    Peaks pair with troughs; pulses are split by width, then by height, then, around
+    their peaks and around their troughs, by the shape of their snippets.  Of either
+    labeling artefacts (too little power under ``low_freq``), unreliable clusters,
+    side peaks and waves go; then both are merged.  Clipped clusters (mean beyond
+    ``clip``), those that are not there when fewest sources are, and sparse ones
+    go last.  ``samples(keys, idx, t, v)``.  A class of pulses of one series is
+    one piece of work.  Steps are written to the shared folder, as each serves several.
     """
     found = V.detect_peaks(samples, threshold, keys)
     found = found.join(samples.select(*keys, "idx", "t"), [*keys, "idx"])
     pulses = V.resolve_shared_troughs(V.assign_side_peaks(found, keys), keys)
-    pulses = V.filter_pulses(pulses, rate, min_width, max_width).select(*keys, "idx", "t", "height", "width")
+    pulses = written(V.filter_pulses(pulses, rate, min_width, max_width).select(*keys, "idx", "trough_idx", "t", "height", "width"), "pulses")
     by_width = C.mixture_1d(pulses, keys, "idx", "width", 3, use_log=True, ratio=0.5).withColumnRenamed("label", "w")
     rows = pulses.join(by_width, [*keys, "idx"])
     by_height = C.mixture_1d(rows, [*keys, "w"], "idx", "height", 10, use_log=True, ratio=0.1).withColumnRenamed("label", "h")
-    rows = rows.join(by_height.drop("w"), [*keys, "idx"])
-    snips = V.snippets(samples, rows.select(*keys, "idx"), keys, left, right)
-    shape = A.subtract_slope(snips, [*keys, "event"])
-    arrays = shape.groupBy(*keys, F.col("event").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
-    arrays = arrays.select(*keys, "idx", F.transform("s", lambda x: x["v"]).alias("v"))
-    top = F.array_max(F.transform("v", F.abs))
-    features = S.poly_features(arrays.withColumn("v", F.transform("v", lambda x: x / F.when(top > 0, top).otherwise(1.0))), [*keys, "idx"])
-    classed = rows.select(*keys, "idx", "w", "h").join(features, [*keys, "idx"])
-    label = C.dbscan(classed, [*keys, "w", "h"], "idx", "features", eps).withColumnRenamed("label", "s")
-    out = rows.join(label.drop("w", "h"), [*keys, "idx"], "left")
-    number = F.dense_rank().over(W.partitionBy(*keys).orderBy("w", "h", "s")) - 1
-    named = out.withColumn("label", F.when((F.col("s") < 0) | F.col("s").isNull() | (F.col("w") < 0) | (F.col("h") < 0), -1).otherwise(number))
-    return named.select(*keys, "idx", "t", "height", "width", "label")
+    rows = written(rows.join(by_height.drop("w"), [*keys, "idx"]), "classes")
+    sides = [_labelled(samples, rows, keys, at, rate, left, right, eps, low_freq, name) for at, name in (("idx", "peak_label"), ("trough_idx", "trough_label"))]
+    both = sides[0].join(sides[1], [*keys, "idx"], "full_outer").select(*keys, "idx", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("peak_label", "trough_label")))
+    merged = C.merge_peak_trough_clusters(both, keys, "idx").withColumn("label", F.col("label").cast("long"))
+    held = written(rows.join(merged, [*keys, "idx"]), "merged")
+    if clip is not None:
+        snips = V.snippets(samples, held.select(*keys, "idx"), keys, left, right).withColumnRenamed("event", "idx").join(held.select(*keys, "idx", "label"), [*keys, "idx"])
+        mean = A.mean_waveform(snips.withColumnRenamed("idx", "event"), [*keys, "label"], 0).select(*keys, "label", "pos", F.col("mean").alias("v"))
+        held = held.join(A.clipped_clusters(mean, [*keys, "label"], clip).where("clipped").select(*keys, "label"), [*keys, "label"], "left_anti")
+    held = written(held.join(C.moving_sources(held, [*keys, "w"], min_dt, step), [*keys, "w", "label"], "left_semi"), "held")
+    seconds = samples.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("_seconds"))
+    cover = held.groupBy(*keys, "label").agg((F.count(F.lit(1)) * F.median("width")).alias("_cover")).join(seconds, list(keys))
+    good = cover.where(F.col("_cover") >= rho * F.col("_seconds")).select(*keys, "label")
+    kept = held.join(good, [*keys, "label"], "left_semi").select(*keys, "idx", "label")
+    return pulses.drop("trough_idx").join(kept, [*keys, "idx"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 def _joined(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(keys), "left"), parts)
 
 
-def analyze_pulse(waves: DataFrame, events: DataFrame, keys: Sequence[str], rate: float) -> DataFrame:
-    """One row of properties per pulse source: amplitudes, phases, intervals, spectrum and tail.
+def analyze_pulse(waves: DataFrame, events: DataFrame, keys: Sequence[str], rate: float, *, clipped: DataFrame | None = None, peak_thr: float = 0.01, se_thr: float = 0.01) -> DataFrame:
+    """One row of properties per pulse source: amplitudes, start and end, phases, intervals, spectrum and tail.
 
-    ``waves(keys, pos, v)`` are mean waveforms, ``events(keys, t)`` the pulse times.
+    ``waves(keys, pos, v)`` are mean waveforms, ``events(keys, t)`` the pulse times,
+    ``clipped(keys, clipped)`` the share of clipped snippets, where known.  There is
+    no fitted sum of Gaussians, so ``rmserror`` is null.
     """
     shaped = A.condition_pulse(waves, keys)
     arrays = shaped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"), F.first("noise").alias("noise"), F.first("flipped").alias("flipped"))
     arrays = arrays.select(*keys, "noise", "flipped", F.transform("s", lambda x: x["v"]).alias("v"))
-    phases = H.pulse_phases(shaped, keys, 1 / rate)
+    phases = H.pulse_phases(shaped, keys, 1 / rate, peak_thr)
     summary = phases.groupBy(*keys).agg(F.count(F.lit(1)).alias("nphases"), F.min("p").alias("firstphase"), F.max("p").alias("lastphase"))
     spectrum = S.pulse_spectrum(arrays, keys, rate)
-    return _joined(
-        [
-            A.pulse_basic_properties(shaped, keys, 1 / rate),
-            arrays.select(*keys, "flipped", "noise"),
-            summary,
-            V.interval_stats(events, keys).select(*keys, "n", "EODf", F.col("median").alias("period")),
-            A.pulse_spectrum_properties(spectrum, keys, 1.0),
-            S.tail_time_constant(arrays, keys, 1 / rate, F.col("noise") / 4 + 1e-12),
-        ],
-        keys,
-    )
-
-
-def analyze_wave(waves: DataFrame, keys: Sequence[str], rate: float, freq: float, n: int = 10) -> DataFrame:
-    """One row of properties per wave source: coefficients' summary, amplitudes over a period, phases.  ``waves(keys, pos, v)``."""
+    parts = [
+        A.pulse_basic_properties(shaped, keys, 1 / rate),
+        arrays.select(*keys, "flipped", "noise"),
+        H.pulse_span(shaped, keys, 1 / rate, se_thr),
+        summary,
+        V.interval_stats(events, keys).select(*keys, "n", "EODf", F.col("median").alias("period"), F.col("std").alias("periodstd")),
+        A.pulse_spectrum_properties(spectrum, keys, 1.0),
+        S.tail_time_constant(arrays, keys, 1 / rate, F.col("noise") / 4 + 1e-12),
+    ]
+    out = _joined(parts + ([clipped.select(*keys, "clipped")] if clipped is not None else []), keys)
+    unknown = {c: F.lit(None).cast("double") for c in ("clipped", "rmserror") if c not in out.columns}
+    return out.withColumns(unknown)
+
+
+def analyze_wave(waves: DataFrame, keys: Sequence[str], rate: float, freq: float, n: int = 10, *, group: DataFrame | None = None, clipped: DataFrame | None = None) -> DataFrame:
+    """One row of properties per wave source: coefficients' summary, amplitudes over a period, phases, noise and fit error.
+
+    ``waves(keys, pos, v[, sem])``; the fit is the synthesis of the n harmonics;
+    noise is that of ``sem``.  ``group(keys, freq, power)`` are the peaks of the
+    source's spectrum: their data power is summed, in decibel.
+    """
     timed = waves.withColumn("t", F.col("pos") / rate)
-    coeffs = A.condition_wave(A.fourier_coeffs(timed, keys, freq, n), keys)
+    raw = A.fourier_coeffs(timed, keys, freq, n)
+    coeffs = A.condition_wave(raw, keys)
     _, whole = A.wave_spectrum_properties(coeffs, keys)
+    half = raw.withColumns({c: F.when(F.col("h") == 0, F.col(c) / 2).otherwise(F.col(c)) for c in ("re", "im")})
+    fit = A.fourier_synthesis(half, timed.select(*keys, "t"), keys, freq).withColumnRenamed("v", "fit")
     phases = H.wave_phases(waves, keys, 1 / rate, freq).groupBy(*keys).agg(F.count(F.lit(1)).alias("nphases"), F.min("width").alias("minwidth"))
-    return _joined([A.wave_basic_properties(waves, keys, 1 / rate, freq), whole, phases], keys)
+    basic = A.wave_basic_properties(timed.join(fit, [*keys, "t"]), keys, 1 / rate, freq, sem="sem" if "sem" in waves.columns else None, fit="fit")
+    parts = [basic, whole, phases]
+    if group is not None:
+        base = coeffs.select(*keys, "h", F.lit(float(freq)).alias("f0"), F.hypot("re", "im").alias("amplitude"))
+        parts.append(Q.match_harmonic_power(base, group, keys).groupBy(*keys).agg((10 * F.log10(F.sum("datapower"))).alias("datapower")))
+    if clipped is not None:
+        parts.append(clipped.select(*keys, "clipped"))
+    out = _joined(parts, keys)
+    return out.withColumns({c: F.lit(None).cast("double") for c in ("datapower", "clipped") if c not in out.columns})
 
 
 def _extract(x: np.ndarray, rate: float, f: float, df: float, min_corr: float, max_harmonics: int, min_segments: int = 6, ampl_frac: float = 0.5):
@@ -124,12 +193,20 @@ def _extract(x: np.ndarray, rate: float, f: float, df: float, min_corr: float, m
     np.fill_diagonal(corr, -1)
     if corr.max() <= min_corr:
         return f, 0.0, None, "waveforms not stable"
-    high = np.median(corr[corr > min_corr])
-    count = (corr > high - 1e-12).sum(1)
-    good = list(np.unravel_index(corr.argmax(), corr.shape))
-    for k in np.argsort(-corr[good[0]], kind="stable"):
-        if k not in good and corr[good[0], k] >= high - 1e-9 and count[k] >= max(1, count.max() / 2):
-            good.append(k)
+    high = float(np.median(corr[corr > min_corr]))
+    count = (corr >= high).sum(1)
+    common = count >= max(1, count.max() / 2)
+    if corr.max() < max(high, 1 - (1 - min_corr) / 4):
+        return f, 0.0, None, "waveforms not stable"
+    good = [int(k) for k in np.unravel_index(corr.argmax(), corr.shape)]
+    while True:  # every member brings the partner it is most like, until none is left that is like enough
+        free = common.copy()
+        free[good] = False
+        options = np.where(free, corr[good], -1.0)
+        new = {int(k) for k, c in zip(options.argmax(1), options.max(1)) if c >= high}
+        if not new:
+            break
+        good += sorted(new)
     std = waves[good].std(1)
     good = [k for k, s in zip(good, std) if s >= ampl_frac * std.max()]
     covered = np.zeros(len(x), bool)
@@ -157,20 +234,71 @@ def extract_wave(arrays: DataFrame, keys: Sequence[str], rate: float, freq: str,
     return rows.select(*keys, "EODf", "n", "skip_reason", F.arrays_zip("re", "im").alias("coeffs"))
 
 
-def detect_sources(samples: DataFrame, keys: Sequence[str], rate: float, resolution: float, threshold: float, mode: str = "wp", limits: DataFrame | None = None, params: GroupParams = GroupParams()) -> DataFrame:
-    """(keys, type, index, EODf, strength): wave sources by harmonic groups of the spectrum, pulse sources by their clusters."""
+def stable_window(samples: DataFrame, keys: Sequence[str], rate: float, seconds: float, threshold: float, *, shift: float = 0.2, limits: tuple[float, float] = (float("-inf"), float("inf")), w_ampl: float = 10.0) -> DataFrame:
+    """The samples of each series' most stable ``seconds``; of a series too short for the window, or without peaks, all."""
+    end = samples.agg(F.max("t")).first()[0] or 0.0  # one number: windows are numbered alike in all series
+    events = V.detect_peaks(samples, threshold, keys).join(samples.select(*keys, "idx", "t"), [*keys, "idx"])
+    pairs = V.trim_events(events, keys, to_peak=True)
+    time = lambda kind: events.where(F.col("kind") == kind).select(*keys, F.col("idx").alias(f"{kind}_idx"), F.col("t").alias(f"{kind}_t"))
+    pairs = pairs.join(time("peak"), [*keys, "peak_idx"]).join(time("trough"), [*keys, "trough_idx"])
+    if end <= seconds:
+        return samples
+    criteria = N.window_criteria(pairs, keys, 0.0, end, seconds, shift, *limits)
+    best = N.best_window(criteria, keys, w_ampl=w_ampl).select(*keys, (F.col("first") * shift / 2).alias("begin"))
+    bounds = N.analysis_window(samples, keys, rate, seconds, "best", best).withColumnsRenamed({"first": "_a", "last": "_z"})
+    rows = samples.join(bounds, list(keys), "left")
+    return rows.where("_a is null or idx >= _a and idx < _z").drop("_a", "_z")
+
+
+def _block_psd(samples: DataFrame, keys: Sequence[str], rate: float, resolution: float) -> DataFrame:
+    """(keys, freq, power): mean over blocks of each series, none of which is more than a few segments long."""
+    nfft = K.nfft_for(rate, resolution)
+    return S.psd(S.blocks(samples, keys, 4 * nfft, nfft // 2), [*keys, "block"], rate, resolution).groupBy(*keys, "freq").agg(F.avg("power").alias("power"))
+
+
+def detect_sources(
+    samples: DataFrame, keys: Sequence[str], rate: float, resolution: float, threshold: float, mode: str = "wp", limits: DataFrame | None = None, params: GroupParams = GroupParams(), *,
+    window: float | None = None, clip: tuple[float, float] = (float("-inf"), float("inf")), pulses: dict | None = None, min_corr: float = 0.99, min_share: float = 0.01,
+) -> DataFrame:
+    """(keys, type, index, EODf, strength, ppampl, clipped, skip_reason): the sources of every series.
+
+    With ``window``, the most stable stretch of so many seconds is analysed.  Wave
+    sources are the harmonic groups of its mean spectrum, pulse sources its
+    clusters of pulses.  Waves whose first harmonics lie under the spectrum of the
+    pulse trains go, then those much smaller than the largest pulse.  A wave's
+    waveform is taken from stable segments; where there are none its row says why
+    and has no amplitude.  Rows are numbered pulses first, then by strength.
+    """
+    if window is not None:
+        samples = written(stable_window(samples, keys, rate, window, threshold, limits=clip), "window")
     made = []
+    groups = None
     if "w" in mode:
-        arrays = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("s")).select(*keys, F.transform("s", lambda x: x["v"]).alias("v"))
-        groups = H.harmonic_groups(S.psd(arrays, keys, rate, resolution), keys, resolution, params, limits)
-        waves = Q.fundamentals(groups, [*keys, "grp"])
-        made.append(waves.select(*keys, F.lit("wave").alias("type"), F.col("f").alias("EODf"), F.col("db").alias("strength")))
+        groups = written(H.harmonic_groups(_block_psd(samples, keys, rate, resolution), keys, resolution, params, limits), "groups")
     if "p" in mode:
-        pulses = extract_pulses(samples, keys, rate, threshold, min_width=0.0, max_width=float("inf")).where("label >= 0")
-        stats = V.interval_stats(pulses, [*keys, "label"]).select(*keys, "label", "EODf")
-        height = pulses.groupBy(*keys, "label").agg(F.avg("height").alias("strength"))
-        made.append(stats.join(height, [*keys, "label"]).select(*keys, F.lit("pulse").alias("type"), "EODf", "strength"))
-    both = reduce(DataFrame.unionByName, made)
+        found = written(extract_pulses(samples, keys, rate, threshold, **(pulses or {})).where("label >= 0"), "found")
+        stats = V.interval_stats(found, [*keys, "label"]).select(*keys, "label", "EODf")
+        height = found.groupBy(*keys, "label").agg(F.avg("height").alias("strength"))
+        left, right = (pulses or {}).get("left", 8), (pulses or {}).get("right", 8)
+        snips = V.snippets(samples, found.select(*keys, "idx"), keys, left, right).join(found.select(*keys, F.col("idx").alias("event"), "label"), [*keys, "event"])
+        share = V.clipped_fraction(snips, [*keys, "label"], *clip).select(*keys, "label", "clipped")
+        rows = stats.join(height, [*keys, "label"]).join(share, [*keys, "label"], "left")
+        made.append(rows.select(*keys, F.lit("pulse").alias("type"), "EODf", "strength", F.col("strength").alias("ppampl"), "clipped", F.lit("").alias("skip_reason")))
+        if groups is not None:
+            mean = A.mean_waveform(snips, [*keys, "label"]).select(*keys, "label", "pos", F.col("mean").alias("v"))
+            train = S.pulse_train(found.select(*keys, "label", "idx"), mean, [*keys, "label"]).groupBy(*keys, "idx").agg(F.sum("v").alias("v"))
+            trains = train.select(*keys).distinct().join(samples.select(*keys, "idx"), list(keys)).join(train, [*keys, "idx"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+            bin_width = rate / K.nfft_for(rate, resolution)
+            groups = written(A.drop_waves_below_pulses(groups, _block_psd(trains, keys, rate, resolution), keys, bin_width), "groups")
+    if groups is not None:
+        waves = Q.fundamentals(groups, [*keys, "grp"]).select(*keys, "grp", "f", F.col("db").alias("strength"))
+        arrays = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("s")).select(*keys, F.transform("s", lambda x: x["v"]).alias("v"))
+        shaped = extract_wave(waves.join(arrays, list(keys)).select(*keys, "grp", F.col("f").alias("freq"), "v"), [*keys, "grp"], rate, "freq", resolution, min_corr)
+        ampl = F.when(F.col("skip_reason") == "", 2 * F.array_max(F.transform("coeffs", lambda c: F.hypot(c["re"], c["im"]))))
+        share = samples.groupBy(*keys).agg(F.avg(((F.col("v") <= clip[0]) | (F.col("v") >= clip[1])).cast("double")).alias("clipped"))
+        rows = waves.join(shaped, [*keys, "grp"]).join(share, list(keys))
+        made.append(rows.select(*keys, F.lit("wave").alias("type"), F.when(F.col("skip_reason") == "", F.col("EODf")).otherwise(F.col("f")).alias("EODf"), "strength", ampl.alias("ppampl"), "clipped", "skip_reason"))
+    both = A.drop_weak_waves(reduce(DataFrame.unionByName, made), keys, "strength", "ppampl", share=min_share)
     return both.withColumn("index", F.row_number().over(W.partitionBy(*keys).orderBy("type", F.desc("strength"), "EODf")) - 1)
 
 
@@ -202,13 +330,18 @@ def merge_fish(fish: DataFrame, *, max_noise: float = 0.1, max_dist: float = 2e-
     ``fish(id, type, EODf, ppdist, ppampl, noise, time, v)``.  Pulses in order of
     p-p distance, waves in order of EODf, each against the last kept one: close
     and alike joins it.  The largest p-p amplitude represents.  Rows are cut at
-    gaps wider than the limit first, which no join can cross.
+    gaps wider than the limit first, which no join can cross: gaps inside stretches
+    of the key, and those between the stretches, of which there are few.
     """
     rows = fish.where(F.col("noise") <= max_noise).withColumn("key", F.when(F.col("type") == "pulse", F.col("ppdist")).otherwise(F.col("EODf")))
-    w = W.partitionBy("type").orderBy("key", "id")
     limit = F.when(F.col("type") == "pulse", max_dist).otherwise(max_df)
-    new = F.coalesce((F.col("key") - F.lag("key").over(w) > limit).cast("int"), F.lit(1))
-    rows = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w)).drop("_new")
+    rows = rows.withColumn("_b", F.floor(F.col("key") / (50 * limit)))
+    w, over = W.partitionBy("type", "_b").orderBy("key", "id"), W.partitionBy("type").orderBy("_b")
+    rows = rows.withColumn("_new", F.coalesce((F.col("key") - F.lag("key").over(w) > limit).cast("int"), F.lit(0))).withColumn("_own", F.sum("_new").over(w))
+    ends = rows.groupBy("type", "_b").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"), F.sum("_new").alias("_cuts"))
+    apart = F.coalesce((F.col("_lo") - F.lag("_hi").over(over) > limit).cast("int"), F.lit(1))
+    ends = ends.withColumn("_first", apart).withColumn("_base", F.sum(F.col("_first")).over(over) + F.coalesce(F.sum("_cuts").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(ends.select("type", "_b", "_base"), ["type", "_b"]).withColumn("_island", F.col("_base") + F.col("_own")).drop("_new", "_own", "_base", "_b")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, kept, out = pdf.sort_values(["key", "id"], kind="stable"), None, []

@@ -137,20 +137,41 @@ def similarity(kind: str):
     return F.pandas_udf(wave if kind == "wave" else pulse, "double")
 
 
-def assign_species(fish: DataFrame, templates: DataFrame, max_rms: float, kind: str = "pulse", max_templates: int = 10_000) -> DataFrame:
+def assign_species(fish: DataFrame, templates: DataFrame, max_rms: float, kind: str = "pulse", block: int = 5_000) -> DataFrame:
     """Adds the best template's name and difference; ``unknown`` from ``max_rms`` on.
 
     ``fish(…, time, v)``, ``templates(species, ttime, tv)`` as arrays (with EODf columns
-    ``EODf`` and ``tEODf`` for waves).  Every fish meets every template of a set
-    whose size is checked against ``max_templates`` before it is broadcast.
+    ``EODf`` and ``tEODf`` for waves).  Templates are broadcast ``block`` at a time; a
+    fish meets them where it stands, and keeps the least difference, the first name
+    on ties.  Without templates all are unknown, with a null difference.
     """
-    if templates.limit(max_templates + 1).count() > max_templates:
-        raise ValueError(f"more than {max_templates} templates")
-    args = ["time", "v", "ttime", "tv"] + (["EODf", "tEODf"] if kind == "wave" else [])
-    columns = fish.columns
-    rows = fish.withColumn("_row", F.monotonically_increasing_id()).crossJoin(F.broadcast(templates)).withColumn("rms", similarity(kind)(*args))
-    best = rows.groupBy("_row").agg(F.min(F.struct("rms", "species")).alias("best"), *(F.first(c).alias(c) for c in columns))
-    return best.select(*columns, F.when(F.col("best.rms") < max_rms, F.col("best.species")).otherwise("unknown").alias("species"), F.col("best.rms").alias("rms"))
+    columns = ["species", "ttime", "tv"] + (["tEODf"] if kind == "wave" else [])
+    args = ["time", "v"] + (["EODf"] if kind == "wave" else [])
+    n = -(-templates.count() // block)
+    best = F.lit(None).cast("struct<rms:double,species:string>")
+    for k in range(n):
+        part = templates.select(*columns).where(F.pmod(F.xxhash64("species", "ttime", "tv"), F.lit(n)) == k)
+        rows = [(r.species, np.array([r.ttime, r.tv], float), r.tEODf if kind == "wave" else None) for r in part.orderBy("species").collect()]
+        if rows:
+            best = F.least(best, _least_difference(fish.sparkSession.sparkContext.broadcast(rows), kind)(*args))
+    out = fish.withColumn("_best", best)
+    return out.withColumn("species", F.when(F.col("_best.rms") < max_rms, F.col("_best.species")).otherwise("unknown")).withColumn("rms", F.col("_best.rms")).drop("_best")
+
+
+def _least_difference(known, kind: str):
+    """Pandas UDF: (rms, species) of the nearest of the broadcast templates."""
+
+    def nearest(t, v, f):
+        own = np.array([t, v], float)
+        return min(((K.wave_similarity(own, w, f, g) if kind == "wave" else K.pulse_similarity(own, w), name) for name, w, g in known.value), default=(None, None))
+
+    def pulse(ts: pd.Series, vs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([nearest(t, v, None) for t, v in zip(ts, vs)], columns=["rms", "species"])
+
+    def wave(ts: pd.Series, vs: pd.Series, fs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([nearest(t, v, f) for t, v, f in zip(ts, vs, fs)], columns=["rms", "species"])
+
+    return F.pandas_udf(wave if kind == "wave" else pulse, "rms double, species string")
 
 
 def chirps(spectra: DataFrame, fundamentals: DataFrame, keys: Sequence[str], tol: float = 1.0, max_dur: float = 1.0, frame: int = 50, depth: float = 3.0) -> DataFrame:

@@ -19,8 +19,9 @@ from fieldwave.streaming import power as P
 from fieldwave.streaming import tracking as R
 
 from fieldwave.sources import readers as IO
+from fieldwave.sources.shared import scratch
 
-from .bind import SAMPLES, WAVES, r6, samples, scratch, table, waveforms
+from .bind import SAMPLES, WAVES, r6, samples, table, waveforms
 from .logger import FILTERED_STD, _hist_sql
 from .waveforms import SQL as WAVEFORM_SQL
 from .waveforms import pulse_properties
@@ -230,20 +231,24 @@ def session_windows(spark, sf_dir):
     return out.select("channel", F.unix_micros("tstart").alias("tstart"), F.unix_micros("tend").alias("tend"), "n")
 
 
+#: Limits for events that are hours apart.
+_LOOSE = {"min_width": 0.0, "max_width": 1e6, "left": 4, "right": 4, "min_dt": 864_000.0, "step": 432_000.0, "rho": 0.0}
+
+
 def pulses(spark, sf_dir):
-    rows = J.extract_pulses(samples(spark, sf_dir), ["channel"], 1.0, 5.0, min_width=0.0, max_width=1e6, left=4, right=4)
+    rows = J.extract_pulses(samples(spark, sf_dir), ["channel"], 1.0, 5.0, **_LOOSE)
     return rows.select("channel", "idx", r6("height").alias("height"), r6("width").alias("width"), "label")
 
 
 def pulse_rows(spark, sf_dir):
     events = samples(spark, sf_dir).select(F.col("channel").alias("id"), "t")
     rows = J.analyze_pulse(waveforms(spark, sf_dir).select("id", "pos", "v"), events, ["id"], 64.0)
-    return rows.select("id", "flipped", "nphases", *(r6(c).alias(c) for c in ("ppampl", "ppdist", "median", "EODf", "peakfreq", "tau")))
+    return rows.select("id", "flipped", "nphases", *(r6(c).alias(c) for c in ("ppampl", "ppdist", "tstart", "tend", "pulse_width", "median", "EODf", "peakfreq", "tau")))
 
 
 def wave_rows(spark, sf_dir):
     rows = J.analyze_wave(waveforms(spark, sf_dir).select("id", "pos", "v"), ["id"], 64.0, 2.0, 5)
-    return rows.select("id", "nphases", "maxharmonics", *(r6(c).alias(c) for c in ("ppampl", "power", "thd", "minwidth")))
+    return rows.select("id", "nphases", "maxharmonics", *(r6(c).alias(c) for c in ("ppampl", "power", "thd", "minwidth", "rmserror")))
 
 
 def extracted_waves(spark, sf_dir):
@@ -253,8 +258,9 @@ def extracted_waves(spark, sf_dir):
 
 def sources(spark, sf_dir):
     limits = samples(spark, sf_dir).select("channel").distinct().select("channel", F.lit(3.0).alias("low"), F.lit(5.0).alias("high"))
-    rows = J.detect_sources(samples(spark, sf_dir), ["channel"], 1000.0, 8.0, 5.0, "wp", limits, H.GroupParams(max_freq_tol=12.0, max_freq=500.0, max_harmonics_db=5.0))
-    return rows.select("channel", "type", "index", F.round("EODf", 9).alias("EODf"), r6("strength").alias("strength"))
+    params = H.GroupParams(max_freq_tol=12.0, max_freq=500.0, max_harmonics_db=5.0)
+    rows = J.detect_sources(samples(spark, sf_dir), ["channel"], 1000.0, 8.0, 5.0, "wp", limits, params, pulses=_LOOSE, min_corr=0.5)
+    return rows.select("channel", "type", "index", F.round("EODf", 9).alias("EODf"), r6("strength").alias("strength"), r6("ppampl").alias("ppampl"), r6("clipped").alias("clipped"), "skip_reason")
 
 
 def loaded(spark, sf_dir):
