@@ -225,11 +225,12 @@ def train(docs: DataFrame, labels: DataFrame, *, max_bytes: int = 6_000_000, **f
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    total = rows.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 64  # so that the number of documents is bounded too
+    total = docs.select("doc_id", size.alias("n")).join(known.select("doc_id"), "doc_id").agg(F.sum("n")).first()[0] or 0
     steps = 1 << 30
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(min(1, max_bytes / max(total, 1)) * steps))
-    got = chosen.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double")).toPandas().sort_values(["doc_id", "text"], kind="stable")
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(min(1, max_bytes / max(total, 1)) * steps))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_bytes / 64 labels, expected
+    got = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double")).toPandas().sort_values(["doc_id", "text"], kind="stable")
     model = fit(featurize(got["text"].tolist()), got["quality"].to_numpy(float), **fitting)
     _memo.clear()
     return model
