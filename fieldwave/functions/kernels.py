@@ -113,7 +113,11 @@ def wave_similarity(a: np.ndarray, b: np.ndarray, fa: float, fb: float) -> float
 
 
 def pulse_similarity(a: np.ndarray, b: np.ndarray, wfac: float = 10.0) -> float:
-    """Root mean square difference of two pulses (time, value), aligned at their maxima, scaled to them, over ``wfac`` half widths."""
+    """Root mean square difference of two pulses (time, value), aligned at their maxima, scaled to them, over ``wfac`` half widths.
+
+    The first one is turned so that its largest value is positive, the second is
+    taken either way, whichever is nearer.
+    """
 
     def width(w):
         v = np.abs(w[1])
@@ -127,7 +131,7 @@ def pulse_similarity(a: np.ndarray, b: np.ndarray, wfac: float = 10.0) -> float:
         top = np.argmax(v)
         return np.interp(np.linspace(-span / 2, span / 2, 201), w[0] - w[0][top], v / (v[top] or 1.0), left=0.0, right=0.0)
 
-    one = shape(a, 1)
+    one = shape(a, 1 if a[1].max() >= -a[1].min() else -1)
     return float(min(np.sqrt(np.mean((one - shape(b, s)) ** 2)) for s in (1, -1)))
 
 

@@ -56,7 +56,7 @@ def detect_peaks(samples: DataFrame, threshold: float, keys: Sequence[str], idx:
         pdf = pdf.sort_values(idx, kind="stable")
         p, t = hysteresis_peaks(pdf[v].to_numpy(), threshold)
         out = pdf.iloc[[*p, *t]][[*keys, idx, v]].copy()
-        out["kind"] = ["peak"] * len(p) + ["trough"] * len(t)
+        out["kind"] = np.array(["peak"] * len(p) + ["trough"] * len(t), object)
         return out
 
     return turns.groupBy(*keys).applyInPandas(scan, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{idx} {kinds[idx]}", f"{v} double", "kind string"]))
