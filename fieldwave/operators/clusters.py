@@ -88,28 +88,33 @@ def moving_sources(events: DataFrame, keys: Sequence[str], min_dt: float = 0.25,
 def group_across_channels(pulses: DataFrame, keys: Sequence[str], max_dt: float = 2e-4, min_height: float = 0.02) -> DataFrame:
     """(keys, event, channel, t, height): pulses of different channels within ``max_dt`` of the highest one are one event.
 
-    One pulse per channel, the nearest to the highest; groups whose highest pulse
-    is under ``min_height`` go.  Rows are cut into sessions by gaps first, so only
+    One pulse per channel stays, its highest, the nearest of equals; groups whose
+    highest pulse is under ``min_height`` go.  Rows are cut into sessions by gaps first, so only
     close pulses meet.
     """
     w = W.partitionBy(*keys).orderBy("t", "channel")
     new = F.coalesce((F.col("t") - F.lag("t").over(w) > max_dt).cast("int"), F.lit(1))
-    rows = pulses.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    rows = pulses.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).withColumn("_start", F.when(F.col("_new") == 1, F.row_number().over(w)))
+    rows = rows.withColumn("_part", F.floor(F.max("_start").over(w) / 4096)).drop("_new", "_start")  # whole sessions, a few thousand rows of them at a time
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out, n = pdf.sort_values(["height", "t"], ascending=[False, True], kind="stable"), [], 0
-        while len(pdf):
-            top = pdf.iloc[0]
-            near = pdf[(pdf["t"] - top["t"]).abs() <= max_dt]
-            best = near.assign(_d=(near["t"] - top["t"]).abs()).sort_values("_d", kind="stable").drop_duplicates("channel")
-            if top["height"] >= min_height:
-                out.append(best.assign(part=n)[[*keys, "session", "part", "channel", "t", "height"]])
-                n += 1
-            pdf = pdf.drop(best.index)
-        names = [*keys, "session", "part", "channel", "t", "height"]
-        return pd.concat(out) if out else pd.DataFrame(columns=names)
+        pdf = pdf.sort_values(["t", "channel"], kind="stable").reset_index(drop=True)
+        t, height, channel = (pdf[c].to_numpy() for c in ("t", "height", "channel"))
+        free, kept, part = np.ones(len(t), bool), [], []
+        for n, k in enumerate(np.lexsort((t, -height))):
+            if free[k]:
+                near = np.arange(np.searchsorted(t, t[k] - 1.01 * max_dt), np.searchsorted(t, t[k] + 1.01 * max_dt, "right"))
+                near = near[free[near] & (np.abs(t[near] - t[k]) <= max_dt)]
+                free[near] = False
+                if height[k] >= min_height:
+                    near = near[np.lexsort((np.abs(t[near] - t[k]), -height[near]))]
+                    best = near[np.sort(np.unique(channel[near], return_index=True)[1])]
+                    kept.append(best)
+                    part += [n] * len(best)
+        at = np.concatenate(kept) if kept else np.zeros(0, int)
+        return pdf.loc[at, [*keys, "session", "channel", "t", "height"]].assign(part=np.array(part, int))[[*keys, "session", "part", "channel", "t", "height"]]
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "session long", "part int", f"channel {kinds['channel']}", "t double", "height double"])
-    made = rows.groupBy(*keys, "session").applyInPandas(work, schema)
+    made = rows.groupBy(*keys, "_part").applyInPandas(work, schema)
     return made.withColumn("event", F.dense_rank().over(W.partitionBy(*keys).orderBy("session", "part"))).drop("session", "part")

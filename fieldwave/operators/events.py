@@ -124,12 +124,12 @@ def make_events(events: DataFrame, keys: Sequence[str], width: float, time: str
 def discard_nearby(events: DataFrame, min_dist: float, keys: Sequence[str], time: str = "t", height: str = "height") -> DataFrame:
     """Of each pair closer than ``min_dist`` the lower goes (on a tie the later), until none is left.
 
-    Events further apart never matter to each other, so the loop runs inside
-    islands of close events only.
+    Events further apart never matter to each other, so the loop runs on whole
+    islands of close events, a few thousand rows of them at a time.
     """
     w = W.partitionBy(*keys).orderBy(time)
-    gap = F.coalesce((F.col(time) - F.lag(time).over(w) >= min_dist).cast("int"), F.lit(1))
-    rows = events.withColumn("_new", gap).withColumn("_island", F.sum("_new").over(w)).drop("_new")
+    apart = F.coalesce(F.col(time) - F.lag(time).over(w) >= min_dist, F.lit(True))
+    rows = events.withColumn("_start", F.when(apart, F.row_number().over(w))).withColumn("_island", F.floor(F.max("_start").over(w) / 4096)).drop("_start")
 
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time, kind="stable")

@@ -69,8 +69,8 @@ def _crossings(t: np.ndarray, v: np.ndarray, level: float) -> np.ndarray:
 def pulse_phases(waves: DataFrame, keys: Sequence[str], dt: float, peak_thr: float = 0.01, min_dist: float = 5e-5) -> DataFrame:
     """(keys, p, time, amplitude, relampl, width, area, relarea, zeros): peaks and troughs of a conditioned pulse, P1 the largest peak.
 
-    Of two phases closer than ``min_dist`` the smaller goes, but never the largest
-    peak or trough.  Widths are at half height, areas go from zero to zero.
+    Turns at the waveform's ends are no phases; of two phases closer than
+    ``min_dist`` the smaller goes, but never the largest peak or trough.  Widths are at half height, areas go from zero to zero.
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,7 +78,7 @@ def pulse_phases(waves: DataFrame, keys: Sequence[str], dt: float, peak_thr: flo
         t, v = pdf["pos"].to_numpy() * dt, pdf["v"].to_numpy()
         top, low = int(np.argmax(v)), int(np.argmin(v))
         peaks, troughs = hysteresis_peaks(v, peak_thr * np.ptp(v))
-        spots = sorted({*peaks, *troughs, top} | ({low} if v[low] < -peak_thr * v[top] else set()))
+        spots = sorted(({*peaks, *troughs} - {0, len(v) - 1}) | {top} | ({low} if v[low] < -peak_thr * v[top] else set()))
         k = 0
         while k + 1 < len(spots):
             a, b = spots[k], spots[k + 1]
@@ -115,31 +115,26 @@ def pulse_span(waves: DataFrame, keys: Sequence[str], dt: float, se_thr: float =
 
 
 def wave_phases(waves: DataFrame, keys: Sequence[str], dt: float, freq: float, frac: float = 0.05) -> DataFrame:
-    """(keys, p, time, amplitude, relampl, width, zeros) over one period, from a quarter before the maximum; widths between half-way crossings."""
+    """(keys, p, time, amplitude, relampl, width, zeros) over one period from the maximum, P1, that lies a quarter before to three quarters of a period after time zero.
+
+    Peaks and troughs are found on the whole waveform; ``zeros`` is where the way to
+    the next one is half done, the width reaches from the last such time to this.
+    """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
         t, v = pdf["pos"].to_numpy() * dt, pdf["v"].to_numpy()
-        start = np.flatnonzero((t >= 0) & (t < 1 / freq))
-        zero = t[start[np.argmax(v[start])]] if len(start) else t[np.argmax(v)]
-        inside = (t >= zero - 0.25 / freq) & (t < zero + 0.75 / freq)
-        t, v = t[inside] - zero, v[inside]
-        peaks, troughs = hysteresis_peaks(v, frac * np.ptp(v)) if len(v) else ([], [])
-        spots = sorted({*peaks, *troughs})
-        cross = _crossings(t, v, 0.0)
-        rows, big = [], np.abs(v).max() if len(v) else 1.0
-        for n, i in enumerate(spots):
-            edges = []
-            for j, side in ((n - 1, -1), (n + 1, 1)):
-                if 0 <= j < len(spots):
-                    half = _crossings(t, v, (v[i] + v[spots[j]]) / 2)
-                    half = half[(half - t[i]) * side > 0]
-                    edges.append(half.min() if side > 0 and len(half) else half.max() if len(half) else None)
-                else:
-                    edges.append(None)
-            width = edges[1] - edges[0] if None not in edges else None
-            after = cross[cross > t[i]]
-            rows.append((n + 1, t[i], v[i], abs(v[i]) / big, width, after[0] if len(after) else None))
+        one = v[(t >= 0) & (t <= 1 / freq)]
+        peaks, troughs = hysteresis_peaks(v, frac * np.ptp(one)) if len(one) and np.ptp(one) > 0 else ([], [])
+        spots = np.array(sorted({*peaks, *troughs}), int)
+        near = spots[(t[spots] >= -0.25 / freq) & (t[spots] < 0.75 / freq)]
+        rows = []
+        if len(near):
+            half = [_crossings(t[a : b + 1], v[a : b + 1], (v[a] + v[b]) / 2) for a, b in zip(spots, spots[1:])]
+            ways = np.array([np.nan, *(x[len(x) // 2] if len(x) else np.nan for x in half), np.nan])
+            zero, big = t[near[np.argmax(v[near])]], np.abs(v[near]).max()
+            for k in np.flatnonzero((t[spots] >= zero) & (t[spots] < zero + 1 / freq - dt / 2)):
+                rows.append((len(rows) + 1, t[spots[k]] - zero, v[spots[k]], abs(v[spots[k]]) / big, ways[k + 1] - ways[k], ways[k + 1] - zero))
         first = pdf.iloc[0]
         return pd.DataFrame([(*(first[k] for k in keys), *r) for r in rows], columns=[*keys, *names]).astype({c: "float64" for c in names[1:]})
 

@@ -255,6 +255,14 @@ WHERE NOT coalesce(trough_idx = bi AND CASE WHEN abs(slope - bs) <= 0.25 * (slop
     "w5_event_heights": f"""WITH {_EXT}, q AS (SELECT *, CASE WHEN lag(kind) OVER w = 'trough' AND abs(t - lag(t) OVER w) <= 20000 THEN v - lag(v) OVER w END AS l,
   CASE WHEN lead(kind) OVER w = 'trough' AND abs(t - lead(t) OVER w) <= 20000 THEN v - lead(v) OVER w END AS r FROM e WINDOW w AS (PARTITION BY channel ORDER BY t))
 SELECT channel, idx::INT AS idx, round((coalesce(l, r) + coalesce(r, l)) / 2, 6) AS height FROM q WHERE kind = 'peak' AND coalesce(l, r) IS NOT NULL""",
+    "w6_discard_nearby": f"""WITH RECURSIVE {_EXT}, q AS (SELECT *, CASE WHEN lag(kind) OVER w = 'trough' AND abs(t - lag(t) OVER w) <= 20000 THEN v - lag(v) OVER w END AS l,
+  CASE WHEN lead(kind) OVER w = 'trough' AND abs(t - lead(t) OVER w) <= 20000 THEN v - lead(v) OVER w END AS r FROM e WINDOW w AS (PARTITION BY channel ORDER BY t)),
+h AS MATERIALIZED (SELECT channel, idx, t, (coalesce(l, r) + coalesce(r, l)) / 2 AS height FROM q WHERE kind = 'peak' AND coalesce(l, r) IS NOT NULL),
+it AS (SELECT 0 AS k, channel, idx, t, height FROM h
+  UNION ALL SELECT k + 1, channel, idx, t, height FROM (SELECT *, bool_or(gone) OVER () AS more FROM (
+    SELECT *, coalesce(lead(t) OVER w - t < 40000 AND height < lead(height) OVER w, false) OR coalesce(t - lag(t) OVER w < 40000 AND NOT lag(height) OVER w < height, false) AS gone
+    FROM it WINDOW w AS (PARTITION BY channel ORDER BY t))) WHERE more AND NOT gone)
+SELECT channel, idx::INT AS idx, round(height, 6) AS height FROM it WHERE k = (SELECT max(k) FROM it)""",
     "w13_instant_rate": f"""WITH {SAMPLES}, r AS (SELECT channel, idx, 1 / (lead(t) OVER w - t) AS rate FROM s WINDOW w AS (PARTITION BY channel ORDER BY t))
 SELECT channel, idx::INT AS idx, round(rate, 9) AS rate, abs(rate / lag(rate) OVER (PARTITION BY channel ORDER BY idx) - 1) < 0.5 AS steady FROM r""",
     "w17_wide_pulses": f"""WITH {_CLUST}, d AS (SELECT *, t - lag(t) OVER (PARTITION BY channel, label ORDER BY t) AS d FROM c), m AS (SELECT channel, label, avg(d) AS m FROM d GROUP BY ALL),

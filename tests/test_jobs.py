@@ -110,10 +110,9 @@ def test_quartiles_are_exact(spark):
 
 
 def test_merged_sources_do_not_depend_on_where_stretches_end(spark):
-    time = (np.arange(64) / 64).tolist()
-    shape = np.sin(2 * np.pi * 2 * np.arange(64) / 64).tolist()
+    shape = np.sin(2 * np.pi * np.arange(64) / 64).tolist()
     freqs = [490.0, 499.0, 501.0, 520.0, 1000.5, 1001.0, 1499.9, 1500.1, 2100.0]
-    rows = [(k, "wave", f, 0.0, float(k), 0.0, time, shape) for k, f in enumerate(freqs)]
+    rows = [(k, "wave", f, 0.0, float(k), 0.0, (np.arange(64) / 64 / f).tolist(), shape) for k, f in enumerate(freqs)]
     df = spark.createDataFrame(rows, "id int, type string, EODf double, ppdist double, ppampl double, noise double, time array<double>, v array<double>")
     got = J.merge_fish(df).collect()
     groups = {}
