@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fieldwave.operators import logger as L
 
+from fieldwave.sources.shared import written
+
 from .bind import SAMPLES, T0, r6, samples, table
 
 _DAY = 86_400_000_000
@@ -44,7 +46,7 @@ def signal_power(spark, sf_dir):
 
 
 def _loud(spark, sf_dir):
-    rows = power(spark, sf_dir)
+    rows = written(power(spark, sf_dir), "power")  # read three times
     limit = L.hist_threshold(rows, ["channel"], "std", fac=0.5, nbins=20)
     return rows.join(limit, "channel").where("std > threshold")
 

@@ -52,13 +52,18 @@ def _named(df: DataFrame, ftype: str) -> DataFrame:
 
 
 def _lines(df: DataFrame, ftype: str, sep: str) -> DataFrame:
-    """(path, cells by name) of table files given as lines (path, value): the first line that begins with a known column is the head."""
+    """(path, cells by name) of table files given as lines (path, value): the first line that begins with a known column is the head, the next one holds units if it has other text than '-', 'nan' or 'p'.
+
+    All later lines are rows; a cell that is no number is null in a number's column.
+    """
     names = list(TABLES[ftype])
     cells = F.transform(F.split("value", sep), lambda x: F.trim(F.regexp_replace(x, r"^#|\(.*\)$|/.*$", "")))
     rows = df.where("trim(value) <> ''").select("path", "n", cells.alias("cells"))
     heads = rows.where(F.col("cells")[0].isin(names)).groupBy("path").agg(F.min(F.struct("n", "cells")).alias("head"))
     unit = F.exists("cells", lambda x: x.try_cast("double").isNull() & ~F.lower(x).isin("-", "nan", "", "p"))
-    body = rows.join(heads, "path").where((F.col("n") > F.col("head.n")) & ~unit)
+    body = rows.join(heads, "path").where(F.col("n") > F.col("head.n"))
+    second = body.groupBy("path").agg(F.min("n").alias("second"))
+    body = body.join(second, "path").where(~((F.col("n") == F.col("second")) & unit))
     byname = F.map_from_arrays(F.col("head.cells"), F.slice("cells", F.lit(1), F.size("head.cells")))
     return body.withColumn("m", byname).select("path", *(F.try_element_at("m", F.lit(n)).alias(n) for n in names))
 
@@ -100,32 +105,46 @@ def write_analysis(df: DataFrame, path: str, ftype: str, fmt: str = "parquet", b
 
 _BLOCKS = T.StructType([
     T.StructField("recording", T.StringType()), T.StructField("channel", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("idx0", T.LongType()),
-    T.StructField("rate", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType())),
+    T.StructField("rate", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType()),
 ])
 
 
-def read_wav(spark: SparkSession, path: str, block_seconds: float = 1.0, overlap: int = 0) -> DataFrame:
-    """blocks(recording, channel, block, idx0, rate, v) of 16-bit PCM files; values are fractions of full scale.
+def _pcm(raw: bytes, width: int) -> np.ndarray:
+    """Samples of 8, 16, 24 or 32-bit PCM as fractions of full scale."""
+    if width == 1:
+        return (np.frombuffer(raw, np.uint8) - 128.0) / 128
+    if width == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        return wide.view("<i4")[:, 0] / 2.0**31
+    return np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
+
+
+def read_wav(spark: SparkSession, path: str, block_seconds: float = 1.0, overlap: int = 0, errors: str = "report") -> DataFrame:
+    """blocks(recording, channel, block, idx0, rate, v, error) of PCM files; values are fractions of full scale.
 
-    A file is decoded block by block within its task; unreadable files give no rows.
+    A file is decoded block by block within its task.  One that can't be decoded is
+    a row with its ``error`` and no block, or stops the job with ``errors="raise"``.
+    Spark hands over files of up to 2 GB; longer recordings come as sample tables.
     """
 
     def decode(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             for p, raw in zip(pdf["path"], pdf["content"]):
+                name = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 try:
                     f = wave.open(io.BytesIO(raw))
-                except (wave.Error, EOFError):
+                except (wave.Error, EOFError) as e:
+                    if errors == "raise":
+                        raise ValueError(f"{p}: {e}") from e
+                    yield pd.DataFrame({"recording": [name], "channel": pd.array([None], "Int32"), "block": pd.array([None], "Int64"), "idx0": pd.array([None], "Int64"), "rate": [None], "v": [None], "error": [str(e) or type(e).__name__]})
                     continue
-                rate, channels, n = f.getframerate(), f.getnchannels(), f.getnframes()
+                rate, channels, n, width = f.getframerate(), f.getnchannels(), f.getnframes(), f.getsampwidth()
                 size = max(1, int(block_seconds * rate))
-                if f.getsampwidth() != 2:
-                    continue
-                name = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 for b in range(-(-n // size)):
                     f.setpos(b * size)
-                    x = np.frombuffer(f.readframes(size + overlap), "<i2").reshape(-1, channels) / 32768.0
-                    yield pd.DataFrame({"recording": name, "channel": range(channels), "block": b, "idx0": b * size, "rate": float(rate), "v": [x[:, c] for c in range(channels)]})
+                    x = _pcm(f.readframes(size + overlap), width).reshape(-1, channels)
+                    yield pd.DataFrame({"recording": name, "channel": range(channels), "block": b, "idx0": b * size, "rate": float(rate), "v": [x[:, c] for c in range(channels)], "error": None})
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content").mapInPandas(decode, _BLOCKS)
 

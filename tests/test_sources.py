@@ -6,6 +6,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pytest
 
 from fieldwave.sources import readers as S
 
@@ -23,6 +24,14 @@ def test_analysis_tables(spark):
     assert (p["fish"], p["time"], p["relampl"], p["width"], p["zeros"]) == (3, 5e-4, 1.0, 2.5e-4, None)
 
 
+def test_rows_with_text_cells_stay(spark):
+    d = Path(tempfile.mkdtemp(prefix="spark-"))
+    (d / "rec1-waveeodfs.csv").write_text("index,EODf,datapower\n-,Hz,dB\n0,123.5,loud\n1,99,-3\n")
+    (d / "rec2-waveeodfs.csv").write_text("index,EODf,datapower\n7,50,-1\n")
+    rows = sorted(map(tuple, S.read_analysis(spark, str(d), "waveeodfs").select("recording", "index", "EODf", "datapower").collect()))
+    assert rows == [("rec1", 0.0, 123.5, None), ("rec1", 1.0, 99.0, -3.0), ("rec2", 7.0, 50.0, -1.0)]
+
+
 def test_bundles(spark):
     d = Path(tempfile.mkdtemp(prefix="spark-"))
     with zipfile.ZipFile(d / "rec9.zip", "w") as z:
@@ -49,7 +58,19 @@ def test_wav_blocks(spark):
         f.setframerate(1000)
         f.writeframes(np.column_stack([x, -x]).astype("<i2").tobytes())
     (d / "bad.wav").write_bytes(b"no audio")
-    blocks = S.read_wav(spark, str(d), 1.0)
+    for width, raw in ((1, bytes([0, 128, 255])), (3, b"\x00\x00\x40" * 3), (4, b"\x00\x00\x00\xc0" * 3)):
+        with wave.open(str(d / f"w{width}.wav"), "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(width)
+            f.setframerate(1000)
+            f.writeframes(raw)
+    every = S.read_wav(spark, str(d), 1.0)
+    assert {r["recording"]: list(np.round(r["v"], 6)) for r in every.where("recording like 'w%'").collect()} == {"w1": [-1.0, 0.0, 0.992188], "w3": [0.5] * 3, "w4": [-0.5] * 3}
+    (bad,) = every.where("error is not null").collect()
+    assert bad["recording"] == "bad" and bad["v"] is None and bad["block"] is None
+    with pytest.raises(Exception, match="bad.wav"):
+        S.read_wav(spark, str(d), errors="raise").count()
+    blocks = every.where("recording = 'a'")
     assert {(r["channel"], r["block"], r["idx0"], len(r["v"])) for r in blocks.collect()} == {(c, b, b * 1000, min(1000, 2500 - b * 1000)) for c in (0, 1) for b in (0, 1, 2)}
     samples = S.exploded(blocks).where("channel = 1").orderBy("idx").collect()
     assert np.allclose([r["v"] for r in samples], -x / 32768)
