@@ -247,6 +247,18 @@ def encoder(path: str) -> WordEncoder:
 
 
 # ---------------------------------------------------------------- the operator
+def pieces(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches that hold about ``most`` characters, a longer text by itself."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > most:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_tokens: int = 8_000_000) -> DataFrame:
     """Tokenizes ``docs(doc_id, text)`` into files; returns their manifest with ``base``, the tokens in all earlier files.
 
@@ -286,8 +298,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_token
                 x.clear()
 
         for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                for doc_id, raw in zip(pdf["doc_id"][a : a + 256], enc.batch(pdf["text"][a : a + 256].tolist())):
+            texts, rows = pdf["text"].tolist(), pdf["doc_id"].tolist()
+            for a, b in pieces([len(t or "") for t in texts]):
+                for doc_id, raw in zip(rows[a:b], enc.batch(texts[a:b])):
                     ids.append(None if doc_id is None else int(doc_id))
                     held += [raw, end]
                     lengths.append(len(raw) // enc.kind.itemsize + 1)

@@ -473,6 +473,10 @@ def test_token_files_keep_large_and_repeated_ids(spark):
     assert len({r.part for r in manifest.collect()}) > 2
 
 
+def test_pieces_are_bounded():
+    assert list(token_files.pieces([])) == [] and list(token_files.pieces([5, 9, 1, 1, 20, 2], 10)) == [(0, 1), (1, 3), (3, 4), (4, 5), (5, 6)]
+
+
 def test_other_vocabularies_get_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
