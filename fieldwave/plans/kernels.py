@@ -394,4 +394,24 @@ UNION ALL SELECT (label % 3)::VARCHAR, label, NULL, h::INT, h * 7.5::DOUBLE, NUL
     "a2_spectral_thresholds": f"""WITH {WAVES}, d AS (SELECT label, pos + id / 1e6 AS freq, 10 * log10(v * v) AS db FROM w WHERE v * v >= 1e-12), tops AS (SELECT label, max(pos + id / 1e6) AS top FROM w GROUP BY label),
 q AS (SELECT label, freq, db FROM d JOIN tops USING (label) WHERE freq >= 0.5 * top AND freq < 0.75 * top), lin AS (SELECT label, regr_slope(db, freq) AS s, regr_intercept(db, freq) AS i FROM q GROUP BY label),
 p AS (SELECT label, db - s * freq - i AS r FROM q JOIN lin USING (label)), {_hist_sql('p', 'label', 'r', 1.0, 20)} SELECT label, round(6 * width, 6) AS low, round(10 * width, 6) AS high FROM th""",
+    "j20_peak_trough_clusters": f"""WITH RECURSIVE {SAMPLES}, lab AS MATERIALIZED (SELECT channel, event_id, idx % 5 AS pl, idx % 3 - 1 AS tl FROM s),
+cl AS MATERIALIZED (SELECT channel, 'p' || pl AS name, count(*) AS size FROM lab WHERE pl >= 0 GROUP BY ALL UNION ALL SELECT channel, 't' || tl, count(*) FROM lab WHERE tl >= 0 GROUP BY ALL),
+tch AS MATERIALIZED (SELECT channel, name, list(DISTINCT o) AS o FROM (SELECT channel, 'p' || pl AS name, 't' || tl AS o FROM lab WHERE pl >= 0 UNION ALL SELECT channel, 't' || tl, 'p' || pl FROM lab WHERE tl >= 0) GROUP BY ALL),
+r AS (SELECT channel, -1 AS i, list(name) AS rest, NULL::VARCHAR AS kept FROM cl GROUP BY channel
+  UNION ALL SELECT b.channel, i + 1, list_filter(rest, lambda x: x <> best AND NOT list_contains(o, x)), best FROM (
+    SELECT r.channel, r.i, r.rest, arg_max(cl.name, (cl.size, -ascii(cl.name), -substr(cl.name, 2)::INT)) AS best FROM r JOIN cl ON cl.channel = r.channel AND list_contains(r.rest, cl.name) GROUP BY ALL) b
+  JOIN tch ON tch.channel = b.channel AND tch.name = b.best)
+SELECT l.channel, event_id, min(i)::INT AS label FROM lab l JOIN r ON r.channel = l.channel AND r.kept IN ('p' || pl, 't' || tl) GROUP BY ALL""",
+    "j19_across_channels": f"""WITH RECURSIVE {SAMPLES}, g AS (SELECT channel % 3 AS recording, channel % 7 AS channel, event_id AS id, t, v / 100 AS height FROM s),
+n AS (SELECT *, t - lag(t) OVER (PARTITION BY recording ORDER BY t, channel) > 120 AS new FROM g),
+h AS MATERIALIZED (SELECT *, sum(coalesce(new, true)::INT) OVER (PARTITION BY recording ORDER BY t, channel) AS session FROM n),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY recording, session ORDER BY height DESC, t, channel) AS n FROM h),
+nb AS MATERIALIZED (SELECT a.id, list(b.id) AS ids FROM h a JOIN h b ON a.recording = b.recording AND a.session = b.session AND abs(a.t - b.t) <= 120 GROUP BY a.id),
+r AS (SELECT DISTINCT recording, session, 0::BIGINT AS n, []::BIGINT[] AS taken, []::BIGINT[] AS got, 0::BIGINT AS top FROM h
+  UNION ALL SELECT recording, session, n, list_concat(taken, got), got, top FROM (
+    SELECT r.recording, r.session, o.n, r.taken, o.id AS top, CASE WHEN list_contains(r.taken, o.id) THEN [] ELSE list_filter(nb.ids, lambda i: NOT list_contains(r.taken, i)) END AS got
+    FROM r JOIN o ON o.recording = r.recording AND o.session = r.session AND o.n = r.n + 1 JOIN nb ON nb.id = o.id)),
+m AS (SELECT r.recording, r.session, r.n, x.channel, x.t, x.height, p.t AS top_t FROM (SELECT recording, session, n, top, unnest(got) AS id FROM r) r JOIN h x ON x.id = r.id JOIN h p ON p.id = r.top WHERE p.height >= 0.02)
+SELECT recording, dense_rank() OVER (PARTITION BY recording ORDER BY session, n)::INT AS event, channel, round(t, 6) AS t, round(height, 6) AS height
+FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY recording, session, n, channel ORDER BY height DESC, abs(t - top_t)) = 1)""",
 }
