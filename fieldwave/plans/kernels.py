@@ -301,6 +301,18 @@ spec AS (SELECT {keys}, f, (re * re + im * im) / {rate * total!r} * CASE WHEN f
 #: Rows (k, pos, weight) of the projection on Chebyshev polynomials of 64 samples.
 _BASIS = ", ".join(f"({k}, {i}, {c!r}::DOUBLE)" for k, row in enumerate(np.linalg.pinv(np.polynomial.chebyshev.chebvander(np.linspace(-1, 1, 64), 5)).tolist()) for i, c in enumerate(row))
 
+#: r(channel, n, source, kind, t0, t1, f, dist, ampl): detections in order with their source; a source holds its largest detection's values.
+_TRACK = f"""WITH RECURSIVE {SAMPLES}, e AS (SELECT channel % 20 AS channel, t / 60 AS t0, t / 60 + 5 AS t1, CASE WHEN kind_of = 'click' THEN 'pulse' ELSE 'wave' END AS kind, round(v / 10) AS f, round(v) * 1e-6 AS dist, v AS ampl FROM s),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY t0, f, dist) AS n FROM e),
+r AS (SELECT DISTINCT channel, 0::BIGINT AS n, -1::BIGINT AS source, '' AS kind, 0::DOUBLE AS t0, 0::DOUBLE AS t1, 0::DOUBLE AS f, 0::DOUBLE AS dist, 0::DOUBLE AS ampl,
+    []::STRUCT(id BIGINT, kind VARCHAR, f DOUBLE, dist DOUBLE, ampl DOUBLE, tend DOUBLE)[] AS known FROM o
+  UNION ALL SELECT channel, n, CASE WHEN fits THEN best.id ELSE len(known) END, kind, t0, t1, f, dist, ampl,
+    CASE WHEN NOT fits THEN list_append(known, {{'id': len(known), 'kind': kind, 'f': f, 'dist': dist, 'ampl': ampl, 'tend': t1}})
+      ELSE list_transform(known, lambda e: CASE WHEN e.id <> best.id THEN e ELSE {{'id': e.id, 'kind': e.kind, 'f': CASE WHEN ampl > e.ampl THEN f ELSE e.f END, 'dist': CASE WHEN ampl > e.ampl THEN dist ELSE e.dist END, 'ampl': greatest(ampl, e.ampl), 'tend': greatest(e.tend, t1)}} END) END
+  FROM (SELECT *, coalesce(best.off <= CASE kind WHEN 'wave' THEN 1.0 ELSE 5e-5 END AND abs(best.f - f) <= 1.0 AND t0 - best.tend < 300, false) AS fits FROM (
+    SELECT r.channel, o.n, o.kind, o.t0, o.t1, o.f, o.dist, o.ampl, r.known, list_sort(list_transform(list_filter(r.known, lambda e: e.kind = o.kind), lambda e: {{'off': CASE WHEN o.kind = 'wave' THEN abs(e.f - o.f) ELSE abs(e.dist - o.dist) END, 'id': e.id, 'f': e.f, 'tend': e.tend}}))[1] AS best
+    FROM r JOIN o ON o.channel = r.channel AND o.n = r.n + 1)))"""
+
 QUERIES = {
     "c3_extract_pulses": pulses,
     "c4_analyze_pulse": pulse_rows,
@@ -414,4 +426,27 @@ r AS (SELECT DISTINCT recording, session, 0::BIGINT AS n, []::BIGINT[] AS taken,
 m AS (SELECT r.recording, r.session, r.n, x.channel, x.t, x.height, p.t AS top_t FROM (SELECT recording, session, n, top, unnest(got) AS id FROM r) r JOIN h x ON x.id = r.id JOIN h p ON p.id = r.top WHERE p.height >= 0.02)
 SELECT recording, dense_rank() OVER (PARTITION BY recording ORDER BY session, n)::INT AS event, channel, round(t, 6) AS t, round(height, 6) AS height
 FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY recording, session, n, channel ORDER BY height DESC, abs(t - top_t)) = 1)""",
+    "r5_block_labels": f"""WITH RECURSIVE {SAMPLES}, c AS (SELECT channel, idx // 10 AS block, idx % 3 AS label, avg(v) / 100 AS x FROM s GROUP BY ALL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY block, label) AS n FROM c),
+r AS (SELECT DISTINCT channel, 0::BIGINT AS n, -1::BIGINT AS block, -1::BIGINT AS label, []::STRUCT(k BIGINT, x DOUBLE)[] AS known, []::BIGINT[] AS taken, 0::BIGINT AS fresh, -1::BIGINT AS aligned FROM o
+  UNION ALL SELECT channel, n, block, label, list_append(list_filter(known, lambda e: e.k <> k), {{'k': k, 'x': x}}), list_append(taken, k), fresh + (k = fresh)::BIGINT, k FROM (
+    SELECT *, CASE WHEN best.d < 0.2 THEN best.k ELSE fresh END AS k FROM (
+      SELECT *, list_sort(list_transform(list_filter(known, lambda e: NOT list_contains(taken, e.k)), lambda e: {{'d': abs(e.x - x), 'k': e.k}}))[1] AS best FROM (
+        SELECT r.channel, o.n, o.block, o.label, o.x, r.known, r.fresh, CASE WHEN o.block = r.block THEN r.taken ELSE [] END AS taken FROM r JOIN o ON o.channel = r.channel AND o.n = r.n + 1))))
+SELECT channel, block, label::INT AS label, aligned FROM r WHERE n > 0""",
+    "r6_amplitude_walk": f"""WITH RECURSIVE {SAMPLES}, o AS MATERIALIZED (SELECT channel, idx, idx % 2 AS label, v AS h, row_number() OVER (PARTITION BY channel ORDER BY idx) AS n FROM s),
+r AS (SELECT DISTINCT channel, 0::BIGINT AS n, 0::BIGINT AS idx, []::STRUCT(last BIGINT, id BIGINT, label BIGINT, hs DOUBLE[], gap DOUBLE)[] AS open, 0::BIGINT AS fresh, -1::BIGINT AS walk FROM o
+  UNION ALL SELECT channel, n, idx, list_sort(list_append(CASE WHEN best IS NULL THEN CASE WHEN len(live) >= 12 THEN live[2:] ELSE live END ELSE list_filter(live, lambda e: e.id <> best.id) END,
+      {{'last': idx, 'id': coalesce(best.id, fresh), 'label': label, 'hs': CASE WHEN best IS NULL THEN [h] ELSE list_append(best.hs[-2:], h) END, 'gap': CASE WHEN best IS NULL THEN 0 ELSE (idx - best.last)::DOUBLE END}})),
+    fresh + (best IS NULL)::BIGINT, coalesce(best.id, fresh) FROM (
+    SELECT *, list_sort(list_filter(list_transform(list_filter(live, lambda e: e.label = label AND h > 0), lambda e: {{'d': abs(log2(h / list_avg(e.hs))), 'id': e.id, 'hs': e.hs, 'last': e.last}}), lambda e: e.d < log2(1.6)))[1] AS best FROM (
+      SELECT r.channel, o.n, o.idx, o.label, o.h, r.fresh, list_filter(r.open, lambda e: o.idx - e.last <= greatest(30000, 20 * e.gap)) AS live FROM r JOIN o ON o.channel = r.channel AND o.n = r.n + 1)))
+SELECT channel, idx::INT AS idx, walk FROM r WHERE n > 0""",
+    "r2_track_sources": f"{_TRACK} SELECT channel, source, kind, round(t0, 6) AS t0, f AS EODf FROM r WHERE n > 0",
+    "r2_occurrences": f"""{_TRACK}, d AS MATERIALIZED (SELECT channel, source, t0, t1, f, ampl, row_number() OVER (PARTITION BY channel, source ORDER BY t0, t1, f, ampl) AS k FROM r WHERE n > 0),
+w AS (SELECT channel, source, k, 0 AS part, t0 AS a, t1 AS z, f AS first, f AS best, ampl AS top, 1::BIGINT AS many FROM d WHERE k = 1
+  UNION ALL SELECT channel, source, k, part + (NOT fits)::INT, CASE WHEN fits THEN a ELSE t0 END, CASE WHEN fits THEN greatest(z, t1) ELSE t1 END, CASE WHEN fits THEN first ELSE f END,
+    CASE WHEN fits AND ampl <= top THEN best ELSE f END, CASE WHEN fits THEN greatest(top, ampl) ELSE ampl END, CASE WHEN fits THEN many + 1 ELSE 1 END FROM (
+    SELECT w.*EXCLUDE (k), d.k, d.t0, d.t1, d.f, d.ampl, d.t0 <= w.z AND abs(d.f - w.first) < 0.5 AS fits FROM w JOIN d ON d.channel = w.channel AND d.source = w.source AND d.k = w.k + 1))
+SELECT channel, source, round(a, 6) AS tstart, round(z, 6) AS tend, best AS EODf, many AS n FROM w QUALIFY row_number() OVER (PARTITION BY channel, source, part ORDER BY k DESC) = 1""",
 }
