@@ -449,4 +449,21 @@ w AS (SELECT channel, source, k, 0 AS part, t0 AS a, t1 AS z, f AS first, f AS b
     CASE WHEN fits AND ampl <= top THEN best ELSE f END, CASE WHEN fits THEN greatest(top, ampl) ELSE ampl END, CASE WHEN fits THEN many + 1 ELSE 1 END FROM (
     SELECT w.*EXCLUDE (k), d.k, d.t0, d.t1, d.f, d.ampl, d.t0 <= w.z AND abs(d.f - w.first) < 0.5 AS fits FROM w JOIN d ON d.channel = w.channel AND d.source = w.source AND d.k = w.k + 1))
 SELECT channel, source, round(a, 6) AS tstart, round(z, 6) AS tend, best AS EODf, many AS n FROM w QUALIFY row_number() OVER (PARTITION BY channel, source, part ORDER BY k DESC) = 1""",
+    "r7_online_cluster": f"""WITH RECURSIVE {SAMPLES}, o AS MATERIALIZED (SELECT channel, event_id AS event, t / 86400 AS t, v AS a, v / 2 AS b, (idx % 5)::DOUBLE AS c, row_number() OVER (PARTITION BY channel ORDER BY t, event_id) AS n FROM s),
+r AS (SELECT DISTINCT channel, 0::BIGINT AS n, 0::BIGINT AS event, []::STRUCT(t DOUBLE, s BIGINT, a DOUBLE, b DOUBLE, c DOUBLE)[] AS past, 0::BIGINT AS fresh, -1::BIGINT AS source FROM o
+  UNION ALL SELECT channel, n, event, CASE WHEN len(list_filter(longer, lambda e: e.s = k)) > 5 THEN list_filter(longer, lambda e, i: i <> list_position(list_transform(longer, lambda y: y.s), k)) ELSE longer END, fresh + (k = fresh)::BIGINT, k FROM (
+    SELECT *, list_append(past, {{'t': t, 's': k, 'a': a, 'b': b, 'c': c}}) AS longer FROM (
+      SELECT *, CASE WHEN best.d < 0.1 THEN best.s ELSE fresh END AS k FROM (
+        SELECT *, list_sort(list_transform(list_filter(past, lambda p: t - list_max(list_transform(list_filter(past, lambda e: e.s = p.s), lambda e: e.t)) >= 1 / 300),
+          lambda e: {{'d': (abs(a - e.a) + abs(b - e.b) + abs(c - e.c)) / coalesce(nullif(greatest(abs(a), abs(e.a)) + greatest(abs(b), abs(e.b)) + greatest(abs(c), abs(e.c)), 0), 3), 's': e.s}}))[1] AS best FROM (
+          SELECT r.channel, o.n, o.event, o.t, o.a, o.b, o.c, r.fresh, list_filter(r.past, lambda e: o.t - e.t <= 3.0) AS past FROM r JOIN o ON o.channel = r.channel AND o.n = r.n + 1)))))
+SELECT channel, event, source FROM r WHERE n > 0""",
+    "c2_dbscan": f"""WITH RECURSIVE {WAVES}, b(k, pos, c) AS (VALUES {_BASIS}),
+f AS MATERIALIZED (SELECT id, label, k, sum(c * v) AS x FROM w JOIN b USING (pos) GROUP BY ALL UNION ALL SELECT id, label, 6, 0.1 * (max(v) - min(v)) FROM w GROUP BY ALL),
+near AS MATERIALIZED (SELECT p.label, p.id AS a, q.id AS b FROM f p JOIN f q USING (label, k) GROUP BY ALL HAVING sum((p.x - q.x) * (p.x - q.x)) <= 0.35 * 0.35),
+size AS (SELECT label, greatest(5, floor(0.05 * count(DISTINCT id))) AS least FROM f GROUP BY label),
+core AS MATERIALIZED (SELECT label, a AS id FROM near JOIN size USING (label) GROUP BY label, a, least HAVING count(*) >= least),
+reach AS (SELECT label, id AS a, id AS b FROM core UNION SELECT reach.label, reach.a, core.id FROM reach JOIN near ON near.a = reach.b JOIN core ON core.id = near.b),
+root AS (SELECT label, b AS id, min(a) AS root FROM reach GROUP BY ALL), num AS (SELECT id, dense_rank() OVER (PARTITION BY label ORDER BY root) - 1 AS k FROM root)
+SELECT i.label AS source, i.id, coalesce(min(num.k) FILTER (num.id = i.id), min(num.k), -1) AS label FROM (SELECT DISTINCT id, label FROM w) i LEFT JOIN near ON near.a = i.id LEFT JOIN num ON num.id = near.b GROUP BY i.label, i.id""",
 }
