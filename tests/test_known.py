@@ -123,6 +123,25 @@ def test_nearby_events_by_brute_force(spark, seed):
     assert rows(V.discard_nearby(df, 1.0, ["rec"]), "id") == sorted((e[0],) for e in left)
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_peaks_do_not_depend_on_batches(spark, batch):
+    rng = np.random.default_rng(12)
+    series = {k: rng.normal(size=200).cumsum() for k in ("a", "b", "c")}
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in series.items() for i, x in enumerate(v)], "rec string, idx int, v double").repartition(5)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        got = rows(V.detect_peaks(df, 2.0, ["rec"]), "rec", "idx", "kind")
+    finally:
+        spark.conf.set(key, before)
+    want = []
+    for k, v in series.items():
+        p, t = V.hysteresis_peaks(v, 2.0)
+        want += [(k, i, "peak") for i in p] + [(k, i, "trough") for i in t]
+    assert got == sorted(want) and len(got) > 20
+
+
 def test_tables_without_rows(spark):
     none = spark.createDataFrame([], "rec int, id int, idx int, t double, v double, height double, label int, block int, features array<double>")
     assert V.detect_peaks(none, 1.0, ["rec"]).count() == 0
