@@ -466,4 +466,18 @@ core AS MATERIALIZED (SELECT label, a AS id FROM near JOIN size USING (label) GR
 reach AS (SELECT label, id AS a, id AS b FROM core UNION SELECT reach.label, reach.a, core.id FROM reach JOIN near ON near.a = reach.b JOIN core ON core.id = near.b),
 root AS (SELECT label, b AS id, min(a) AS root FROM reach GROUP BY ALL), num AS (SELECT id, dense_rank() OVER (PARTITION BY label ORDER BY root) - 1 AS k FROM root)
 SELECT i.label AS source, i.id, coalesce(min(num.k) FILTER (num.id = i.id), min(num.k), -1) AS label FROM (SELECT DISTINCT id, label FROM w) i LEFT JOIN near ON near.a = i.id LEFT JOIN num ON num.id = near.b GROUP BY i.label, i.id""",
+    "w12_wave_phases": f"""WITH RECURSIVE {WAVES}, lim AS (SELECT id, 0.05 * (max(v) - min(v)) AS thr FROM w WHERE pos <= 32 GROUP BY id), c AS MATERIALIZED (SELECT id, pos, v, thr FROM w JOIN lim USING (id)),
+r AS (SELECT id, pos, 0 AS way, v AS hv, pos AS hi, v AS lv, pos AS li, NULL::VARCHAR AS kind, pos AS at_pos, v AS at_v FROM c WHERE pos = 0
+  UNION ALL SELECT id, pos, CASE kind WHEN 'peak' THEN -1 WHEN 'trough' THEN 1 ELSE way END, CASE kind WHEN 'trough' THEN v ELSE hv END, CASE kind WHEN 'trough' THEN pos ELSE hi END,
+    CASE kind WHEN 'peak' THEN v ELSE lv END, CASE kind WHEN 'peak' THEN pos ELSE li END, kind, CASE kind WHEN 'peak' THEN hi WHEN 'trough' THEN li END, CASE kind WHEN 'peak' THEN hv WHEN 'trough' THEN lv END
+  FROM (SELECT *, CASE WHEN way >= 0 AND hv - v > thr THEN 'peak' WHEN way <= 0 AND v - lv > thr THEN 'trough' END AS kind FROM (
+    SELECT r.id, c.pos, c.v, c.thr, way, CASE WHEN way >= 0 AND c.v > hv THEN c.v ELSE hv END AS hv, CASE WHEN way >= 0 AND c.v > hv THEN c.pos ELSE hi END AS hi,
+      CASE WHEN way <= 0 AND c.v < lv THEN c.v ELSE lv END AS lv, CASE WHEN way <= 0 AND c.v < lv THEN c.pos ELSE li END AS li FROM r JOIN c ON c.id = r.id AND c.pos = r.pos + 1))),
+sp AS MATERIALIZED (SELECT id, at_pos AS pos, at_v AS v, row_number() OVER (PARTITION BY id ORDER BY at_pos) AS k FROM r WHERE kind IS NOT NULL),
+seg AS (SELECT s.id, s.k, s.pos AS a, n.pos AS b, (s.v + n.v) / 2 AS lv FROM sp s JOIN sp n ON n.id = s.id AND n.k = s.k + 1),
+cr AS (SELECT seg.id, seg.k, x.pos, (x.pos + (x.v - lv) / (x.v - y.v)) / 64 AS tc FROM seg JOIN w x ON x.id = seg.id AND x.pos >= a AND x.pos < b JOIN w y ON y.id = x.id AND y.pos = x.pos + 1 WHERE (x.v - lv) * (y.v - lv) < 0),
+hf AS (SELECT id, k, tc FROM (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY pos) - 1 AS rn, count(*) OVER (PARTITION BY id, k) AS many FROM cr) WHERE rn = many // 2),
+nr AS (SELECT id, max(abs(v)) AS big, arg_max(pos, (v, -pos)) AS zp FROM sp WHERE pos < 24 GROUP BY id)
+SELECT sp.id, row_number() OVER (PARTITION BY sp.id ORDER BY sp.pos)::INT AS p, round((pos - zp) / 64, 6) AS time, round(v, 6) AS amplitude, round(abs(v) / big, 6) AS relampl, round(h.tc - g.tc, 6) AS width
+FROM sp JOIN nr ON nr.id = sp.id LEFT JOIN hf h ON h.id = sp.id AND h.k = sp.k LEFT JOIN hf g ON g.id = sp.id AND g.k = sp.k - 1 WHERE pos >= zp AND pos <= zp + 31""",
 }
