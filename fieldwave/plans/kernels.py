@@ -481,3 +481,11 @@ nr AS (SELECT id, max(abs(v)) AS big, arg_max(pos, (v, -pos)) AS zp FROM sp WHER
 SELECT sp.id, row_number() OVER (PARTITION BY sp.id ORDER BY sp.pos)::INT AS p, round((pos - zp) / 64, 6) AS time, round(v, 6) AS amplitude, round(abs(v) / big, 6) AS relampl, round(h.tc - g.tc, 6) AS width
 FROM sp JOIN nr ON nr.id = sp.id LEFT JOIN hf h ON h.id = sp.id AND h.k = sp.k LEFT JOIN hf g ON g.id = sp.id AND g.k = sp.k - 1 WHERE pos >= zp AND pos <= zp + 31""",
 }
+SQL["c4_analyze_wave"] = f"""WITH {WAVES}, x AS (SELECT id, pos, v * CASE WHEN pos IN (0, 63) THEN 0.5 ELSE 1 END * 2 / 63 AS x FROM w),
+co AS (SELECT id, h, sum(x * cos(2 * pi() * h * 2 * pos / 64)) AS re, -sum(x * sin(2 * pi() * h * 2 * pos / 64)) AS im FROM x, range(6) r(h) GROUP BY ALL),
+a AS (SELECT id, h, sqrt(re * re + im * im) AS am FROM co WHERE h > 0),
+q AS (SELECT id, arg_max(h, (am, -h))::INT AS maxharmonics, 10 * log10(sum(am * am)) AS power, sqrt(sum(am * am) FILTER (h > 1)) / max(am) FILTER (h = 1) AS thd FROM a GROUP BY id),
+ft AS (SELECT w.id, w.pos, w.v, sum(CASE h WHEN 0 THEN re / 2 ELSE re * cos(2 * pi() * h * 2 * pos / 64) - im * sin(2 * pi() * h * 2 * pos / 64) END) AS fit FROM w JOIN co USING (id) WHERE pos < 32 GROUP BY ALL),
+b AS (SELECT id, max(v) - min(v) AS pp, sqrt(avg((v - fit) * (v - fit))) AS e FROM ft GROUP BY id),
+ph AS (SELECT id, count(*) AS nphases, min(width) AS minwidth FROM ({SQL["w12_wave_phases"]}) GROUP BY id)
+SELECT b.id, nphases, maxharmonics, round(pp, 6) AS ppampl, round(power, 6) AS power, round(thd, 6) AS thd, round(minwidth, 6) AS minwidth, round(e / pp, 6) AS rmserror FROM b JOIN q USING (id) LEFT JOIN ph USING (id)"""
