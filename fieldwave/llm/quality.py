@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, use_table
+from .shared import pieces, small_batches, use_table
 
 _PASSAGE = 512  # bytes, up to the next space
 _BUCKETS, _WIDTH = (1 << 15, 1 << 15, 1 << 14), 4  # of the embeddings of words, word pairs and trigrams
@@ -123,6 +123,13 @@ def featurize(texts: list[str | None]) -> Bags:
     return Bags(x.astype(np.float32), tokens, np.array([len(c) for c in cuts], np.int64))
 
 
+def featurize_all(texts: list[str | None], most: int = 300_000) -> Bags:
+    """The same for many texts, about ``most`` characters at a time, so that only the result is held whole."""
+    parts = [featurize(texts[a:b]) for a, b in pieces([len(t or "") for t in texts], most)] or [featurize([])]
+    tokens = [(np.concatenate([p.tokens[k][0] for p in parts]), np.concatenate([p.tokens[k][1] for p in parts])) for k in range(len(_BUCKETS))]
+    return Bags(np.concatenate([p.x for p in parts]), tokens, np.concatenate([p.sizes for p in parts]))
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -231,8 +238,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_bytes: int = 6_000_000, **f
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(min(1, max_bytes / max(total, 1)) * steps))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_bytes / 64 labels, expected
     got = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double")).toPandas().sort_values(["doc_id", "text"], kind="stable")
-    model = fit(featurize(got["text"].tolist()), got["quality"].to_numpy(float), **fitting)
+    bags, y = featurize_all(got["text"].tolist()), got["quality"].to_numpy(float)
+    del got
     _memo.clear()
+    model = fit(bags, y, **fitting)
     return model
 
 

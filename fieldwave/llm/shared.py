@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +81,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def pieces(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches that hold about ``most`` characters, a longer text by itself."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > most:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def by_hash(df: DataFrame, id_col: str, most: int) -> DataFrame:
     """``df`` where it has at most ``most`` rows, else the rows whose id's hash lies below the share that leaves that many (expected)."""
     n, steps = df.count(), 1 << 30

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import filesystem, partitions, settle, shared_dir, small_batches, use_table
+from .shared import filesystem, partitions, pieces, settle, shared_dir, small_batches, use_table
 
 MAGIC = b"DAC1"
 _BLOCK = 512  # bits that one entry of a rank directory covers
@@ -247,18 +247,6 @@ def encoder(path: str) -> WordEncoder:
 
 
 # ---------------------------------------------------------------- the operator
-def pieces(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Bounds of stretches that hold about ``most`` characters, a longer text by itself."""
-    start = total = 0
-    for k, n in enumerate(sizes):
-        if k > start and total + n > most:
-            yield start, k
-            start, total = k, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_tokens: int = 8_000_000) -> DataFrame:
     """Tokenizes ``docs(doc_id, text)`` into files; returns their manifest with ``base``, the tokens in all earlier files.
 
