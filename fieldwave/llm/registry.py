@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, token_files, url_rules, warc
+from . import chat, decontaminate, exact_dedup, line_dedup, merkle, mixing, near_dedup, quality, token_files, url_rules, warc
 
 QUERIES = {
     "op1_bm25_wand": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_rules": url_rules.query,
     "op9_mix_prefix_sums": mixing.query,
     "op10_quality_mil": quality.query,
+    "op11_merkle_log": merkle.query,
 }
 SQL = {
     "op2_warc_dictionary": warc.SQL,
@@ -22,6 +23,7 @@ SQL = {
     "op4_chat_events": chat.SQL,
     "op7_exact_tree_merge": exact_dedup.SQL,
     "op9_mix_prefix_sums": mixing.SQL,
+    "op11_merkle_log": merkle.SQL,
 }
 
 
