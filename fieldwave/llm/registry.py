@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, line_dedup, merkle, mixing, near_dedup, quality, token_files, url_rules, warc
+from . import chat, decontaminate, exact_dedup, hard_negatives, license_scan, line_dedup, merkle, mixing, near_dedup, quality, token_files, url_rules, warc
 
 QUERIES = {
     "op1_bm25_wand": decontaminate.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_mix_prefix_sums": mixing.query,
     "op10_quality_mil": quality.query,
     "op11_merkle_log": merkle.query,
+    "op12_strassen_negatives": hard_negatives.query,
+    "op13_license_automata": license_scan.query,
 }
 SQL = {
     "op2_warc_dictionary": warc.SQL,
@@ -24,6 +26,8 @@ SQL = {
     "op7_exact_tree_merge": exact_dedup.SQL,
     "op9_mix_prefix_sums": mixing.SQL,
     "op11_merkle_log": merkle.SQL,
+    "op12_strassen_negatives": hard_negatives.SQL,
+    "op13_license_automata": license_scan.SQL,
 }
 
 

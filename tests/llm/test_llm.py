@@ -46,7 +46,7 @@ def rows_of(df):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "labels", "benchmark"):
+    for t in ("documents", "pages", "conversations", "labels", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(registry.SQL[name])
     cols = [c[0] for c in want.description]
@@ -57,7 +57,7 @@ def test_sql(spark, name):
 
 
 def test_registry_names_each_operator_once():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 12))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 14))
 
 
 # ---------------------------------------------------------------- 1 decontamination
