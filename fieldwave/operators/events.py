@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldwave.operators import peak_scan
+
 
 # ---------------------------------------------------------------- peaks
 def hysteresis_peaks(x: np.ndarray, threshold: float | np.ndarray) -> tuple[list[int], list[int]]:
@@ -34,68 +36,16 @@ def hysteresis_peaks(x: np.ndarray, threshold: float | np.ndarray) -> tuple[list
     return peaks, troughs
 
 
-def local_extrema(samples: DataFrame, keys: Sequence[str], idx: str = "idx", v: str = "v") -> DataFrame:
-    """Rows at which a series turns, and its ends: all that a hysteresis scan needs to see."""
-    w = W.partitionBy(*keys).orderBy(idx)
-    before, after = F.lag(v).over(w), F.lead(v).over(w)
-    rows = samples.withColumn("_b", before).withColumn("_a", after)
-    turn = ((F.col(v) >= F.col("_b")) & (F.col(v) >= F.col("_a"))) | ((F.col(v) <= F.col("_b")) & (F.col(v) <= F.col("_a")))
-    return rows.where(F.col("_b").isNull() | F.col("_a").isNull() | turn).drop("_b", "_a")
-
-
-class Turns:
-    """The same scan on a series that comes in parts: it goes on where it stopped."""
-
-    def __init__(self, threshold: float):
-        self.threshold, self.way, self.high, self.low = threshold, 0, None, None
-
-    def feed(self, places: np.ndarray, values: np.ndarray) -> list[tuple]:
-        """(place, value, kind) of the peaks and troughs that these samples confirm."""
-        out = []
-        for place, v in zip(places.tolist(), values.tolist()):
-            if self.high is None:
-                self.high = self.low = (v, place)
-                continue
-            if self.way >= 0 and v > self.high[0]:
-                self.high = (v, place)
-            if self.way <= 0 and v < self.low[0]:
-                self.low = (v, place)
-            if self.way >= 0 and self.high[0] - v > self.threshold:
-                out.append((self.high[1], self.high[0], "peak"))
-                self.way, self.low = -1, (v, place)
-            elif self.way <= 0 and v - self.low[0] > self.threshold:
-                out.append((self.low[1], self.low[0], "trough"))
-                self.way, self.high = 1, (v, place)
-        return out
-
-
-def detect_peaks(samples: DataFrame, threshold: float, keys: Sequence[str], idx: str = "idx", v: str = "v") -> DataFrame:
+def detect_peaks(samples: DataFrame, threshold: float, keys: Sequence[str], idx: str = "idx", v: str = "v", *, block_bits: int = 16) -> DataFrame:
     """(keys, idx, v, kind) with kind ``peak`` or ``trough``, strictly alternating, over the whole series of each key.
 
-    Series are cut down to their local extrema first; the scan itself is
-    sequential.  It sees a sorted partition batch by batch and carries its state
-    along, so a long series needs no more memory than a batch.
+    Series are scanned in blocks of ``2**block_bits`` places, a task each, and the
+    states between blocks are put together afterwards (``peak_scan``): the
+    result is that of one scan, whatever the blocks.  Null and NaN values are left out.
     """
     kinds = dict(samples.dtypes)
-    turns = local_extrema(samples.select(*keys, idx, v).where(F.col(v).isNotNull() & ~F.isnan(v)), keys, idx, v)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, state = None, None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            names = pd.Series(list(map(repr, pdf[list(keys)].itertuples(index=False, name=None)))) if len(keys) else pd.Series([""] * len(pdf))
-            cuts = [0, *(np.flatnonzero(names[1:].to_numpy() != names[:-1].to_numpy()) + 1), len(pdf)]
-            for a, z in zip(cuts, cuts[1:]):
-                if names[a] != held:
-                    held, state = names[a], Turns(threshold)
-                found = state.feed(pdf[idx].to_numpy()[a:z], pdf[v].to_numpy()[a:z])
-                if found:
-                    made = pd.DataFrame(found, columns=[idx, v, "kind"])
-                    yield made.assign(**{k: [pdf[k].iloc[a]] * len(made) for k in keys})[[*keys, idx, v, "kind"]]
-
-    # the extrema come out of a window over the keys, so a series already stands in one partition
-    return turns.sortWithinPartitions(*keys, idx).mapInPandas(scan, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{idx} {kinds[idx]}", f"{v} double", "kind string"]))
+    found = peak_scan.detect(samples.select(*keys, F.col(idx).alias("idx"), F.col(v).alias("v")), threshold, keys, block_bits=block_bits)
+    return found.select(*keys, F.col("idx").cast(kinds[idx]).alias(idx), F.col("v").alias(v), "kind")
 
 
 def trim_events(events: DataFrame, keys: Sequence[str], idx: str = "idx", *, to_peak: bool = False) -> DataFrame:
