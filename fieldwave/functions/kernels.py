@@ -136,27 +136,35 @@ def pulse_similarity(a: np.ndarray, b: np.ndarray, wfac: float = 10.0) -> float:
 
 
 # ---------------------------------------------------------------- clustering
-def mixture_1d(x: np.ndarray, n: int, steps: int = 200) -> np.ndarray:
-    """Labels, ordered by position, of a Gaussian mixture on a line; starts from quantiles, so runs agree."""
+def mixture_1d(x: np.ndarray, n: int, steps: int = 200, weight: np.ndarray | None = None) -> np.ndarray:
+    """Labels, ordered by position, of a Gaussian mixture on a line; starts from quantiles, so runs agree.
+
+    ``weight`` tells how often each value stands: all that is summed is weighted,
+    so a histogram gives what its values, one by one, would give.
+    """
     x = np.asarray(x, float)
-    values = np.unique(x)
-    if len(values) <= n or x.std() == 0:
+    count = np.ones(len(x)) if weight is None else np.asarray(weight, float)
+    total = count.sum()
+    center = (x * count).sum() / total if len(x) else 0.0
+    spread = np.sqrt((count * (x - center) ** 2).sum() / total) if len(x) else 0.0
+    if len(np.unique(x)) <= n or spread == 0:
         return np.zeros(len(x), int)
-    z = (x - x.mean()) / x.std()
-    mean, var, share = np.quantile(z, (np.arange(n) + 0.5) / n), np.full(n, 1.0 / n**2), np.full(n, 1.0 / n)
+    z = (x - center) / spread
+    order = np.argsort(z, kind="stable")
+    mean, var, share = _quantiles(z[order], count[order], (np.arange(n) + 0.5) / n), np.full(n, 1.0 / n**2), np.full(n, 1.0 / n)
     for _ in range(steps):
         logp = -((z[:, None] - mean) ** 2) / (2 * var) - 0.5 * np.log(var) + np.log(share)
         p = np.exp(logp - logp.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        weight = p.sum(0) + 1e-9
-        new = p.T @ z / weight
-        var = np.maximum((p * (z[:, None] - new) ** 2).sum(0) / weight, 1e-4)
-        share = weight / weight.sum()
+        q = p * count[:, None]
+        part = q.sum(0) + 1e-9
+        new = q.T @ z / part
+        var = np.maximum((q * (z[:, None] - new) ** 2).sum(0) / part, 1e-4)
+        share = part / part.sum()
         done = np.abs(new - mean).max() < 1e-6
         mean = new
         if done:
             break
-    order = np.argsort(z, kind="stable")
     label = p.argmax(1)[order]
     cuts = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
     out = np.empty(len(x), int)
@@ -164,15 +172,30 @@ def mixture_1d(x: np.ndarray, n: int, steps: int = 200) -> np.ndarray:
     return out
 
 
-def merge_neighbours(x: np.ndarray, label: np.ndarray, ratio: float, min_n: int = 1) -> np.ndarray:
+def _quantiles(x: np.ndarray, count: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Interpolated quantiles of sorted values that stand ``count`` times each."""
+    upto = np.cumsum(count)
+    at = share * (upto[-1] - 1)
+    low = np.floor(at)
+    value = lambda k: x[np.minimum(np.searchsorted(upto, k, "right"), len(x) - 1)]
+    return value(low) + (at - low) * (value(low + 1) - value(low))
+
+
+def merge_neighbours(x: np.ndarray, label: np.ndarray, ratio: float, min_n: int = 1, weight: np.ndarray | None = None) -> np.ndarray:
     """Small clusters become -1; neighbours by median that differ by less than ``ratio`` of the larger get the lower label, until stable."""
-    label = np.array(label)
-    for k, n in zip(*np.unique(label, return_counts=True)):
-        if n < min_n:
+    label, x = np.array(label), np.asarray(x, float)
+    count = np.ones(len(x)) if weight is None else np.asarray(weight, float)
+    for k in np.unique(label):
+        if count[label == k].sum() < min_n:
             label[label == k] = -1
+
+    def median(k: int) -> float:
+        of = np.flatnonzero(label == k)
+        of = of[np.argsort(x[of], kind="stable")]
+        return float(_quantiles(x[of], count[of], np.array([0.5]))[0])
+
     while True:
-        names = [k for k in np.unique(label) if k >= 0]
-        medians = sorted((float(np.median(x[label == k])), k) for k in names)
+        medians = sorted((median(k), k) for k in np.unique(label) if k >= 0)
         for (a, i), (b, j) in zip(medians, medians[1:]):
             if abs(b - a) < ratio * max(abs(a), abs(b)):
                 label[label == max(i, j)] = min(i, j)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldwave.functions import kernels as K
+from fieldwave.operators.density import density_clusters
+
+_FEW = 1000  # names of large groups that a plan may hold
 
 
 def _grouped(df: DataFrame, keys: Sequence[str], schema: str, work) -> DataFrame:
@@ -18,20 +22,42 @@ def _grouped(df: DataFrame, keys: Sequence[str], schema: str, work) -> DataFrame
     return df.groupBy(*keys).applyInPandas(work, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
 
 
-def mixture_1d(df: DataFrame, keys: Sequence[str], ident: str, x: str, n: int, *, use_log: bool = False, min_n: int = 1, ratio: float = 0.5) -> DataFrame:
-    """(keys, ident, label): clusters of one property, cut where the mixture's most likely part changes, close neighbours merged."""
+def mixture_1d(df: DataFrame, keys: Sequence[str], ident: str, x: str, n: int, *, use_log: bool = False, min_n: int = 1, ratio: float = 0.5, bins: int = 4096) -> DataFrame:
+    """(keys, ident, label): clusters of one property, cut where the mixture's most likely part changes, close neighbours merged.
+
+    The mixture is fitted to a histogram of each key: its values themselves where
+    there are at most ``bins`` different ones, else so many equal steps of the
+    (logarithmic) property, each at the mean of its values, which moves a cut by a step
+    at most.  So no step sees more than ``bins`` rows of a key, however many it has.
+    Null and NaN values get -1.
+    """
+    rows = df.select(*keys, ident, F.col(x).cast("double").alias("_x")).withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
+    rows = rows.withColumn("_z", F.when(F.col("_x").isNotNull(), F.log(F.greatest("_x", F.lit(1e-300)))) if use_log else F.col("_x"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    beside = lambda left, right: left.join(right.withColumnsRenamed({k: f"_{k}" for k in keys}), reduce(Column.__and__, same, F.lit(True)), "left").drop(*(f"_{k}" for k in keys))
+    values = rows.where("_x is not null").groupBy(*keys, "_x", "_z").agg(F.count(F.lit(1)).alias("_n"))
+    range_ = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.min("_z").alias("_lo"), F.max("_z").alias("_hi"))
+    place = F.when(F.col("_m") > bins, F.least(F.floor((F.col("_z") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("double")).otherwise(F.col("_z"))
+    steps = beside(values, range_).groupBy(*keys, place.alias("_bin")).agg(F.sum("_n").alias("_n"), (F.sum(F.col("_z") * F.col("_n")) / F.sum("_n")).alias("_z"), (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("_x"), F.min("_z").alias("_first"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[x].to_numpy(float)
-        z = np.log(np.maximum(v, 1e-300)) if use_log else v
-        label = K.merge_neighbours(v, K.mixture_1d(z, n), ratio, min_n)
-        return pdf[[*keys, ident]].assign(label=label)
+        pdf = pdf.sort_values("_first", kind="stable")
+        v, z, count = (pdf[c].to_numpy(float) for c in ("_x", "_z", "_n"))
+        label = K.merge_neighbours(v, K.mixture_1d(z, n, weight=count), ratio, min_n, count)
+        cut = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+        return pdf[[*keys]].iloc[:1].assign(_cuts=[pdf["_first"].to_numpy()[cut]], _labels=[label[cut]])
+
+    cuts = _grouped(steps, keys, "_cuts array<double>, _labels array<long>", work)
+    label = F.get("_labels", F.size(F.filter("_cuts", lambda c: c <= F.col("_z"))) - 1)
+    return beside(rows, cuts).select(*keys, ident, F.coalesce(label, F.lit(-1)).cast("long").alias("label"))
 
-    return _grouped(df.select(*keys, ident, x), keys, f"{ident} {dict(df.dtypes)[ident]}, label long", work)
 
+def dbscan(df: DataFrame, keys: Sequence[str], ident: str, features: str, eps: float, min_share: float = 0.05, min_samples: int = 5, *, most: int = 2048) -> DataFrame:
+    """(keys, ident, label): density clusters of feature arrays within each key, -1 for noise.
 
-def dbscan(df: DataFrame, keys: Sequence[str], ident: str, features: str, eps: float, min_share: float = 0.05, min_samples: int = 5) -> DataFrame:
-    """(keys, ident, label): density clusters of feature arrays within each key, -1 for noise."""
+    Keys of up to ``most`` rows are clustered in one step each; larger ones by
+    grid cells over all tasks (``density``), with the same labels.
+    """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ident, kind="stable")
@@ -39,7 +65,18 @@ def dbscan(df: DataFrame, keys: Sequence[str], ident: str, features: str, eps: f
         label = K.dbscan(points, eps, max(min_samples, int(min_share * len(points))))
         return pdf[[*keys, ident]].assign(label=label)
 
-    return _grouped(df.select(*keys, ident, features), keys, f"{ident} {dict(df.dtypes)[ident]}, label long", work)
+    rows = df.select(*keys, ident, features)
+    if not most:
+        return density_clusters(rows, keys, ident, features, eps, min_share, min_samples)
+    group, size = F.to_json(F.struct(*keys)) if keys else F.lit(""), rows.groupBy(*keys).count().where(F.col("count") > most)
+    large = [r["g"] for r in size.select(group.alias("g")).limit(_FEW + 1).collect()]
+    schema = f"{ident} {dict(df.dtypes)[ident]}, label long"
+    if not large:
+        return _grouped(rows, keys, schema, work)
+    if len(large) > _FEW:
+        return density_clusters(rows, keys, ident, features, eps, min_share, min_samples)
+    small = _grouped(rows.where(~group.isin(large)), keys, schema, work)
+    return small.unionByName(density_clusters(rows.where(group.isin(large)), keys, ident, features, eps, min_share, min_samples))
 
 
 def merge_peak_trough_clusters(labels: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:

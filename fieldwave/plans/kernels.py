@@ -117,7 +117,7 @@ def widths(spark, sf_dir):
 
 def density(spark, sf_dir):
     rows = S.poly_features(_arrays(spark, sf_dir), ["id", "label"]).withColumnRenamed("label", "source")
-    return C.dbscan(rows, ["source"], "id", "features", 0.35)
+    return C.dbscan(rows, ["source"], "id", "features", 0.35, most=0)
 
 
 def peak_trough(spark, sf_dir):
