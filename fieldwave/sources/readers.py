@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import wave
 import zipfile
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldwave.operators.tables import parse_analysis_path
+from fieldwave.sources.recordings import PcmDataSource, filesystem
 
 #: Columns of each analysis table and the factor from file units to library units: fixed values.
 TABLES: dict[str, dict[str, float | None]] = {
@@ -80,73 +77,84 @@ def _keyed(df: DataFrame) -> DataFrame:
     return keyed.withColumnsRenamed(names).withColumnsRenamed({"_index": "index", "_channel": "channel", "_time": "time"})
 
 
+def bundle_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, ftype, bytes): what the central directories of the zip archives in a folder list; nothing is unpacked.
+
+    An archive that is none has a row without member, with its ``error``.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            rows = []
+            for uri in pdf["path"]:
+                store, at = filesystem(uri)
+                with store.open_input_file(at) as fh:
+                    try:
+                        if fh.size() < 22:  # the shortest archive, an empty one
+                            raise zipfile.BadZipFile("File is not a zip file")
+                        rows += [(uri, m.filename, m.file_size, None) for m in zipfile.ZipFile(fh).infolist() if not m.is_dir()]
+                    except zipfile.BadZipFile as e:
+                        rows.append((uri, None, None, str(e)))
+            yield pd.DataFrame({"archive": [r[0] for r in rows], "member": [r[1] for r in rows], "bytes": pd.array([r[2] for r in rows], "Int64"), "error": [r[3] for r in rows]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")  # names only: contents are not read
+    found = files.mapInPandas(listed, "archive string, member string, bytes long, error string")
+    kind = parse_analysis_path(found.withColumnRenamed("error", "_error"), "member").select("archive", "member", F.when(F.col("ftype") != "", F.col("ftype")).alias("ftype"), "bytes", "_error")
+    return kind.withColumnRenamed("_error", "error")
+
+
 def read_bundles(spark: SparkSession, path: str, ftype: str, sep: str = ",") -> DataFrame:
-    """The same out of zip archives, one per recording."""
+    """A kind of analysis table out of zip archives, one per recording.
+
+    Members of other kinds are not opened.  Members, not archives, are dealt
+    to tasks, so a large archive is read by many.
+    """
 
     def unpack(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
-            for p, raw in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for name in z.namelist():
-                        if ftype in name:
-                            lines = z.read(name).decode().splitlines()
-                            yield pd.DataFrame({"path": f"{p.rsplit('/', 1)[0]}/{name}", "n": range(len(lines)), "value": lines})
-
-    text = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content").mapInPandas(unpack, "path string, n int, value string")
+            for uri, members in pdf.groupby("archive")["member"]:
+                store, at = filesystem(uri)
+                with store.open_input_file(at) as fh, zipfile.ZipFile(fh) as z:
+                    for name in members:
+                        lines = z.read(name).decode().splitlines()
+                        yield pd.DataFrame({"path": f"{uri.rsplit('/', 1)[0]}/{name}", "n": range(len(lines)), "value": lines})
+
+    wanted = bundle_members(spark, path).where(F.col("ftype") == ftype).select("archive", "member")
+    dealt = wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive", "member").sortWithinPartitions("archive", "member")
+    text = dealt.mapInPandas(unpack, "path string, n int, value string")
     return _keyed(_named(_lines(text, ftype, sep), ftype))
 
 
 def write_analysis(df: DataFrame, path: str, ftype: str, fmt: str = "parquet", by: Sequence[str] = ("recording",)) -> None:
-    """A table in file units, partitioned by recording."""
+    """A table in file units, partitioned by recording.
+
+    Only the recordings in ``df`` are replaced, those written before stay.  Files
+    are put in place when all are written, so a write that fails leaves what was there.
+    """
     factors = TABLES[ftype]
     cols = [(F.col(c) / float(factors[c])).alias(c) if factors.get(c) not in (None, 1) else F.col(c) for c in df.columns]
-    df.select(*cols).write.partitionBy(*by).format(fmt).mode("overwrite").options(**({"header": True} if fmt == "csv" else {})).save(path)
+    writer = df.select(*cols).write.partitionBy(*by).format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.options(**({"header": True} if fmt == "csv" else {})).save(path)
 
 
-_BLOCKS = T.StructType([
-    T.StructField("recording", T.StringType()), T.StructField("channel", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("idx0", T.LongType()),
-    T.StructField("rate", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType()),
-])
-
+def read_wav(spark: SparkSession, path: str, block_seconds: float = 1.0, overlap: int = 0, errors: str = "report", partition_bytes: int = 128 << 20) -> DataFrame:
+    """blocks(recording, channel, block, idx0, rate, v, error) of PCM files; values are fractions of full scale.
 
-def _pcm(raw: bytes, width: int) -> np.ndarray:
-    """Samples of 8, 16, 24 or 32-bit PCM as fractions of full scale."""
-    if width == 1:
-        return (np.frombuffer(raw, np.uint8) - 128.0) / 128
-    if width == 3:
-        wide = np.zeros((len(raw) // 3, 4), np.uint8)
-        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-        return wide.view("<i4")[:, 0] / 2.0**31
-    return np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
+    A file of any size is cut into ranges of ``partition_bytes``, read by as many
+    tasks, block by block.  One that can't be decoded is a row with its ``error`` and no
+    block, or stops the job with ``errors="raise"``.
+    """
+    return _pcm(spark.read, spark, path, block_seconds, overlap, partition_bytes).option("errors", errors).load()
 
 
-def read_wav(spark: SparkSession, path: str, block_seconds: float = 1.0, overlap: int = 0, errors: str = "report") -> DataFrame:
-    """blocks(recording, channel, block, idx0, rate, v, error) of PCM files; values are fractions of full scale.
+def stream_wav(spark: SparkSession, path: str, block_seconds: float = 1.0, overlap: int = 0, partition_bytes: int = 128 << 20) -> DataFrame:
+    """The same as a stream of recordings that grow: a block comes once, when it is complete with its overlap."""
+    return _pcm(spark.readStream, spark, path, block_seconds, overlap, partition_bytes).load()
 
-    A file is decoded block by block within its task.  One that can't be decoded is
-    a row with its ``error`` and no block, or stops the job with ``errors="raise"``.
-    Spark hands over files of up to 2 GB; longer recordings come as sample tables.
-    """
 
-    def decode(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            for p, raw in zip(pdf["path"], pdf["content"]):
-                name = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                try:
-                    f = wave.open(io.BytesIO(raw))
-                except (wave.Error, EOFError) as e:
-                    if errors == "raise":
-                        raise ValueError(f"{p}: {e}") from e
-                    yield pd.DataFrame({"recording": [name], "channel": pd.array([None], "Int32"), "block": pd.array([None], "Int64"), "idx0": pd.array([None], "Int64"), "rate": [None], "v": [None], "error": [str(e) or type(e).__name__]})
-                    continue
-                rate, channels, n, width = f.getframerate(), f.getnchannels(), f.getnframes(), f.getsampwidth()
-                size = max(1, int(block_seconds * rate))
-                for b in range(-(-n // size)):
-                    f.setpos(b * size)
-                    x = _pcm(f.readframes(size + overlap), width).reshape(-1, channels)
-                    yield pd.DataFrame({"recording": name, "channel": range(channels), "block": b, "idx0": b * size, "rate": float(rate), "v": [x[:, c] for c in range(channels)], "error": None})
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content").mapInPandas(decode, _BLOCKS)
+def _pcm(reader, spark: SparkSession, path: str, block_seconds: float, overlap: int, partition_bytes: int):
+    spark.dataSource.register(PcmDataSource)
+    return reader.format("pcm").options(path=path, blockSeconds=str(block_seconds), overlap=str(overlap), partitionBytes=str(partition_bytes))
 
 
 def read_samples(spark: SparkSession, path: str, fmt: str = "parquet", block: int = 65_536) -> DataFrame:
