@@ -192,6 +192,36 @@ def test_warc_keeps_every_payload_and_id(spark):
     assert {bytes(r.body).decode() for r in back if r.record_type == "response"} == {h for _, _, h in rows}
 
 
+def test_warc_ids_are_told_apart_and_revisits_name_the_very_record(spark):
+    """Repeated and null page ids, equal rows, several payloads of one page; by broadcast and by shuffle."""
+    a, b, c = ("<p>" + w * 1200 for w in "abc")
+    rows = [(5, "u", a), (5, "u", a), (5, "v", b), (2, "u", a), (None, "u", a), (None, "u", a), (3, "u", b), (None, "x", "short"), (None, "x", "short"), (7, "u", c), (7, "u", "short"), (None, "u", "z" * 2000), (None, "u", "z" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for most in (500_000, 0):
+        back = warc.read_warc(warc.write_warc(pages, most=most)).collect()
+        assert len({r.record_id for r in back}) == len(back) == len(rows)
+        held = {r.record_id: r for r in back}
+        for r in back:
+            assert (r.refers_id is None) == (r.record_type == "response")
+            if r.refers_id:
+                to = held[r.refers_id]
+                assert (to.record_type, to.page_id, to.payload_digest) == ("response", r.refers_to, r.payload_digest)
+        assert Counter(r.record_type for r in back) == {"revisit": 4, "response": 9}
+
+
+def test_a_hot_payload_and_pages_without_ids_are_spread(spark):
+    """Nearly all pages hold one payload, or have no id: no task archives them all, and no record is lost."""
+    body = "<p>" + "hot " * 400
+    rows = [(i, "u", body) for i in range(900)] + [(None, f"n{i}", "short") for i in range(900)] + [(None, f"m{i}", body) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    for most in (500_000, 0):
+        index = warc.write_warc(pages, most=most)
+        per_file = [r["count"] for r in index.groupBy("file").count().collect()]
+        assert sum(per_file) == len(rows) and max(per_file) < len(rows) / 2
+        back = warc.read_warc(index).groupBy("record_type", "refers_to").count().collect()
+        assert Counter({(r.record_type, r.refers_to): r["count"] for r in back}) == {("revisit", 899): 999, ("response", None): 901}
+
+
 def test_warc_record_is_readable_by_its_offset(spark):
     import zstandard
 
