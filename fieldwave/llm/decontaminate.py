@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
+from math import fsum
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,6 @@ _N = 5  # words in a shingle
 _LOW = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
-
 def leak_type(items: DataFrame) -> str:
     return f"struct<item_id:{items.schema['item_id'].dataType.simpleString()},bm25:double,question_overlap:double,answer_overlap:double>"
 
@@ -58,13 +58,34 @@ def shingles(words: list[bytes], n: int = _N) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
 
 
+def units_of(text: str) -> list[list[bytes]]:
+    """The words of an item, cut into what is indexed as one."""
+    words = words_of(text)
+    return [words[k : k + _UNIT] for k in range(0, len(words), _UNIT)]
+
+
+@dataclass
+class Statistics:
+    """Of all test items, whichever block they are in: number of units, their mean length, and in how many units a word stands."""
+
+    n: int
+    mean: float
+    df: dict[bytes, int]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        units = [u for t in texts for u in units_of(t)]
+        return cls(len(units), sum(map(len, units)) / len(units) if units else 1.0, Counter(w for u in units for w in set(u)))
+
+
 @dataclass
 class ItemIndex:
-    """Inverted index of test items, with block maxima."""
+    """Inverted index of test items, with block maxima; scores use the ``statistics`` of all items, those of ``items`` where none are given."""
 
     items: list[tuple[int, str]]
     threshold: float = 0.5
     need: float = 0.2  # what an item's rarest terms must give before it is retrieved
+    statistics: Statistics | None = None
     units: list[tuple[int, int]] = field(default_factory=list)  # (item, words)
     terms: dict[bytes, int] = field(default_factory=dict)
     postings: list[tuple[list[int], list[float], list[float], list[int], float]] = field(default_factory=list)
@@ -72,13 +93,12 @@ class ItemIndex:
     def __post_init__(self):
         self.parts = [split_item(t) for _, t in self.items]
         texts = []
-        for i, (q, a) in enumerate(self.parts):
-            words = q + a
-            for k in range(0, len(words), _UNIT):
-                texts.append(words[k : k + _UNIT])
-                self.units.append((i, len(words)))
-        n, mean = len(texts), np.mean([len(t) for t in texts]) if texts else 1.0
-        df = Counter(w for t in texts for w in set(t))
+        for i, (_, t) in enumerate(self.items):
+            cut = units_of(t)
+            texts += cut
+            self.units += [(i, sum(map(len, cut)))] * len(cut)
+        known, self.statistics = self.statistics or Statistics.of([t for _, t in self.items]), None
+        n, mean, df = known.n, known.mean, known.df
         lists: dict[bytes, list[tuple[int, float]]] = {}
         self.essential: dict[bytes, list[tuple[int, float]]] = {}
         for u, t in enumerate(texts):
@@ -115,17 +135,14 @@ class ItemIndex:
         last = max(0, -(-(len(words) - _WINDOW) // _UNIT))
         if not len(at):
             return at
-        window = np.concatenate([at // _UNIT, at // _UNIT - 1])
-        hit = np.concatenate([ids[at], ids[at]])
+        first = at // _UNIT
+        window, hit = np.concatenate([first, first - 1, np.full(len(at), last)]), np.tile(ids[at], 3)
         fits = (window >= 0) & (window <= last)
-        pairs = np.unique(np.stack([window[fits], hit[fits]]), axis=1)
-        late = at[at >= (last + 1) * _UNIT]  # the last passage reaches the end
-        if len(late):
-            pairs = np.unique(np.concatenate([pairs, np.stack([np.full(len(late), last), ids[late]])], axis=1), axis=1)
-        n = self.first[pairs[1] + 1] - self.first[pairs[1]]
-        place = np.repeat(self.first[pairs[1]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        key = np.repeat(pairs[0], n) * len(self.units) + self.rare_units[place]
-        keys, back = np.unique(key, return_inverse=True)
+        fits[2 * len(at) :] = at >= (last + 1) * _UNIT  # the last passage reaches the end
+        window, hit = np.divmod(np.unique(window[fits] * len(self.rare) + hit[fits]), len(self.rare))
+        n = self.first[hit + 1] - self.first[hit]
+        place = np.repeat(self.first[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        keys, back = np.unique(np.repeat(window, n) * len(self.units) + self.rare_units[place], return_inverse=True)
         return np.unique(keys[np.bincount(back, self.rare_shares[place], len(keys)) >= self.need - 1e-9] // len(self.units))
 
     def wand(self, words: list[bytes]) -> list[tuple[int, float]]:
@@ -147,7 +164,7 @@ class ItemIndex:
             blocks = [min(bisect_left(c[0][3], unit), len(c[0][2]) - 1) for c in cursors[: pivot + 1]]
             if sum(c[0][2][b] for c, b in zip(cursors, blocks)) >= least:
                 if cursors[0][2] == unit:
-                    score = sum(c[0][1][c[1]] for c in cursors[: pivot + 1])
+                    score = fsum(c[0][1][c[1]] for c in cursors[: pivot + 1])  # in whatever order
                     if score >= least:
                         found.append((unit, score))
                     moved, to = cursors[: pivot + 1], unit + 1
@@ -168,34 +185,78 @@ class ItemIndex:
         return len(s & near) >= whole * len(s)
 
     def leaks(self, text: str | None, question: float, answer: float, whole: float) -> list[dict]:
-        """Verified leaks of a text, one per item, ordered by item."""
+        """Verified leaks of a text, one per item, ordered by item.
+
+        The surroundings of an item's retrieved passages, as many words as the
+        item has on both sides, are joined where they meet, so a long item is
+        verified once per stretch of text.
+        """
         if not self.units:
             return []
         words = words_of(text)
-        best: dict[int, dict] = {}
+        found: dict[int, list[tuple[int, int, float]]] = {}
         for p in self.promising(words):
             start = int(p) * _UNIT
             end = min(start + _WINDOW, len(words))
             for unit, score in self.wand(words[start:end]):
                 item, size = self.units[unit]
-                near = shingles(words[max(0, start - size) : end + size], min(size, _N))
-                q, a = self.sets[item]
+                begin, stop, of = max(0, start - size), end + size, found.setdefault(item, [])
+                if of and begin <= of[-1][1]:
+                    of[-1] = (of[-1][0], stop, max(score, of[-1][2]))
+                else:
+                    of.append((begin, stop, score))
+        out = []
+        for item in sorted(found):
+            q, a = self.sets[item]
+            size, best = sum(map(len, self.parts[item])), None
+            for begin, stop, score in found[item]:
+                near = shingles(words[begin:stop], min(size, _N))
                 of_q, of_a = (len(s & near) / len(s) if s else 1.0 for s in (q, a))
-                if of_q >= question and of_a >= answer or self.holds(item, near, whole):
+                if (of_q >= question and of_a >= answer or self.holds(item, near, whole)) and (best is None or (of_q + of_a, score) > best):
+                    best = (of_q + of_a, score)
                     got = {"item_id": self.items[item][0], "bm25": score, "question_overlap": of_q, "answer_overlap": of_a}
-                    if item not in best or (of_q + of_a, score) > (best[item]["question_overlap"] + best[item]["answer_overlap"], best[item]["bm25"]):
-                        best[item] = got
-        return [best[i] for i in sorted(best)]
+            if best is not None:
+                out.append(got)
+        return out
 
 
-def item_blocks(items: DataFrame, max_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The test items in blocks of about ``max_chars`` characters, one at a time; each becomes one index of bounded size."""
+def item_statistics(items: DataFrame) -> tuple[Statistics, DataFrame]:
+    """Statistics of all items without their words, and ``df(block, word, df)``: for the words of each block, in how many units of any block they stand.
+
+    ``items(block, text)``.  Words are counted by Spark, once for all blocks.
+    """
+
+    def count(batches):
+        for pdf in batches:
+            rows = Counter()
+            for block, text in zip(pdf["block"], pdf["text"]):
+                for u in units_of(text):
+                    rows.update((block, w) for w in set(u))
+                    rows[block, None] += 1
+                    rows[block, b""] += len(u)
+            yield pd.DataFrame([(b, w, n) for (b, w), n in rows.items()], columns=["block", "word", "n"])
+
+    counts = written(items.mapInPandas(count, "block long, word binary, n long").groupBy("block", "word").agg(F.sum("n").alias("n")), "words")
+    every = written(counts.groupBy("word").agg(F.sum("n").alias("df")), "frequencies")
+    sums = {r["word"]: r["df"] for r in every.where("word is null or word = X''").collect()}
+    n = sums.get(None, 0)
+    of = counts.where("word is not null and word <> X''").select("block", "word").join(every, "word")
+    return Statistics(n, sums.get(b"", 0) / n if n else 1.0, {}), of
+
+
+def item_blocks(items: DataFrame, max_chars: int) -> Iterator[tuple[list[tuple[object, str]], Statistics]]:
+    """The test items in blocks of about ``max_chars`` characters, one at a time, with the statistics of all; each becomes one index of bounded size."""
     rows = items.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // max_chars)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1))))
+    if not n:
+        return
+    rows = written(rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
+    known, df = item_statistics(rows)
+    df = written(df, "df") if n > 1 else df
     for k in range(n):
-        yield [(r.item_id, r.text) for r in rows.where(F.col("block") == k).orderBy("item_id", "text").collect()]
+        block = [(r.item_id, r.text) for r in rows.where(F.col("block") == k).orderBy("item_id", "text").collect()]
+        yield block, Statistics(known.n, known.mean, {bytes(r["word"]): r["df"] for r in df.where(F.col("block") == k).collect()})
 
 
 def _searcher(index, kind: str, question: float, answer: float, whole: float):
@@ -206,7 +267,9 @@ def _searcher(index, kind: str, question: float, answer: float, whole: float):
     return F.pandas_udf(leaks, f"array<{kind}>")
 
 
-def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, question: float = 0.75, answer: float = 0.5, whole: float = 0.75, max_chars: int = 16_000_000, name: str = "leaks") -> DataFrame:
+def mark_leaks(
+    docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, question: float = 0.75, answer: float = 0.5, whole: float = 0.75, max_chars: int = 3_500_000, name: str = "leaks", most: int = 500_000
+) -> DataFrame:
     """``docs`` with an array of the test items that each text holds.
 
     A leak is an item whose BM25 share in some passage is at least ``threshold``
@@ -221,7 +284,10 @@ def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, que
 
     Test sets of more than ``max_chars`` characters are indexed in blocks, one
     at a time: all passages query a block, its hits are written to the shared
-    folder, and its index is released before the next one is made.
+    folder, and its index is released before the next one is made.  An index
+    takes about 70 bytes a character in a worker, so the default holds it under 250 MB.
+    Word frequencies and lengths are those of all items, so scores are the
+    same however items fall into blocks.  Hits are broadcast up to ``most`` rows that have any.
     """
     spark, docs, kind = docs.sparkSession, docs.drop(name), leak_type(items)
     small_batches(spark)
@@ -229,18 +295,20 @@ def mark_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, que
     block, following = next(blocks, None), next(blocks, None)
     if block is None:
         return docs.withColumn(name, F.array().cast(f"array<{kind}>"))
+    index = lambda b: spark.sparkContext.broadcast(ItemIndex(b[0], threshold, statistics=b[1]))
     if following is None:
-        return docs.withColumn(name, _searcher(spark.sparkContext.broadcast(ItemIndex(block, threshold)), kind, question, answer, whole)("text"))
+        return docs.withColumn(name, _searcher(index(block), kind, question, answer, whole)("text"))
     key, hit = fresh(docs, "row_key", "hit_key")
     keyed, hits = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), None
     while block is not None:
-        index = spark.sparkContext.broadcast(ItemIndex(block, threshold))
-        marked = keyed.select(F.col(key).alias(hit), F.explode(_searcher(index, kind, question, answer, whole)("text")).alias("leak"))
+        sent = index(block)
+        marked = keyed.select(F.col(key).alias(hit), F.explode(_searcher(sent, kind, question, answer, whole)("text")).alias("leak"))
         marked = written(marked, "hits")
-        index.destroy()
+        sent.destroy()
         hits = marked if hits is None else hits.unionByName(marked)
         block, following = following, next(blocks, None)
-    by_row = hits.groupBy(hit).agg(F.array_sort(F.collect_list("leak")).alias(name))
+    by_row = written(hits.groupBy(hit).agg(F.array_sort(F.collect_list("leak")).alias(name)), "leaks")
+    by_row = F.broadcast(by_row) if by_row.count() <= most else by_row
     return keyed.join(by_row, F.col(key) == F.col(hit), "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>"))).drop(key, hit)
 
 

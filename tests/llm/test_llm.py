@@ -117,6 +117,33 @@ def test_blocks_of_items_are_indexed_one_at_a_time(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got} == {(r.doc_id, r.item_id) for r in want}
 
 
+def test_scores_do_not_depend_on_blocks(spark):
+    """Passages with one changed word, so that scores lie everywhere above the limit: equal for every size of the blocks, and by plain counting."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    texts = [(r.item_id, r.text) for r in items.collect()]
+    rows = []
+    for i, t in texts:
+        words = t.split()
+        rows += [(1000 * i + k, " ".join(["before", *words[:k], "changed", *words[k + 1 :], "after"]), "a") for k in range(0, len(words), 5)]
+    docs = docs_of(spark, rows)
+    found = [sorted(map(tuple, decontaminate.leak_pairs(docs, items, max_chars=n).collect())) for n in (16_000_000, 3000)]
+    assert found[0] == found[1] and len(found[0]) > 100 and len({r[2] for r in found[0]}) > 50
+    stats = decontaminate.Statistics.of([t for _, t in texts])
+    units = [decontaminate.words_of(t)[k : k + 64] for _, t in texts for k in range(0, len(decontaminate.words_of(t)), 64)]
+    assert stats.n == len(units) and stats.mean == sum(map(len, units)) / len(units) and all(stats.df[w] == sum(w in u for u in units) for u in units[:5] for w in u)
+
+
+def test_a_long_item_is_verified_once_per_stretch(monkeypatch):
+    words = [f"v{i}" for i in range(6000)]
+    index = decontaminate.ItemIndex([("long", " ".join(words)), ("other", " ".join(f"o{i}" for i in range(40)))])
+    seen = []
+    plain = decontaminate.shingles
+    monkeypatch.setattr(decontaminate, "shingles", lambda w, n=5: seen.append(len(w)) or plain(w, n))
+    text = " ".join(["x"] * 20_000 + words + ["y"] * 20_000 + words[:5000] + [f"o{i}" for i in range(40)])
+    assert [(x["item_id"], x["question_overlap"], x["answer_overlap"]) for x in index.leaks(text, 0.75, 0.5, 0.75)] == [("long", 1.0, 1.0), ("other", 1.0, 1.0)]
+    assert sum(seen) < 2.5 * len(text.split())
+
+
 def test_short_and_nameless_items_are_found(spark):
     items = spark.createDataFrame([("a", "Zanzibar quagga"), (None, "vermilion okapi"), ("long", LONG[:900]), ("b", "")], "item_id string, text string")
     docs = docs_of(spark, [(1, "so the ZANZIBAR, quagga ran", "a"), (2, "quagga zanzibar", "a"), (3, "a vermilion okapi " + LONG[:900], "a"), (4, "okapi", "a"), (4, "vermilion okapi", "a")])
