@@ -12,14 +12,14 @@ in groups, then following downwards.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldwave.operators.stretches import each_stretch
 from fieldwave.sources.shared import written
 
 #: (value, place) of a running extreme.
@@ -106,40 +106,6 @@ def _summary(row: tuple) -> tuple[Event | None, State]:
     return (tuple(row[:3]) if row[0] else None), (row[3], (row[4], row[5]), (row[6], row[7]))
 
 
-def _runs(pdf: pd.DataFrame, by: Sequence[str]) -> Iterator[tuple[str, int, int]]:
-    """Stretches of rows with equal ``by``: (their name, begin, end)."""
-    names = np.array(list(map(repr, pdf[list(by)].itertuples(index=False, name=None))) if len(by) else [""] * len(pdf))
-    cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(pdf)]
-    return ((names[a], a, z) for a, z in zip(cuts, cuts[1:]) if z > a)
-
-
-def _each(rows: DataFrame, by: Sequence[str], order: Sequence[str], schema: str, start: Callable, more: Callable, end: Callable) -> DataFrame:
-    """A pass over stretches of equal ``by``, in order, batch by batch: no stretch need fit in memory.
-
-    ``start()`` makes a stretch's state, ``more(state, pdf)`` gives rows for a part of it,
-    ``end(state)`` its last rows; all without the columns ``by``, which are put before.
-    """
-    kinds = dict(rows.dtypes)
-    names = [*by, *(c.split()[0] for c in schema.split(", "))]
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = key = state = None
-        for pdf in batches:
-            out = []
-            for name, a, z in _runs(pdf, by):
-                if name != held:
-                    if held is not None:
-                        out += [(*key, *r) for r in end(state)]
-                    held, key, state = name, tuple(pdf[k].iloc[a] for k in by), start()
-                out += [(*key, *r) for r in more(state, pdf.iloc[a:z])]
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if held is not None and (last := [(*key, *r) for r in end(state)]):
-            yield pd.DataFrame(last, columns=names)
-
-    return rows.sortWithinPartitions(*by, *order).mapInPandas(work, ", ".join([*(f"{k} {kinds[k]}" for k in by), schema]))
-
-
 def scan_blocks(samples: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
     """One row per block (keys, _block; kind 0, its summary) and per event after its first (kind, v, idx).
 
@@ -162,7 +128,7 @@ def scan_blocks(samples: DataFrame, threshold: float, keys: Sequence[str]) -> Da
         return [(0, 0.0, 0, *_flat(first[0] if first else None, turns.state))]
 
     # the window has put a block into one partition
-    return _each(rows, [*keys, "_block"], ["idx"], f"{_EVENT}, {_SUMMARY}", lambda: (Turns(threshold), []), more, end)
+    return each_stretch(rows, [*keys, "_block"], ["idx"], f"{_EVENT}, {_SUMMARY}", lambda: (Turns(threshold), []), more, end)
 
 
 def _state_rows(held: State | None) -> tuple:
@@ -179,7 +145,7 @@ def _compose_level(level: DataFrame, threshold: float, keys: Sequence[str], bits
         return []
 
     rows = level.withColumn("_up", F.shiftright("_block", bits)).repartition(*keys, "_up")
-    above = _each(rows, [*keys, "_up"], ["_block"], _SUMMARY, lambda: [None, None], more, lambda held: [_flat(*held)])
+    above = each_stretch(rows, [*keys, "_up"], ["_block"], _SUMMARY, lambda: [None, None], more, lambda held: [_flat(*held)])
     return above.withColumnRenamed("_up", "_block")
 
 
@@ -209,7 +175,7 @@ def _follow_level(level: DataFrame, began: DataFrame | None, threshold: float, k
         rows = rows.withColumn("_up", F.shiftright("_block", bits)).unionByName(began.select(*keys, F.col("_block").alias("_up"), F.lit(-(1 << 62)).alias("_block"), *head, *_NAMES[3:]))
         by.append("_up")
     rows = rows.repartition(*by) if by else rows.repartition(1)  # a row per group of the level below
-    out = _each(rows, by, ["_block"], _EVENT if last else f"_block long, {', '.join(_SUMMARY.split(', ')[3:])}", lambda: [None], more, lambda held: [])
+    out = each_stretch(rows, by, ["_block"], _EVENT if last else f"_block long, {', '.join(_SUMMARY.split(', ')[3:])}", lambda: [None], more, lambda held: [])
     return out.drop("_up")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fieldwave.operators.stretches import each_stretch
+
 GAP, NEAR_F, NEAR_D, SAME_F = 300.0, 1.0, 5e-5, 0.5
 
 
@@ -88,119 +91,237 @@ def stream_track_sources(detections: DataFrame, keys: Sequence[str], rate: float
     return detections.select(*keys, *_COLS).groupBy(*keys).applyInPandasWithState(work, _schema(detections, keys), state, "append", GroupStateTimeout.NoTimeout)
 
 
+class Interval:
+    """Folds a source's detections, in time order, into intervals; what it holds goes into a state and back."""
+
+    names = ["t0", "t1", "EODf", "ppampl", "file"]
+
+    def __init__(self, held: str | None = None):
+        self.open, self.waiting = json.loads(held) if held else (None, [])
+
+    def held(self) -> str:
+        return json.dumps([self.open, self.waiting])
+
+    def add(self, t0: float, t1: float, f: float, ampl: float, file: str | None) -> list[tuple]:
+        """The interval that this detection ends, if any: (tstart, tend, EODf, n)."""
+        now = self.open
+        if now and t0 <= now["tend"] and abs(f - now["first"]) < SAME_F and file == now["file"]:
+            now["tend"], now["n"] = max(now["tend"], t1), now["n"] + 1
+            if ampl > now["ppampl"]:
+                now["ppampl"], now["EODf"] = ampl, f
+            return []
+        out = self.end()
+        self.open = {"tstart": t0, "tend": t1, "first": f, "file": file, "ppampl": ampl, "EODf": f, "n": 1}
+        return out
+
+    def end(self) -> list[tuple]:
+        now, self.open = self.open, None
+        return [(now["tstart"], now["tend"], now["EODf"], now["n"])] if now else []
+
+    def until(self, time: float) -> list[tuple]:
+        """Takes the waiting detections that began before ``time``; before it nothing else will begin."""
+        self.waiting.sort(key=lambda d: (*d[:4], d[4] or ""))
+        out, k = [], 0
+        while k < len(self.waiting) and self.waiting[k][0] < time:
+            out += self.add(*self.waiting[k])
+            k += 1
+        self.waiting = self.waiting[k:]
+        return out + (self.end() if self.open and self.open["tend"] < time else [])
+
+    def next_time(self) -> float | None:
+        """When there is something to do next."""
+        return min([d[0] for d in self.waiting] + ([self.open["tend"]] if self.open else []), default=None)
+
+
+_INTERVAL = "tstart double, tend double, EODf double, n long"
+
+
 def occurrences(tracked: DataFrame, keys: Sequence[str], file: str | None = None) -> DataFrame:
     """(keys, source, tstart, tend, EODf, n): a detection extends its source's interval if it begins before the interval's end, its EODf is within the limit of that which began the interval, and it is in the same file.
 
-    The largest detection gives the interval's EODf.  An interval is a fold over
-    a source's detections in time order.
+    The largest detection gives the interval's EODf.  A source's detections are
+    passed over in time order, batch by batch.
     """
-    own, by_file = [*keys, "source"], F.col(file).cast("string") if file else F.lit("")
-    one = F.struct(*(F.col(c) for c in ("t0", "t1", "EODf", "ppampl")), by_file.alias("file"))
-    rows = tracked.groupBy(*own).agg(F.array_sort(F.collect_list(one)).alias("d"))
-    kind = "array<struct<tstart:double,tend:double,first:double,file:string,ppampl:double,EODf:double,n:bigint>>"
-
-    def fresh(x):
-        return F.struct(x["t0"].alias("tstart"), x["t1"].alias("tend"), x["EODf"].alias("first"), x["file"].alias("file"), x["ppampl"].alias("ppampl"), x["EODf"].alias("EODf"), F.lit(1).cast("bigint").alias("n"))
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        larger = x["ppampl"] > last["ppampl"]
-        longer = F.struct(
-            last["tstart"].alias("tstart"), F.greatest(last["tend"], x["t1"]).alias("tend"), last["first"].alias("first"), last["file"].alias("file"),
-            F.greatest(last["ppampl"], x["ppampl"]).alias("ppampl"), F.when(larger, x["EODf"]).otherwise(last["EODf"]).alias("EODf"), (last["n"] + 1).alias("n"),
-        )
-        fits = (x["t0"] <= last["tend"]) & (F.abs(x["EODf"] - last["first"]) < SAME_F) & x["file"].eqNullSafe(last["file"])
-        return F.when(fits, F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), longer)).otherwise(F.array_append(done, fresh(x)))
-
-    head, rest = F.array(fresh(F.col("d")[0])).cast(kind), F.slice("d", F.lit(2), F.size("d"))
-    found = rows.select(*own, F.explode(F.aggregate(rest, head, lambda done, x: step(done, x).cast(kind))).alias("o"))
-    return found.select(*own, "o.tstart", "o.tend", "o.EODf", "o.n")
-
-
-# ---------------------------------------------------------------- labels over blocks
-def align_block_labels(centroids: DataFrame, keys: Sequence[str], max_dist: float = 0.1) -> DataFrame:
-    """(keys, block, label, aligned): each block's centroid takes the label of the nearest centroid known, or a new one.
+    own = [*keys, "source"]
+    rows = tracked.select(*own, "t0", "t1", "EODf", "ppampl", (F.col(file).cast("string") if file else F.lit("")).alias("file"))
+    more = lambda held, pdf: [x for d in pdf[Interval.names].itertuples(index=False, name=None) for x in held.add(*d)]
+    return each_stretch(rows.repartition(*own), own, Interval.names, _INTERVAL, Interval, more, lambda held: held.end())
+
+
+def stream_occurrences(tracked: DataFrame, keys: Sequence[str], file: str | None = None, time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """The same on a stream: an interval comes once, when the watermark has passed its end.
 
-    ``centroids(keys, block, label, features)``.
+    ``t0`` and ``t1`` are seconds of the epoch, ``time`` is ``t0`` as a timestamp.  Detections
+    wait until the watermark has passed them, so their order in the stream does
+    not matter; the state of a source that is silent is empty.
     """
+    own, kinds = [*keys, "source"], dict(tracked.dtypes)
+    rows = tracked.withWatermark(time, late).select(*own, time, "t0", "t1", "EODf", "ppampl", (F.col(file).cast("string") if file else F.lit("")).alias("file"))
+
+    def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = Interval(state.get[0] if state.exists else None)
+        if not state.hasTimedOut:
+            for pdf in parts:
+                held.waiting += [list(d) for d in pdf[Interval.names].itertuples(index=False, name=None)]
+        mark = state.getCurrentWatermarkMs()
+        found = held.until(mark / 1000)
+        after = held.next_time()
+        if after is None:
+            state.remove()
+        else:
+            state.update((held.held(),))
+            state.setTimeoutTimestamp(max(mark, int(np.floor(after * 1000))) + 1)
+        if found:
+            yield pd.DataFrame([(*key, *x) for x in found], columns=[*own, "tstart", "tend", "EODf", "n"])
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in own), _INTERVAL])
+    return rows.groupBy(*own).applyInPandasWithState(work, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# ---------------------------------------------------------------- rows against what came before
+def _carried(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str], out: str, made: type, **options) -> DataFrame:
+    """(keys, out): ``made(**options).add(row)`` for each row of a key, in order.
+
+    A batch is one pass over each key's rows.  On a stream what ``made`` holds is carried from one
+    micro-batch to the next; rows must come in order, cut anywhere.
+    """
+    kinds, rows = dict(df.dtypes), df.select(*keys, *columns)
+    fields = [x.split()[0] for x in out.split(", ")]
+    more = lambda held, pdf: [x for r in pdf[[*columns]].itertuples(index=False) for x in held.add(r)]
+    if not df.isStreaming:
+        return each_stretch(rows.repartition(*keys), keys, order, out, lambda: made(**options), more, lambda held: [])
+
+    def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = made(**options)
+        if state.exists:
+            held.load(json.loads(state.get[0]))
+        pdf = pd.concat(list(parts), ignore_index=True).sort_values(list(order), kind="stable")
+        found = more(held, pdf)
+        state.update((json.dumps(held.dump()),))
+        yield pd.DataFrame([(*key, *x) for x in found], columns=[*keys, *fields])
+
+    return rows.groupBy(*keys).applyInPandasWithState(work, ", ".join([*(f"{k} {kinds[k]}" for k in keys), out]), "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def _plain(x):
+    """A cell as JSON takes it."""
+    return x.item() if isinstance(x, np.generic) else x
+
+
+class BlockLabels:
+    """Centroids of the labels seen; with ``keep``, those that were not for so many blocks are forgotten."""
+
+    def __init__(self, max_dist: float, keep: int | None):
+        self.max_dist, self.keep = max_dist, keep
+        self.known, self.fresh, self.block, self.taken = {}, 0, None, []  # label -> (block, features)
+
+    def add(self, r) -> list[tuple]:
+        x = np.asarray(r.features, float)
+        if r.block != self.block:
+            self.block, self.taken = _plain(r.block), []
+            if self.keep is not None:
+                self.known = {k: c for k, c in self.known.items() if self.block - c[0] <= self.keep}
+        near = min(((float(np.linalg.norm(x - np.asarray(c))), k) for k, (_, c) in self.known.items() if k not in self.taken), default=None)
+        if near is not None and near[0] < self.max_dist:
+            k = near[1]
+        else:
+            k, self.fresh = self.fresh, self.fresh + 1
+        self.taken.append(k)
+        self.known[k] = (self.block, x.tolist())
+        return [(r.block, r.label, k)]
+
+    def dump(self):
+        return [list(self.known.items()), self.fresh, self.block, self.taken]
+
+    def load(self, held) -> None:
+        known, self.fresh, self.block, self.taken = held
+        self.known = {k: tuple(c) for k, c in known}
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, out, fresh = {}, [], 0
-        for _, part in pdf.sort_values(["block", "label"], kind="stable").groupby("block", sort=True):
-            taken = set()
-            for r in part.itertuples():
-                x = np.asarray(r.features, float)
-                near = sorted((float(np.linalg.norm(x - c)), k) for k, c in known.items() if k not in taken)
-                if near and near[0][0] < max_dist:
-                    k = near[0][1]
-                else:
-                    k, fresh = fresh, fresh + 1
-                taken.add(k)
-                known[k] = x
-                out.append((*(getattr(r, c) for c in keys), r.block, r.label, k))
-        return pd.DataFrame(out, columns=[*keys, "block", "label", "aligned"])
 
+def align_block_labels(centroids: DataFrame, keys: Sequence[str], max_dist: float = 0.1, *, keep: int | None = None) -> DataFrame:
+    """(keys, block, label, aligned): each block's centroid takes the label of the nearest centroid known, or a new one.
+
+    ``centroids(keys, block, label, features)``, of a batch or a stream.  ``keep``, a number
+    of blocks, bounds what a stream holds; labels that were not seen for longer come back as new ones.
+    """
     kinds = dict(centroids.dtypes)
-    return centroids.groupBy(*keys).applyInPandas(work, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"block {kinds['block']}, label {kinds['label']}, aligned long"]))
+    return _carried(centroids, keys, ["block", "label", "features"], ["block", "label"], f"block {kinds['block']}, label {kinds['label']}, aligned long", BlockLabels, max_dist=max_dist, keep=keep)
+
+
+class Walks:
+    """The open classes: (id, label, last three heights, last idx, last interval), the oldest first."""
+
+    def __init__(self, max_dist: float, isi: float, factor: float, most: int):
+        self.max_dist, self.isi, self.factor, self.most = max_dist, isi, np.log2(factor), most
+        self.classes, self.n = [], 0
+
+    def add(self, r) -> list[tuple]:
+        self.classes = [c for c in self.classes if r.idx - c[3] <= max(self.max_dist, self.isi * c[4])]
+        near = [(abs(np.log2(r.height / np.mean(c[2]))), c[0], c) for c in self.classes if c[1] == r.label and r.height > 0]
+        near = [x for x in near if x[0] < self.factor]
+        if near:
+            c = min(near)[2]
+            c[4], c[3] = _plain(r.idx - c[3]), _plain(r.idx)
+            c[2] = [*c[2][-2:], float(r.height)]
+        else:
+            c, self.n = [self.n, _plain(r.label), [float(r.height)], _plain(r.idx), 0.0], self.n + 1
+            self.classes = sorted([*self.classes, c], key=lambda x: x[3])[-self.most :]
+        return [(r.idx, c[0])]
+
+    def dump(self):
+        return [self.classes, self.n]
+
+    def load(self, held) -> None:
+        self.classes, self.n = held
 
 
 def amplitude_walk(events: DataFrame, keys: Sequence[str], max_dist: float = 30_000.0, isi: float = 20.0, factor: float = 1.6, most: int = 12) -> DataFrame:
     """(keys, idx, walk): each pulse joins the open class of its shape label with the closest log2 mean height of its last three pulses.
 
     Closest means under ``factor``; a class stays open for ``max_dist`` samples or
-    ``isi`` of its last intervals; of more than ``most`` the oldest closes.
+    ``isi`` of its last intervals; of more than ``most`` the oldest closes.  A batch or a stream.
     """
+    return _carried(events, keys, ["idx", "label", "height"], ["idx"], f"idx {dict(events.dtypes)['idx']}, walk long", Walks, max_dist=max_dist, isi=isi, factor=factor, most=most)
+
+
+class HeightVectors:
+    """The height vectors of the last ``memory`` seconds: (t, source, heights)."""
+
+    def __init__(self, memory: float, most: int, max_diff: float, max_rate: float):
+        self.memory, self.most, self.max_diff, self.max_rate = memory, most, max_diff, max_rate
+        self.past, self.n = [], 0
+
+    def add(self, r) -> list[tuple]:
+        h = np.asarray(r.heights, float)
+        self.past = [p for p in self.past if r.t - p[0] <= self.memory]
+        last = {p[1]: p[0] for p in self.past}
+        diffs = {}
+        for t, s, g in self.past:
+            if r.t - last[s] >= 1 / self.max_rate:
+                g = np.asarray(g)
+                d = float(np.mean(np.abs(h - g)) / (np.mean(np.maximum(np.abs(h), np.abs(g))) or 1.0))
+                diffs[s] = min(d, diffs.get(s, d))
+        best = min(diffs.items(), key=lambda x: (x[1], x[0]), default=None)
+        if best and best[1] < self.max_diff:
+            s = best[0]
+        else:
+            s, self.n = self.n, self.n + 1
+        self.past.append((float(r.t), s, h.tolist()))
+        own = [p for p in self.past if p[1] == s]
+        if len(own) > self.most:
+            self.past = [p for p in self.past if p is not own[0]]
+        return [(r.event, s)]
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        classes, out, n = [], [], 0  # [id, label, heights, last idx, last interval]
-        for r in pdf.itertuples():
-            classes = [c for c in classes if r.idx - c[3] <= max(max_dist, isi * c[4])]
-            near = [(abs(np.log2(r.height / np.mean(c[2][-3:]))), c[0], c) for c in classes if c[1] == r.label and r.height > 0]
-            near = [x for x in near if x[0] < np.log2(factor)]
-            if near:
-                c = min(near)[2]
-                c[4], c[3] = r.idx - c[3], r.idx
-                c[2] = [*c[2][-2:], r.height]
-            else:
-                c, n = [n, r.label, [r.height], r.idx, 0.0], n + 1
-                classes = sorted([*classes, c], key=lambda x: x[3])[-most:]
-            out.append(c[0])
-        return pdf[[*keys, "idx"]].assign(walk=out)
-
-    kinds = dict(events.dtypes)
-    return events.groupBy(*keys).applyInPandas(work, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"idx {kinds['idx']}, walk long"]))
+    def dump(self):
+        return [self.past, self.n]
+
+    def load(self, held) -> None:
+        self.past, self.n = [tuple(p) for p in held[0]], held[1]
 
 
 def online_multichannel_cluster(events: DataFrame, keys: Sequence[str], memory: float = 0.2, most: int = 5, max_diff: float = 0.1, max_rate: float = 300.0) -> DataFrame:
     """(keys, event, source): height vectors over channels against those of the last ``memory`` seconds; mean relative difference under ``max_diff``.
 
-    ``events(keys, event, t, heights)``.  A source fires at most ``max_rate`` times a second.
+    ``events(keys, event, t, heights)``, of a batch or a stream.  A source fires at most ``max_rate`` times a second.
     """
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event"], kind="stable")
-        past, out, n = [], [], 0  # (t, source, heights)
-        for r in pdf.itertuples():
-            h = np.asarray(r.heights, float)
-            past = [p for p in past if r.t - p[0] <= memory]
-            last = {p[1]: p[0] for p in past}
-            diffs = {}
-            for t, s, g in past:
-                if r.t - last[s] >= 1 / max_rate:
-                    d = float(np.mean(np.abs(h - g)) / (np.mean(np.maximum(np.abs(h), np.abs(g))) or 1.0))
-                    diffs[s] = min(d, diffs.get(s, d))
-            best = min(diffs.items(), key=lambda x: (x[1], x[0]), default=None)
-            if best and best[1] < max_diff:
-                s = best[0]
-            else:
-                s, n = n, n + 1
-            past.append((r.t, s, h))
-            own = [p for p in past if p[1] == s]
-            if len(own) > most:
-                past = [p for p in past if p is not own[0]]
-            out.append(s)
-        return pdf[[*keys, "event"]].assign(source=out)
-
-    kinds = dict(events.dtypes)
-    return events.groupBy(*keys).applyInPandas(work, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"event {kinds['event']}, source long"]))
+    return _carried(events, keys, ["event", "t", "heights"], ["t", "event"], f"event {dict(events.dtypes)['event']}, source long", HeightVectors, memory=memory, most=most, max_diff=max_diff, max_rate=max_rate)
