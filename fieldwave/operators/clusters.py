@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from fieldwave.functions import kernels as K
 from fieldwave.operators.density import density_clusters
+from fieldwave.operators.stretches import islands
+from fieldwave.sources.shared import written
 
 _FEW = 1000  # names of large groups that a plan may hold
 
@@ -127,15 +129,13 @@ def group_across_channels(pulses: DataFrame, keys: Sequence[str], max_dt: float
 
     One pulse per channel stays, its highest, the nearest of equals; groups whose
     highest pulse is under ``min_height`` go.  Rows are cut into sessions by gaps first, so only
-    close pulses meet.
+    close pulses meet; no step holds a recording.
     """
-    w = W.partitionBy(*keys).orderBy("t", "channel")
-    new = F.coalesce((F.col("t") - F.lag("t").over(w) > max_dt).cast("int"), F.lit(1))
-    rows = pulses.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).withColumn("_start", F.when(F.col("_new") == 1, F.row_number().over(w)))
-    rows = rows.withColumn("_part", F.floor(F.max("_start").over(w) / 4096)).drop("_new", "_start")  # whole sessions, a few thousand rows of them at a time
+    rows = islands(pulses.select(*keys, "channel", "t", "height"), keys, "t", max_dt, ["channel"], name="session")
+    rows = rows.withColumn("_part", F.floor(F.col("session") / 256))  # short sessions share a group, none is cut
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "channel"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["t", "channel", "height"], kind="stable").reset_index(drop=True)
         t, height, channel = (pdf[c].to_numpy() for c in ("t", "height", "channel"))
         free, kept, part = np.ones(len(t), bool), [], []
         for n, k in enumerate(np.lexsort((t, -height))):
@@ -149,9 +149,13 @@ def group_across_channels(pulses: DataFrame, keys: Sequence[str], max_dt: float
                     kept.append(best)
                     part += [n] * len(best)
         at = np.concatenate(kept) if kept else np.zeros(0, int)
-        return pdf.loc[at, [*keys, "session", "channel", "t", "height"]].assign(part=np.array(part, int))[[*keys, "session", "part", "channel", "t", "height"]]
+        made = pdf.loc[at].assign(part=np.array(part, int))
+        event = made.groupby(["session", "part"], sort=True).ngroup() + 1
+        return made[[*keys, "_part"]].assign(_event=event, channel=made["channel"], t=made["t"], height=made["height"])
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "session long", "part int", f"channel {kinds['channel']}", "t double", "height double"])
-    made = rows.groupBy(*keys, "_part").applyInPandas(work, schema)
-    return made.withColumn("event", F.dense_rank().over(W.partitionBy(*keys).orderBy("session", "part"))).drop("session", "part")
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_part long", "_event long", f"channel {kinds['channel']}", "t double", "height double"])
+    made = written(rows.groupBy(*keys, "_part").applyInPandas(work, schema), "events")
+    ahead = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per group
+    parts = made.groupBy(*keys, "_part").agg(F.max("_event").alias("_n")).select(*keys, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    return made.join(parts, [*keys, "_part"]).select(*keys, "channel", "t", "height", (F.col("_ahead") + F.col("_event")).alias("event"))

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldwave.operators.stretches import islands
+from fieldwave.sources.shared import written
+
 #: Musical intervals (name, numerator, denominator, index): fixed values.
 INTERVALS = (
     ("unison", 1, 1, 0.0),
@@ -77,17 +80,15 @@ def unique_frequencies_index(df: DataFrame, df_thresh: float, keys: Sequence[str
     Seeds are taken in (element, f) order; a seed's members are its direct
     partners, which are then no seeds themselves.  No partners lie across a gap of
     the threshold, so the greedy pass runs on stretches between gaps, a few
-    thousand rows of them at a time.
+    hundred of them at a time; only the seeds of a key are numbered together.
     """
     pairs = similar_frequencies(df, df_thresh, keys)
     listed = pairs.select(*keys, "element", "id", "element_b", "id_b").unionByName(
         pairs.select(*keys, F.col("element_b").alias("element"), F.col("id_b").alias("id"), F.col("element").alias("element_b"), F.col("id").alias("id_b"))
     )
     partners = listed.groupBy(*keys, "element", "id").agg(F.collect_list(F.struct("element_b", "id_b")).alias("partners"))
-    w = W.partitionBy(*keys).orderBy("f", "element", "id")
-    apart = F.coalesce(F.col("f") - F.lag("f").over(w) >= df_thresh, F.lit(True))
-    rows = df.select(*keys, "element", "id", "f").withColumn("_start", F.when(apart, F.row_number().over(w)))
-    rows = rows.withColumn("_stretch", F.floor(F.max("_start").over(w) / 4096)).drop("_start")
+    rows = islands(df.select(*keys, "element", "id", "f"), keys, "f", df_thresh, ["element", "id"], closed=True)
+    rows = rows.withColumn("_stretch", F.floor(F.col("island") / 256)).drop("island")
     rows = rows.join(partners, [*keys, "element", "id"], "left")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,9 +106,10 @@ def unique_frequencies_index(df: DataFrame, df_thresh: float, keys: Sequence[str
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"_e {kinds['element']}, _f double, _i {kinds['id']}, element {kinds['element']}, id {kinds['id']}, f double"])
-    made = rows.groupBy(*keys, "_stretch").applyInPandas(greedy, schema)
-    number = F.dense_rank().over(W.partitionBy(*keys).orderBy("_e", "_f", "_i")) - 1
-    return made.withColumn("unique", number).select(*keys, "unique", "element", "id", "f")
+    made = written(rows.groupBy(*keys, "_stretch").applyInPandas(greedy, schema), "members")
+    seeds = made.select(*keys, "_e", "_f", "_i").where("element = _e and id = _i")
+    seeds = seeds.withColumn("unique", (F.row_number().over(W.partitionBy(*keys).orderBy("_e", "_f", "_i")) - 1).cast("int")).drop("_f")
+    return made.drop("_f").join(seeds, [*keys, "_e", "_i"]).select(*keys, "unique", "element", "id", "f")
 
 
 def relative_power(df: DataFrame, keys: Sequence[str], power: str = "power", name: str = "relpower") -> DataFrame:
