@@ -18,42 +18,42 @@ def nfft_for(rate: float, resolution: float) -> int:
 def psd(x: np.ndarray, rate: float, nfft: int, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """One-sided power density, Hann windows, mean over segments; shorter series are one padded segment."""
     segments = spectrogram(x, rate, nfft, overlap)[1]
-    return np.fft.rfftfreq(nfft, 1 / rate), segments.mean(axis=0)
+    return np.fft.rfftfreq(nfft, 1 / rate), segments.mean(axis=-2)
 
 
 def spectrogram(x: np.ndarray, rate: float, nfft: int, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """(start samples, power[segment, frequency])."""
+    """(start samples, power[..., segment, frequency]); ``x`` is one series, or a series per row."""
     x = np.asarray(x, float)
-    if len(x) < nfft:
-        x = np.concatenate([x, np.zeros(nfft - len(x))])
+    if x.shape[-1] < nfft:
+        x = np.concatenate([x, np.zeros((*x.shape[:-1], nfft - x.shape[-1]))], axis=-1)
     step = max(1, int(nfft * (1 - overlap)))
-    starts = np.arange(0, len(x) - nfft + 1, step)
+    starts = np.arange(0, x.shape[-1] - nfft + 1, step)
     w = 0.5 * (1 - np.cos(2 * np.pi * np.arange(nfft) / nfft))
-    parts = np.lib.stride_tricks.sliding_window_view(x, nfft)[starts]
-    parts = (parts - parts.mean(axis=1, keepdims=True)) * w
-    power = np.abs(np.fft.rfft(parts, axis=1)) ** 2 / (rate * (w**2).sum())
-    power[:, 1 : (nfft + 1) // 2] *= 2
+    parts = np.lib.stride_tricks.sliding_window_view(x, nfft, axis=-1)[..., starts, :]
+    parts = (parts - parts.mean(axis=-1, keepdims=True)) * w
+    power = np.abs(np.fft.rfft(parts, axis=-1)) ** 2 / (rate * (w**2).sum())
+    power[..., 1 : (nfft + 1) // 2] *= 2
     return starts, power
 
 
 def energy_spectrum(v: np.ndarray, rate: float, resolution: float = 1.0, fade: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """One-sided energy spectrum of a pulse, end means removed, centered in zeros; its sum times df is the pulse's energy."""
+    """One-sided energy spectrum of a pulse, or of one per row, end means removed, centered in zeros; its sum times df is the pulse's energy."""
     v = np.asarray(v, float)
-    n = max(1, len(v) // 20)
-    v = v - (v[:n].mean() + v[-n:].mean()) / 2
-    m = int(len(v) * fade)
+    size = v.shape[-1]
+    n = max(1, size // 20)
+    v = v - (v[..., :n].mean(-1, keepdims=True) + v[..., -n:].mean(-1, keepdims=True)) / 2
+    m = int(size * fade)
     if m > 0:
         ramp = np.arange(m) / m
-        v = v.copy()
-        v[:m] *= ramp
-        v[-m:] *= ramp[::-1]
-    nfft = max(nfft_for(rate, resolution), next_power_of_two(len(v)))
-    padded = np.zeros(nfft)
-    at = (nfft - len(v)) // 2
-    padded[at : at + len(v)] = v
-    energy = 2 * np.abs(np.fft.rfft(padded) / rate) ** 2
-    energy[0] /= 2
-    energy[-1] /= 2
+        v[..., :m] *= ramp
+        v[..., -m:] *= ramp[::-1]
+    nfft = max(nfft_for(rate, resolution), next_power_of_two(size))
+    padded = np.zeros((*v.shape[:-1], nfft))
+    at = (nfft - size) // 2
+    padded[..., at : at + size] = v
+    energy = 2 * np.abs(np.fft.rfft(padded, axis=-1) / rate) ** 2
+    energy[..., 0] /= 2
+    energy[..., -1] /= 2
     return np.fft.rfftfreq(nfft, 1 / rate), energy
 
 
@@ -240,13 +240,44 @@ def principal_components(rows: np.ndarray, k: int) -> np.ndarray:
     """Scores on the first k components, each with its largest loading positive."""
     x = rows - rows.mean(0)
     _, _, vt = np.linalg.svd(x, full_matrices=False)
-    vt = vt[:k]
-    vt = vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])[:, None]
+    vt = _signed(vt[:k])
     out = np.zeros((len(rows), k))
     out[:, : len(vt)] = x @ vt.T
     return out
 
 
+def loadings(covariance: np.ndarray, k: int) -> np.ndarray:
+    """The first k components of a covariance matrix, a row each, with their largest entry positive; zeros where there are fewer."""
+    values, vectors = np.linalg.eigh(covariance)
+    order = np.argsort(-values, kind="stable")[:k]
+    order = order[values[order] > 1e-12 * max(values.max(initial=0.0), 1e-300)]
+    out = np.zeros((k, len(covariance)))
+    out[: len(order)] = _signed(vectors[:, order].T)
+    return out
+
+
+def _signed(vt: np.ndarray) -> np.ndarray:
+    return vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])[:, None] if len(vt) else vt
+
+
+def lags_to(rows: np.ndarray, mean: np.ndarray, most: int) -> np.ndarray:
+    """By how many samples each row is to be moved so that it correlates best with ``mean``; the smallest move of equals."""
+    n = rows.shape[1]
+    nfft = next_power_of_two(2 * n)
+    cc = np.fft.irfft(np.conj(np.fft.rfft(rows, nfft, axis=1)) * np.fft.rfft(mean, nfft), nfft, axis=1)
+    moves = np.array(sorted(range(-most, most + 1), key=lambda d: (abs(d), d)))
+    cc = cc[:, moves % nfft]
+    near = cc >= cc.max(1, keepdims=True) - 1e-9 * np.abs(cc).max(1, keepdims=True)
+    return moves[near.argmax(1)]
+
+
+def moved(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Rows moved to the right by so many samples; what comes in is the value at the end."""
+    n = rows.shape[1]
+    at = np.clip(np.arange(n) - by[:, None], 0, n - 1)
+    return np.take_along_axis(rows, at, axis=1)
+
+
 def tail_time_constant(t: np.ndarray, v: np.ndarray, start: int, noise: float) -> tuple[float, float] | None:
     """(tau, start time) of an exponential fitted to the tail from half of the last phase's height on, or None where it doesn't decay."""
     sign = 1.0 if v[start] > 0 else -1.0

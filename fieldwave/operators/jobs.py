@@ -33,14 +33,8 @@ def _shapes(samples: DataFrame, events: DataFrame, keys: Sequence[str], left: in
 
 def shape_clusters(arrays: DataFrame, keys: Sequence[str], ident: str, eps: float, k: int = 5, min_share: float = 0.05, min_samples: int = 5) -> DataFrame:
     """(keys, ident, label): density clusters of each class's waveforms on its own principal components, -1 for noise."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident, kind="stable")
-        points = K.principal_components(np.stack([np.asarray(v, float) for v in pdf["v"]]), k)
-        return pdf[[*keys, ident]].assign(label=K.dbscan(points, eps, max(min_samples, int(min_share * len(points)))))
-
-    kinds = dict(arrays.dtypes)
-    return arrays.select(*keys, ident, "v").groupBy(*keys).applyInPandas(work, ", ".join([*(f"{c} {kinds[c]}" for c in keys), f"{ident} {kinds[ident]}, label long"]))
+    scores = written(S.principal_scores(arrays, keys, ident, k), "scores")
+    return C.dbscan(scores, keys, ident, "scores", eps, min_share, min_samples)
 
 
 def _labelled(samples: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, rate: float, left: int, right: int, eps: float, low_freq: float, name: str) -> DataFrame:

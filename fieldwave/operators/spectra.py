@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldwave.functions import kernels as K
+from fieldwave.sources.shared import written
 
 
 def blocks(samples: DataFrame, keys: Sequence[str], size: int, overlap: int = 0) -> DataFrame:
@@ -22,41 +23,42 @@ def blocks(samples: DataFrame, keys: Sequence[str], size: int, overlap: int = 0)
     return grouped.select(*keys, "block", F.col("_s")[0]["idx"].alias("idx0"), F.transform("_s", lambda s: s["v"].cast("double")).alias("v"))
 
 
-def _per_row(df: DataFrame, keys: Sequence[str], schema: str, make) -> DataFrame:
-    """Rows that ``make(row)`` gives, with the keys in front, batch by batch."""
+def _stacked(df: DataFrame, keys: Sequence[str], schema: str, make, most: int = 1 << 21) -> DataFrame:
+    """Rows of arrays ``v`` of equal length, many at a time, through ``make(matrix)``, which gives a column each per row or for all rows; the keys stand in front."""
     kinds = dict(df.dtypes)
+    names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
-            out = [part.assign(**{k: r[k] for k in keys}) for _, r in pdf.iterrows() for part in make(r)]
-            if out:
-                yield pd.concat(out, ignore_index=True)[[*keys, *names]]
+            sizes = pdf["v"].map(len).to_numpy()
+            for size in np.unique(sizes):
+                of = np.flatnonzero(sizes == size)
+                for k in range(0, len(of), max(1, most // max(size, 1))):
+                    part = of[k : k + max(1, most // max(size, 1))]
+                    cols = make(np.stack([np.asarray(v, float) for v in pdf["v"].iloc[part]]))
+                    n = max(c.size // len(part) if c.ndim == 2 else len(c) for c in cols)
+                    out = pdf[[*keys]].iloc[np.repeat(part, n)].reset_index(drop=True)
+                    yield out.assign(**{name: c.ravel() if c.ndim == 2 else np.tile(c, len(part)) for name, c in zip(names, cols)})
 
-    names = [x.split()[0] for x in schema.split(",")]
-    return df.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
+    return df.where(F.size("v") > 0).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
 
 
 def psd(arrays: DataFrame, keys: Sequence[str], rate: float, resolution: float) -> DataFrame:
     """(keys, freq, power) of each array, at least as fine as ``resolution``."""
     nfft = K.nfft_for(rate, resolution)
-
-    def make(r):
-        f, p = K.psd(np.asarray(r["v"], float), rate, nfft)
-        yield pd.DataFrame({"freq": f, "power": p})
-
-    return _per_row(arrays.select(*keys, "v"), keys, "freq double, power double", make)
+    return _stacked(arrays.select(*keys, "v"), keys, "freq double, power double", lambda x: K.psd(x, rate, nfft))
 
 
 def spectrogram(arrays: DataFrame, keys: Sequence[str], rate: float, resolution: float, overlap: float = 0.5) -> DataFrame:
     """(keys, win, freq, power) of each array."""
     nfft = K.nfft_for(rate, resolution)
 
-    def make(r):
-        starts, p = K.spectrogram(np.asarray(r["v"], float), rate, nfft, overlap)
+    def make(x):
+        starts, p = K.spectrogram(x, rate, nfft, overlap)
         f = np.fft.rfftfreq(nfft, 1 / rate)
-        yield pd.DataFrame({"win": np.repeat(np.arange(len(starts)), len(f)), "freq": np.tile(f, len(starts)), "power": p.ravel()})
+        return np.repeat(np.arange(len(starts)), len(f)), np.tile(f, len(starts)), p.reshape(len(x), -1)
 
-    return _per_row(arrays.select(*keys, "v"), keys, "win long, freq double, power double", make)
+    return _stacked(arrays.select(*keys, "v"), keys, "win long, freq double, power double", make)
 
 
 def high_pass(arrays: DataFrame, keys: Sequence[str], rate: float, cutoff: float = 10.0) -> DataFrame:
@@ -90,11 +92,7 @@ def upsample(arrays: DataFrame, factor: int) -> DataFrame:
 def pulse_spectrum(arrays: DataFrame, keys: Sequence[str], rate: float, resolution: float = 1.0, fade: float = 0.05) -> DataFrame:
     """(keys, freq, energy) of each pulse waveform."""
 
-    def make(r):
-        f, e = K.energy_spectrum(np.asarray(r["v"], float), rate, resolution, fade)
-        yield pd.DataFrame({"freq": f, "energy": e})
-
-    return _per_row(arrays.select(*keys, "v"), keys, "freq double, energy double", make)
+    return _stacked(arrays.select(*keys, "v"), keys, "freq double, energy double", lambda x: K.energy_spectrum(x, rate, resolution, fade))
 
 
 def pulse_train(events: DataFrame, waves: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,6 +107,27 @@ def pulse_train(events: DataFrame, waves: DataFrame, keys: Sequence[str]) -> Dat
     return met.where(inside).select(*keys, (F.col("idx") + F.col("pos")).alias("idx"), "v")
 
 
+def pulse_train_spectrum(events: DataFrame, waves: DataFrame, keys: Sequence[str], rate: float, resolution: float, size: DataFrame | None = None) -> DataFrame:
+    """(keys, freq, power): mean power density of each train of pulses, zero between them, over segments that overlap by half.
+
+    ``size(keys, n)`` tells how many samples a series has, from 0 on; else it ends with its last pulse.
+    Samples of a train go to the two segments that hold them; segments without
+    pulses count as zero.
+    """
+    nfft = K.nfft_for(rate, resolution)
+    half = nfft // 2
+    train = pulse_train(events, waves, keys).where("idx >= 0")
+    size = train.groupBy(*keys).agg((F.max("idx") + 1).alias("n")) if size is None else size.select(*keys, "n")
+    count = F.greatest(F.lit(1), F.floor((F.col("n") - nfft) / half) + 1).cast("long")
+    held = train.join(size, list(keys)).withColumn("_count", count).where(F.col("idx") < F.col("n"))
+    last = F.floor(F.col("idx") / half)
+    parts = held.select(*keys, "_count", "idx", "v", F.explode(F.array(last - 1, last)).alias("segment")).where((F.col("segment") >= 0) & (F.col("segment") < F.col("_count")))
+    dense = parts.groupBy(*keys, "_count", "segment").agg(F.map_from_entries(F.collect_list(F.struct((F.col("idx") - F.col("segment") * half).cast("int"), "v"))).alias("m"))
+    dense = dense.select(*keys, "_count", "segment", F.transform(F.sequence(F.lit(0), F.lit(nfft - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    power = psd(dense, [*keys, "_count", "segment"], rate, resolution)
+    return power.groupBy(*keys, "_count", "freq").agg(F.sum("power").alias("power")).select(*keys, "freq", (F.col("power") / F.col("_count")).alias("power"))
+
+
 def artefact_clusters(arrays: DataFrame, keys: Sequence[str], rate: float, low_freq: float, threshold: float = 0.5) -> DataFrame:
     """(keys, artefact): mean snippets with less than ``threshold`` of their spectral power below ``low_freq``; off beyond half the rate."""
 
@@ -148,14 +167,17 @@ def assign_species(fish: DataFrame, templates: DataFrame, max_rms: float, kind:
     columns = ["species", "ttime", "tv"] + (["tEODf"] if kind == "wave" else [])
     args = ["time", "v"] + (["EODf"] if kind == "wave" else [])
     n = -(-templates.count() // block)
-    best = F.lit(None).cast("struct<rms:double,species:string>")
+    kept = fish.withColumn("_best", F.lit(None).cast("struct<rms:double,species:string>"))
     for k in range(n):
         part = templates.select(*columns).where(F.pmod(F.xxhash64("species", "ttime", "tv"), F.lit(n)) == k)
         rows = [(r.species, np.array([r.ttime, r.tv], float), r.tEODf if kind == "wave" else None) for r in part.orderBy("species").collect()]
         if rows:
-            best = F.least(best, _least_difference(fish.sparkSession.sparkContext.broadcast(rows), kind)(*args))
-    out = fish.withColumn("_best", best)
-    return out.withColumn("species", F.when(F.col("_best.rms") < max_rms, F.col("_best.species")).otherwise("unknown")).withColumn("rms", F.col("_best.rms")).drop("_best")
+            sent = fish.sparkSession.sparkContext.broadcast(rows)
+            kept = kept.withColumn("_best", F.least("_best", _least_difference(sent, kind)(*args)))
+            if n > 1:  # the block is done with before the next one is sent
+                kept = written(kept, "nearest")
+                sent.destroy()
+    return kept.withColumn("species", F.when(F.col("_best.rms") < max_rms, F.col("_best.species")).otherwise("unknown")).withColumn("rms", F.col("_best.rms")).drop("_best")
 
 
 def _least_difference(known, kind: str):
@@ -233,8 +255,93 @@ def waveform_pca(arrays: DataFrame, keys: Sequence[str], k: int = 5) -> DataFram
     return model.transform(rows).select(*keys, vector_to_array("_p").alias("scores"))
 
 
-def poly_features(arrays: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
-    """(keys, features): Chebyshev coefficients 0..n of each waveform, and a tenth of its height; one fixed projection for all of a length."""
+def class_loadings(arrays: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """(keys, mean, loadings): the first k components of the arrays ``v`` of each class, from one pass of sums; loadings are flattened."""
+    kinds = dict(arrays.dtypes)
+    head = ", ".join([*(f"{c} {kinds[c]}" for c in keys), ""])
+
+    def sums(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            groups = pdf.groupby(list(keys), dropna=False, sort=False)["v"] if len(keys) else [((), pdf["v"])]
+            rows = []
+            for key, vs in groups:
+                x = np.stack([np.asarray(v, float) for v in vs])
+                rows.append((*(key if isinstance(key, tuple) else (key,)), len(x), x.sum(0), (x.T @ x).ravel()))
+            yield pd.DataFrame(rows, columns=[*keys, "n", "s", "o"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mean = pdf["n"].sum(), np.sum(pdf["s"].tolist(), axis=0)
+        mean = mean / n
+        covariance = np.sum(pdf["o"].tolist(), axis=0).reshape(len(mean), -1) / n - np.outer(mean, mean)
+        return pdf[[*keys]].iloc[:1].assign(mean=[mean], loadings=[K.loadings(covariance, k).ravel()])
+
+    partial = arrays.select(*keys, "v").mapInPandas(sums, head + "n long, s array<double>, o array<double>")
+    return partial.groupBy(*keys).applyInPandas(solve, head + "mean array<double>, loadings array<double>")  # a row per class and batch
+
+
+def principal_scores(arrays: DataFrame, keys: Sequence[str], ident: str, k: int = 5) -> DataFrame:
+    """(keys, ident, scores): each array on the first k components of its class, each with its largest loading positive; no class is one piece of work."""
+    fitted = class_loadings(arrays, keys, k)
+    met = arrays.select(*keys, ident, "v").join(fitted, list(keys)) if len(keys) else arrays.select(ident, "v").join(F.broadcast(fitted))  # one row
+    off = F.zip_with("v", "mean", lambda a, b: a - b)
+    row = lambda i: F.slice("loadings", i * F.size("mean") + 1, F.size("mean"))
+    score = lambda i: F.aggregate(F.zip_with("_off", row(i), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return met.withColumn("_off", off).select(*keys, ident, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), score).alias("scores"))
+
+
+def property_pca(df: DataFrame, keys: Sequence[str], columns: Sequence[str], k: int, *, scaled: bool = False) -> DataFrame:
+    """(keys, scores): rows of a property table on the first k components of ``columns``; ``scaled`` divides each by its standard deviation first.
+
+    All that is needed comes from one pass of sums over pairs of columns, each over
+    the rows that have both; a cell that is missing counts as the column's mean.  The matrix is one
+    number per pair of columns.
+    """
+    x = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    cov = lambda i, j: F.covar_samp(x[i], x[j])
+    found = df.agg(*(F.avg(c) for c in x), *(cov(i, j) for i, j in pairs)).first()
+    mean, matrix = np.array([found[i] or 0.0 for i in range(len(x))]), np.zeros((len(x), len(x)))
+    for n, (i, j) in enumerate(pairs):
+        matrix[i, j] = matrix[j, i] = found[len(x) + n] or 0.0
+    unit = np.sqrt(np.diag(matrix)) if scaled else np.ones(len(x))
+    unit = np.where(unit > 0, unit, 1.0)
+    rows = K.loadings(matrix / np.outer(unit, unit), k)
+    cells = [F.coalesce((c - float(m)) / float(u), F.lit(0.0)) for c, m, u in zip(x, mean, unit)]
+    scores = [sum((c * float(w) for c, w in zip(cells, row)), F.lit(0.0)) for row in rows]
+    return df.select(*keys, F.array(*scores).alias("scores"))
+
+
+def align_to_mean(arrays: DataFrame, keys: Sequence[str], by: Sequence[str] = (), *, most: int = 8, rounds: int = 3) -> DataFrame:
+    """(keys, v): arrays moved by up to ``most`` samples so that they correlate best with the mean of their class ``by``, which is formed anew each round.
+
+    Arrays of a class have one length.  Means are sums over positions; an array
+    meets the one of its class.
+    """
+    held = arrays.select(*dict.fromkeys([*keys, *by]), "v", F.lit(0).alias("_by"))
+
+    @F.pandas_udf("array<double>")
+    def turn(vs: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series([K.moved(np.asarray(v, float)[None], np.array([d]))[0] for v, d in zip(vs, by)], dtype=object)
+
+    @F.pandas_udf("int")
+    def lag(vs: pd.Series, means: pd.Series) -> pd.Series:
+        return pd.Series([int(K.lags_to(np.asarray(v, float)[None], np.asarray(m, float), most)[0]) for v, m in zip(vs, means)])
+
+    for _ in range(rounds):
+        held = written(held, "aligned")
+        at = held.select(*by, F.posexplode(turn("v", "_by")).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("x"))
+        mean = at.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_s")).select(*by, F.transform("_s", lambda s: s["x"]).alias("_mean"))
+        held = (held.join(mean, list(by)) if len(by) else held.join(F.broadcast(mean))).withColumn("_by", lag("v", "_mean")).drop("_mean")  # without classes, one row
+    return held.select(*dict.fromkeys([*keys, *by]), turn("v", "_by").alias("v"))
+
+
+def poly_features(arrays: DataFrame, keys: Sequence[str], n: int = 5, *, align: Sequence[str] | None = None, most: int = 8) -> DataFrame:
+    """(keys, features): Chebyshev coefficients 0..n of each waveform, and a tenth of its height; one fixed projection for all of a length.
+
+    With ``align``, the columns of a class (none: all are one), waveforms are moved to the mean of their class first.
+    """
+    if align is not None:
+        arrays = align_to_mean(arrays, keys, align, most=most)
 
     @F.pandas_udf("array<double>")
     def run(parts: pd.Series) -> pd.Series:
