@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,10 +104,10 @@ _emptying: dict[str, object] = {}
 
 
 def use_table(name: str, empty=None) -> None:
-    """Called by a task: a Python worker keeps the word table of one operator at a time, those of others are emptied."""
-    for other, clear in _emptying.items():
-        if other != name:
-            clear()
+    """Called by a task: a Python worker keeps the word table of one operator at a time; those of others are emptied and unused memory is given back."""
+    for other in [k for k in _emptying if k != name]:
+        _emptying.pop(other)()
+        pa.default_memory_pool().release_unused()
     if empty is not None:
         _emptying[name] = empty
 

@@ -142,7 +142,7 @@ class WordEncoder:
     forgotten when the younger is full, and what was forgotten is encoded again.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -287,7 +287,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 1, file_token
 
         for pdf in batches:
             texts, rows = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            for a, b in pieces([len(t or "") for t in texts]):
+            for a, b in pieces([len(t or "") for t in texts], 1_000_000):
                 for doc_id, raw in zip(rows[a:b], enc.batch(texts[a:b])):
                     ids.append(None if doc_id is None else int(doc_id))
                     held += [raw, end]
