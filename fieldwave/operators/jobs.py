@@ -18,6 +18,7 @@ from fieldwave.operators import events as V
 from fieldwave.operators import frequencies as Q
 from fieldwave.operators import harmonic_groups as H
 from fieldwave.operators import spectra as S
+from fieldwave.operators import wave_segments as G
 from fieldwave.operators import waveforms as A
 from fieldwave.operators import windows as N
 from fieldwave.sources.shared import written
@@ -149,78 +150,18 @@ def analyze_wave(waves: DataFrame, keys: Sequence[str], rate: float, freq: float
     return out.withColumns({c: F.lit(None).cast("double") for c in ("datapower", "clipped") if c not in out.columns})
 
 
-def _extract(x: np.ndarray, rate: float, f: float, df: float, min_corr: float, max_harmonics: int, min_segments: int = 6, ampl_frac: float = 0.5):
-    """(EODf, periods, mean coefficients, reason) of one source in one series."""
-    fac = max(1, round(f / 400))
-    df, seconds = df * fac, len(x) / rate
-    size = min(seconds, 1 / df)
-    while (seconds - size) / (size / 4) + 1 < min_segments and size * f > 2:
-        size /= 2
-    n, step = int(size * rate), max(1, int(size * rate / 4))
-    starts = np.arange(0, max(1, len(x) - n + 1), step)
-    if n < 4 or len(starts) < 2:
-        return None, 0.0, None, "too short"
-    t = np.arange(n) / rate
-    taper = np.full(n, 2.0 / (n - 1))
-    taper[[0, -1]] /= 2
-    grid = np.arange(200) / 200
-
-    def coeffs(part, freq, k):
-        return np.exp(-2j * np.pi * freq * np.outer(np.arange(k + 1), t)) @ (part * taper)
-
-    def shape(c):
-        c = c * np.exp(-1j * np.arange(len(c)) * np.angle(c[1]))
-        c[0] = 0
-        return np.real(np.exp(2j * np.pi * np.outer(grid, np.arange(len(c)))) @ c), c
-
-    best_f, waves, kept = [], [], []
-    for s in starts:
-        part = x[s : s + n]
-        options = [(float(np.ptp(shape(coeffs(part, g, 5))[0])), g) for g in np.linspace(f - df, f + df, 1 + 4 * fac)]
-        g = max(options)[1]
-        w, c = shape(coeffs(part, g, max_harmonics))
-        best_f.append(g)
-        waves.append(w)
-        kept.append(c)
-    waves = np.array(waves)
-    corr = np.corrcoef(waves)
-    np.fill_diagonal(corr, -1)
-    if corr.max() <= min_corr:
-        return f, 0.0, None, "waveforms not stable"
-    high = float(np.median(corr[corr > min_corr]))
-    count = (corr >= high).sum(1)
-    common = count >= max(1, count.max() / 2)
-    if corr.max() < max(high, 1 - (1 - min_corr) / 4):
-        return f, 0.0, None, "waveforms not stable"
-    good = [int(k) for k in np.unravel_index(corr.argmax(), corr.shape)]
-    while True:  # every member brings the partner it is most like, until none is left that is like enough
-        free = common.copy()
-        free[good] = False
-        options = np.where(free, corr[good], -1.0)
-        new = {int(k) for k, c in zip(options.argmax(1), options.max(1)) if c >= high}
-        if not new:
-            break
-        good += sorted(new)
-    std = waves[good].std(1)
-    good = [k for k, s in zip(good, std) if s >= ampl_frac * std.max()]
-    covered = np.zeros(len(x), bool)
-    for k in good:
-        covered[starts[k] : starts[k] + n] = True
-    eodf = float(np.mean([best_f[k] for k in good]))
-    return eodf, covered.sum() / rate * eodf, np.mean([kept[k] for k in good], axis=0), ""
-
-
 def extract_wave(arrays: DataFrame, keys: Sequence[str], rate: float, freq: str, resolution: float = 0.5, min_corr: float = 0.99, max_harmonics: int = 5) -> DataFrame:
     """(keys, EODf, n, skip_reason, coeffs): refined frequency and mean coefficients of the stable segments of each series.
 
-    ``arrays(keys, freq, v)``; a row is a series and one of its fundamentals.
+    ``arrays(keys, freq, v)``; a row is a short series and one of its fundamentals.
+    Recordings of any length are for ``wave_segments.extract_waves``.
     """
 
     @F.pandas_udf("EODf double, n double, skip_reason string, re array<double>, im array<double>")
     def run(parts: pd.Series, freqs: pd.Series) -> pd.DataFrame:
         out = []
         for v, f in zip(parts, freqs):
-            eodf, n, c, why = _extract(np.asarray(v, float), rate, f, resolution, min_corr, max_harmonics)
+            eodf, n, c, why = G.extract(np.asarray(v, float), rate, f, resolution, min_corr, max_harmonics)
             out.append((eodf, n, why, None if c is None else c.real, None if c is None else c.imag))
         return pd.DataFrame(out, columns=["EODf", "n", "skip_reason", "re", "im"])
 
@@ -286,8 +227,7 @@ def detect_sources(
             groups = written(A.drop_waves_below_pulses(groups, _block_psd(trains, keys, rate, resolution), keys, bin_width), "groups")
     if groups is not None:
         waves = Q.fundamentals(groups, [*keys, "grp"]).select(*keys, "grp", "f", F.col("db").alias("strength"))
-        arrays = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("s")).select(*keys, F.transform("s", lambda x: x["v"]).alias("v"))
-        shaped = extract_wave(waves.join(arrays, list(keys)).select(*keys, "grp", F.col("f").alias("freq"), "v"), [*keys, "grp"], rate, "freq", resolution, min_corr)
+        shaped = G.extract_waves(samples, waves.withColumnRenamed("f", "freq"), keys, rate, resolution, min_corr)
         ampl = F.when(F.col("skip_reason") == "", 2 * F.array_max(F.transform("coeffs", lambda c: F.hypot(c["re"], c["im"]))))
         share = samples.groupBy(*keys).agg(F.avg(((F.col("v") <= clip[0]) | (F.col("v") >= clip[1])).cast("double")).alias("clipped"))
         rows = waves.join(shaped, [*keys, "grp"]).join(share, list(keys))
