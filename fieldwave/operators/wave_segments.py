@@ -125,11 +125,12 @@ def extract_waves(samples: DataFrame, waves: DataFrame, keys: Sequence[str], rat
     """(keys, grp, EODf, n, skip_reason, coeffs): refined frequency and mean coefficients of the sources ``waves(keys, grp, freq)`` of recordings ``samples(keys, idx, v)``.
 
     Samples travel in chunks to the segments that need them; a segment is fitted
-    by itself, and only its coefficients meet those of the others.  ``idx`` counts samples without gaps.
+    by itself, and only its coefficients meet those of the others.  Samples that
+    are missing between the first and the last count as zero.
     """
     own, kinds = [*keys, "grp"], dict(waves.dtypes) | dict(samples.dtypes)
     head = ", ".join(f"{k} {kinds[k]}" for k in own)
-    sizes = samples.groupBy(*keys).agg(F.min("idx").cast("long").alias("first"), F.count(F.lit(1)).alias("n"))
+    sizes = samples.groupBy(*keys).agg(F.min("idx").cast("long").alias("first"), (F.max("idx") - F.min("idx") + 1).cast("long").alias("n"))
     cut = waves.select(*own, F.col("freq").cast("double").alias("freq")).join(sizes, list(keys))
 
     @F.pandas_udf("size long, starts array<long>")
@@ -145,14 +146,20 @@ def extract_waves(samples: DataFrame, waves: DataFrame, keys: Sequence[str], rat
     inside = F.filter("s", lambda x: (x["idx"] >= begin) & (x["idx"] < begin + F.col("size")))
     parts = need.join(chunks, [*keys, "chunk"]).select(*own, "freq", "size", "start", "chunk", inside.alias("s"))
     segments = parts.groupBy(*own, "freq", "size", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "s"))), lambda x: x["s"])).alias("s"))
-    segments = segments.select(*own, "freq", "size", "start", F.transform("s", lambda x: x["v"]).alias("v"))
+    segments = segments.select(*own, "freq", "size", "start", F.transform("s", lambda x: x["idx"]).alias("at"), F.transform("s", lambda x: x["v"]).alias("v"))
+    segments = segments.join(sizes.select(*keys, "first"), list(keys)).withColumn("at", F.transform("at", lambda i: i - begin))
+
+    def dense(at, v, size: int) -> np.ndarray:
+        x = np.zeros(size)
+        x[np.asarray(at, int)] = v
+        return x
 
     @F.pandas_udf("f double, re array<double>, im array<double>")
-    def fitted(vs: pd.Series, fs: pd.Series) -> pd.DataFrame:
-        made = [fit(np.asarray(v, float), rate, f, resolution, max_harmonics) for v, f in zip(vs, fs)]
+    def fitted(at: pd.Series, vs: pd.Series, sizes: pd.Series, fs: pd.Series) -> pd.DataFrame:
+        made = [fit(dense(i, v, n), rate, f, resolution, max_harmonics) for i, v, n, f in zip(at, vs, sizes, fs)]
         return pd.DataFrame({"f": [f for f, _ in made], "re": [c.real for _, c in made], "im": [c.imag for _, c in made]})
 
-    rows = segments.select(*own, "freq", "size", "start", fitted("v", "freq").alias("r")).select(*own, "freq", "size", "start", "r.*")
+    rows = segments.select(*own, "freq", "size", "start", fitted("at", "v", "size", "freq").alias("r")).select(*own, "freq", "size", "start", "r.*")
     rows = rows.unionByName(cut.where("start is null").select(*own, "freq", "size", "start"), allowMissingColumns=True)
 
     def chosen(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import events, files, frequencies, kernels, logger, shapes, tables, waveforms
+from . import events, files, frequencies, kernels, logger, pulse_jobs, shapes, tables, waveforms
 
-_MODULES = (logger, tables, frequencies, events, waveforms, kernels, files, shapes)
+_MODULES = (logger, tables, frequencies, events, waveforms, kernels, files, shapes, pulse_jobs)
 
 
 #: Rounded columns that may come out as minus zero on one side only; both sides turn it into zero.

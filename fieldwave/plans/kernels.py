@@ -231,15 +231,6 @@ def session_windows(spark, sf_dir):
     return out.select("channel", F.unix_micros("tstart").alias("tstart"), F.unix_micros("tend").alias("tend"), "n")
 
 
-#: Limits for events that are hours apart.
-_LOOSE = {"min_width": 0.0, "max_width": 1e6, "left": 4, "right": 4, "min_dt": 864_000.0, "step": 432_000.0, "rho": 0.0}
-
-
-def pulses(spark, sf_dir):
-    rows = J.extract_pulses(samples(spark, sf_dir), ["channel"], 1.0, 5.0, **_LOOSE)
-    return rows.select("channel", "idx", r6("height").alias("height"), r6("width").alias("width"), "label")
-
-
 def pulse_rows(spark, sf_dir):
     events = samples(spark, sf_dir).select(F.col("channel").alias("id"), "t")
     rows = J.analyze_pulse(waveforms(spark, sf_dir).select("id", "pos", "v"), events, ["id"], 64.0)
@@ -256,13 +247,6 @@ def extracted_waves(spark, sf_dir):
     return rows.select("id", r6("EODf").alias("EODf"), r6("n").alias("n"), "skip_reason")
 
 
-def sources(spark, sf_dir):
-    limits = samples(spark, sf_dir).select("channel").distinct().select("channel", F.lit(3.0).alias("low"), F.lit(5.0).alias("high"))
-    params = H.GroupParams(max_freq_tol=12.0, max_freq=500.0, max_harmonics_db=5.0)
-    rows = J.detect_sources(samples(spark, sf_dir), ["channel"], 1000.0, 8.0, 5.0, "wp", limits, params, pulses=_LOOSE, min_corr=0.5)
-    return rows.select("channel", "type", "index", F.round("EODf", 9).alias("EODf"), r6("strength").alias("strength"), r6("ppampl").alias("ppampl"), r6("clipped").alias("clipped"), "skip_reason")
-
-
 def loaded(spark, sf_dir):
     waves = waveforms(spark, sf_dir).select((F.col("label") % 3).cast("string").alias("recording"), F.col("label").alias("channel"), (F.col("id") + 5).alias("index"), (F.col("pos") / 64).alias("time"), F.col("v").alias("mean"), F.lit(0.0).alias("sem"))
     fish = waves.select("recording", "channel", (F.col("index") - 5).alias("index")).distinct().withColumn("type", F.lit("wave"))
@@ -314,11 +298,9 @@ r AS (SELECT DISTINCT channel, 0::BIGINT AS n, -1::BIGINT AS source, '' AS kind,
     FROM r JOIN o ON o.channel = r.channel AND o.n = r.n + 1)))"""
 
 QUERIES = {
-    "c3_extract_pulses": pulses,
     "c4_analyze_pulse": pulse_rows,
     "c4_analyze_wave": wave_rows,
     "m5_extract_wave": extracted_waves,
-    "c5_detect_sources": sources,
     "j18_load_analysis": loaded,
     "j21_merge_fish": merged,
     "p2_decibel": decibels,
