@@ -1,7 +1,7 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
-Each input partition makes one run of digests, sorted and free of repeats.  In
-rounds, ``fan_in`` runs at a time are exchanged and merged into one, again
+Rows are dealt to runs of bounded length by a hash of their key, each a run of
+digests, sorted and free of repeats.  In rounds, ``fan_in`` runs at a time are exchanged and merged into one, again
 sorted; a run is split by digest prefix, so every round, the last included, is
 spread over all tasks.  Each level keeps, per digest, the identifier that stays
 and the number of documents, both final after the last round.
@@ -18,8 +18,8 @@ from .shared import ascii_lower, fresh, written
 _SAME = ["digest", "n_bytes", "check"]
 
 
-def digest_runs(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """One row per document: doc_id, row (unique), run (its partition), digest of the normalised text, sorted by digest in each run."""
+def digest_runs(docs: DataFrame, n_runs: int, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, row (unique), run, digest of the normalised text, sorted by run and digest in each partition."""
     key = F.monotonically_increasing_id() if row is None else F.col(row)
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     return (
@@ -27,12 +27,12 @@ def digest_runs(docs: DataFrame, row: str | None = None) -> DataFrame:
         .select(
             "doc_id",
             "row",
-            F.spark_partition_id().alias("run"),
+            F.pmod(F.xxhash64("row"), F.lit(n_runs)).cast("int").alias("run"),
             F.unhex(F.sha2("norm", 256)).alias("digest"),
             F.octet_length("norm").alias("n_bytes"),
             F.xxhash64("norm").alias("check"),
         )
-        .sortWithinPartitions("digest")
+        .sortWithinPartitions("run", "digest")
     )
 
 
@@ -57,7 +57,7 @@ def merge_runs(runs: DataFrame, n_runs: int, fan_in: int, keep: str) -> DataFram
     return runs
 
 
-def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan_in: int = 8, row: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan_in: int = 8, row: str | None = None, run_rows: int = 50_000, min_runs: int = 16) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal when identical after lower-casing A-Z; null is empty.
@@ -67,11 +67,12 @@ def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan_in: int = 8, row:
     ``row`` names a column of unique integers that tells rows apart, else one is
     made.
 
-    A hot text is one row per run after the first, local step.  The way back to
-    documents goes through (run, digest): no group is larger than a partition.
+    There are ``min_runs`` runs, or as many as hold ``run_rows`` rows each.  A hot
+    text is one row per run after the first, local step.  The way back to
+    documents goes through (run, digest): no group is larger than a run.
     """
-    base = written(digest_runs(docs, row), "digests")
-    n_runs = (base.agg(F.max("run")).first()[0] or 0) + 1
+    n_runs = max(1, min_runs, -(-docs.count() // run_rows))
+    base = written(digest_runs(docs, n_runs, row), "digests")
     if keep == "largest":
         best = F.struct("doc_id", "row")
     else:
