@@ -64,16 +64,20 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(all_of, lambda t: ~F.endswith(t, F.lit("="))))
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.6) -> DataFrame:
-    """Rules (antecedent, confidence, support, anchor) from ``labelled(tokens, block)``.
+_GROUPS = "groups array<array<string>>, anchors array<string>, confidence double, support double"
+
+
+def mine_groups(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.6) -> DataFrame:
+    """Rules (groups, anchors, confidence, support) from ``labelled(tokens, block)``: one token of each group must be there.
 
     A combination must hold in ``min_count`` pages and ``min_support`` of all.
     Rules that add tokens to a kept one are left out: they fit no further url.
-    So tokens that are rules alone are left out of the combinations, and of
-    tokens that stand on the same pages one is mined for all; each has its rule.
+    So tokens that are rules alone are left out of the combinations, and tokens
+    that stand on the same pages are one group, mined as one token and never
+    multiplied out.  ``anchors`` is the group of the rarest tokens.
     """
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "antecedent array<string>, confidence double, support double, anchor string")
+    empty = spark.createDataFrame([], _GROUPS)
     rows = written(labelled.select(F.array_distinct("tokens").alias("tokens"), F.coalesce("block", F.lit(False)).alias("block")).where(F.col("block") | (F.size("tokens") > 0)), "labelled")
     n = rows.count()
     if n < min_count:
@@ -83,7 +87,7 @@ def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_count: in
     spread = rows.select("row", "block", F.xxhash64("tokens").cast("decimal(20,0)").alias("h1"), F.hash("tokens").cast("decimal(20,0)").alias("h2"), F.explode("tokens").alias("token"))
     counts = spread.groupBy("token").agg(F.count("*").alias("freq"), F.count_if("block").alias("hits"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where(F.col("hits") >= least)
     counts = written(counts.withColumn("confidence", F.col("hits") / F.col("freq")), "tokens")
-    single = counts.where(F.col("confidence") >= min_confidence).select(F.array("token").alias("antecedent"), "confidence", (F.col("hits") / n).alias("support"), F.col("token").alias("anchor"))
+    single = counts.where(F.col("confidence") >= min_confidence).select(F.array(F.array("token")).alias("groups"), F.array("token").alias("anchors"), "confidence", (F.col("hits") / n).alias("support"))
 
     alike = counts.where(F.col("confidence") < min_confidence).groupBy("freq", "hits", "h1", "h2").agg(F.min("token").alias("token"), F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("members"))
     alike = written(alike.select("token", "freq", "members"), "alike")
@@ -99,28 +103,39 @@ def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_count: in
     rules = written(rules, "combinations")
     met = rules.select("antecedent", F.explode("antecedent").alias("anchor")).join(rules.select("anchor", F.col("antecedent").alias("less")), "anchor")
     wider = met.where((F.size("less") < F.size("antecedent")) & (F.size(F.array_except("less", "antecedent")) == 0)).select("antecedent").distinct()
-    each = F.aggregate("members", F.array(F.array().cast("array<struct<freq:bigint,token:string>>")), lambda done, more: F.flatten(F.transform(done, lambda x: F.transform(more, lambda y: F.array_append(x, y)))))
-    combined = rules.join(wider, "antecedent", "left_anti").select("confidence", "support", F.explode(each).alias("each"))
-    combined = combined.select(F.transform("each", lambda x: x["token"]).alias("antecedent"), "confidence", "support", F.array_min("each")["token"].alias("anchor"))
+    tokens = lambda g: F.transform(g, lambda x: x["token"])
+    combined = rules.join(wider, "antecedent", "left_anti").select(F.transform("members", tokens).alias("groups"), tokens(F.array_min("members")).alias("anchors"), "confidence", "support")
     return written(single.unionByName(combined), "rules")
 
 
+def mine_rules(labelled: DataFrame, **mining) -> DataFrame:
+    """The same with every choice of tokens as a rule (antecedent, confidence, support, anchor), to look at: their number is the product of the groups' sizes."""
+    groups = mine_groups(labelled, **mining)
+    each = F.aggregate("groups", F.array(F.array().cast("array<string>")), lambda done, more: F.flatten(F.transform(done, lambda x: F.transform(more, lambda y: F.array_append(x, y)))))
+    rows = groups.select("confidence", "support", "anchors", F.explode(each).alias("antecedent"))
+    return rows.select("antecedent", "confidence", "support", F.array_min(F.array_intersect("antecedent", "anchors")).alias("anchor"))
+
+
 def match_rules(urls: DataFrame, rules: DataFrame, *, max_broadcast: int = 100_000) -> DataFrame:
     """(url, confidence) of each distinct url that some mined rule fits, by its best rule.
 
-    Up to ``max_broadcast`` rules are broadcast; more meet the urls' tokens by
-    shuffle, hot anchors dealt over copies of their rules.
+    ``rules(groups, anchors, confidence)``, or ``rules(antecedent, anchor, confidence)``
+    for rules of single tokens.  A rule stands in the index under each of its
+    anchors; up to ``max_broadcast`` entries are broadcast, more meet the urls'
+    tokens by shuffle, hot anchors dealt over copies of their rules.
     """
     tokens = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("tokens", url_tokens(F.col("url")))
-    index = rules.select("anchor", "antecedent", "confidence")
-    if rules.count() > max_broadcast:
+    if "groups" not in rules.columns:
+        rules = rules.select(F.transform("antecedent", lambda t: F.array(t)).alias("groups"), F.array("anchor").alias("anchors"), "confidence")
+    index = rules.select(F.explode("anchors").alias("anchor"), "groups", "confidence")
+    met = tokens.select("url", "tokens", F.explode("tokens").alias("anchor"))
+    if index.count() > max_broadcast:
         salts = 16
         index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = tokens.select("url", "tokens", F.explode("tokens").alias("anchor"), F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int").alias("salt")).join(index, ["anchor", "salt"])
-        return met.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
-    index = F.broadcast(index)
-    met = tokens.select("url", "tokens", F.explode("tokens").alias("anchor")).join(index, "anchor")
-    return met.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+        met = met.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int")).join(index, ["anchor", "salt"])
+    else:
+        met = met.join(F.broadcast(index), "anchor")
+    return met.where(F.forall("groups", lambda g: F.arrays_overlap(g, F.col("tokens")))).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, *, rules=RULES, max_labelled: int = 200_000, **mining) -> DataFrame:
@@ -133,14 +148,14 @@ def url_filter(pages: DataFrame, labels: DataFrame, *, rules=RULES, max_labelled
     ``://``, have an empty host and path; repeated rows are judged alike; an empty
     table stays empty; columns named like the new ones are replaced.
 
-    Rules of tokens that always stand together are mined as one; beyond that, the
+    Tokens that always stand together are one group, matched as such; beyond that, the
     work of mining grows with the combinations that frequent tokens of one url make.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "confidence")
     given, hit, key = fresh(pages, "given_rule", "hit_url", "url_key")
     marked = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block")).where("block is not null")
     known = by_hash(pages.select("page_id", "url").join(marked, F.col("page_id") == F.col("doc_id")), "page_id", max_labelled)
-    mined = mine_rules(known.select(url_tokens(F.col("url")).alias("tokens"), "block"), **mining)
+    mined = mine_groups(known.select(url_tokens(F.col("url")).alias("tokens"), "block"), **mining)
     hits = match_rules(pages, mined).select(F.col("url").alias(hit), "confidence")
     rows = pages.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn(given, given_rule(rules))
     spread = F.when(F.col("url").isNull(), F.concat(F.lit("\0"), F.xxhash64("page_id"))).otherwise(F.col("url"))  # null urls meet none, and not each other

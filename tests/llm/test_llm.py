@@ -562,6 +562,18 @@ def test_exact_dedup(spark, odd, none, keep):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_runs_are_cut_by_rows_and_merged_in_rounds(spark):
+    """The registered query merges: its plan holds an exchange and a sort of digests per round; hot texts and any number of runs give the same."""
+    plan = exact_dedup.query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("prefix") >= 4 and plan.count("RepartitionByExpression") >= 2
+    docs = docs_of(spark, [(i, "hot TEXT" if i % 4 else f"own {i % 40}", "a") for i in range(400)])
+    want = sorted(map(repr, map(tuple, exact_dedup.exact_dedup(docs, min_runs=1).drop("row").collect())))
+    for options in ({"run_rows": 10}, {"min_runs": 3, "fan_in": 2}, {"run_rows": 40, "fan_in": 3}):
+        assert sorted(map(repr, map(tuple, exact_dedup.exact_dedup(docs, **options).drop("row").collect()))) == want
+    runs = exact_dedup.digest_runs(docs, 40).groupBy("run").count().collect()
+    assert len(runs) == 40 and max(r["count"] for r in runs) < 40
+
+
 # ---------------------------------------------------------------- 8 url filter
 def test_urls_hosts_and_paths(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/71?x#y", "a://b://c/d", "http://x.example.com/en/8#f", "https://example.net/de/85", "https://u.net/de/", "ftp://org/es/1", "x://notorg/es/1", "http://h?q=/en/", "http://É.com/En/"]
@@ -635,6 +647,25 @@ def test_rules_by_brute_force(spark, seed):
     assert len(want) > 3 and got == want
 
 
+def test_alike_tokens_are_not_multiplied_out(spark):
+    """Three groups of thirty tokens that only together mean block are one rule, not 27,000; many groups that are rules alone stay linear."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        on = [bool(rng.random() < 0.5) for _ in range(3)]
+        rows.append(([f"g{k}x{j}" for k in range(3) if on[k] for j in range(30)], all(on)))
+    for k in range(20):
+        rows += [([f"h{k}y{j}" for j in range(30)], True)] * 25
+    groups = url_rules.mine_groups(spark.createDataFrame(rows, "tokens array<string>, block boolean")).collect()
+    wide = [r for r in groups if len(r.groups) > 1]
+    assert len(wide) == 1 and sorted(map(len, wide[0].groups)) == [30, 30, 30] and len(wide[0].anchors) == 30 and wide[0].confidence == 1.0
+    assert len(groups) == 1 + 20 * 30
+    rule = spark.createDataFrame([([["path=a", "path=b"], ["path=c", "path=d"]], ["path=c", "path=d"], 0.8)], "groups array<array<string>>, anchors array<string>, confidence double")
+    urls = spark.createDataFrame([(f"http://x/{p}",) for p in ("a/c", "b/d", "a/b", "c/d", "d/e/a")], "url string")
+    for most in (100, 0):
+        assert {r.url for r in url_rules.match_rules(urls, rule, max_broadcast=most).collect()} == {"http://x/a/c", "http://x/b/d", "http://x/d/e/a"}
+
+
 def test_verdicts_by_brute_force(spark):
     pages, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "labels"))
     bad = {r.doc_id: r.quality == 0 or r.toxic == 1 for r in labels.collect()}
