@@ -40,23 +40,21 @@ def harmonic_groups(spectra: DataFrame, keys: Sequence[str], resolution: float,
     limits = thresholds if thresholds is not None else spectral_thresholds(rows, keys)
     rows = rows.join(limits.select(*keys, "low", "high"), list(keys))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("freq", kind="stable")
-        f, db = pdf["freq"].to_numpy(), pdf["db"].to_numpy()
-        low, high = float(pdf["low"].iloc[0]), float(pdf["high"].iloc[0])
-        peaks, troughs = hysteresis_peaks(db, low)
-        n = min(len(peaks), len(troughs))
-        peaks, troughs = np.array(peaks[:n], int), np.array(troughs[:n], int)
-        if not n:
-            return pd.DataFrame(columns=[*keys, "grp", "h", "freq", "power"])
-        groups = _groups(f[peaks], 10 ** (db[peaks] / 10), db[peaks] - db[troughs] > high, resolution, params, check)
-        out = [pd.DataFrame({"grp": g, "h": rows[:, 0].astype(int), "freq": rows[:, 1], "power": rows[:, 2]}) for g, rows in enumerate(groups)]
-        first = pdf.iloc[0]
-        made = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["grp", "h", "freq", "power"])
-        return made.assign(**{k: first[k] for k in keys})[[*keys, "grp", "h", "freq", "power"]]
-
-    kinds = dict(spectra.dtypes)
-    return rows.groupBy(*keys).applyInPandas(work, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "grp int, h int, freq double, power double"]))
+    @F.pandas_udf("array<struct<grp:int,h:int,freq:double,power:double>>")
+    def run(freqs: pd.Series, dbs: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+        out = []
+        for f, db, low, high in zip(freqs, dbs, lows, highs):
+            f, db = np.asarray(f, float), np.asarray(db, float)
+            peaks, troughs = hysteresis_peaks(db, low)
+            n = min(len(peaks), len(troughs))
+            peaks, troughs = np.array(peaks[:n], int), np.array(troughs[:n], int)
+            groups = _groups(f[peaks], 10 ** (db[peaks] / 10), db[peaks] - db[troughs] > high, resolution, params, check) if n else []
+            out.append([{"grp": g, "h": int(h), "freq": float(x), "power": float(p)} for g, members in enumerate(groups) for h, x, p in members[:, :3]])
+        return pd.Series(out, dtype=object)
+
+    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("freq", "db"))).alias("s"), F.first("low").cast("double").alias("low"), F.first("high").cast("double").alias("high"))
+    at = lambda name: F.transform("s", lambda x: x[name])
+    return held.select(*keys, F.explode(run(at("freq"), at("db"), "low", "high")).alias("g")).select(*keys, "g.*")
 
 
 def _crossings(t: np.ndarray, v: np.ndarray, level: float) -> np.ndarray:
