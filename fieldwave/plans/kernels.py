@@ -282,6 +282,34 @@ dft AS (SELECT {keys}, f, sum((x - m) * {hann} * cos(2 * pi() * f * k / {nfft}))
 spec AS (SELECT {keys}, f, (re * re + im * im) / {rate * total!r} * CASE WHEN f IN (0, {nfft // 2}) THEN 1 ELSE 2 END AS power FROM dft)"""
 
 
+def _mixture_sql() -> str:
+    """Expectation and maximisation as recursive SQL, a step per row: three parts of the logarithms of each channel; then cuts, small clusters, and the first close pair merged at a time."""
+    each = lambda f: ", ".join(f(k) for k in (1, 2, 3))
+    return f"""WITH RECURSIVE {SAMPLES}, l AS MATERIALIZED (SELECT channel, event_id, v AS x, ln(greatest(v, 1e-300)) AS y FROM s),
+g AS (SELECT channel, avg(y) AS m, stddev_pop(y) AS sd, count(DISTINCT y) AS many FROM l GROUP BY channel),
+z AS MATERIALIZED (SELECT channel, x, (y - m) / sd AS z, count(*) AS n FROM l JOIN g USING (channel) WHERE many > 3 AND sd > 0 GROUP BY ALL),
+q AS (SELECT channel, quantile_cont((y - m) / sd, [1 / 6, 0.5, 5 / 6]) AS q FROM l JOIN g USING (channel) WHERE many > 3 AND sd > 0 GROUP BY channel),
+em AS (SELECT channel, 0 AS step, false AS done, {each(lambda k: f"q[{k}] AS m{k}, 1.0::DOUBLE / 9 AS v{k}, 1.0::DOUBLE / 3 AS p{k}, q[{k}] AS om{k}, 1.0::DOUBLE / 9 AS ov{k}, 1.0::DOUBLE / 3 AS op{k}")} FROM q
+  UNION ALL SELECT channel, step + 1, greatest({each(lambda k: f"abs(n{k} - om{k})")}) < 1e-6,
+    {each(lambda k: f"n{k}, greatest((z2{k} - 2 * n{k} * z1{k} + n{k} * n{k} * (w{k} - 1e-9)) / w{k}, 1e-4), w{k} / (w1 + w2 + w3), om{k}, ov{k}, op{k}")} FROM (
+    SELECT channel, step, {each(lambda k: f"sum(r{k}) + 1e-9 AS w{k}, sum(r{k} * z) / (sum(r{k}) + 1e-9) AS n{k}, sum(r{k} * z) AS z1{k}, sum(r{k} * z * z) AS z2{k}, m{k} AS om{k}, v{k} AS ov{k}, p{k} AS op{k}")} FROM (
+      SELECT *, {each(lambda k: f"n * exp(l{k} - greatest(l1, l2, l3)) / (exp(l1 - greatest(l1, l2, l3)) + exp(l2 - greatest(l1, l2, l3)) + exp(l3 - greatest(l1, l2, l3))) AS r{k}")} FROM (
+        SELECT em.*, z.z, z.n, {each(lambda k: f"-((z - m{k}) * (z - m{k})) / (2 * v{k}) - 0.5 * ln(v{k}) + ln(p{k}) AS l{k}")} FROM em JOIN z USING (channel) WHERE NOT done AND step < 200))
+    GROUP BY channel, step, {each(lambda k: f"m{k}, v{k}, p{k}")})),
+last AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY channel ORDER BY step DESC) = 1),
+best AS (SELECT channel, x, z, n, CASE WHEN l1 >= l2 AND l1 >= l3 THEN 1 WHEN l2 >= l3 THEN 2 ELSE 3 END AS k FROM (
+  SELECT channel, x, z, n, {each(lambda k: f"-((z - om{k}) * (z - om{k})) / (2 * ov{k}) - 0.5 * ln(ov{k}) + ln(op{k}) AS l{k}")} FROM z JOIN last USING (channel))),
+cut AS MATERIALIZED (SELECT channel, x, n, coalesce(sum(new) OVER (PARTITION BY channel ORDER BY z), 0)::BIGINT AS c FROM (SELECT *, (k <> lag(k) OVER (PARTITION BY channel ORDER BY z))::INT AS new FROM best)),
+mg AS (SELECT channel, 0 AS step, c AS label, list(x) AS xs, [c] AS of FROM (SELECT channel, c, x FROM cut, range(n) r(i)) GROUP BY channel, c HAVING count(*) >= 2
+  UNION ALL SELECT channel, step + 1, min(label), flatten(list(xs)), flatten(list(of)) FROM (
+    SELECT *, min(ord) FILTER (near) OVER (PARTITION BY channel) AS hit FROM (
+      SELECT *, abs(lead(med) OVER w - med) < 0.5 * greatest(abs(med), abs(lead(med) OVER w)) AS near, row_number() OVER w AS ord FROM (SELECT *, list_median(xs) AS med FROM mg)
+      WINDOW w AS (PARTITION BY channel ORDER BY med, label))) WHERE hit IS NOT NULL GROUP BY channel, step, CASE WHEN ord = hit + 1 THEN hit ELSE ord END),
+ends AS (SELECT channel, label, unnest(of) AS c FROM mg QUALIFY step = max(step) OVER (PARTITION BY channel))
+SELECT l.channel, l.event_id, CASE WHEN z0.channel IS NULL THEN 0 ELSE coalesce(ends.label, -1) END::BIGINT AS label
+FROM l LEFT JOIN (SELECT DISTINCT channel FROM z) z0 USING (channel) LEFT JOIN cut ON cut.channel = l.channel AND cut.x = l.x LEFT JOIN ends ON ends.channel = l.channel AND ends.c = cut.c"""
+
+
 #: Rows (k, pos, weight) of the projection on Chebyshev polynomials of 64 samples.
 _BASIS = ", ".join(f"({k}, {i}, {c!r}::DOUBLE)" for k, row in enumerate(np.linalg.pinv(np.polynomial.chebyshev.chebvander(np.linspace(-1, 1, 64), 5)).tolist()) for i, c in enumerate(row))
 
@@ -440,6 +468,7 @@ r AS (SELECT DISTINCT channel, 0::BIGINT AS n, 0::BIGINT AS event, []::STRUCT(t
           lambda e: {{'d': (abs(a - e.a) + abs(b - e.b) + abs(c - e.c)) / coalesce(nullif(greatest(abs(a), abs(e.a)) + greatest(abs(b), abs(e.b)) + greatest(abs(c), abs(e.c)), 0), 3), 's': e.s}}))[1] AS best FROM (
           SELECT r.channel, o.n, o.event, o.t, o.a, o.b, o.c, r.fresh, list_filter(r.past, lambda e: o.t - e.t <= 3.0) AS past FROM r JOIN o ON o.channel = r.channel AND o.n = r.n + 1)))))
 SELECT channel, event, source FROM r WHERE n > 0""",
+    "c1_mixture": _mixture_sql(),
     "c2_dbscan": f"""WITH RECURSIVE {WAVES}, b(k, pos, c) AS (VALUES {_BASIS}),
 f AS MATERIALIZED (SELECT id, label, k, sum(c * v) AS x FROM w JOIN b USING (pos) GROUP BY ALL UNION ALL SELECT id, label, 6, 0.1 * (max(v) - min(v)) FROM w GROUP BY ALL),
 near AS MATERIALIZED (SELECT p.label, p.id AS a, q.id AS b FROM f p JOIN f q USING (label, k) GROUP BY ALL HAVING sum((p.x - q.x) * (p.x - q.x)) <= 0.35 * 0.35),
