@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,30 @@ GAP, NEAR_F, NEAR_D, SAME_F = 300.0, 1.0, 5e-5, 0.5
 
 
 # ---------------------------------------------------------------- occurrences of sources
+class Nearest:
+    """Sources by the value that tells them apart; the nearest one is found by bisection."""
+
+    def __init__(self, sources: list[list], at: int):
+        self.at = at
+        self.order = sorted((s[at], s[0]) for s in sources)
+        self.by_id = {s[0]: s for s in sources}
+
+    def find(self, value: float) -> list | None:
+        """The source nearest to ``value``, the oldest of equally near ones."""
+        k = bisect_left(self.order, (value, -1))
+        sides = [self.order[i] for i in (k - 1, k) if 0 <= i < len(self.order)]
+        near = [(abs(v - value), self.order[bisect_left(self.order, (v, -1))][1]) for v, _ in sides]
+        return self.by_id[min(near)[1]] if near else None
+
+    def add(self, s: list) -> None:
+        self.by_id[s[0]] = s
+        insort(self.order, (s[self.at], s[0]))
+
+    def move(self, s: list, before: float) -> None:
+        del self.order[bisect_left(self.order, (before, s[0]))]
+        insort(self.order, (s[self.at], s[0]))
+
+
 def track(rows: list[tuple], sources: list[list], expire: bool = False, near_d: float = NEAR_D) -> list[tuple]:
     """Assigns detections (t0, t1, kind, EODf, ppdist, ppampl), in time order, to sources.
 
@@ -30,17 +55,24 @@ def track(rows: list[tuple], sources: list[list], expire: bool = False, near_d:
     nearer hides a live one.  Returns (source, row index).
     """
     out = []
+    place = {"wave": 2}  # pulses are told apart by their distance
+    known = {} if expire else {kind: Nearest([s for s in sources if s[1] == kind], place.get(kind, 3)) for kind in {r[2] for r in rows}}
     for n, (t0, t1, kind, f, dist, ampl) in enumerate(rows):
-        alike = [s for s in sources if s[1] == kind and not (expire and t0 - s[5] >= GAP)]
-        off = (lambda s: abs(s[2] - f)) if kind == "wave" else (lambda s: abs(s[3] - dist))
-        s = min(alike, key=off, default=None)
-        if s is not None and off(s) <= (NEAR_F if kind == "wave" else near_d) and abs(s[2] - f) <= NEAR_F and t0 - s[5] < GAP:
+        at = place.get(kind, 3)
+        value = f if at == 2 else dist
+        off = lambda s: abs(s[at] - value)  # noqa: B023, E731
+        s = min((s for s in sources if s[1] == kind and t0 - s[5] < GAP), key=off, default=None) if expire else known[kind].find(value)
+        if s is not None and off(s) <= (NEAR_F if at == 2 else near_d) and abs(s[2] - f) <= NEAR_F and t0 - s[5] < GAP:
             s[5] = max(s[5], t1)
             if ampl > s[4]:
-                s[2:5] = [f, dist, ampl]
+                before, s[2:5] = s[at], [f, dist, ampl]
+                if not expire:
+                    known[kind].move(s, before)
         else:
             s = [(sources[-1][0] + 1) if sources else 0, kind, f, dist, ampl, t1]
             sources.append(s)
+            if not expire:
+                known[kind].add(s)
         out.append((s[0], n))
     return out
 
