@@ -158,11 +158,13 @@ def _pairs(spark, sf_dir):
     return p.join(t("peak"), ["channel", "peak_idx"]).join(t("trough"), ["channel", "trough_idx"])
 
 
-_START, _END, _SIZE, _SHIFT = 0.0, 2_592_000.0, 864_000.0, 432_000.0
+_START, _SIZE, _SHIFT, _DAY = 0.0, 864_000.0, 432_000.0, 86_400.0
 
 
 def _criteria(spark, sf_dir):
-    return N.window_criteria(_pairs(spark, sf_dir), _KEYS, _START, _END, _SIZE, _SHIFT, 0.6, 100.0)
+    """Windows up to the end of the day of the last event."""
+    last = samples(spark, sf_dir).agg(F.max("t")).first()[0] or 0.0
+    return N.window_criteria(_pairs(spark, sf_dir), _KEYS, _START, -(-last // _DAY) * _DAY, _SIZE, _SHIFT, 0.6, 100.0)
 
 
 def criteria(spark, sf_dir):
@@ -190,19 +192,19 @@ _FROM_PEAK = "e2 AS (SELECT e.* FROM e JOIN (SELECT channel, min(idx) AS f FROM
 _PAIRS = f"""{_EXT}, {_FROM_PEAK}, {_TRIM.format('e2')},
 pr AS (SELECT a.channel, a.n, a.idx AS peak_idx, b.idx AS trough_idx, a.t AS peak_t, b.t AS trough_t, a.v AS peak_v, b.v AS trough_v FROM p a JOIN p b USING (channel, n) WHERE a.kind = 'peak' AND b.kind = 'trough')"""
 _STEP = _SHIFT / 2
-_NW = int((_END - _START - _SIZE) / _STEP + 1e-9) + 1
+_WINDOWS = f"wn AS (SELECT unnest(range(0, greatest(0, floor((ceil(max(t) / {_DAY}) * {_DAY} - {_SIZE}) / {_STEP} + 1e-9)::BIGINT + 1))) AS i FROM s)"
 
 
 def _side_sql(kind: str, beyond: str) -> str:
-    return f"""{kind}_w AS (SELECT channel, i AS "window", {kind}_t AS t, {kind}_v AS v FROM pr, range({_NW}) r(i) WHERE {kind}_t BETWEEN i * {_STEP} AND i * {_STEP} + {_SIZE}),
+    return f"""{kind}_w AS (SELECT channel, i AS "window", {kind}_t AS t, {kind}_v AS v FROM pr, wn WHERE {kind}_t BETWEEN i * {_STEP} AND i * {_STEP} + {_SIZE}),
 {kind}_d AS (SELECT *, t - lag(t) OVER (PARTITION BY channel, "window" ORDER BY t) AS d FROM {kind}_w),
 {kind}_s AS (SELECT channel, "window", count(d) AS nd, avg(d) AS m, stddev_pop(d) AS s, min(t) AS a, max(t) AS b, count(*) FILTER ({beyond}) AS c FROM {kind}_d GROUP BY ALL),
 {kind}_c AS (SELECT channel, "window", c, CASE WHEN nd > 2 THEN s / m * CASE WHEN a - "window" * {_STEP} > m THEN (a - "window" * {_STEP}) / m ELSE 1 END
   * CASE WHEN "window" * {_STEP} + {_SIZE} - b > m THEN ("window" * {_STEP} + {_SIZE} - b) / m ELSE 1 END END AS cv FROM {kind}_s)"""
 
 
-_CRIT = f"""{_PAIRS}, {_side_sql('peak', 'v > 100')}, {_side_sql('trough', 'v < 0.6')},
-am AS (SELECT channel, i AS "window", count(*) AS n, avg(peak_v - trough_v) AS mh, stddev_pop(peak_v - trough_v) AS sh FROM pr, range({_NW}) r(i)
+_CRIT = f"""{_PAIRS}, {_WINDOWS}, {_side_sql('peak', 'v > 100')}, {_side_sql('trough', 'v < 0.6')},
+am AS (SELECT channel, i AS "window", count(*) AS n, avg(peak_v - trough_v) AS mh, stddev_pop(peak_v - trough_v) AS sh FROM pr, wn
   WHERE peak_t BETWEEN i * {_STEP} AND i * {_STEP} + {_SIZE} AND trough_t BETWEEN i * {_STEP} AND i * {_STEP} + {_SIZE} GROUP BY ALL),
 cr AS (SELECT channel, "window", coalesce((p.cv + t.cv) / 2, 1000) AS cv_interv, (coalesce(p.c, 0) + coalesce(t.c, 0)) / 2.0 / n AS cl, n, mh, sh FROM am LEFT JOIN peak_c p USING (channel, "window") LEFT JOIN trough_c t USING (channel, "window")),
 cc AS (SELECT channel, "window", cv_interv, CASE WHEN n > 2 THEN mh * pow(1 - cl, 2) ELSE 0 END AS mean_ampl, CASE WHEN n > 2 THEN sh / mh ELSE 1000 END AS cv_ampl, CASE WHEN n > 2 THEN cl ELSE 1 END AS clipped FROM cr)"""
