@@ -60,7 +60,8 @@ def fit(x: np.ndarray, rate: float, f: float, df: float, max_harmonics: int) ->
 def stable(corr: np.ndarray, min_corr: float) -> list[int]:
     """Segments of one cluster of much alike waveforms, empty where there is none.
 
-    Alike is beyond the upper median of all correlations over ``min_corr``; common
+    Alike is beyond the upper median of all correlations over ``min_corr``, or equal
+    to it where none is beyond, as in signals without noise; common
     segments are alike to more than half as many (rounded down) as the one with most.  The
     best pair that has a common member starts the cluster, and each member brings
     the common one that it is most like.
@@ -71,7 +72,10 @@ def stable(corr: np.ndarray, min_corr: float) -> list[int]:
     if not len(high):
         return []
     level = high[len(high) // 2]
-    count = (corr > level).sum(1)
+    beyond = corr > level
+    if not beyond.any():
+        beyond = corr >= level
+    count = beyond.sum(1)
     common = count > max(1, count.max() // 2)
     left = corr.copy()
     while True:
@@ -81,7 +85,7 @@ def stable(corr: np.ndarray, min_corr: float) -> list[int]:
         left[pair, :] = left[:, pair] = -np.inf
         members = [k for k in pair if common[k]]
         for k in members:  # grows meanwhile
-            options = np.where(common & (corr[k] > level), corr[k], -np.inf)
+            options = np.where(common & beyond[k], corr[k], -np.inf)
             options[members] = -np.inf
             if np.isfinite(options.max()):
                 members.append(int(options.argmax()))
