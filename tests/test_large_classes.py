@@ -17,8 +17,8 @@ def labels(df):
     return sorted((str(r.rec), r.id, r.label) for r in df.collect())
 
 
-@pytest.mark.parametrize("tile", [7, 512])
-def test_cells_give_the_labels_of_one_group(spark, tile):
+@pytest.mark.parametrize("tile, eps, share, least", [(7, 0.3, 0.05, 5), (512, 0.25, 0.0, 4), (512, 0.6, 0.1, 3)])
+def test_cells_give_the_labels_of_one_group(spark, tile, eps, share, least):
     """Chains, blobs, noise, equal points, one axis and six; a key without a name; ties between clusters."""
     rng = np.random.default_rng(6)
     blob = lambda c, n, s, d=2: rng.normal(c, s, (n, d))
@@ -31,20 +31,17 @@ def test_cells_give_the_labels_of_one_group(spark, tile):
         "few": blob(0, 3, 0.1),
     }
     df = frame(spark, groups)
-    for eps, share, least in ((0.3, 0.05, 5), (0.25, 0.0, 4), (0.6, 0.1, 3)):
-        want = C.dbscan(df, ["rec"], "id", "features", eps, share, least)
-        got = D.density_clusters(df, ["rec"], "id", "features", eps, share, least, tile=tile)
-        assert labels(got) == labels(want)
-    assert len({x[2] for x in labels(got)}) > 2
+    want = labels(C.dbscan(df, ["rec"], "id", "features", eps, share, least))
+    assert labels(D.density_clusters(df, ["rec"], "id", "features", eps, share, least, tile=tile)) == want
+    assert len({x[2] for x in want}) > 2
 
 
 def test_axes_of_any_number(spark):
     rng = np.random.default_rng(9)
-    for d in (1, 4, 6):
+    for d, eps in ((1, 0.3), (4, 0.7), (6, 0.7)):
         groups = {"a": np.concatenate([rng.normal(0, 0.2, (80, d)), rng.normal(2, 0.3, (60, d)), rng.uniform(-2, 4, (40, d))])}
         df = frame(spark, groups)
-        for eps in (0.3, 0.7):
-            assert labels(D.density_clusters(df, ["rec"], "id", "features", eps)) == labels(C.dbscan(df, ["rec"], "id", "features", eps))
+        assert labels(D.density_clusters(df, ["rec"], "id", "features", eps)) == labels(C.dbscan(df, ["rec"], "id", "features", eps))
 
 
 def test_a_class_of_a_hundred_thousand(spark):
