@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fieldwave.operators import waveforms as A
+from fieldwave.operators.stretches import each_stretch
 from fieldwave.sources import readers as IO
 from fieldwave.sources.recordings import filesystem
 from fieldwave.sources.shared import scratch
@@ -21,16 +22,17 @@ from .bind import SAMPLES, WAVES, r6, samples, waveforms
 def _files(rows, keys, target, contents):
     """Writes what ``contents(pdf)`` gives, (name, bytes), of each group of rows, a channel each; returns the folder."""
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(parts: list[pd.DataFrame]) -> list[tuple]:
         store, root = filesystem(target)
         store.create_dir(root, recursive=True)
-        made = contents(pdf.sort_values("idx"))
+        made = contents(pd.concat(parts))
         for name, raw in made:
             with store.open_output_stream(f"{root}/{name}") as fh:
                 fh.write(raw)
-        return pd.DataFrame({"n": [len(made)]})
+        return [(len(made),)]
 
-    rows.groupBy(*keys).applyInPandas(write, "n int").write.format("noop").mode("overwrite").save()
+    held = each_stretch(rows.repartition(*keys), keys, ["idx"], "n int", list, lambda parts, pdf: parts.append(pdf) or [], write)
+    held.write.format("noop").mode("overwrite").save()
     return target
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from fieldwave.operators.tables import parse_analysis_path
 from fieldwave.sources.recordings import PcmDataSource, filesystem
 
+_HELD = 4 << 20  # bytes of small members that a task hands on at once
+
 #: Columns of each analysis table and the factor from file units to library units: fixed values.
 TABLES: dict[str, dict[str, float | None]] = {
     "waveeodfs": {"index": 1, "EODf": 1, "datapower": 1},
@@ -49,25 +51,28 @@ def _named(df: DataFrame, ftype: str) -> DataFrame:
 
 
 def _lines(df: DataFrame, ftype: str, sep: str) -> DataFrame:
-    """(path, cells by name) of table files given as lines (path, value): the first line that begins with a known column is the head, the next one holds units if it has other text than '-', 'nan' or 'p'.
+    """(path, cells by name) of table files given as their lines (path, lines): the first line that begins with a known column is the head, the next one holds units if it has other text than '-', 'nan' or 'p'.
 
     All later lines are rows; a cell that is no number is null in a number's column.
+    Head and units are found in the file's own row, so files are read once and never meet.
     """
     names = list(TABLES[ftype])
-    cells = F.transform(F.split("value", sep), lambda x: F.trim(F.regexp_replace(x, r"^#|\(.*\)$|/.*$", "")))
-    rows = df.where("trim(value) <> ''").select("path", "n", cells.alias("cells"))
-    heads = rows.where(F.col("cells")[0].isin(names)).groupBy("path").agg(F.min(F.struct("n", "cells")).alias("head"))
+    clean = lambda x: F.trim(F.regexp_replace(x, r"^#|\(.*\)$|/.*$", ""))
+    cells = lambda line: F.transform(F.split(line, sep), clean)
+    first = lambda ok: F.array_min(F.transform("lines", lambda x, n: F.when((F.trim(x) != "") & ok(x, n), n)))
+    files = df.withColumn("_at", first(lambda x, n: clean(F.get(F.split(x, sep, 2), F.lit(0))).isin(names))).where("_at is not null")
+    files = files.withColumn("_second", first(lambda x, n: n > F.col("_at"))).withColumn("_head", cells(F.get("lines", F.col("_at"))))
+    rows = files.select("path", "_at", "_second", "_head", F.posexplode("lines").alias("n", "value")).where("n > _at and trim(value) <> ''")
+    rows = rows.select("path", "n", "_second", "_head", cells(F.col("value")).alias("cells"))
     unit = F.exists("cells", lambda x: x.try_cast("double").isNull() & ~F.lower(x).isin("-", "nan", "", "p"))
-    body = rows.join(heads, "path").where(F.col("n") > F.col("head.n"))
-    second = body.groupBy("path").agg(F.min("n").alias("second"))
-    body = body.join(second, "path").where(~((F.col("n") == F.col("second")) & unit))
-    byname = F.map_from_arrays(F.col("head.cells"), F.slice("cells", F.lit(1), F.size("head.cells")))
+    body = rows.where(~((F.col("n") == F.col("_second")) & unit))
+    byname = F.map_from_arrays(F.col("_head"), F.slice("cells", F.lit(1), F.size("_head")))
     return body.withColumn("m", byname).select("path", *(F.try_element_at("m", F.lit(n)).alias(n) for n in names))
 
 
 def read_analysis(spark: SparkSession, path: str, ftype: str, sep: str = ",") -> DataFrame:
     """A kind of analysis table from its files, with recording, channel, time and index from the file names."""
-    text = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{ftype}*").select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "value"))
+    text = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{ftype}*").select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("lines"))
     return _keyed(_named(_lines(text, ftype, sep), ftype))
 
 
@@ -77,6 +82,10 @@ def _keyed(df: DataFrame) -> DataFrame:
     return keyed.withColumnsRenamed(names).withColumnsRenamed({"_index": "index", "_channel": "channel", "_time": "time"})
 
 
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bundle_members(spark: SparkSession, path: str) -> DataFrame:
     """(archive, member, ftype, bytes): what the central directories of the zip archives in a folder list; nothing is unpacked.
 
@@ -112,16 +121,23 @@ def read_bundles(spark: SparkSession, path: str, ftype: str, sep: str = ",") ->
 
     def unpack(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
+            held, size = [], 0
             for uri, members in pdf.groupby("archive")["member"]:
                 store, at = filesystem(uri)
                 with store.open_input_file(at) as fh, zipfile.ZipFile(fh) as z:
                     for name in members:
-                        lines = z.read(name).decode().splitlines()
-                        yield pd.DataFrame({"path": f"{uri.rsplit('/', 1)[0]}/{name}", "n": range(len(lines)), "value": lines})
+                        raw = z.read(name)
+                        held.append((f"{uri.rsplit('/', 1)[0]}/{name}", raw.decode().splitlines()))
+                        size += len(raw)
+                        if size > _HELD:
+                            yield pd.DataFrame(held, columns=["path", "lines"])
+                            held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=["path", "lines"])
 
     wanted = bundle_members(spark, path).where(F.col("ftype") == ftype).select("archive", "member")
-    dealt = wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive", "member").sortWithinPartitions("archive", "member")
-    text = dealt.mapInPandas(unpack, "path string, n int, value string")
+    dealt = wanted.repartition(_parts(spark), "archive", "member").sortWithinPartitions("archive", "member")
+    text = dealt.mapInPandas(unpack, "path string, lines array<string>")
     return _keyed(_named(_lines(text, ftype, sep), ftype))
 
 

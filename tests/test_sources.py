@@ -83,3 +83,17 @@ def test_templates(spark):
     spectra = spark.createDataFrame([("fb", 50.0), ("fb", 100.0)], "file string, frequency double")
     got = {r["species"]: (r["kind"], r["EODf"], round(r["ttime"][2], 6)) for r in S.read_templates(spark, str(d / "species.cfg"), waves, spectra).collect()}
     assert got == {"A. one": ("wavefish", 100.0, 0.2), "B. two": ("wavefish", 50.0, 0.1), "G. three": ("pulsefish", None, 0.002)}
+
+
+def test_table_files_are_read_without_a_join(spark):
+    """Heads and units stand in a file's own row: nothing that grows with the number of files is broadcast or shuffled for them."""
+    d = Path(tempfile.mkdtemp(prefix="spark-"))
+    for k in range(3):
+        text = f"# made by hand\n\n{TABLE}" if k else "index,EODf\n5,7\n"
+        (d / f"rec{k}-waveeodfs.csv").write_text(text)
+        with zipfile.ZipFile(d / f"rec{k}.zip", "w") as z:
+            z.writestr(f"rec{k}-waveeodfs.csv", text)
+    for rows in (S.read_analysis(spark, str(d), "waveeodfs"), S.read_bundles(spark, str(d), "waveeodfs")):
+        assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+        got = sorted(((r["recording"], r["index"], r["EODf"], r["datapower"]) for r in rows.collect()), key=str)
+        assert got == sorted([("rec0", 5.0, 7.0, None), *((f"rec{k}", i, f, p) for k in (1, 2) for i, f, p in ((0.0, 123.5, -40.1), (1.0, None, None)))], key=str)
