@@ -45,5 +45,17 @@ def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("rec"), "user_id").alias("recording"), day.alias("element"), F.col("event_id").alias("id"), F.col("value").alias("f"), power.alias("power"))
 
 
+def rounded(c: Column | str, digits: int = 6) -> Column:
+    """Rounded as SQL rounds a double: times a power of ten, to the nearest whole number, halves away from zero, and divided again.
+
+    ``F.round`` takes the decimal digits that a double is printed with instead, so it sees other halves.
+    """
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    scaled = F.abs(x * 10.0**digits)
+    low = F.floor(scaled).cast("double")
+    made = F.signum(x) * (low + F.when(scaled - low >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+    return F.when(scaled < 2.0**52, made).otherwise(x)  # larger ones are whole, infinite or no number
+
+
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return rounded(c)

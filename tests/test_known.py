@@ -148,3 +148,15 @@ def test_tables_without_rows(spark):
     assert V.discard_nearby(none, 1.0, ["rec"]).count() == 0
     assert R.align_block_labels(none, ["rec"]).count() == 0 and R.amplitude_walk(none, ["rec"]).count() == 0
     assert C.dbscan(none, ["rec"], "id", "features", 1.0).count() == 0 and C.mixture_1d(none, ["rec"], "id", "height", 3).count() == 0
+
+
+def test_query_values_are_rounded_as_sql_rounds_doubles(spark):
+    import duckdb
+
+    from fieldwave.plans.bind import r6
+
+    values = [24.214687499999998, 1.0000005, -1.0000005, 2.5000015, 0.1234565, 1e-7, -3e-6, 4.5e15, 1e300, 64.0314155, float("inf"), float("nan"), None]
+    values += [k / 10**7 for k in range(5, 4000, 10)]
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(r6("v")).collect()]
+    want = [duckdb.sql("SELECT round($1::DOUBLE, 6)", params=[v]).fetchall()[0][0] for v in values]
+    assert list(map(str, (x and x + 0.0 for x in got))) == list(map(str, (x and x + 0.0 for x in want)))
