@@ -221,12 +221,13 @@ def discard_wide_pulses(samples: DataFrame, events: DataFrame, keys: Sequence[st
 
 
 # ---------------------------------------------------------------- events and samples
-def snippets(samples: DataFrame, events: DataFrame, keys: Sequence[str], left: int, right: int, block: int = 4096) -> DataFrame:
+def snippets(samples: DataFrame, events: DataFrame, keys: Sequence[str], left: int, right: int, block: int | None = None) -> DataFrame:
     """(keys, event, pos, v): samples from ``left`` before to ``right`` after (exclusive) each event that lies fully inside its record.
 
     Samples and events meet by block of indices and its neighbours, never by a
-    bare range condition.
+    bare range condition; a block holds a few snippets' samples, so that few meet in vain.
     """
+    block = block or max(16, 2 * (left + right))
     last = samples.groupBy(*keys).agg(F.max("idx").alias("_last"), F.min("idx").alias("_first"))
     inside = events.select(*keys, F.col("idx").alias("event")).join(last, list(keys)).where((F.col("event") - left >= F.col("_first")) & (F.col("event") + right - 1 <= F.col("_last")))
     spans = inside.withColumn("_block", F.explode(F.sequence(F.floor((F.col("event") - left) / block), F.floor((F.col("event") + right - 1) / block)))).drop("_last", "_first")

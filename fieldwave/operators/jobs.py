@@ -21,7 +21,7 @@ from fieldwave.operators import spectra as S
 from fieldwave.operators import wave_segments as G
 from fieldwave.operators import waveforms as A
 from fieldwave.operators import windows as N
-from fieldwave.sources.shared import written
+from fieldwave.sources.shared import joins_by_shuffle, written
 
 
 def _shapes(samples: DataFrame, events: DataFrame, keys: Sequence[str], left: int, right: int) -> DataFrame:
@@ -42,7 +42,7 @@ def _labelled(samples: DataFrame, rows: DataFrame, keys: Sequence[str], at: str,
     """(keys, idx, name): the shape cluster of each pulse around its peak or trough (``at``); artefacts, unreliable clusters, side peaks and waves are -1."""
     events = rows.select(*keys, F.col(at).alias("idx")).distinct()
     shapes = _shapes(samples, events, keys, left, right).withColumnRenamed("idx", at)
-    classed = rows.select(*keys, "idx", at, "t", "width", "w", "h").join(shapes, [*keys, at])
+    classed = written(rows.select(*keys, "idx", at, "t", "width", "w", "h").join(shapes, [*keys, at]), "classed")  # read four times
     found = shape_clusters(classed.where("w >= 0 and h >= 0"), [*keys, "w", "h"], "idx", eps).where("label >= 0")
     number = F.dense_rank().over(W.partitionBy(*keys).orderBy("w", "h", "label")) - 1
     found = written(found.withColumn(name, number.cast("long")).select(*keys, "idx", name).join(classed.select(*keys, "idx", "t", "width", "v"), [*keys, "idx"]), "shapes")
@@ -68,30 +68,32 @@ def extract_pulses(
     side peaks and waves go; then both are merged.  Clipped clusters (mean beyond
     ``clip``), those that are not there when fewest sources are, and sparse ones
     go last.  ``samples(keys, idx, t, v)``.  A class of pulses of one series is
-    one piece of work.  Steps are written to the shared folder, as each serves several.
+    one piece of work.  Steps are written to the shared folder, as each serves several;
+    they join by shuffle, whatever their size, as small files may hold many rows.
     """
-    found = V.detect_peaks(samples, threshold, keys)
-    found = found.join(samples.select(*keys, "idx", "t"), [*keys, "idx"])
-    pulses = V.resolve_shared_troughs(V.assign_side_peaks(found, keys), keys)
-    pulses = written(V.filter_pulses(pulses, rate, min_width, max_width).select(*keys, "idx", "trough_idx", "t", "height", "width"), "pulses")
-    by_width = C.mixture_1d(pulses, keys, "idx", "width", 3, use_log=True, ratio=0.5).withColumnRenamed("label", "w")
-    rows = pulses.join(by_width, [*keys, "idx"])
-    by_height = C.mixture_1d(rows, [*keys, "w"], "idx", "height", 10, use_log=True, ratio=0.1).withColumnRenamed("label", "h")
-    rows = written(rows.join(by_height.drop("w"), [*keys, "idx"]), "classes")
-    sides = [_labelled(samples, rows, keys, at, rate, left, right, eps, low_freq, name) for at, name in (("idx", "peak_label"), ("trough_idx", "trough_label"))]
-    both = sides[0].join(sides[1], [*keys, "idx"], "full_outer").select(*keys, "idx", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("peak_label", "trough_label")))
-    merged = C.merge_peak_trough_clusters(both, keys, "idx").withColumn("label", F.col("label").cast("long"))
-    held = written(rows.join(merged, [*keys, "idx"]), "merged")
-    if clip is not None:
-        snips = V.snippets(samples, held.select(*keys, "idx"), keys, left, right).withColumnRenamed("event", "idx").join(held.select(*keys, "idx", "label"), [*keys, "idx"])
-        mean = A.mean_waveform(snips.withColumnRenamed("idx", "event"), [*keys, "label"], 0).select(*keys, "label", "pos", F.col("mean").alias("v"))
-        held = held.join(A.clipped_clusters(mean, [*keys, "label"], clip).where("clipped").select(*keys, "label"), [*keys, "label"], "left_anti")
-    held = written(held.join(C.moving_sources(held, [*keys, "w"], min_dt, step), [*keys, "w", "label"], "left_semi"), "held")
-    seconds = samples.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("_seconds"))
-    cover = held.groupBy(*keys, "label").agg((F.count(F.lit(1)) * F.median("width")).alias("_cover")).join(seconds, list(keys))
-    good = cover.where(F.col("_cover") >= rho * F.col("_seconds")).select(*keys, "label")
-    kept = held.join(good, [*keys, "label"], "left_semi").select(*keys, "idx", "label")
-    return pulses.drop("trough_idx").join(kept, [*keys, "idx"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    with joins_by_shuffle(samples.sparkSession):
+        found = V.detect_peaks(samples, threshold, keys)
+        found = found.join(samples.select(*keys, "idx", "t"), [*keys, "idx"])
+        pulses = V.resolve_shared_troughs(V.assign_side_peaks(found, keys), keys)
+        pulses = written(V.filter_pulses(pulses, rate, min_width, max_width).select(*keys, "idx", "trough_idx", "t", "height", "width"), "pulses")
+        by_width = C.mixture_1d(pulses, keys, "idx", "width", 3, use_log=True, ratio=0.5).withColumnRenamed("label", "w")
+        rows = pulses.join(by_width, [*keys, "idx"])
+        by_height = C.mixture_1d(rows, [*keys, "w"], "idx", "height", 10, use_log=True, ratio=0.1).withColumnRenamed("label", "h")
+        rows = written(rows.join(by_height.drop("w"), [*keys, "idx"]), "classes")
+        sides = [_labelled(samples, rows, keys, at, rate, left, right, eps, low_freq, name) for at, name in (("idx", "peak_label"), ("trough_idx", "trough_label"))]
+        both = sides[0].join(sides[1], [*keys, "idx"], "full_outer").select(*keys, "idx", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("peak_label", "trough_label")))
+        merged = C.merge_peak_trough_clusters(both, keys, "idx").withColumn("label", F.col("label").cast("long"))
+        held = written(rows.join(merged, [*keys, "idx"]), "merged")
+        if clip is not None:
+            snips = V.snippets(samples, held.select(*keys, "idx"), keys, left, right).withColumnRenamed("event", "idx").join(held.select(*keys, "idx", "label"), [*keys, "idx"])
+            mean = A.mean_waveform(snips.withColumnRenamed("idx", "event"), [*keys, "label"], 0).select(*keys, "label", "pos", F.col("mean").alias("v"))
+            held = held.join(A.clipped_clusters(mean, [*keys, "label"], clip).where("clipped").select(*keys, "label"), [*keys, "label"], "left_anti")
+        held = written(held.join(C.moving_sources(held, [*keys, "w"], min_dt, step), [*keys, "w", "label"], "left_semi"), "held")
+        seconds = samples.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("_seconds"))
+        cover = held.groupBy(*keys, "label").agg((F.count(F.lit(1)) * F.median("width")).alias("_cover")).join(seconds, list(keys))
+        good = cover.where(F.col("_cover") >= rho * F.col("_seconds")).select(*keys, "label")
+        kept = written(held.join(good, [*keys, "label"], "left_semi").select(*keys, "idx", "label"), "kept")
+    return pulses.drop("trough_idx").join(kept.hint("merge"), [*keys, "idx"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 def _joined(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -204,35 +206,37 @@ def detect_sources(
     waveform is taken from stable segments; where there are none its row says why
     and has no amplitude.  Rows are numbered pulses first, then by strength.
     """
-    if window is not None:
-        samples = written(stable_window(samples, keys, rate, window, threshold, limits=clip), "window")
-    made = []
-    groups = None
-    if "w" in mode:
-        groups = written(H.harmonic_groups(_block_psd(samples, keys, rate, resolution), keys, resolution, params, limits), "groups")
-    if "p" in mode:
-        found = written(extract_pulses(samples, keys, rate, threshold, **(pulses or {})).where("label >= 0"), "found")
-        stats = V.interval_stats(found, [*keys, "label"]).select(*keys, "label", "EODf")
-        height = found.groupBy(*keys, "label").agg(F.avg("height").alias("strength"))
-        left, right = (pulses or {}).get("left", 8), (pulses or {}).get("right", 8)
-        snips = V.snippets(samples, found.select(*keys, "idx"), keys, left, right).join(found.select(*keys, F.col("idx").alias("event"), "label"), [*keys, "event"])
-        share = V.clipped_fraction(snips, [*keys, "label"], *clip).select(*keys, "label", "clipped")
-        rows = stats.join(height, [*keys, "label"]).join(share, [*keys, "label"], "left")
-        made.append(rows.select(*keys, F.lit("pulse").alias("type"), "EODf", "strength", F.col("strength").alias("ppampl"), "clipped", F.lit("").alias("skip_reason")))
+    with joins_by_shuffle(samples.sparkSession):
+        if window is not None:
+            samples = written(stable_window(samples, keys, rate, window, threshold, limits=clip), "window")
+        made = []
+        groups = None
+        if "w" in mode:
+            groups = written(H.harmonic_groups(_block_psd(samples, keys, rate, resolution), keys, resolution, params, limits), "groups")
+        if "p" in mode:
+            found = written(extract_pulses(samples, keys, rate, threshold, **(pulses or {})).where("label >= 0"), "found")
+            stats = V.interval_stats(found, [*keys, "label"]).select(*keys, "label", "EODf")
+            height = found.groupBy(*keys, "label").agg(F.avg("height").alias("strength"))
+            left, right = (pulses or {}).get("left", 8), (pulses or {}).get("right", 8)
+            snips = V.snippets(samples, found.select(*keys, "idx"), keys, left, right).join(found.select(*keys, F.col("idx").alias("event"), "label"), [*keys, "event"])
+            share = V.clipped_fraction(snips, [*keys, "label"], *clip).select(*keys, "label", "clipped")
+            rows = stats.join(height, [*keys, "label"]).join(share, [*keys, "label"], "left")
+            made.append(rows.select(*keys, F.lit("pulse").alias("type"), "EODf", "strength", F.col("strength").alias("ppampl"), "clipped", F.lit("").alias("skip_reason")))
+            if groups is not None:
+                mean = A.mean_waveform(snips, [*keys, "label"]).select(*keys, "label", "pos", F.col("mean").alias("v"))
+                train = S.pulse_train(found.select(*keys, "label", "idx"), mean, [*keys, "label"]).groupBy(*keys, "idx").agg(F.sum("v").alias("v"))
+                trains = train.select(*keys).distinct().join(samples.select(*keys, "idx"), list(keys)).join(train, [*keys, "idx"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+                bin_width = rate / K.nfft_for(rate, resolution)
+                groups = written(A.drop_waves_below_pulses(groups, _block_psd(trains, keys, rate, resolution), keys, bin_width), "groups")
         if groups is not None:
-            mean = A.mean_waveform(snips, [*keys, "label"]).select(*keys, "label", "pos", F.col("mean").alias("v"))
-            train = S.pulse_train(found.select(*keys, "label", "idx"), mean, [*keys, "label"]).groupBy(*keys, "idx").agg(F.sum("v").alias("v"))
-            trains = train.select(*keys).distinct().join(samples.select(*keys, "idx"), list(keys)).join(train, [*keys, "idx"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-            bin_width = rate / K.nfft_for(rate, resolution)
-            groups = written(A.drop_waves_below_pulses(groups, _block_psd(trains, keys, rate, resolution), keys, bin_width), "groups")
-    if groups is not None:
-        waves = Q.fundamentals(groups, [*keys, "grp"]).select(*keys, "grp", "f", F.col("db").alias("strength"))
-        shaped = G.extract_waves(samples, waves.withColumnRenamed("f", "freq"), keys, rate, resolution, min_corr)
-        ampl = F.when(F.col("skip_reason") == "", 2 * F.array_max(F.transform("coeffs", lambda c: F.hypot(c["re"], c["im"]))))
-        share = samples.groupBy(*keys).agg(F.avg(((F.col("v") <= clip[0]) | (F.col("v") >= clip[1])).cast("double")).alias("clipped"))
-        rows = waves.join(shaped, [*keys, "grp"]).join(share, list(keys))
-        made.append(rows.select(*keys, F.lit("wave").alias("type"), F.when(F.col("skip_reason") == "", F.col("EODf")).otherwise(F.col("f")).alias("EODf"), "strength", ampl.alias("ppampl"), "clipped", "skip_reason"))
-    both = A.drop_weak_waves(reduce(DataFrame.unionByName, made), keys, "strength", "ppampl", share=min_share)
+            waves = Q.fundamentals(groups, [*keys, "grp"]).select(*keys, "grp", "f", F.col("db").alias("strength"))
+            shaped = G.extract_waves(samples, waves.withColumnRenamed("f", "freq"), keys, rate, resolution, min_corr)
+            ampl = F.when(F.col("skip_reason") == "", 2 * F.array_max(F.transform("coeffs", lambda c: F.hypot(c["re"], c["im"]))))
+            share = samples.groupBy(*keys).agg(F.avg(((F.col("v") <= clip[0]) | (F.col("v") >= clip[1])).cast("double")).alias("clipped"))
+            rows = waves.join(shaped, [*keys, "grp"]).join(share, list(keys))
+            made.append(rows.select(*keys, F.lit("wave").alias("type"), F.when(F.col("skip_reason") == "", F.col("EODf")).otherwise(F.col("f")).alias("EODf"), "strength", ampl.alias("ppampl"), "clipped", "skip_reason"))
+        both = A.drop_weak_waves(reduce(DataFrame.unionByName, made), keys, "strength", "ppampl", share=min_share)
+        both = written(both, "sources")
     return both.withColumn("index", F.row_number().over(W.partitionBy(*keys).orderBy("type", F.desc("strength"), "EODf")) - 1)
 
 

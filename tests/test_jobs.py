@@ -120,3 +120,17 @@ def test_merged_sources_do_not_depend_on_where_stretches_end(spark):
         groups.setdefault(r.source, set()).add(r.id)
     assert sorted(map(sorted, groups.values())) == [[0, 1], [2], [3], [4, 5], [6, 7], [8]]  # each against the last that was kept
     assert sum(r.representative for r in got) == len(groups)
+
+
+def test_pulse_jobs_send_no_table_through_the_driver(spark, sf_dir, monkeypatch):
+    """Their steps are small as files and many as rows: every join is by shuffle, and the session's own settings come back."""
+    from fieldwave import plans
+    from fieldwave.operators import jobs
+
+    made, write = [], jobs.written
+    monkeypatch.setattr(jobs, "written", lambda df, name: made.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    out = plans.queries()["c3_extract_pulses"](spark, sf_dir)
+    made.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in made) and not any("BroadcastHashJoin" in p for p in made)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
