@@ -172,6 +172,53 @@ def mixture_1d(x: np.ndarray, n: int, steps: int = 200, weight: np.ndarray | Non
     return out
 
 
+def mixtures_1d(x: np.ndarray, cuts: np.ndarray, n: int, weight: np.ndarray, steps: int = 200) -> np.ndarray:
+    """The labels of ``mixture_1d`` for many series at a time: the k-th from ``cuts[k]`` to ``cuts[k + 1]``; a step works on all that have not come to rest."""
+    x, count, size = np.asarray(x, float), np.asarray(weight, float), np.diff(cuts)
+    label, series = np.zeros(len(x), int), np.repeat(np.arange(len(size)), size)
+    if not len(x):
+        return label
+    over = lambda y, begins: np.add.reduceat(y, begins, axis=-1)
+    total = over(count, cuts[:-1])
+    center = over(x * count, cuts[:-1]) / total
+    spread = np.sqrt(over(count * (x - center[series]) ** 2, cuts[:-1]) / total)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = (x - center[series]) / spread[series]
+    order = np.lexsort((z, series))
+    x, z, count = x[order], z[order], count[order]
+    fresh = np.append(True, (x[1:] != x[:-1]) | (series[1:] != series[:-1]))
+    live = np.flatnonzero((over(fresh.astype(int), cuts[:-1]) > n) & (spread > 0))
+    rows = np.flatnonzero(np.isin(series, live))
+    z, count, size = z[rows], count[rows], size[live]
+    begins = np.cumsum(size) - size
+    mean = np.stack([_quantiles(z[a : a + m], count[a : a + m], (np.arange(n) + 0.5) / n) for a, m in zip(begins, size)], axis=1) if len(live) else np.zeros((n, 0))
+    var, share = np.full(mean.shape, 1.0 / n**2), np.full(mean.shape, 1.0 / n)
+    for step in range(steps):
+        if not len(live):
+            break
+        each = lambda y: np.repeat(y, size, axis=1)  # noqa: B023, E731
+        logp = -((z - each(mean)) ** 2) / each(2 * var) - each(0.5 * np.log(var)) + each(np.log(share))
+        p = np.exp(logp - logp.max(0))
+        p /= p.sum(0)
+        q = p * count
+        part = over(q, begins) + 1e-9
+        new = over(q * z, begins) / part
+        var = np.maximum(over(q * (z - each(new)) ** 2, begins) / part, 1e-4)
+        share = part / part.sum(0)
+        done = (np.abs(new - mean).max(0) < 1e-6) | (step == steps - 1)
+        mean = new
+        if done.any():
+            ends = np.repeat(done, size)
+            label[rows[ends]] = p[:, ends].argmax(0)
+            rows, z, count = rows[~ends], z[~ends], count[~ends]
+            live, size, mean, var, share = live[~done], size[~done], mean[:, ~done], var[:, ~done], share[:, ~done]
+            begins = np.cumsum(size) - size
+    moves = np.append(0, np.cumsum((label[1:] != label[:-1]) & (series[1:] == series[:-1])))
+    out = np.empty(len(label), int)
+    out[order] = moves - moves[cuts[:-1]][series]
+    return out
+
+
 def _quantiles(x: np.ndarray, count: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Interpolated quantiles of sorted values that stand ``count`` times each."""
     upto = np.cumsum(count)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldwave.functions import kernels as K
 from fieldwave.operators.density import density_clusters
-from fieldwave.operators.stretches import islands
+from fieldwave.operators.stretches import islands, whole_groups
 from fieldwave.sources.shared import written
 
 _FEW = 1000  # names of large groups that a plan may hold
@@ -30,7 +30,8 @@ def mixture_1d(df: DataFrame, keys: Sequence[str], ident: str, x: str, n: int, *
     The mixture is fitted to a histogram of each key: its values themselves where
     there are at most ``bins`` different ones, else so many equal steps of the
     (logarithmic) property, each at the mean of its values, which moves a cut by a step
-    at most.  So no step sees more than ``bins`` rows of a key, however many it has.
+    at most.  So no step sees more than ``bins`` rows of a key, however many it has;
+    keys with few rows are fitted many at a time.
     Null and NaN values get -1.
     """
     rows = df.select(*keys, ident, F.col(x).cast("double").alias("_x")).withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
@@ -42,14 +43,16 @@ def mixture_1d(df: DataFrame, keys: Sequence[str], ident: str, x: str, n: int, *
     place = F.when(F.col("_m") > bins, F.least(F.floor((F.col("_z") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("double")).otherwise(F.col("_z"))
     steps = beside(values, range_).groupBy(*keys, place.alias("_bin")).agg(F.sum("_n").alias("_n"), (F.sum(F.col("_z") * F.col("_n")) / F.sum("_n")).alias("_z"), (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("_x"), F.min("_z").alias("_first"))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_first", kind="stable")
-        v, z, count = (pdf[c].to_numpy(float) for c in ("_x", "_z", "_n"))
-        label = K.merge_neighbours(v, K.mixture_1d(z, n, weight=count), ratio, min_n, count)
-        cut = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
-        return pdf[[*keys]].iloc[:1].assign(_cuts=[pdf["_first"].to_numpy()[cut]], _labels=[label[cut]])
+    def work(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        v, z, count, first = (pdf[c].to_numpy(float) for c in ("_x", "_z", "_n", "_first"))
+        part, found = K.mixtures_1d(z, cuts, n, count), []
+        for a, b in zip(cuts, cuts[1:]):
+            label = K.merge_neighbours(v[a:b], part[a:b], ratio, min_n, count[a:b])
+            cut = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+            found.append((first[a:b][cut], label[cut]))
+        return pdf[[*keys]].iloc[cuts[:-1]].assign(_cuts=[c for c, _ in found], _labels=[x for _, x in found])
 
-    cuts = _grouped(steps, keys, "_cuts array<double>, _labels array<long>", work)
+    cuts = whole_groups(steps, keys, ["_first"], "_cuts array<double>, _labels array<long>", work)
     label = F.get("_labels", F.size(F.filter("_cuts", lambda c: c <= F.col("_z"))) - 1)
     return beside(rows, cuts).select(*keys, ident, F.coalesce(label, F.lit(-1)).cast("long").alias("label"))
 

@@ -6,6 +6,7 @@ import pytest
 from fieldwave.functions import kernels as K
 from fieldwave.operators import clusters as C
 from fieldwave.operators import density as D
+from fieldwave.operators.stretches import whole_groups
 
 
 def frame(spark, groups):
@@ -132,3 +133,22 @@ def test_mixture_of_a_large_group_by_steps(spark):
     step = (v.max() - v.min()) / 64
     wrong = v[got != want]
     assert set(want) == set(got) and len(cuts) == 1 and all(min(abs(x - c) for c in cuts) <= step for x in wrong) and len(wrong) < 0.01 * len(v)
+
+
+def test_many_small_mixtures_at_a_time(spark):
+    """Labels are those of a series alone, whatever it shares a step with; calls hold whole keys, and many of them."""
+    rng = np.random.default_rng(12)
+    parts = [rng.permutation(np.concatenate([rng.normal(0, 1, 30), rng.normal(6, 0.5, 20)])) if k % 3 else np.repeat(float(k), 1 + k % 4) for k in range(60)]
+    cuts = np.append(0, np.cumsum([len(p) for p in parts]))
+    weight = rng.integers(1, 4, cuts[-1])
+    got = K.mixtures_1d(np.concatenate(parts), cuts, 3, weight)
+    assert got.tolist() == [x for p, a in zip(parts, cuts) for x in K.mixture_1d(p, 3, weight=weight[a : a + len(p)])]
+    assert K.mixtures_1d(np.zeros(0), np.zeros(1, int), 3, np.zeros(0)).tolist() == []
+
+    import pandas as pd
+
+    df = spark.range(30_000).selectExpr("if(id % 3000 = 0, null, id % 3000 + (1L << 60)) AS rec", "id").repartition(2)
+    calls = whole_groups(df, ["rec"], ["id"], "keys long, rows long", lambda pdf, at: pd.DataFrame({"rec": pdf["rec"].iloc[:1], "keys": len(at) - 1, "rows": len(pdf)}), 2000).collect()
+    assert sum(r["keys"] for r in calls) == 3000 and sum(r["rows"] for r in calls) == 30_000 and len(calls) < 30
+    each = whole_groups(df, ["rec"], ["id"], "rows long", lambda pdf, at: pdf[["rec"]].iloc[at[:-1]].assign(rows=np.diff(at)), 2000).collect()
+    assert {r["rec"] for r in each} == {None, *range((1 << 60) + 1, (1 << 60) + 3000)} and {r["rows"] for r in each} == {10}
