@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldwave.operators.stretches import islands
+from fieldwave.operators.stretches import islands, whole_groups
 from fieldwave.sources.shared import written
 
 #: Musical intervals (name, numerator, denominator, index): fixed values.
@@ -91,22 +92,26 @@ def unique_frequencies_index(df: DataFrame, df_thresh: float, keys: Sequence[str
     rows = rows.withColumn("_stretch", F.floor(F.col("island") / 256)).drop("island")
     rows = rows.join(partners, [*keys, "element", "id"], "left")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["element", "f", "id"], kind="stable")
-        value = {(r.element, r.id): r.f for r in pdf.itertuples()}
-        taken, out = set(), []
-        first = [pdf[k].iloc[0] for k in keys]
-        for r in pdf.itertuples():
-            if (r.element, r.id) in taken:
-                continue
-            members = [(r.element, r.id)] + sorted({(p["element_b"], p["id_b"]) for p in (r.partners if r.partners is not None else [])} - taken)
-            taken.update(members)
-            out += [(*first, r.element, r.f, r.id, e, i, value[e, i]) for e, i in members]
-        return pd.DataFrame(out, columns=[*keys, "_e", "_f", "_i", "element", "id", "f"])
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"_e {kinds['element']}, _f double, _i {kinds['id']}, element {kinds['element']}, id {kinds['id']}, f double"])
-    made = written(rows.groupBy(*keys, "_stretch").applyInPandas(greedy, schema), "members")
+    def greedy(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        element, ident, f = (pdf[c].tolist() for c in ("element", "id", "f"))
+        others, seed, row = pdf["partners"].tolist(), [], []
+        for a, z in zip(cuts, cuts[1:]):
+            place = {(element[n], ident[n]): n for n in range(a, z)}
+            taken = set()
+            for n in range(a, z):
+                own = element[n], ident[n]
+                if own in taken:
+                    continue
+                members = [own] + sorted({(p["element_b"], p["id_b"]) for p in (others[n] if others[n] is not None else ())} - taken)
+                taken.update(members)
+                seed += [n] * len(members)
+                row += [place[m] for m in members]
+        of, at = pdf.iloc[row].reset_index(drop=True), pdf.iloc[seed].reset_index(drop=True)
+        return of[[*own_keys]].assign(_e=at["element"], _f=at["f"], _i=at["id"], element=of["element"], id=of["id"], f=of["f"])
+
+    kinds, own_keys = dict(df.dtypes), [*keys, "_stretch"]
+    made = whole_groups(rows, own_keys, ["element", "f", "id"], f"_e {kinds['element']}, _f double, _i {kinds['id']}, element {kinds['element']}, id {kinds['id']}, f double", greedy)
+    made = written(made.drop("_stretch"), "members")
     seeds = made.select(*keys, "_e", "_f", "_i").where("element = _e and id = _i")
     seeds = seeds.withColumn("unique", (F.row_number().over(W.partitionBy(*keys).orderBy("_e", "_f", "_i")) - 1).cast("int")).drop("_f")
     return made.drop("_f").join(seeds, [*keys, "_e", "_i"]).select(*keys, "unique", "element", "id", "f")

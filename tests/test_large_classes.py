@@ -6,6 +6,7 @@ import pytest
 from fieldwave.functions import kernels as K
 from fieldwave.operators import clusters as C
 from fieldwave.operators import density as D
+from fieldwave.operators import frequencies as Q
 from fieldwave.operators.stretches import whole_groups
 
 
@@ -152,3 +153,35 @@ def test_many_small_mixtures_at_a_time(spark):
     assert sum(r["keys"] for r in calls) == 3000 and sum(r["rows"] for r in calls) == 30_000 and len(calls) < 30
     each = whole_groups(df, ["rec"], ["id"], "rows long", lambda pdf, at: pdf[["rec"]].iloc[at[:-1]].assign(rows=np.diff(at)), 2000).collect()
     assert {r["rec"] for r in each} == {None, *range((1 << 60) + 1, (1 << 60) + 3000)} and {r["rows"] for r in each} == {10}
+
+
+@pytest.fixture
+def no_group_alone(spark, monkeypatch):
+    """A small key must not cost a call of its own."""
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a call for each key")
+
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandas", refused)
+
+
+def test_distinct_frequencies_of_many_small_recordings(spark, no_group_alone):
+    """The greedy pass, recording by recording, by plain loops."""
+    rng = np.random.default_rng(5)
+    rows = [(f"rec{k % 40}", int(rng.integers(0, 4)), k, float(rng.integers(0, 60)) / 4) for k in range(600)]
+    df = spark.createDataFrame(rows, "recording string, element long, id long, f double")
+    pairs = {}
+    for r in Q.similar_frequencies(df, 0.6, ["recording"]).collect():
+        pairs.setdefault(r.id, set()).add((r.element_b, r.id_b))
+        pairs.setdefault(r.id_b, set()).add((r.element, r.id))
+    want = []
+    for rec in {r[0] for r in rows}:
+        taken, unique = set(), 0
+        for _, e, i, _ in sorted((r for r in rows if r[0] == rec), key=lambda r: (r[1], r[3], r[2])):
+            if (e, i) not in taken:
+                members = [(e, i)] + sorted(pairs.get(i, set()) - taken)
+                taken.update(members)
+                want += [(rec, unique, *m) for m in members]
+                unique += 1
+    got = Q.unique_frequencies_index(df, 0.6, ["recording"]).collect()
+    assert sorted((r.recording, r.unique, r.element, r.id) for r in got) == sorted(want)
