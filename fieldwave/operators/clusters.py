@@ -93,20 +93,27 @@ def merge_peak_trough_clusters(labels: DataFrame, keys: Sequence[str], ident: st
     """
     table = labels.where("peak_label >= 0 or trough_label >= 0").groupBy(*keys, "peak_label", "trough_label").agg(F.count(F.lit(1)).alias("n"))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {("peak", k) for k in pdf["peak_label"] if k >= 0} | {("trough", k) for k in pdf["trough_label"] if k >= 0}
-        size = {c: int(pdf.loc[pdf[f"{c[0]}_label"] == c[1], "n"].sum()) for c in left}
-        kept = []
-        while left:
-            best = min(left, key=lambda c: (-size[c], c))
-            kept.append(best)
-            other = "trough" if best[0] == "peak" else "peak"
-            touched = set(pdf.loc[pdf[f"{best[0]}_label"] == best[1], f"{other}_label"])
-            left -= {best} | {(other, k) for k in touched}
-        first = pdf.iloc[0]
-        return pd.DataFrame([(*(first[k] for k in keys), kind, int(k), i) for i, (kind, k) in enumerate(kept)], columns=[*keys, "kind", "old", "label"])
-
-    kept = _grouped(table, keys, "kind string, old long, label int", work)
+    def merged(peak: list[int], trough: list[int], n: list[int]) -> list[tuple[str, int]]:
+        size, met = {}, {}
+        for p, t, k in zip(peak, trough, n):
+            for own, other in ((("peak", p), ("trough", t)), (("trough", t), ("peak", p))):
+                if own[1] >= 0:
+                    size[own] = size.get(own, 0) + k
+                    met.setdefault(own, set()).add(other)
+        kept, gone = [], set()
+        for best in sorted(size, key=lambda c: (-size[c], c)):
+            if best not in gone:
+                kept.append(best)
+                gone |= met[best]
+        return kept
+
+    def work(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        columns = [pdf[c].tolist() for c in ("peak_label", "trough_label", "n")]
+        made = [(a, kind, int(k), i) for a, z in zip(cuts, cuts[1:]) for i, (kind, k) in enumerate(merged(*(c[a:z] for c in columns)))]
+        at, kind, old, label = (list(c) for c in zip(*made)) if made else ([], [], [], [])
+        return pdf[[*keys]].iloc[at].assign(kind=kind, old=old, label=label)
+
+    kept = whole_groups(table, keys, ["peak_label", "trough_label"], "kind string, old long, label int", work)
     side = lambda kind: labels.join(kept.where(F.col("kind") == kind).withColumnRenamed("old", f"{kind}_label"), [*keys, f"{kind}_label"]).select(*keys, ident, "label")
     return side("peak").unionByName(side("trough")).groupBy(*keys, ident).agg(F.min("label").alias("label"))
 

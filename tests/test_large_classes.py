@@ -185,3 +185,24 @@ def test_distinct_frequencies_of_many_small_recordings(spark, no_group_alone):
                 unique += 1
     got = Q.unique_frequencies_index(df, 0.6, ["recording"]).collect()
     assert sorted((r.recording, r.unique, r.element, r.id) for r in got) == sorted(want)
+
+
+def test_two_labelings_of_many_small_series(spark, no_group_alone):
+    rng = np.random.default_rng(8)
+    rows = [(k % 30, k, int(rng.integers(-1, 4)), int(rng.integers(-1, 3))) for k in range(900)]
+    df = spark.createDataFrame(rows, "rec long, id long, peak_label long, trough_label long")
+    want = {}
+    for rec in range(30):
+        mine = [r[1:] for r in rows if r[0] == rec]
+        left = {(s, r[s]) for r in mine for s in (1, 2) if r[s] >= 0}
+        label = 0
+        while left:
+            best = min(left, key=lambda c: (-sum(r[c[0]] == c[1] for r in mine), c))
+            for r in mine:
+                if r[best[0]] == best[1]:
+                    want.setdefault((rec, r[0]), label)
+                    left.discard((3 - best[0], r[3 - best[0]]))
+            left.discard(best)
+            label += 1
+    got = C.merge_peak_trough_clusters(df, ["rec"], "id").collect()
+    assert {(r.rec, r.id): r.label for r in got} == want
