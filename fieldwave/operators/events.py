@@ -16,7 +16,9 @@ from fieldwave.operators import peak_scan
 # ---------------------------------------------------------------- peaks
 def hysteresis_peaks(x: np.ndarray, threshold: float | np.ndarray) -> tuple[list[int], list[int]]:
     """Peaks and troughs of ``x``: a running maximum is a peak once the signal falls more than the threshold below it, and likewise up."""
-    thr = np.broadcast_to(np.asarray(threshold, float), len(x))
+    thr = np.broadcast_to(np.asarray(threshold, float), len(x)).tolist()
+    if isinstance(x, np.ndarray) and x.dtype == float:
+        x = x.tolist()  # the same numbers, sooner read one by one
     peaks, troughs = [], []
     if not len(x):
         return peaks, troughs

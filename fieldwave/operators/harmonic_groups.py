@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldwave.functions.harmonics import GroupParams
 from fieldwave.functions.harmonics import harmonic_groups as _groups
 from fieldwave.operators.events import hysteresis_peaks
+from fieldwave.operators.stretches import whole_groups
 
 
 def spectral_thresholds(spectra: DataFrame, keys: Sequence[str], nbins: int = 100, low_fac: float = 6.0, high_fac: float = 10.0) -> DataFrame:
@@ -64,6 +65,30 @@ def _crossings(t: np.ndarray, v: np.ndarray, level: float) -> np.ndarray:
     return t[i] + (t[i + 1] - t[i]) * d[i] / (d[i] - d[i + 1])
 
 
+def _halfway(t: list[float], v: list[float], spots: list[int]) -> list[float]:
+    """Between spots that follow each other, the middle one of the times at which half of the way is done; NaN where there is none."""
+    out = []
+    for a, b in zip(spots, spots[1:]):
+        level = (v[a] + v[b]) / 2
+        d = [x - level for x in v[a : b + 1]]
+        i = [i for i in range(b - a) if d[i] * d[i + 1] < 0]
+        k = i[len(i) // 2] if i else 0
+        out.append(t[a + k] + (t[a + k + 1] - t[a + k]) * d[k] / (d[k] - d[k + 1]) if i else np.nan)
+    return out
+
+
+def _phases(waves: DataFrame, keys: Sequence[str], dt: float, names: Sequence[str], found: Callable) -> DataFrame:
+    """(keys, p, names) of all that ``found(t, v)`` gives for each waveform, many of them at a time."""
+
+    def work(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        t, v = pdf["pos"].to_numpy() * dt, pdf["v"].to_numpy()
+        rows = [(a, *r) for a, z in zip(cuts, cuts[1:]) for r in found(t[a:z], v[a:z])]
+        at, *columns = zip(*rows) if rows else [()] * (len(names) + 2)
+        return pdf[[*keys]].iloc[list(at)].assign(p=list(columns[0]), **{n: np.array(c, float) for n, c in zip(names, columns[1:])})
+
+    return whole_groups(waves.select(*keys, "pos", "v"), keys, ["pos"], ", ".join(["p int", *(f"{n} double" for n in names)]), work)
+
+
 def pulse_phases(waves: DataFrame, keys: Sequence[str], dt: float, peak_thr: float = 0.01, min_dist: float = 5e-5) -> DataFrame:
     """(keys, p, time, amplitude, relampl, width, area, relarea, zeros): peaks and troughs of a conditioned pulse, P1 the largest peak.
 
@@ -71,9 +96,7 @@ def pulse_phases(waves: DataFrame, keys: Sequence[str], dt: float, peak_thr: flo
     ``min_dist`` the smaller goes, but never the largest peak or trough.  Widths are at half height, areas go from zero to zero.
     """
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        t, v = pdf["pos"].to_numpy() * dt, pdf["v"].to_numpy()
+    def found(t: np.ndarray, v: np.ndarray) -> list[tuple]:
         top, low = int(np.argmax(v)), int(np.argmin(v))
         peaks, troughs = hysteresis_peaks(v, peak_thr * np.ptp(v))
         spots = sorted(({*peaks, *troughs} - {0, len(v) - 1}) | {top} | ({low} if v[low] < -peak_thr * v[top] else set()))
@@ -96,12 +119,9 @@ def pulse_phases(waves: DataFrame, keys: Sequence[str], dt: float, peak_thr: flo
             width = (r[0] if len(r) else t[-1]) - (l[-1] if len(l) else t[0])
             area = v[(t >= a) & (t <= b)].sum() * dt
             rows.append((n + 1 - spots.index(top), t[i], v[i], v[i] / v[top], width, area, area / total, right[0] if len(right) else None))
-        first = pdf.iloc[0]
-        return pd.DataFrame([(*(first[k] for k in keys), *r) for r in rows], columns=[*keys, *names])
+        return rows
 
-    names = ["p", "time", "amplitude", "relampl", "width", "area", "relarea", "zeros"]
-    kinds = dict(waves.dtypes)
-    return waves.groupBy(*keys).applyInPandas(work, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "p int", *(f"{n} double" for n in names[1:])]))
+    return _phases(waves, keys, dt, ["time", "amplitude", "relampl", "width", "area", "relarea", "zeros"], found)
 
 
 def pulse_span(waves: DataFrame, keys: Sequence[str], dt: float, se_thr: float = 0.01) -> DataFrame:
@@ -119,26 +139,20 @@ def wave_phases(waves: DataFrame, keys: Sequence[str], dt: float, freq: float, f
     the next one is half done, the width reaches from the last such time to this.
     """
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        t, v = pdf["pos"].to_numpy() * dt, pdf["v"].to_numpy()
+    def found(t: np.ndarray, v: np.ndarray) -> list[tuple]:
         one = v[(t >= 0) & (t <= 1 / freq)]
         peaks, troughs = hysteresis_peaks(v, frac * np.ptp(one)) if len(one) and np.ptp(one) > 0 else ([], [])
         spots = np.array(sorted({*peaks, *troughs}), int)
         near = spots[(t[spots] >= -0.25 / freq) & (t[spots] < 0.75 / freq)]
         rows = []
         if len(near):
-            half = [_crossings(t[a : b + 1], v[a : b + 1], (v[a] + v[b]) / 2) for a, b in zip(spots, spots[1:])]
-            ways = np.array([np.nan, *(x[len(x) // 2] if len(x) else np.nan for x in half), np.nan])
+            ways = [np.nan, *_halfway(t.tolist(), v.tolist(), spots.tolist()), np.nan]
             zero, big = t[near[np.argmax(v[near])]], np.abs(v[near]).max()
             for k in np.flatnonzero((t[spots] >= zero) & (t[spots] < zero + 1 / freq - dt / 2)):
                 rows.append((len(rows) + 1, t[spots[k]] - zero, v[spots[k]], abs(v[spots[k]]) / big, ways[k + 1] - ways[k], ways[k + 1] - zero))
-        first = pdf.iloc[0]
-        return pd.DataFrame([(*(first[k] for k in keys), *r) for r in rows], columns=[*keys, *names]).astype({c: "float64" for c in names[1:]})
+        return rows
 
-    names = ["p", "time", "amplitude", "relampl", "width", "zeros"]
-    kinds = dict(waves.dtypes)
-    return waves.groupBy(*keys).applyInPandas(work, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "p int", *(f"{n} double" for n in names[1:])]))
+    return _phases(waves, keys, dt, ["time", "amplitude", "relampl", "width", "zeros"], found)
 
 
 def side_peak_or_wave(waves: DataFrame, keys: Sequence[str], dt: float, max_phases: int = 4) -> DataFrame:

@@ -6,7 +6,9 @@ import pytest
 from fieldwave.functions import kernels as K
 from fieldwave.operators import clusters as C
 from fieldwave.operators import density as D
+from fieldwave.operators import events as V
 from fieldwave.operators import frequencies as Q
+from fieldwave.operators import harmonic_groups as H
 from fieldwave.operators.stretches import whole_groups
 
 
@@ -206,3 +208,29 @@ def test_two_labelings_of_many_small_series(spark, no_group_alone):
             label += 1
     got = C.merge_peak_trough_clusters(df, ["rec"], "id").collect()
     assert {(r.rec, r.id): r.label for r in got} == want
+
+
+def waves(spark, n=40, size=32):
+    """Waveforms without regularity, two that are flat, some that rest at zero at times."""
+    v = np.round(np.random.default_rng(4).normal(0, 2, (n, size)))
+    v[3], v[4] = 0.0, 1.0
+    rows = [(k, i, float(x)) for k, w in enumerate(v) for i, x in enumerate(w)]
+    return v, spark.createDataFrame(rows, "id long, pos int, v double").repartition(3)
+
+
+def test_wave_phases_of_many_waveforms_at_a_time(spark, no_group_alone):
+    v, df = waves(spark)
+    got = sorted(H.wave_phases(df, ["id"], 1 / 32, 2.0).collect())
+    t, want = np.arange(32) / 32, []
+    for k, x in enumerate(v):
+        one = np.ptp(x[t <= 0.5])
+        spots = sorted(sum(V.hysteresis_peaks(x, 0.05 * one), [])) if one > 0 else []
+        half = [H._crossings(t[a : b + 1], x[a : b + 1], (x[a] + x[b]) / 2) for a, b in zip(spots, spots[1:])]
+        ways = [None, *(c[len(c) // 2] if len(c) else None for c in half), None]
+        near = [i for i in spots if t[i] < 0.375]
+        if near:
+            zero = t[max(near, key=lambda i: (x[i], -i))]
+            inside = [n for n, i in enumerate(spots) if zero <= t[i] < zero + 0.5 - 1 / 64]
+            less = lambda a, b: None if a is None or b is None else a - b
+            want += [(k, p + 1, t[spots[n]] - zero, x[spots[n]], abs(x[spots[n]]) / max(abs(x[near])), less(ways[n + 1], ways[n]), less(ways[n + 1], zero)) for p, n in enumerate(inside)]
+    assert [tuple(r) for r in got] == want and len({r.id for r in got}) > 30
