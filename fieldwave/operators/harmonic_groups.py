@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
+from operator import gt, lt
 
 import numpy as np
 import pandas as pd
@@ -77,6 +79,20 @@ def _halfway(t: list[float], v: list[float], spots: list[int]) -> list[float]:
     return out
 
 
+def _width(t: list[float], v: list[float], i: int) -> float:
+    """Between the crossings of half of a spot's height that are nearest on either side; from or to the end where there is none."""
+    sign, level = float(np.sign(v[i] or 1)), abs(v[i]) / 2
+
+    def nearest(steps: range, beyond: Callable, end: float) -> float:
+        for k in steps:
+            d, e = v[k] * sign - level, v[k + 1] * sign - level
+            if d * e < 0 and beyond(at := t[k] + (t[k + 1] - t[k]) * d / (d - e), t[i]):
+                return at
+        return end
+
+    return nearest(range(i, len(v) - 1), gt, t[-1]) - nearest(range(i - 1, -1, -1), lt, t[0])
+
+
 def _phases(waves: DataFrame, keys: Sequence[str], dt: float, names: Sequence[str], found: Callable) -> DataFrame:
     """(keys, p, names) of all that ``found(t, v)`` gives for each waveform, many of them at a time."""
 
@@ -109,16 +125,13 @@ def pulse_phases(waves: DataFrame, keys: Sequence[str], dt: float, peak_thr: flo
                 k = max(0, k - 1)
             else:
                 k += 1
-        zeros = _crossings(t, v, 0.0)
+        times, values, zeros = t.tolist(), v.tolist(), _crossings(t, v, 0.0).tolist()
         rows, total = [], np.abs(v).sum() * dt
         for n, i in enumerate(spots):
-            left, right = zeros[zeros < t[i]], zeros[zeros > t[i]]
-            a, b = left[-1] if len(left) else t[0], right[0] if len(right) else t[-1]
-            half = _crossings(t, v * np.sign(v[i] or 1), abs(v[i]) / 2)
-            l, r = half[half < t[i]], half[half > t[i]]
-            width = (r[0] if len(r) else t[-1]) - (l[-1] if len(l) else t[0])
-            area = v[(t >= a) & (t <= b)].sum() * dt
-            rows.append((n + 1 - spots.index(top), t[i], v[i], v[i] / v[top], width, area, area / total, right[0] if len(right) else None))
+            left, right = bisect_left(zeros, times[i]), bisect_right(zeros, times[i])
+            a, b = zeros[left - 1] if left else times[0], zeros[right] if right < len(zeros) else times[-1]
+            area = v[bisect_left(times, a) : bisect_right(times, b)].sum() * dt
+            rows.append((n + 1 - spots.index(top), t[i], v[i], v[i] / v[top], _width(times, values, i), area, area / total, b if right < len(zeros) else None))
         return rows
 
     return _phases(waves, keys, dt, ["time", "amplitude", "relampl", "width", "area", "relarea", "zeros"], found)

@@ -234,3 +234,20 @@ def test_wave_phases_of_many_waveforms_at_a_time(spark, no_group_alone):
             less = lambda a, b: None if a is None or b is None else a - b
             want += [(k, p + 1, t[spots[n]] - zero, x[spots[n]], abs(x[spots[n]]) / max(abs(x[near])), less(ways[n + 1], ways[n]), less(ways[n + 1], zero)) for p, n in enumerate(inside)]
     assert [tuple(r) for r in got] == want and len({r.id for r in got}) > 30
+
+
+def test_pulse_phases_of_many_waveforms_at_a_time(spark, no_group_alone):
+    v, df = waves(spark)
+    got = sorted(H.pulse_phases(df, ["id"], 1 / 32, 0.05, 0.04).collect())
+    t = np.arange(32) / 32
+    for k, x in enumerate(v):
+        zeros = H._crossings(t, x, 0.0)
+        for r in (r for r in got if r.id == k):
+            i = round(r.time * 32)
+            half = H._crossings(t, x * np.sign(x[i] or 1), abs(x[i]) / 2)
+            last = lambda c, end: c[c < t[i]][-1] if (c < t[i]).any() else end  # noqa: B023, E731
+            first = lambda c, end: c[c > t[i]][0] if (c > t[i]).any() else end  # noqa: B023, E731
+            assert r.width == first(half, t[-1]) - last(half, t[0]) and r.zeros == first(zeros, None)
+            assert r.amplitude == x[i] and r.area == x[(t >= last(zeros, t[0])) & (t <= first(zeros, t[-1]))].sum() / 32
+    ones = [r for r in got if r.p == 1]
+    assert len(ones) == 40 and all(r.amplitude == v[r.id].max() for r in ones) and len(got) > 300
