@@ -74,14 +74,15 @@ def high_pass(x: np.ndarray, rate: float, cutoff: float) -> np.ndarray:
 
 
 def quadratic_upsample(x: np.ndarray, factor: int) -> np.ndarray:
-    """``factor`` times as many samples, on the parabola through the three nearest ones."""
+    """``factor`` times as many samples, on the parabola through the three nearest ones; of one series, or of one per row."""
     x = np.asarray(x, float)
-    if len(x) < 3 or factor <= 1:
+    size = x.shape[-1]
+    if size < 3 or factor <= 1:
         return x
-    at = np.arange((len(x) - 1) * factor + 1) / factor
-    k = np.clip(np.rint(at).astype(int), 1, len(x) - 2)
+    at = np.arange((size - 1) * factor + 1) / factor
+    k = np.clip(np.rint(at).astype(int), 1, size - 2)
     u = at - k
-    a, b, c = x[k - 1], x[k], x[k + 1]
+    a, b, c = x[..., k - 1], x[..., k], x[..., k + 1]
     return b + u * (c - a) / 2 + u * u * (a - 2 * b + c) / 2
 
 

@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,14 +81,40 @@ def filtered_power(arrays: DataFrame, keys: Sequence[str], rate: float, cutoff:
     return rows.select(*keys, F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / F.size(v)).alias("std"))
 
 
-def upsample(arrays: DataFrame, factor: int) -> DataFrame:
-    """Arrays with ``factor`` times as many samples; give it short ones, around candidate events."""
+def upsample(arrays: DataFrame, factor: int, most: int = 1 << 18) -> DataFrame:
+    """Arrays with ``factor`` times as many samples; give it short ones, around candidate events.
 
-    @F.pandas_udf("array<double>")
-    def run(parts: pd.Series) -> pd.Series:
-        return pd.Series([K.quadratic_upsample(np.asarray(v, float), factor) for v in parts])
-
-    return arrays.withColumn("v", run("v"))
+    Rows pass as flat buffers of about ``most`` samples, with no object per sample or row; a null array stays null, and where there is no number there is null.
+    """
+    plain = arrays.withColumn("v", F.col("v").cast("array<double>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("v")
+            size = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            upto = np.cumsum(np.append(0, size.astype(np.int64))) * max(factor, 1)
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + most, "right")) - 1)
+                part = batch.slice(begin, end - begin)
+                yield part.set_column(at, batch.schema.field(at), _upsampled(part.column(at), factor))
+                begin = end
+
+    return plain.mapInArrow(run, plain.schema)
+
+
+def _upsampled(v: pa.ListArray, factor: int) -> pa.ListArray:
+    """``quadratic_upsample`` of each list, all of a length at a time."""
+    size = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    made = np.where((size < 3) | (factor <= 1), size, (size - 1) * factor + 1)
+    begin, upto = np.cumsum(size) - size, np.append(0, np.cumsum(made))
+    x, out = v.flatten().to_numpy(zero_copy_only=False).astype(float), np.empty(upto[-1])
+    for n in np.unique(size[size > 0]):
+        of = np.flatnonzero(size == n)
+        y = K.quadratic_upsample(x[begin[of][:, None] + np.arange(n)], factor)
+        out[upto[of][:, None] + np.arange(y.shape[1])] = y
+    offsets = pa.array(upto.astype(np.int32), mask=np.append(v.is_null().to_numpy(zero_copy_only=False), False))
+    return pa.ListArray.from_arrays(offsets, pa.array(out, from_pandas=True), type=v.type)
 
 
 def pulse_spectrum(arrays: DataFrame, keys: Sequence[str], rate: float, resolution: float = 1.0, fade: float = 0.05) -> DataFrame:

@@ -9,6 +9,7 @@ from fieldwave.operators import density as D
 from fieldwave.operators import events as V
 from fieldwave.operators import frequencies as Q
 from fieldwave.operators import harmonic_groups as H
+from fieldwave.operators import spectra as S
 from fieldwave.operators.stretches import whole_groups
 
 
@@ -251,3 +252,19 @@ def test_pulse_phases_of_many_waveforms_at_a_time(spark, no_group_alone):
             assert r.amplitude == x[i] and r.area == x[(t >= last(zeros, t[0])) & (t <= first(zeros, t[-1]))].sum() / 32
     ones = [r for r in got if r.p == 1]
     assert len(ones) == 40 and all(r.amplitude == v[r.id].max() for r in ones) and len(got) > 300
+
+
+def test_upsampling_holds_no_object_per_sample(spark):
+    """Arrays of several lengths, empty, null and with nulls, cut into parts; columns beside stay as they are."""
+    rng = np.random.default_rng(2)
+    given = [None if k == 7 else [] if k == 9 else [1.0, None, 2.0, 3.0] if k == 11 else rng.normal(0, 1, k % 9).tolist() for k in range(300)]
+    df = spark.createDataFrame([(None if k == 5 else (1 << 60) + k, f"n{k}", v) for k, v in enumerate(given)], "id long, name string, v array<double>").repartition(2)
+    for factor in (1, 4):
+        made = S.upsample(df, factor, most=50)
+        assert "ArrowEvalPython" not in made._jdf.queryExecution().toString() and made.columns == df.columns
+        got = {r.name: (r.id, r.v) for r in made.collect()}
+        for k, v in enumerate(given):
+            want = None if v is None else K.quadratic_upsample(np.array(v, float), factor).tolist()
+            own = got[f"n{k}"]
+            assert own[0] == (None if k == 5 else (1 << 60) + k)
+            assert own[1] == (None if v is None else [None if np.isnan(x) else x for x in want])
