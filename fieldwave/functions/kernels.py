@@ -92,27 +92,41 @@ def _turned(a: np.ndarray, b: np.ndarray) -> float:
     return float(min(np.sqrt(np.mean((a - b) ** 2)), np.sqrt(np.mean((a + b) ** 2))))
 
 
-def wave_similarity(a: np.ndarray, b: np.ndarray, fa: float, fb: float) -> float:
-    """Difference of one period around the maximum of two waveforms (time, value), scaled to their range, relative to the std."""
+def _period(w: np.ndarray, f: float) -> tuple[np.ndarray, np.ndarray]:
+    """One period of a waveform (time, value) around its maximum: phases from -0.5 on, and values."""
+    t, v = w[0] * f, w[1]
+    inside = (t >= t[0]) & (t < t[0] + max(1.0, (t[-1] - t[0]) - 1))
+    top = t[inside][np.argmax(v[inside])] if inside.any() else t[np.argmax(v)]
+    x = (t - top + 0.5) % 1.0 - 0.5
+    order = np.argsort(x, kind="stable")
+    return x[order], v[order]
+
+
+def _scaled(t: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    y = np.interp(np.linspace(-0.5, 0.5, n, endpoint=False), t, v, period=1.0)
+    return (y - y.mean()) / (np.ptp(y) or 1.0)
+
+
+def wave_shapes(w: np.ndarray, f: float) -> tuple[np.ndarray, np.ndarray]:
+    """What ``wave_similarity`` compares of a waveform whose partner is as long: its period, and that of its mirror image."""
+    t, v = _period(w, f)
+    n = min(len(t), 400)
+    return _scaled(t, v, n), _scaled(t, -v, n)
 
-    def period(w, f):
-        t, v = w[0] * f, w[1]
-        inside = (t >= t[0]) & (t < t[0] + max(1.0, (t[-1] - t[0]) - 1))
-        top = t[inside][np.argmax(v[inside])] if inside.any() else t[np.argmax(v)]
-        x = (t - top + 0.5) % 1.0 - 0.5
-        order = np.argsort(x, kind="stable")
-        return x[order], v[order]
-
-    (ta, va), (tb, vb) = period(a, fa), period(b, fb)
-    grid = np.linspace(-0.5, 0.5, min(len(ta), len(tb), 400), endpoint=False)
-    shape = lambda t, v: (lambda y: (y - y.mean()) / (np.ptp(y) or 1.0))(np.interp(grid, t, v, period=1.0))
-    one, two = shape(ta, va), shape(tb, vb)
-    flipped = shape(tb + 0, -vb)
-    flipped = np.roll(flipped, np.argmax(one) - np.argmax(flipped))
+
+def shapes_difference(one: np.ndarray, two: np.ndarray, mirrored: np.ndarray) -> float:
+    flipped = np.roll(mirrored, np.argmax(one) - np.argmax(mirrored))
     scale = max(one.std(), two.std()) or 1.0
     return float(min(np.sqrt(np.mean((one - two) ** 2)), np.sqrt(np.mean((one - flipped) ** 2))) / scale)
 
 
+def wave_similarity(a: np.ndarray, b: np.ndarray, fa: float, fb: float) -> float:
+    """Difference of one period around the maximum of two waveforms (time, value), scaled to their range, relative to the std."""
+    (ta, va), (tb, vb) = _period(a, fa), _period(b, fb)
+    n = min(len(ta), len(tb), 400)
+    return shapes_difference(_scaled(ta, va, n), _scaled(tb, vb, n), _scaled(tb, -vb, n))
+
+
 def pulse_similarity(a: np.ndarray, b: np.ndarray, wfac: float = 10.0) -> float:
     """Root mean square difference of two pulses (time, value), aligned at their maxima, scaled to them, over ``wfac`` half widths.
 

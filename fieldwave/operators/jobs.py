@@ -21,6 +21,7 @@ from fieldwave.operators import spectra as S
 from fieldwave.operators import wave_segments as G
 from fieldwave.operators import waveforms as A
 from fieldwave.operators import windows as N
+from fieldwave.operators.stretches import each_stretch
 from fieldwave.sources.shared import joins_by_shuffle, written
 
 
@@ -269,9 +270,16 @@ def merge_fish(fish: DataFrame, *, max_noise: float = 0.1, max_dist: float = 2e-
     p-p distance, waves in order of EODf, each against the last kept one: close
     and alike joins it.  The largest p-p amplitude represents.  Rows are cut at
     gaps wider than the limit first, which no join can cross: gaps inside stretches
-    of the key, and those between the stretches, of which there are few.
+    of the key, and those between the stretches, of which there are few.  An island is
+    passed over in order, batch by batch.
     """
-    rows = fish.where(F.col("noise") <= max_noise).withColumn("key", F.when(F.col("type") == "pulse", F.col("ppdist")).otherwise(F.col("EODf")))
+    @F.pandas_udf("shape array<double>, mirrored array<double>")
+    def shapes(kinds: pd.Series, times: pd.Series, values: pd.Series, freqs: pd.Series) -> pd.DataFrame:
+        out = [(None, None) if kind == "pulse" or t is None or v is None or not len(t) else K.wave_shapes(np.array([t, v], float), f) for kind, t, v, f in zip(kinds, times, values, freqs)]
+        return pd.DataFrame(out, columns=["shape", "mirrored"])
+
+    rows = fish.where(F.col("noise") <= max_noise).withColumn("_s", shapes("type", "time", "v", "EODf"))  # the costly part, before rows of an island meet
+    rows = rows.withColumn("key", F.when(F.col("type") == "pulse", F.col("ppdist")).otherwise(F.col("EODf")))
     limit = F.when(F.col("type") == "pulse", max_dist).otherwise(max_df)
     rows = rows.withColumn("_b", F.floor(F.col("key") / (50 * limit)))
     w, over = W.partitionBy("type", "_b").orderBy("key", "id"), W.partitionBy("type").orderBy("_b")
@@ -281,21 +289,26 @@ def merge_fish(fish: DataFrame, *, max_noise: float = 0.1, max_dist: float = 2e-
     ends = ends.withColumn("_first", apart).withColumn("_base", F.sum(F.col("_first")).over(over) + F.coalesce(F.sum("_cuts").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.join(ends.select("type", "_b", "_base"), ["type", "_b"]).withColumn("_island", F.col("_base") + F.col("_own")).drop("_new", "_own", "_base", "_b")
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, out = pdf.sort_values(["key", "id"], kind="stable"), None, []
-        for r in pdf.itertuples():
-            own = np.array([r.time, r.v], float)
-            if kept is not None:
-                near = r.key - kept[0] <= max_dist if r.type == "pulse" else r.key - kept[0] < max_df
-                rms = K.pulse_similarity(kept[1], own, 4.0) if r.type == "pulse" else K.wave_similarity(kept[1], own, kept[2], r.EODf)
-            if kept is None or not near or rms >= max_rms:
-                kept = (r.key, own, r.EODf)
-                out.append(len({*out}))
-            else:
-                out.append(out[-1])
-        return pdf[["type", "_island", "id", "ppampl"]].assign(part=out)
+    class Chain:
+        kept, part = None, -1
 
+        def add(self, r) -> int:
+            own = np.array([r.time, r.v], float)
+            if self.kept is not None:
+                key, last, freq, shape = self.kept
+                if r.type == "pulse":
+                    alike = r.key - key <= max_dist and not K.pulse_similarity(last, own, 4.0) >= max_rms
+                else:
+                    rms = lambda: K.shapes_difference(shape, r.shape, r.mirrored) if shape is not None and r.shape is not None and len(shape) == len(r.shape) else K.wave_similarity(last, own, freq, r.EODf)
+                    alike = r.key - key < max_df and not rms() >= max_rms
+                if alike:
+                    return self.part
+            self.kept, self.part = (r.key, own, r.EODf, r.shape), self.part + 1
+            return self.part
+
+    more = lambda held, pdf: [(r.id, r.ppampl, held.add(r)) for r in pdf.itertuples()]
     kinds = dict(fish.dtypes)
-    made = rows.groupBy("type", "_island").applyInPandas(chain, f"type string, _island long, id {kinds['id']}, ppampl double, part int")
+    rows = rows.select("type", "_island", "key", "id", "ppampl", "EODf", "time", "v", "_s.shape", "_s.mirrored").repartition("type", "_island")
+    made = each_stretch(rows, ["type", "_island"], [F.asc_nulls_last("key"), F.asc_nulls_last("id")], f"id {kinds['id']}, ppampl double, part int", Chain, more, lambda held: [])
     best = F.first("id").over(W.partitionBy("type", "_island", "part").orderBy(F.desc("ppampl"), "id"))
     return made.select("type", F.concat_ws("-", "type", "_island", "part").alias("source"), "id", (best == F.col("id")).alias("representative"))

@@ -268,3 +268,32 @@ def test_upsampling_holds_no_object_per_sample(spark):
             own = got[f"n{k}"]
             assert own[0] == (None if k == 5 else (1 << 60) + k)
             assert own[1] == (None if v is None else [None if np.isnan(x) else x for x in want])
+
+
+def test_a_long_island_is_merged_in_one_pass(spark, no_group_alone):
+    """Rows that all lie near the one before, of two lengths, against plain loops."""
+    from fieldwave.operators import jobs as J
+
+    rng = np.random.default_rng(3)
+    forms = [(np.sin(2 * np.pi * np.arange(n) / n + p) + np.exp(-((np.arange(n) - n / 2) ** 2) / n)).tolist() for n in (48, 64) for p in (0.0, 0.7, 2.0)]
+    rows = []
+    for k in range(240):
+        v = forms[rng.integers(0, 6)]
+        rows.append((k, "pulse" if k % 2 else "wave", 100.0 + k // 8, 1e-4 * (k // 40), float(rng.integers(0, 9)), 0.0, [i / len(v) / 100 for i in range(len(v))], v))
+    df = spark.createDataFrame(rows, "id long, type string, EODf double, ppdist double, ppampl double, noise double, time array<double>, v array<double>").repartition(3)
+    want = []
+    for kind, key in (("pulse", 3), ("wave", 2)):
+        kept = None
+        for r in sorted((r for r in rows if r[1] == kind), key=lambda r: (r[key], r[0])):
+            own = np.array([r[6], r[7]])
+            if kept is not None:
+                near = r[3] - kept[0][3] <= 2e-4 if kind == "pulse" else r[2] - kept[0][2] < 10.0
+                rms = K.pulse_similarity(kept[1], own, 4.0) if kind == "pulse" else K.wave_similarity(kept[1], own, kept[0][2], r[2])
+            if kept is None or not near or rms >= 0.3:
+                kept = r, own
+                want.append([])
+            want[-1].append(r[0])
+    got = {}
+    for r in J.merge_fish(df).collect():
+        got.setdefault(r.source, []).append(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and 20 < len(want) < 239
