@@ -267,11 +267,25 @@ def merge_neighbours(x: np.ndarray, label: np.ndarray, ratio: float, min_n: int
 
 
 def dbscan(points: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """Density clusters, numbered by their first point; -1 is noise.  Neighbours are found by grid cells of the first two axes."""
+    """Density clusters, numbered by their first point; -1 is noise.  Neighbours are found by grid cells of the first two axes, of few points among all pairs."""
     n = len(points)
     label = np.full(n, -1)
     if not n:
         return label
+    if n <= 256:
+        pairs = ((points[:, None, :] - points[None, :, :]) ** 2).sum(2) <= eps * eps
+        core, k = pairs.sum(1) >= min_samples, 0
+        for i in np.flatnonzero(core):
+            if label[i] < 0:
+                reached = pairs[i] & (label < 0)
+                while True:
+                    wider = reached | (pairs[reached & core].any(0) & (label < 0))
+                    if (wider == reached).all():
+                        break
+                    reached = wider
+                label[reached] = k
+                k += 1
+        return label
     cell = np.floor(points[:, :2] / eps).astype(np.int64)
     cells: dict[tuple[int, ...], list[int]] = {}
     for i, c in enumerate(map(tuple, cell)):

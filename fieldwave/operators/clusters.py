@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter, deque
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldwave.functions import kernels as K
 from fieldwave.operators.density import density_clusters
-from fieldwave.operators.stretches import islands, whole_groups
+from fieldwave.operators.stretches import each_stretch, islands, whole_groups
 from fieldwave.sources.shared import written
 
 _FEW = 1000  # names of large groups that a plan may hold
@@ -122,16 +124,72 @@ def moving_sources(events: DataFrame, keys: Sequence[str], min_dt: float = 0.25,
     """(keys, label): the clusters of the window with the fewest clusters, then fewest sparse ones, then highest mean height.
 
     Windows of ``max(min_dt, fac median width)`` slide by ``step``; empty ones don't count.
+    A key is passed over in order of time, batch by batch, so an event is no row per window.
     ``events(keys, label, t, width, height)``.
     """
-    size = events.groupBy(*keys).agg(F.greatest(F.lit(min_dt), fac * F.median("width")).alias("_dt"), F.min("t").alias("_t0"))
+    whole = W.partitionBy(*keys)
+    rows = events.withColumn("_dt", F.greatest(F.lit(min_dt), fac * F.median("width").over(whole))).withColumn("_t0", F.min("t").over(whole))
     last = F.floor((F.col("t") - F.col("_t0")) / step)
-    first = F.greatest(F.lit(0), F.ceil((F.col("t") - F.col("_t0") - F.col("_dt")) / step + 1e-9))
-    rows = events.join(size, list(keys)).withColumn("_w", F.explode(F.sequence(first.cast("long"), F.greatest(first, last).cast("long"))))
-    each = rows.groupBy(*keys, "_w", "label").agg(F.count(F.lit(1)).alias("_n"), F.sum("height").alias("_h"))
-    window = each.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_k"), F.count_if(F.col("_n") < 2).alias("_sparse"), (F.sum("_h") / F.sum("_n")).alias("_mean"), F.collect_set("label").alias("labels"))
-    best = window.groupBy(*keys).agg(F.min_by("labels", F.struct("_k", "_sparse", -F.col("_mean"), "_w")).alias("labels"))
-    return best.select(*keys, F.explode("labels").alias("label"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("t") - F.col("_t0") - F.col("_dt")) / step + 1e-9)).cast("long")
+    rows = rows.where("t is not null and _dt is not null").select(*keys, "t", "label", F.coalesce(F.col("height").cast("double"), F.lit(0.0)).alias("height"), first.alias("_first"), F.greatest(first, last).cast("long").alias("_last"))
+    more = lambda held, pdf: [held.add(*r) for r in zip(*(pdf[c].tolist() for c in ("_first", "_last", "label", "height")))] and []
+    # the window has put a key into one partition
+    return each_stretch(rows, keys, ["t"], f"label {dict(events.dtypes)['label']}", _Sliding, more, lambda held: held.end())
+
+
+class _Sliding:
+    """The clusters of the best window, from events in order of the first and the last window that they are in; only those of the present windows are held."""
+
+    def __init__(self):
+        self.held, self.number, self.heights, self.odd = deque(), Counter(), 0, Counter()
+        self.sparse, self.since, self.best = 0, 0, None
+
+    def _count(self, label, by: int) -> None:
+        n = self.number[label] + by
+        self.sparse += (n == 1) - (self.number[label] == 1)
+        self.number[label] = n
+        if not n:
+            del self.number[label]
+
+    def _height(self, height: float, by: int) -> None:
+        if math.isfinite(height):
+            top, bottom = height.as_integer_ratio()
+            self.heights += by * (top << (1074 - bottom.bit_length() + 1))  # as a whole number, so that sums are exact
+        else:
+            self.odd[repr(height)] += by
+
+    def _judge(self) -> None:
+        """The windows since ``since`` hold the same events."""
+        if self.held:
+            odd = sum((float(x) for x, n in self.odd.items() if n), 0.0)
+            mean = odd or self.heights / (len(self.held) << 1074)
+            rank = (len(self.number), self.sparse, mean != mean, -mean)
+            if self.best is None or rank < self.best[0]:
+                self.best = rank, list(self.number)
+
+    def _pass(self, first: int) -> None:
+        """All windows before ``first`` are judged, and what lies before it is let go."""
+        while self.held and self.held[0][0] < first:
+            last = self.held[0][0]
+            self._judge()
+            while self.held and self.held[0][0] <= last:
+                _, label, height = self.held.popleft()
+                self._count(label, -1)
+                self._height(height, -1)
+            self.since = last + 1
+        if self.since < first:
+            self._judge()
+            self.since = first
+
+    def add(self, first: int, last: int, label, height: float) -> None:
+        self._pass(first)
+        self.held.append((last, label, height))
+        self._count(label, 1)
+        self._height(height, 1)
+
+    def end(self) -> list[tuple]:
+        self._pass(self.held[-1][0] + 1)
+        return [(label,) for label in self.best[1]]
 
 
 def group_across_channels(pulses: DataFrame, keys: Sequence[str], max_dt: float = 2e-4, min_height: float = 0.02) -> DataFrame:

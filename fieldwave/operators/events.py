@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldwave.operators import peak_scan
 
@@ -38,16 +40,17 @@ def hysteresis_peaks(x: np.ndarray, threshold: float | np.ndarray) -> tuple[list
     return peaks, troughs
 
 
-def detect_peaks(samples: DataFrame, threshold: float, keys: Sequence[str], idx: str = "idx", v: str = "v", *, block_bits: int = 16) -> DataFrame:
-    """(keys, idx, v, kind) with kind ``peak`` or ``trough``, strictly alternating, over the whole series of each key.
+def detect_peaks(samples: DataFrame, threshold: float, keys: Sequence[str], idx: str = "idx", v: str = "v", *, block_bits: int = 16, also: Sequence[str] = ()) -> DataFrame:
+    """(keys, idx, v, kind, also) with kind ``peak`` or ``trough``, strictly alternating, over the whole series of each key.
 
     Series are scanned in blocks of ``2**block_bits`` places, a task each, and the
     states between blocks are put together afterwards (``peak_scan``): the
     result is that of one scan, whatever the blocks.  Null and NaN values are left out.
+    ``also`` names columns of the samples that their events keep.
     """
     kinds = dict(samples.dtypes)
-    found = peak_scan.detect(samples.select(*keys, F.col(idx).alias("idx"), F.col(v).alias("v")), threshold, keys, block_bits=block_bits)
-    return found.select(*keys, F.col("idx").cast(kinds[idx]).alias(idx), F.col("v").alias(v), "kind")
+    found = peak_scan.detect(samples.select(*keys, F.col(idx).alias("idx"), F.col(v).alias("v"), *also), threshold, keys, block_bits=block_bits, also=also)
+    return found.select(*keys, F.col("idx").cast(kinds[idx]).alias(idx), F.col("v").alias(v), "kind", *also)
 
 
 def trim_events(events: DataFrame, keys: Sequence[str], idx: str = "idx", *, to_peak: bool = False) -> DataFrame:
@@ -238,6 +241,57 @@ def snippets(samples: DataFrame, events: DataFrame, keys: Sequence[str], left: i
     return met.where((F.col("pos") >= -left) & (F.col("pos") < right)).select(*keys, "event", "pos", "v")
 
 
+def snippet_arrays(samples: DataFrame, events: DataFrame, keys: Sequence[str], left: int, right: int, spans: DataFrame | None = None, block: int = 1 << 14) -> DataFrame:
+    """(keys, event, pos, v): the same as arrays, a row for each place with an event; events without any samples go.
+
+    Samples and events are sorted together in blocks of indices, whose ends
+    neighbours share; slices are cut out of many whole blocks at a time, so no sample
+    becomes a row per event.  ``spans(keys, first, last)`` are the records' ends, where known.
+    """
+    if spans is None:
+        spans = samples.groupBy(*keys).agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    inside = events.select(*keys, F.col("idx").cast("long").alias("idx")).distinct().join(spans.select(*keys, "first", "last"), list(keys))
+    inside = inside.where((F.col("idx") - left >= F.col("first")) & (F.col("idx") + right - 1 <= F.col("last")))
+    begin, end = F.floor((F.col("idx") - (right - 1)) / block).cast("long"), F.floor((F.col("idx") + left) / block).cast("long")
+    rows = samples.select(*keys, F.col("idx").cast("long").alias("idx"), F.col("v").cast("double").alias("v"), F.explode(F.when(begin == end, F.array(begin)).otherwise(F.sequence(begin, end))).alias("_block"))
+    at = inside.select(*keys, "idx", F.lit(None).cast("double").alias("v"), F.floor(F.col("idx") / block).cast("long").alias("_block"))
+    rows = rows.withColumn("_event", F.lit(False)).unionByName(at.withColumn("_event", F.lit(True)))
+    rows = rows.withColumn("_begins", F.row_number().over(W.partitionBy(*keys, "_block").orderBy("idx")) == 1).select("_begins", "_event", "_block", "idx", "v", *keys)
+    kinds = samples.schema
+    schema = T.StructType([*(T.StructField(k, kinds[k].dataType) for k in keys), T.StructField("event", T.LongType()), T.StructField("pos", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def made(table: pa.Table) -> list[pa.RecordBatch]:
+        of, idx = table["_event"].to_numpy(), table["idx"].to_numpy()
+        place = idx - table["_block"].to_numpy() * block
+        place += (np.cumsum(table["_begins"].to_numpy()) - 1) * (block + left + right) + left  # a block's places before those of the next one
+        x, v, e = place[~of], table["v"].to_numpy()[~of], place[of]
+        a, z = np.searchsorted(x, e - left), np.searchsorted(x, e + right)
+        has = z > a
+        a, e, size, at = a[has], e[has], (z - a)[has], np.flatnonzero(of)[has]
+        if not len(at):
+            return []
+        upto = np.append(0, np.cumsum(size))
+        index = np.repeat(a - upto[:-1], size) + np.arange(upto[-1])
+        offsets, pos = pa.array(upto.astype(np.int32)), (x[index] - np.repeat(e, size)).astype(np.int32)
+        named = table.select(list(keys)).take(pa.array(at)).combine_chunks()
+        columns = [*(named[k].combine_chunks() for k in keys), pa.array(idx[at]), pa.ListArray.from_arrays(offsets, pa.array(pos)), pa.ListArray.from_arrays(offsets, pa.array(v[index], from_pandas=True))]
+        return [pa.RecordBatch.from_arrays(columns, names=schema.names)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            cuts = np.flatnonzero(batch.column(0).to_numpy(zero_copy_only=False))
+            if len(cuts) and n + cuts[-1] >= 1 << 16:
+                yield from made(pa.Table.from_batches([*held, batch.slice(0, cuts[-1])]))
+                held, n, batch = [], 0, batch.slice(cuts[-1])
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield from made(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, schema)
+
+
 def clipped_fraction(snips: DataFrame, keys: Sequence[str], low: float, high: float) -> DataFrame:
     """Share of the events with any sample at or beyond a clip limit."""
     each = snips.groupBy(*keys, "event").agg(((F.max("v") >= high) | (F.min("v") <= low)).cast("double").alias("_c"))

@@ -21,40 +21,107 @@ from fieldwave.operators import spectra as S
 from fieldwave.operators import wave_segments as G
 from fieldwave.operators import waveforms as A
 from fieldwave.operators import windows as N
-from fieldwave.operators.stretches import each_stretch
+from fieldwave.operators.stretches import each_stretch, whole_groups
 from fieldwave.sources.shared import joins_by_shuffle, written
 
 
-def _shapes(samples: DataFrame, events: DataFrame, keys: Sequence[str], left: int, right: int) -> DataFrame:
-    """(keys, idx, v): the samples around each event, freed of their slope, as arrays of unit norm."""
-    shape = A.subtract_slope(V.snippets(samples, events, keys, left, right), [*keys, "event"])
-    arrays = shape.groupBy(*keys, F.col("event").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda total, x: total + x["v"] * x["v"]))
-    return arrays.withColumn("_n", norm).select(*keys, "idx", F.transform("s", lambda x: F.when(F.col("_n") > 0, x["v"] / F.col("_n")).otherwise(0.0)).alias("v"))
+_FEW, _MOST = 1000, 2048  # names of large classes that a plan may hold; rows of a class that is clustered in one step
 
 
-def shape_clusters(arrays: DataFrame, keys: Sequence[str], ident: str, eps: float, k: int = 5, min_share: float = 0.05, min_samples: int = 5) -> DataFrame:
+def _unit_shapes(pos: pd.Series, v: pd.Series) -> pd.Series:
+    """Snippets freed of the line from their first to their last sample, with unit norm; all of a length at a time."""
+    sizes, out = v.map(len).to_numpy(), np.empty(len(v), object)
+    for size in np.unique(sizes):
+        of = np.flatnonzero(sizes == size)
+        p, x = np.stack(pos.iloc[of]).astype(float), np.stack(v.iloc[of]).astype(float)
+        first, rise = x[:, :1], x[:, -1:] - x[:, :1]
+        x = x - first - rise * (p - p[:, :1]) / np.maximum(p[:, -1:] - p[:, :1], 1)
+        norm = np.zeros(len(of))
+        for k in range(size):
+            norm += x[:, k] * x[:, k]
+        norm = np.sqrt(norm)[:, None]
+        x = np.where(norm > 0, x / np.where(norm > 0, norm, 1.0), 0.0)
+        for k, row in zip(of, x):
+            out[k] = row
+    return pd.Series(out)
+
+
+def shape_clusters(arrays: DataFrame, keys: Sequence[str], ident: str, eps: float, k: int = 5, min_share: float = 0.05, min_samples: int = 5, *, most: int = _MOST) -> DataFrame:
     """(keys, ident, label): density clusters of each class's waveforms on its own principal components, -1 for noise."""
-    scores = written(S.principal_scores(arrays, keys, ident, k), "scores")
-    return C.dbscan(scores, keys, ident, "scores", eps, min_share, min_samples)
-
-
-def _labelled(samples: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, rate: float, left: int, right: int, eps: float, low_freq: float, name: str) -> DataFrame:
-    """(keys, idx, name): the shape cluster of each pulse around its peak or trough (``at``); artefacts, unreliable clusters, side peaks and waves are -1."""
-    events = rows.select(*keys, F.col(at).alias("idx")).distinct()
-    shapes = _shapes(samples, events, keys, left, right).withColumnRenamed("idx", at)
-    classed = written(rows.select(*keys, "idx", at, "t", "width", "w", "h").join(shapes, [*keys, at]), "classed")  # read four times
-    found = shape_clusters(classed.where("w >= 0 and h >= 0"), [*keys, "w", "h"], "idx", eps).where("label >= 0")
-    number = F.dense_rank().over(W.partitionBy(*keys).orderBy("w", "h", "label")) - 1
-    found = written(found.withColumn(name, number.cast("long")).select(*keys, "idx", name).join(classed.select(*keys, "idx", "t", "width", "v"), [*keys, "idx"]), "shapes")
-    own = [*keys, name]
-    mean = found.select(*own, F.posexplode("v").alias("pos", "v")).groupBy(*own, "pos").agg(F.avg("v").alias("v"))
-    mean = written(mean, "means")
-    arrays = mean.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s")).select(*own, F.transform("s", lambda x: x["v"]).alias("v"))
+    return clusters_and_means(arrays, keys, ident, eps, k, min_share, min_samples, most=most).where("mean is null").select(*keys, ident, "label")
+
+
+def clusters_and_means(arrays: DataFrame, keys: Sequence[str], ident: str, eps: float, k: int = 5, min_share: float = 0.05, min_samples: int = 5, *, carry: Sequence[str] = (), most: int = _MOST) -> DataFrame:
+    """(keys, ident, label, carry, mean): a row for each waveform, and one with the mean waveform, and no ident, for each cluster.
+
+    Classes of up to ``most`` rows get components, clusters and means in one step,
+    many classes at a time; of larger ones no step sees all rows.
+    """
+    kinds = dict(arrays.dtypes)
+    rows = arrays.select(*keys, ident, *carry, "v")
+    group = F.to_json(F.struct(*keys)) if len(keys) else F.lit("")
+    large = [r["g"] for r in rows.groupBy(*keys).count().where(F.col("count") > most).select(group.alias("g")).limit(_FEW + 1).collect()]
+
+    def work(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        label, size, at, of, means = np.empty(len(pdf), int), pdf["v"].map(len).to_numpy(), [], [], []
+        for a, z in zip(cuts, cuts[1:]):
+            if size[a:z].min() != size[a:z].max():
+                raise ValueError("waveforms of a class have one length")
+            x = np.stack(pdf["v"].iloc[a:z]).astype(float)
+            mean = x.sum(0) / len(x)
+            base = K.loadings(x.T @ x / len(x) - np.outer(mean, mean), k)
+            label[a:z] = found = K.dbscan((x - mean) @ base.T, eps, max(min_samples, int(min_share * len(x))))
+            for c in range(found.max() + 1):
+                at.append(a), of.append(c), means.append(x[found == c].mean(0))
+        no, rows = [None] * len(at), np.append(np.arange(len(pdf)), np.array(at, int))
+        own = {c: pd.Series([*pdf[c], *no], dtype=object) for c in (ident, *carry)}
+        own |= {"label": np.append(label, np.array(of, int)), "mean": pd.Series([None] * len(pdf) + means, dtype=object)}
+        return pdf[[*keys]].iloc[rows].reset_index(drop=True).assign(**{c: own[c] for c in (ident, "label", *carry, "mean")})
+
+    schema = ", ".join([f"{ident} {kinds[ident]}", "label long", *(f"{c} {kinds[c]}" for c in carry), "mean array<double>"])
+    small = rows if not large else rows.where(~group.isin(large)) if len(large) <= _FEW else None
+    done = [] if small is None else [whole_groups(small, keys, [ident], schema, work, nullable=[ident, *carry])]
+    if large:
+        rest = rows if small is None else rows.where(group.isin(large))
+        scores = written(S.principal_scores(rest, keys, ident, k), "scores")
+        label = written(C.dbscan(scores, keys, ident, "scores", eps, min_share, min_samples).join(rest, [*keys, ident]), "shapes")
+        at = label.where("label >= 0").select(*keys, "label", F.posexplode("v").alias("pos", "x")).groupBy(*keys, "label", "pos").agg(F.avg("x").alias("x"))
+        mean = at.groupBy(*keys, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda x: x["x"]).alias("mean"))
+        done.append(label.select(*keys, ident, "label", *carry, F.lit(None).cast("array<double>").alias("mean")))
+        done.append(mean.select(*keys, F.lit(None).cast(kinds[ident]).alias(ident), "label", *(F.lit(None).cast(kinds[c]).alias(c) for c in carry), "mean"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _labelled(pieces: DataFrame, keys: Sequence[str], rate: float, eps: float, low_freq: float) -> DataFrame:
+    """(keys, side, idx, name): the shape cluster of each pulse around its peak (side 0) and around its trough (1); artefacts, unreliable clusters, side peaks and waves have no row.
+
+    ``pieces(keys, side, idx, t, width, w, h, pos, v)`` are the snippets.
+    """
+    classed = pieces.where("w >= 0 and h >= 0").select(*keys, "side", "w", "h", "idx", "t", "width", F.pandas_udf(_unit_shapes, "array<double>")("pos", "v").alias("v"))
+    found = clusters_and_means(classed, [*keys, "side", "w", "h"], "idx", eps, carry=["t", "width"]).where("label >= 0")
+    name = (F.col("w") * 1024 + F.col("h")) * F.lit(1 << 40) + F.col("label")  # in the order of classes and their clusters
+    found = written(found.select(*keys, "side", name.cast("long").alias("name"), "idx", "t", "width", "mean"), "shapes")
+    own = [*keys, "side", "name"]
+    arrays = found.where("mean is not null").select(*own, F.col("mean").alias("v"))
     bad = S.artefact_clusters(arrays, own, rate, low_freq).where("artefact").select(*own)
-    bad = bad.unionByName(H.side_peak_or_wave(mean, own, 1 / rate).where("side_peak or wave").select(*own)).distinct()
-    good = V.drop_unreliable_clusters(found, keys, label=name).join(bad, own, "left_anti")
-    return written(good.select(*own, "idx"), "labels")
+    bad = bad.unionByName(H.side_peak_or_wave(arrays.select(*own, F.posexplode("v").alias("pos", "v")), own, 1 / rate).where("side_peak or wave").select(*own)).distinct()
+    good = V.drop_unreliable_clusters(found.where("mean is null"), [*keys, "side"], label="name").join(bad, own, "left_anti")
+    return good.select(*own, "idx")
+
+
+def _mean_snippets(snips: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, pos, v): means of the snippets ``snips(keys, pos, v)`` of each class, a batch of arrays at a time."""
+
+    def more(held: dict, pdf: pd.DataFrame) -> list:
+        pos, v = np.concatenate(pdf["pos"].tolist()), np.concatenate(pdf["v"].tolist())
+        known, at = np.unique(pos[~np.isnan(v)], return_inverse=True)
+        for p, n, total in zip(known.tolist(), np.bincount(at).tolist(), np.bincount(at, v[~np.isnan(v)]).tolist()):
+            before = held.get(p, (0, 0.0))
+            held[p] = before[0] + n, before[1] + total
+        return []
+
+    rows = snips.select(*keys, "pos", "v").repartition(*keys)
+    return each_stretch(rows, keys, [], "pos int, v double", dict, more, lambda held: [(p, total / n) for p, (n, total) in sorted(held.items())])
 
 
 def extract_pulses(
@@ -73,25 +140,30 @@ def extract_pulses(
     they join by shuffle, whatever their size, as small files may hold many rows.
     """
     with joins_by_shuffle(samples.sparkSession):
-        found = V.detect_peaks(samples, threshold, keys)
-        found = found.join(samples.select(*keys, "idx", "t"), [*keys, "idx"])
+        spans = samples.groupBy(*keys).agg(F.min("idx").alias("first"), F.max("idx").alias("last"), (F.max("t") - F.min("t")).alias("_seconds"))
+        spans = written(spans, "spans")
+        found = V.detect_peaks(samples, threshold, keys, also=["t"])
         pulses = V.resolve_shared_troughs(V.assign_side_peaks(found, keys), keys)
         pulses = written(V.filter_pulses(pulses, rate, min_width, max_width).select(*keys, "idx", "trough_idx", "t", "height", "width"), "pulses")
         by_width = C.mixture_1d(pulses, keys, "idx", "width", 3, use_log=True, ratio=0.5).withColumnRenamed("label", "w")
-        rows = pulses.join(by_width, [*keys, "idx"])
+        rows = written(pulses.join(by_width, [*keys, "idx"]), "widths")
         by_height = C.mixture_1d(rows, [*keys, "w"], "idx", "height", 10, use_log=True, ratio=0.1).withColumnRenamed("label", "h")
         rows = written(rows.join(by_height.drop("w"), [*keys, "idx"]), "classes")
-        sides = [_labelled(samples, rows, keys, at, rate, left, right, eps, low_freq, name) for at, name in (("idx", "peak_label"), ("trough_idx", "trough_label"))]
-        both = sides[0].join(sides[1], [*keys, "idx"], "full_outer").select(*keys, "idx", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("peak_label", "trough_label")))
+        places = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(at).alias("at")) for side, at in enumerate(("idx", "trough_idx")))))
+        places = rows.select(*keys, "idx", "t", "width", "w", "h", places.alias("s")).select(*keys, "idx", "t", "width", "w", "h", "s.*")
+        places = written(places.where("at is not null"), "places")
+        pieces = V.snippet_arrays(samples, places.select(*keys, F.col("at").alias("idx")), keys, left, right, spans).withColumnRenamed("event", "at")
+        pieces = written(pieces.join(places, [*keys, "at"]), "pieces")
+        own = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("name"))), F.lit(-1))
+        both = _labelled(pieces, keys, rate, eps, low_freq).groupBy(*keys, "idx").agg(own(0).alias("peak_label"), own(1).alias("trough_label"))
+        both = written(both, "labels")
         merged = C.merge_peak_trough_clusters(both, keys, "idx").withColumn("label", F.col("label").cast("long"))
         held = written(rows.join(merged, [*keys, "idx"]), "merged")
         if clip is not None:
-            snips = V.snippets(samples, held.select(*keys, "idx"), keys, left, right).withColumnRenamed("event", "idx").join(held.select(*keys, "idx", "label"), [*keys, "idx"])
-            mean = A.mean_waveform(snips.withColumnRenamed("idx", "event"), [*keys, "label"], 0).select(*keys, "label", "pos", F.col("mean").alias("v"))
+            mean = _mean_snippets(pieces.where("side = 0").join(held.select(*keys, "idx", "label"), [*keys, "idx"]), [*keys, "label"])
             held = held.join(A.clipped_clusters(mean, [*keys, "label"], clip).where("clipped").select(*keys, "label"), [*keys, "label"], "left_anti")
         held = written(held.join(C.moving_sources(held, [*keys, "w"], min_dt, step), [*keys, "w", "label"], "left_semi"), "held")
-        seconds = samples.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("_seconds"))
-        cover = held.groupBy(*keys, "label").agg((F.count(F.lit(1)) * F.median("width")).alias("_cover")).join(seconds, list(keys))
+        cover = held.groupBy(*keys, "label").agg((F.count(F.lit(1)) * F.median("width")).alias("_cover")).join(spans, list(keys))
         good = cover.where(F.col("_cover") >= rho * F.col("_seconds")).select(*keys, "label")
         kept = written(held.join(good, [*keys, "label"], "left_semi").select(*keys, "idx", "label"), "kept")
     return pulses.drop("trough_idx").join(kept.hint("merge"), [*keys, "idx"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))

@@ -111,11 +111,20 @@ def scan_blocks(samples: DataFrame, threshold: float, keys: Sequence[str]) -> Da
 
     ``samples(keys, _block, idx, v)``.  In a task only the samples at which a block turns, and its ends, are looked at.
     """
+    # the window has put a block into one partition
+    return _scanned(turning_samples(samples, keys), threshold, keys)
+
+
+def turning_samples(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The samples at which a block turns, and its ends; every event is one of them."""
     w = W.partitionBy(*keys, "_block").orderBy("idx")
     before, after = F.col("_b"), F.col("_a")
     turn = ((F.col("v") >= before) & (F.col("v") >= after)) | ((F.col("v") <= before) & (F.col("v") <= after))
-    rows = samples.withColumn("_b", F.lag("v").over(w)).withColumn("_a", F.lead("v").over(w)).where(before.isNull() | after.isNull() | turn).drop("_b", "_a")
+    rows = samples.withColumn("_b", F.lag("v").over(w)).withColumn("_a", F.lead("v").over(w))
+    return rows.where(before.isNull() | after.isNull() | turn).drop("_b", "_a")
 
+
+def _scanned(rows: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
     def more(held, pdf):
         turns, first = held
         found = turns.feed(pdf["idx"].to_numpy(), pdf["v"].to_numpy())
@@ -127,7 +136,6 @@ def scan_blocks(samples: DataFrame, threshold: float, keys: Sequence[str]) -> Da
         turns, first = held
         return [(0, 0.0, 0, *_flat(first[0] if first else None, turns.state))]
 
-    # the window has put a block into one partition
     return each_stretch(rows, [*keys, "_block"], ["idx"], f"{_EVENT}, {_SUMMARY}", lambda: (Turns(threshold), []), more, end)
 
 
@@ -197,14 +205,21 @@ def entry_events(blocks: DataFrame, threshold: float, keys: Sequence[str], bits:
     return began
 
 
-def detect(samples: DataFrame, threshold: float, keys: Sequence[str], *, block_bits: int = 16, group_bits: int = 12) -> DataFrame:
-    """(keys, idx, v, kind): the events of whole series ``samples(keys, idx, v)``, cut into blocks of ``2**block_bits`` places.
+def detect(samples: DataFrame, threshold: float, keys: Sequence[str], *, block_bits: int = 16, group_bits: int = 12, also: Sequence[str] = ()) -> DataFrame:
+    """(keys, idx, v, kind, also): the events of whole series ``samples(keys, idx, v)``, cut into blocks of ``2**block_bits`` places.
 
     No task sees more than a block of a series, or the summaries of a group of
-    blocks, and both only batch by batch.
+    blocks, and both only batch by batch.  ``also`` names columns of the samples that
+    events keep; they meet the samples at which blocks turn, not all of them.
     """
-    rows = samples.select(*keys, F.col("idx").cast("long"), F.col("v").cast("double")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    scanned = written(scan_blocks(rows.withColumn("_block", F.shiftright("idx", block_bits)), threshold, keys), "scan")
+    rows = samples.select(*keys, F.col("idx").cast("long"), F.col("v").cast("double"), *also).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    rows = rows.withColumn("_block", F.shiftright("idx", block_bits))
+    if also:
+        turns = written(turning_samples(rows, keys), "turns")
+        scanned = written(_scanned(turns.drop(*also).repartition(*keys, "_block"), threshold, keys), "scan")
+    else:
+        scanned = written(scan_blocks(rows, threshold, keys), "scan")
     entry = entry_events(scanned.where("kind = 0"), threshold, keys, group_bits)
     found = scanned.where("kind <> 0").select(*keys, "kind", "v", "idx").unionByName(entry)
-    return found.select(*keys, "idx", "v", F.when(F.col("kind") > 0, "peak").otherwise("trough").alias("kind"))
+    found = found.select(*keys, "idx", "v", F.when(F.col("kind") > 0, "peak").otherwise("trough").alias("kind"))
+    return found.join(turns.select(*keys, "idx", *also), [*keys, "idx"]) if also else found

@@ -134,3 +134,65 @@ def test_pulse_jobs_send_no_table_through_the_driver(spark, sf_dir, monkeypatch)
     made.append(out._jdf.queryExecution().executedPlan().toString())
     assert any("SortMergeJoin" in p for p in made) and not any("BroadcastHashJoin" in p for p in made)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_pulse_jobs_call_python_for_many_classes_at_a_time(spark, sf_dir, monkeypatch):
+    """Classes of pulses are small and many: no step has a call for each of them, and none makes a row for each sample of a snippet."""
+    from fieldwave import plans
+    from fieldwave.operators import jobs
+
+    made, write = [], jobs.written
+    monkeypatch.setattr(jobs, "written", lambda df, name: made.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    plans.queries()["c3_extract_pulses"](spark, sf_dir)
+    assert not [name for name, p in made if "FlatMapGroupsInPandas" in p]
+    assert any("MapInArrow" in p for name, p in made if name == "pieces")
+
+
+def test_snippets_as_arrays(spark):
+    """They are the rows of snippets put together, also where samples are missing and blocks meet."""
+    from fieldwave.operators import events as V
+
+    rng = np.random.default_rng(3)
+    samples = [(rec, int(k), float(rng.normal())) for rec, n in (("a", 300), ("b", 90), (None, 40)) for k in np.flatnonzero(rng.random(n) < 0.8)]
+    events = [(rec, int(k)) for rec, n in (("a", 300), ("b", 90), ("c", 9)) for k in rng.choice(n, min(n, 60))]
+    samples, events = spark.createDataFrame(samples, "rec string, idx long, v double").repartition(3), spark.createDataFrame(events, "rec string, idx long")
+    want = {}
+    for r in V.snippets(samples, events.distinct(), ["rec"], 5, 7).collect():
+        want.setdefault((r.rec, r.event), []).append((r.pos, r.v))
+    for block in (16, 1 << 14):
+        got = {(r.rec, r.event): list(zip(r.pos, r.v)) for r in V.snippet_arrays(samples, events, ["rec"], 5, 7, block=block).collect()}
+        assert got == {k: sorted(v) for k, v in want.items()} and len(got) > 50
+
+
+def test_shape_clusters_of_large_classes_are_those_of_small_ones(spark):
+    rng = np.random.default_rng(8)
+    rows = [(rec, i, i / 7, (np.sin(np.linspace(0, 6, 20) * (1 + i % 2)) + rng.normal(0, 0.02, 20)).tolist()) for rec in "ab" for i in range(40)]
+    df = spark.createDataFrame(rows, "rec string, id long, t double, v array<double>")
+    found = []
+    for most in (2048, 30):
+        out = J.clusters_and_means(df, ["rec"], "id", 0.5, carry=["t"], most=most).collect()
+        found.append(({(r.rec, r.id): (r.label, r.t) for r in out if r.mean is None}, {(r.rec, r.label): np.round(r.mean, 9).tolist() for r in out if r.mean is not None}))
+    assert found[0] == found[1] and len(found[0][0]) == 80 and len(found[0][1]) == 4
+    assert all(found[0][0]["a", i] == (i % 2, i / 7) for i in range(40))
+
+
+def test_moving_sources_like_a_loop_over_windows(spark):
+    """Whatever the windows, also with equal heights: fewest clusters, fewest sparse ones, highest mean height, the first of equals."""
+    from fieldwave.operators import clusters as C
+
+    rng = np.random.default_rng(9)
+    rows = [(k, int(rng.integers(3)) if t < 9 else 5, float(t), 1e-4, float(rng.choice([1.0, 2.0, 0.1]))) for k in range(6) for t in np.sort(rng.uniform(0, 12, 60))]
+    got = {}
+    out = C.moving_sources(spark.createDataFrame(rows, "k int, label int, t double, width double, height double"), ["k"], 0.5, 0.1)
+    assert "explode(sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        got.setdefault(r.k, set()).add(r.label)
+    for k in range(6):
+        own = [r for r in rows if r[0] == k]
+        dt, t0, windows = max(0.5, 2000 * 1e-4), own[0][2], {}
+        for _, label, t, _, h in own:
+            first = max(0, int(np.ceil((t - t0 - dt) / 0.1 + 1e-9)))
+            for w in range(first, max(first, int(np.floor((t - t0) / 0.1))) + 1):
+                windows.setdefault(w, []).append((label, h))
+        rank = lambda w: (len({x for x, _ in windows[w]}), sum(sum(y == x for y, _ in windows[w]) < 2 for x in {x for x, _ in windows[w]}), -round(sum(h for _, h in windows[w]) / len(windows[w]), 12), w)
+        assert got[k] == {x for x, _ in windows[min(windows, key=rank)]}
