@@ -247,23 +247,23 @@ def extract_wave(arrays: DataFrame, keys: Sequence[str], rate: float, freq: str,
 def stable_window(samples: DataFrame, keys: Sequence[str], rate: float, seconds: float, threshold: float, *, shift: float = 0.2, limits: tuple[float, float] = (float("-inf"), float("inf")), w_ampl: float = 10.0) -> DataFrame:
     """The samples of each series' most stable ``seconds``; of a series too short for the window, or without peaks, all."""
     end = samples.agg(F.max("t")).first()[0] or 0.0  # one number: windows are numbered alike in all series
-    events = V.detect_peaks(samples, threshold, keys).join(samples.select(*keys, "idx", "t"), [*keys, "idx"])
+    events = written(V.detect_peaks(samples, threshold, keys, also=["t"]), "events")  # read four times
     pairs = V.trim_events(events, keys, to_peak=True)
     time = lambda kind: events.where(F.col("kind") == kind).select(*keys, F.col("idx").alias(f"{kind}_idx"), F.col("t").alias(f"{kind}_t"))
     pairs = pairs.join(time("peak"), [*keys, "peak_idx"]).join(time("trough"), [*keys, "trough_idx"])
     if end <= seconds:
         return samples
-    criteria = N.window_criteria(pairs, keys, 0.0, end, seconds, shift, *limits)
+    criteria = N.window_criteria(written(pairs, "pairs"), keys, 0.0, end, seconds, shift, *limits)
     best = N.best_window(criteria, keys, w_ampl=w_ampl).select(*keys, (F.col("first") * shift / 2).alias("begin"))
     bounds = N.analysis_window(samples, keys, rate, seconds, "best", best).withColumnsRenamed({"first": "_a", "last": "_z"})
     rows = samples.join(bounds, list(keys), "left")
     return rows.where("_a is null or idx >= _a and idx < _z").drop("_a", "_z")
 
 
-def _block_psd(samples: DataFrame, keys: Sequence[str], rate: float, resolution: float) -> DataFrame:
+def _block_psd(samples: DataFrame, keys: Sequence[str], rate: float, resolution: float, added: DataFrame | None = None) -> DataFrame:
     """(keys, freq, power): mean over blocks of each series, none of which is more than a few segments long."""
     nfft = K.nfft_for(rate, resolution)
-    return S.psd(S.blocks(samples, keys, 4 * nfft, nfft // 2), [*keys, "block"], rate, resolution).groupBy(*keys, "freq").agg(F.avg("power").alias("power"))
+    return S.psd(S.blocks(samples, keys, 4 * nfft, nfft // 2, part=32, added=added), [*keys, "block"], rate, resolution).groupBy(*keys, "freq").agg(F.avg("power").alias("power"))
 
 
 def detect_sources(
@@ -291,16 +291,18 @@ def detect_sources(
             stats = V.interval_stats(found, [*keys, "label"]).select(*keys, "label", "EODf")
             height = found.groupBy(*keys, "label").agg(F.avg("height").alias("strength"))
             left, right = (pulses or {}).get("left", 8), (pulses or {}).get("right", 8)
-            snips = V.snippets(samples, found.select(*keys, "idx"), keys, left, right).join(found.select(*keys, F.col("idx").alias("event"), "label"), [*keys, "event"])
-            share = V.clipped_fraction(snips, [*keys, "label"], *clip).select(*keys, "label", "clipped")
+            snips = V.snippet_arrays(samples, found, keys, left, right).join(found.select(*keys, F.col("idx").alias("event"), "label"), [*keys, "event"])
+            snips = written(snips, "snips")  # read twice
+            beyond = (F.array_max("v") >= clip[1]) | (F.array_min("v") <= clip[0])
+            share = snips.groupBy(*keys, "label").agg(F.avg(beyond.cast("double")).alias("clipped"))
             rows = stats.join(height, [*keys, "label"]).join(share, [*keys, "label"], "left")
             made.append(rows.select(*keys, F.lit("pulse").alias("type"), "EODf", "strength", F.col("strength").alias("ppampl"), "clipped", F.lit("").alias("skip_reason")))
             if groups is not None:
-                mean = A.mean_waveform(snips, [*keys, "label"]).select(*keys, "label", "pos", F.col("mean").alias("v"))
-                train = S.pulse_train(found.select(*keys, "label", "idx"), mean, [*keys, "label"]).groupBy(*keys, "idx").agg(F.sum("v").alias("v"))
-                trains = train.select(*keys).distinct().join(samples.select(*keys, "idx"), list(keys)).join(train, [*keys, "idx"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+                mean = _mean_snippets(snips, [*keys, "label"])
+                train = S.pulse_train(found.select(*keys, "label", "idx"), mean, [*keys, "label"]).select(*keys, "idx", "v")
+                none = samples.select(*keys, "idx", F.lit(0.0).alias("v"))  # series without pulses have no power, under which nothing lies
                 bin_width = rate / K.nfft_for(rate, resolution)
-                groups = written(A.drop_waves_below_pulses(groups, _block_psd(trains, keys, rate, resolution), keys, bin_width), "groups")
+                groups = written(A.drop_waves_below_pulses(groups, _block_psd(none, keys, rate, resolution, train), keys, bin_width), "groups")
         if groups is not None:
             waves = Q.fundamentals(groups, [*keys, "grp"]).select(*keys, "grp", "f", F.col("db").alias("strength"))
             shaped = G.extract_waves(samples, waves.withColumnRenamed("f", "freq"), keys, rate, resolution, min_corr)

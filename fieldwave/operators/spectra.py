@@ -16,12 +16,23 @@ from fieldwave.functions import kernels as K
 from fieldwave.sources.shared import written
 
 
-def blocks(samples: DataFrame, keys: Sequence[str], size: int, overlap: int = 0) -> DataFrame:
-    """(keys, block, idx0, v): samples gathered into arrays of ``size``, each with up to ``overlap`` samples of the next block at its end."""
+def blocks(samples: DataFrame, keys: Sequence[str], size: int, overlap: int = 0, *, part: int | None = None, added: DataFrame | None = None) -> DataFrame:
+    """(keys, block, idx0, v): samples gathered into arrays of ``size``, each with up to ``overlap`` samples of the next block at its end.
+
+    With ``part``, so many neighbouring blocks are gathered by one task, so that what is summed over
+    them is shuffled once.  ``added(keys, idx, v)`` is added to the samples where there are samples.
+    """
     at = F.floor(F.col("idx") / size)
     early = (at > 0) & (F.col("idx") - at * size < overlap)
-    rows = samples.select(*keys, "idx", "v", F.explode(F.when(early, F.array(at - 1, at)).otherwise(F.array(at))).alias("block"))
-    grouped = rows.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("_s"))
+    placed = lambda df, *more: df.select(*keys, "idx", "v", *more, F.explode(F.when(early, F.array(at - 1, at)).otherwise(F.array(at))).alias("block"))
+    rows = placed(samples) if added is None else placed(samples, F.lit(True).alias("_is")).unionByName(placed(added, F.lit(False).alias("_is")))
+    own = [*keys, "block"]
+    if part is not None:
+        own = [*keys, "_part", "block"]
+        rows = rows.withColumn("_part", F.floor(F.col("block") / part)).repartition(*keys, "_part")
+    if added is not None:
+        rows = rows.groupBy(*own, "idx").agg(F.sum("v").alias("v"), F.max("_is").alias("_is")).where("_is")
+    grouped = rows.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("_s"))
     return grouped.select(*keys, "block", F.col("_s")[0]["idx"].alias("idx0"), F.transform("_s", lambda s: s["v"].cast("double")).alias("v"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,13 @@ def centred(c: np.ndarray) -> np.ndarray:
     return c
 
 
+@lru_cache(maxsize=64)
+def _harmonics(n: int) -> np.ndarray:
+    return np.exp(2j * np.pi * np.outer(_GRID, np.arange(n)))
+
+
 def waveform(c: np.ndarray) -> np.ndarray:
-    return np.real(np.exp(2j * np.pi * np.outer(_GRID, np.arange(len(c)))) @ c)
+    return np.real(_harmonics(len(c)) @ c)
 
 
 def fit(x: np.ndarray, rate: float, f: float, df: float, max_harmonics: int) -> tuple[float, np.ndarray]:

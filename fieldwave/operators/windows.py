@@ -50,11 +50,12 @@ def floor_std_threshold(samples: DataFrame, keys: Sequence[str], win: int, floor
     return rows.agg(F.greatest(fac * F.stddev_pop("v"), F.lit(floor)).alias("threshold"))
 
 
-def window_criteria(pairs: DataFrame, keys: Sequence[str], start: float, end: float, size: float, shift: float, min_clip: float, max_clip: float) -> DataFrame:
+def window_criteria(pairs: DataFrame, keys: Sequence[str], start: float, end: float, size: float, shift: float, min_clip: float, max_clip: float, *, part: int = 64) -> DataFrame:
     """Per window: cv_interv, mean_ampl, cv_ampl and clipped; 1000 (0 for the amplitude) where there is too little to tell.
 
     ``pairs(keys, peak_t, peak_v, trough_t, trough_v)``.  Windows begin every half
-    ``shift``; both their ends are inclusive, so a pair falls in several.  A first
+    ``shift``; both their ends are inclusive, so a pair falls in several.  Pairs are
+    dealt out by stretches of windows and get a row per window in their task only.  A first
     or last interval to the window's edge that is longer than the mean one
     worsens the interval's CV in proportion.
     """
@@ -67,20 +68,28 @@ def window_criteria(pairs: DataFrame, keys: Sequence[str], start: float, end: fl
     def last_of(c: Column) -> Column:
         return F.least(F.lit(n - 1), F.floor((c - start) / step + 1e-9)).cast("int")
 
+    own = [*keys, "_part", "window"]
+
+    def each_window(first: Column, last: Column, *columns: Column) -> DataFrame:
+        rows = pairs.where(first <= last).select(*keys, first.alias("_f"), last.alias("_l"), *columns)
+        rows = rows.withColumn("_part", F.explode(F.sequence(F.floor(F.col("_f") / part).cast("int"), F.floor(F.col("_l") / part).cast("int")))).repartition(*keys, "_part")
+        inside = F.sequence(F.greatest("_f", F.col("_part") * part), F.least("_l", F.col("_part") * part + (part - 1)))
+        return rows.withColumn("window", F.explode(inside)).drop("_f", "_l")
+
     def side(kind: str) -> DataFrame:
         t = F.col(f"{kind}_t")
-        rows = pairs.where(first_of(t) <= last_of(t)).select(*keys, F.explode(F.sequence(first_of(t), last_of(t))).alias("window"), t.alias("t"), F.col(f"{kind}_v").alias("v"))
-        rows = rows.withColumn("d", F.col("t") - F.lag("t").over(W.partitionBy(*keys, "window").orderBy("t")))
+        rows = each_window(first_of(t), last_of(t), t.alias("t"), F.col(f"{kind}_v").alias("v"))
+        rows = rows.withColumn("d", F.col("t") - F.lag("t").over(W.partitionBy(*own).orderBy("t")))
         beyond = F.count_if(F.col("v") > max_clip) if kind == "peak" else F.count_if(F.col("v") < min_clip)
-        out = rows.groupBy(*keys, "window").agg(F.count("d").alias("nd"), F.avg("d").alias("m"), F.stddev_pop("d").alias("s"), F.min("t").alias("a"), F.max("t").alias("b"), beyond.alias("c"))
+        out = rows.groupBy(*own).agg(F.count("d").alias("nd"), F.avg("d").alias("m"), F.stddev_pop("d").alias("s"), F.min("t").alias("a"), F.max("t").alias("b"), beyond.alias("c"))
         begin = F.lit(start) + F.col("window") * step
         worse = lambda gap: F.when(gap > F.col("m"), gap / F.col("m")).otherwise(F.lit(1.0))
         cv = F.col("s") / F.col("m") * worse(F.col("a") - begin) * worse(begin + size - F.col("b"))
         return out.select(*keys, "window", F.when(F.col("nd") > 2, cv).alias(f"cv_{kind}"), F.col("c").alias(f"clip_{kind}"))
 
     lo, hi = F.greatest(first_of(F.col("peak_t")), first_of(F.col("trough_t"))), F.least(last_of(F.col("peak_t")), last_of(F.col("trough_t")))
-    both = pairs.where(lo <= hi).select(*keys, F.explode(F.sequence(lo, hi)).alias("window"), (F.col("peak_v") - F.col("trough_v")).alias("h"))
-    ampl = both.groupBy(*keys, "window").agg(F.count("h").alias("n"), F.avg("h").alias("mh"), F.stddev_pop("h").alias("sh"))
+    both = each_window(lo, hi, (F.col("peak_v") - F.col("trough_v")).alias("h"))
+    ampl = both.groupBy(*own).agg(F.count("h").alias("n"), F.avg("h").alias("mh"), F.stddev_pop("h").alias("sh"))
     rows = ampl.join(side("peak"), [*keys, "window"], "left").join(side("trough"), [*keys, "window"], "left")
     clipped = (F.coalesce("clip_peak", F.lit(0)) + F.coalesce("clip_trough", F.lit(0))) / 2 / F.col("n")
     enough = F.col("n") > 2

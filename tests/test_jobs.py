@@ -196,3 +196,42 @@ def test_moving_sources_like_a_loop_over_windows(spark):
                 windows.setdefault(w, []).append((label, h))
         rank = lambda w: (len({x for x, _ in windows[w]}), sum(sum(y == x for y, _ in windows[w]) < 2 for x in {x for x, _ in windows[w]}), -round(sum(h for _, h in windows[w]) / len(windows[w]), 12), w)
         assert got[k] == {x for x, _ in windows[min(windows, key=rank)]}
+
+
+def test_a_step_leaves_no_shuffle_files(spark):
+    """Steps of long jobs end with a table in the shared folder; what they have shuffled goes at once."""
+    import time
+
+    from fieldwave.sources.shared import joins_by_shuffle, written
+
+    names = lambda: {f.getName() for f in _files(spark) if f.getName().startswith("shuffle_")}
+    before, key = names(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key, None)
+    with joins_by_shuffle(spark):
+        rows = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids")), "test")
+        until = time.time() + 20
+        while names() - before and time.time() < until:
+            time.sleep(0.2)
+        assert not names() - before and rows.count() == 7
+    assert spark.conf.get(key, None) == own
+
+
+def _files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [found.apply(k) for k in range(found.size())]
+
+
+def test_window_criteria_deal_out_pairs_not_windows(spark):
+    from fieldwave.operators import windows as N
+
+    rng = np.random.default_rng(12)
+    t = np.sort(rng.uniform(0, 30, 400))
+    rows = [(k, float(a), float(rng.uniform(1, 2)), float(a + 0.01), float(rng.uniform(-2, -1))) for k in range(3) for a in t]
+    pairs = spark.createDataFrame(rows, "k int, peak_t double, peak_v double, trough_t double, trough_v double").repartition(3)
+    tables = []
+    for part in (64, 7, 1000):
+        made = N.window_criteria(pairs, ["k"], 0.0, 30.0, 5.0, 0.2, -1.9, 1.9, part=part)
+        plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert [x.strip(" +-:").split()[0] for x in plan if "explode(sequence" in x or "RepartitionByExpression" in x] == ["Generate", "RepartitionByExpression", "Generate"] * 3  # rows per window are made where pairs were dealt to
+        tables.append(sorted(tuple(np.round(list(r), 9)) for r in made.collect()))
+    assert tables[0] == tables[1] == tables[2] and len(tables[0]) == 3 * 251
