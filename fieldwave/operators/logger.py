@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldwave.operators.spectra import filtered_power
+from fieldwave.operators.stretches import each_stretch
 
 
-def signal_power(samples: DataFrame, keys: Sequence[str], micros: str, v: str, size: int, slide: int, *, rate: float | None = None, cutoff: float = 10.0) -> DataFrame:
+def signal_power(samples: DataFrame, keys: Sequence[str], micros: str, v: str, size: int, slide: int, *, rate: float | None = None, cutoff: float = 10.0, ties: Sequence[str] = ()) -> DataFrame:
     """(keys, window, std, n): standard deviation in windows of ``size`` microseconds that begin every ``slide``.
 
     A sample falls in size / slide windows.  With a sampling ``rate``, each window's
     samples are freed of their baseline and drift first: the mean of the first
     twentieth goes, then a first-order high-pass at ``cutoff``; one window is one
-    piece of work.  Without it, map-side sums are all that is shuffled.
+    piece of work.  Without it, windows are summed in order of time and of ``ties``, as SQL does
+    it row by row, so that the last bits agree; no step holds a window's rows.
     """
+    if rate is None:
+        return _ordered_std(samples, keys, micros, v, size // slide, slide, ties)
     last = F.floor(F.col(micros) / slide)
     starts = F.sequence(last - (size // slide - 1), last)
     rows = samples.select(*keys, micros, v, F.explode(starts).alias("window"))
-    if rate is None:
-        return rows.groupBy(*keys, "window").agg(F.stddev_pop(v).alias("std"), F.count(v).alias("n"))
     blocks = rows.where(F.col(v).isNotNull()).groupBy(*keys, "window").agg(F.array_sort(F.collect_list(F.struct(micros, v))).alias("_s"))
     blocks = blocks.select(*keys, "window", F.size("_s").cast("long").alias("n"), F.transform("_s", lambda s: s[v].cast("double")).alias("v"))
     return filtered_power(blocks, [*keys, "window", "n"], rate, cutoff).select(*keys, "window", "std", "n")
 
 
+def _ordered_std(samples: DataFrame, keys: Sequence[str], micros: str, v: str, span: int, slide: int, ties: Sequence[str], part: int = 64) -> DataFrame:
+    """(keys, window, std, n) by Welford's sums over rows in order; ``part`` neighbouring windows are one stretch of a key."""
+    last = F.floor(F.col(micros) / slide)
+    rows = samples.select(*keys, micros, *ties, F.col(v).cast("double").alias("_v"), F.col(v).isNull().alias("_null"), (last - (span - 1)).alias("_f"), last.alias("_l"))
+    rows = rows.withColumn("_part", F.explode(F.sequence(F.floor(F.col("_f") / part), F.floor(F.col("_l") / part)))).repartition(*keys, "_part")
+    rows = rows.withColumn("_f", F.greatest("_f", F.col("_part") * part)).withColumn("_l", F.least("_l", F.col("_part") * part + (part - 1)))
+
+    def more(held: dict, pdf: pd.DataFrame) -> list:
+        for first, last, x, null in zip(*(pdf[c].tolist() for c in ("_f", "_l", "_v", "_null"))):
+            for window in range(first, last + 1):
+                n, mean, squares = held.get(window, (0, 0.0, 0.0))
+                if null:
+                    held[window] = n, mean, squares
+                else:
+                    new = mean + (x - mean) / (n + 1)
+                    held[window] = n + 1, new, squares + (x - new) * (x - mean)
+        return []
+
+    end = lambda held: [(window, math.sqrt(squares / n) if n else None, n) for window, (n, _, squares) in sorted(held.items())]
+    return each_stretch(rows, [*keys, "_part"], [micros, *ties], "window long, std double, n long", dict, more, end).drop("_part")
+
+
 def hist_threshold(df: DataFrame, keys: Sequence[str], value: str, fac: float = 3.0, nbins: int = 500) -> DataFrame:
     """(keys, center, width, threshold): mode of the histogram plus ``fac`` times its half width at 1/sqrt(e) of the mode's count.
 

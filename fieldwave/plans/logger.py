@@ -37,7 +37,7 @@ def _hist_sql(source: str, keys: str, value: str, fac: float, nbins: int, name:
 
 
 def power(spark, sf_dir):
-    return L.signal_power(samples(spark, sf_dir), ["channel"], "us", "v", 2 * _DAY, _DAY)
+    return L.signal_power(samples(spark, sf_dir), ["channel"], "us", "v", 2 * _DAY, _DAY, ties=["event_id"])
 
 
 def signal_power(spark, sf_dir):

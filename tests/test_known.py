@@ -160,3 +160,26 @@ def test_query_values_are_rounded_as_sql_rounds_doubles(spark):
     got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(r6("v")).collect()]
     want = [duckdb.sql("SELECT round($1::DOUBLE, 6)", params=[v]).fetchall()[0][0] for v in values]
     assert list(map(str, (x and x + 0.0 for x in got))) == list(map(str, (x and x + 0.0 for x in want)))
+
+
+def test_signal_power_sums_in_order_to_the_last_bit(spark):
+    """Row by row in order of time, however the rows are spread: SQL decides ties of thresholds by the last bits."""
+    import math
+    import random
+
+    from fieldwave.operators import logger as L
+
+    rng = random.Random(5)
+    rows = [(c, i, rng.randrange(-300, 3000), None if rng.random() < 0.1 or 400 <= i < 420 else round(rng.expovariate(1 / 40), 2)) for c in range(4) for i in range(300)]
+    rows += [(9, k, 50_000 + k, None) for k in range(3)] + [(9, 5, 90_000, 7.25)]
+    got = {(r.c, r.window): (r.std, r.n) for r in L.signal_power(spark.createDataFrame(rng.sample(rows, len(rows)), "c int, id int, us long, v double").repartition(5), ["c"], "us", "v", 20, 10, ties=["id"]).collect()}
+    want = {}
+    for c, _, us, v in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        for window in (us // 10 - 1, us // 10):
+            n, mean, squares = want.get((c, window), (0, 0.0, 0.0))
+            if v is not None:
+                new = mean + (v - mean) / (n + 1)
+                n, mean, squares = n + 1, new, squares + (v - new) * (v - mean)
+            want[c, window] = n, mean, squares
+    assert got == {k: (math.sqrt(s / n) if n else None, n) for k, (n, _, s) in want.items()}
+    assert got[9, 5000] == (None, 0) and got[9, 9000] == (0.0, 1)
